@@ -45,47 +45,65 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
+    def _letters_ids(self, words: list[str]) -> list[bytes]:
+        """Of words of letters only, which are one pre-token each: encoded as one text and cut at the tokens that end a word."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):  # a letter whose lower case isn't one
+            return self._ids(words)
+        flat = ids.tobytes()
+        ends = (4 * cuts).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, missing: set[str]) -> None:
         words = self.words
-        if len(words) + len(missing) > CACHED_WORDS:
-            words.clear()
-        plain: dict[str, list[tuple[str, str]]] = {}
-        ask = []
+        stems: dict[str, None] = {}
+        other: dict[str, None] = {}
+        made = []
         for w in missing:
             # A stop after letters is a token of its own, and capitals are lowered before anything else.
-            stem, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            if stem.isascii() and stem.isalpha() and (mark or not stem.islower()):
-                plain.setdefault(stem.lower(), []).append((w, mark))
+            mark = w[-1] if w[-1] in ".,;:!?" else ""
+            stem = w[:-1] if mark else w
+            if stem.isalpha():
+                low = stem.lower() if stem.isascii() else stem
+                if low not in words:
+                    stems[low] = None
+                if mark and mark not in words:
+                    other[mark] = None
+                if mark or low != w:
+                    made.append((w, low, mark))
             else:
-                ask.append(w)
-        ask += [w for w in plain if w not in words]
-        ask += [m for m in {m for found in plain.values() for _, m in found if m} if m not in words]
-        ask = list(dict.fromkeys(ask))
-        words.update(zip(ask, self._ids(ask)))
-        for stem, found in plain.items():
-            for w, mark in found:
-                words[w] = words[stem] + (words[mark] if mark else b"")
+                other[w] = None
+        words.update(zip(stems, self._letters_ids(list(stems))))
+        words.update(zip(other, self._ids(list(other))))
+        for w, low, mark in made:
+            words[w] = words[low] + words[mark] if mark else words[low]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split() for t in texts]
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
         known = self.words
-        missing: set[str] = set()
-        for words in cut:
-            missing |= set(words).difference(known)
-        long = {w for w in missing if len(w) > CACHED_WORD}
-        short = list(missing - long)
-        if len(known) + 2 * len(short) > CACHED_WORDS and known:
-            known.clear()
-            return self.encode(texts)
-        self._learn(short)
-        if not long:
-            return [b"".join([known[w] for w in words]) for words in cut]
-        apart = dict(zip(long, self._ids(list(long))))
-        return [b"".join([known.get(w) or apart.get(w, b"") for w in words]) for words in cut]
+        cut = [t.split() for t in texts]
+        found = [[*map(known.get, words)] for words in cut]
+        gaps = [[i for i, x in enumerate(row) if x is None] for row in found]
+        missing = {words[i] for words, own in zip(cut, gaps) for i in own}
+        long = [w for w in missing if len(w) > CACHED_WORD]
+        apart = dict(zip(long, self._ids(long)))
+        self._learn(missing.difference(long))
+        for words, row, own in zip(cut, found, gaps):
+            for i in own:
+                w = words[i]
+                row[i] = apart[w] if w in apart else known[w]
+        return [*map(b"".join, found)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
