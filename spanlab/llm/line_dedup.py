@@ -36,7 +36,9 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each line that isn't blank: doc, text_key, pos (from 0, blank lines not counted), line_no, line, words."""
     line = F.transform(_lines(docs[text_col]), lambda x, i: F.struct(i.alias("line_no"), x.alias("x")))
     full = F.filter(line, lambda s: s["x"].rlike(r"[^\s\p{Z}]"))
-    rows = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col], F.length(docs[text_col])).alias("text_key"), F.posexplode(full).alias("pos", "s"))
+    # The key and the lines stand in a row of their own below the generator, so that the text isn't carried with each line.
+    rows = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col], F.length(docs[text_col])).alias("text_key"), full.alias("lines"))
+    rows = rows.select(*DOC, F.posexplode("lines").alias("pos", "s"))
     return rows.select(*DOC, "pos", F.col("s.line_no").alias("line_no"), F.unhex(F.md5(F.encode("s.x", "UTF-8"))).alias("line"), word_count(F.col("s.x")).alias("words")).distinct()
 
 
