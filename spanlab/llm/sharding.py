@@ -1,7 +1,7 @@
 """Sharding by size-tiered compaction, in DataFrame functions only.
 
 A store is a folder: immutable Parquet shards and versioned manifests. `append` writes arrivals as small shards, one task
-writing a few of them without any shuffle. `compact` puts the shards below the target size into tiers by the logarithm of
+writing a few of them without any shuffle. `compact` puts the shards below half the target size into tiers by the logarithm of
 their size, fills groups of neighbours in size order up to the target, and merges each group into one file. Every step
 commits one manifest: its table is written first and then named by a rename that fails if the version exists, so readers
 see a whole version or the one before, and a failed job leaves only files that no manifest names. `vacuum` deletes shards
@@ -24,6 +24,8 @@ from spanlab.llm._common import fresh_path
 MANIFEST = "shard string, path string, bytes long, rows long, tier int, born int"
 #: A broadcast of the file-to-group map is used below this many files, a shuffled join beyond.
 BROADCAST_FILES = 200_000
+#: A shard counts as full from this share of the target size, as a merged file is rarely exactly as large as its parts.
+FULL = 0.5
 
 
 class ConflictError(RuntimeError):
@@ -87,7 +89,7 @@ class ShardStore:
 
     def planned(self, version: int) -> DataFrame:
         """The shards to merge with their group: in each tier, neighbours in size order are put together until the target is full."""
-        small = self.manifest(version).where(F.col("bytes") < self.target_bytes)
+        small = self.manifest(version).where(F.col("bytes") < FULL * self.target_bytes)
         order = Window.partitionBy("tier").orderBy("bytes", "shard")
         small = small.withColumn("group", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / F.lit(self.target_bytes)).cast("int"))
         group = Window.partitionBy("tier", "group")
