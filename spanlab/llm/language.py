@@ -189,19 +189,32 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     return build(counts.column("gram").to_numpy(), np.array([number[x] for x in lang]), counts.column("n").to_numpy().astype(float), langs, max_contexts)
 
 
+def _told(model: Trees | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+    use = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+    pred, score = np.full(len(texts), UND, object), np.zeros(len(texts))
+    if use:
+        bits = model.code_lengths([texts[i] for i in use])
+        pred[use] = np.array(model.langs, object)[bits.argmin(axis=1)]
+        score[use] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+    return pred, score
+
+
 def _predicted(trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trees.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-            use = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
-            pred, score = np.full(len(texts), UND, object), np.zeros(len(texts))
-            if use:
-                bits = model.code_lengths([texts[i] for i in use])
-                best = bits.argmin(axis=1)
-                pred[use] = np.array(model.langs, object)[best]
-                score[use] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            pred, score = _told(trees.value, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
+
+    return run
+
+
+def _sieve(trees, at: int, least_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score = _told(trees.value, batch.column(at))
+            yield batch.filter(pa.array((pred != UND) & (score >= least_score)))
 
     return run
 
@@ -211,25 +224,18 @@ def learnable(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(id_col.cast("string"), "UTF-8")), F.lit(3)) != 1, F.lit(False))
 
 
-def predict(rows: DataFrame, text: Column, trees: Trees | None) -> DataFrame:
-    """rows with lang_pred and score added; the trees are broadcast, and bounded by max_contexts and the languages."""
-    shared = rows.sparkSession.sparkContext.broadcast(trees)
-    sent = rows.withColumn("_lang_text", text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return sent.mapInArrow(_predicted(shared), f"{schema}, lang_pred string, score double")
-
-
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """One row for each document: its identifier, held_out, lang_pred and score."""
-    learn = learnable(docs[id_col])
-    trees = fit(docs, learn, text_col, lang_col, id_col, **how)
+    trees = fit(docs, learnable(docs[id_col]), text_col, lang_col, id_col, **how)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by max_contexts and the languages
     held_out = F.coalesce(F.pmod(F.crc32(F.encode(docs[id_col].cast("string"), "UTF-8")), F.lit(3)) == 1, F.lit(False))
-    return predict(docs.select(docs[id_col].alias(id_col), held_out.alias("held_out"), docs[text_col].alias("_text")), F.col("_text"), trees).drop("_text")
+    rows = docs.select(docs[id_col].alias("id"), held_out.alias("held_out"), docs[text_col].cast("string").alias("text"))
+    out = rows.mapInArrow(_predicted(shared), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return out.withColumnRenamed("id", id_col)
 
 
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5, **how) -> DataFrame:
     """The rows of docs whose language is told with a score of least_score or more."""
     trees = fit(docs, learnable(docs[id_col]), text_col, lang_col, id_col, **how)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    kept = predict(packed, F.col("text"), trees).where((F.col("lang_pred") != UND) & (F.col("score") >= least_score))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    return docs.mapInArrow(_sieve(shared, docs.columns.index(text_col), least_score), docs.schema)
