@@ -60,12 +60,20 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: the optimiser never copies it into lambdas, where it would run per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def piece_starts(lengths: Column, lead: Column, stride: int = 64) -> Column:
-    """Prefix sums of an array of lengths, each plus lead, in about n * sqrt-like steps: sums of strides first, then within."""
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / stride).cast("int")), lambda b: total(F.slice(lengths, b * stride + 1, stride)))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(lengths, lambda _, i: lead + total(F.slice(sums, 1, F.floor(i / stride).cast("int"))) + total(F.slice(lengths, F.floor(i / stride).cast("int") * stride + 1, i % stride)))
-    )
+    """Prefix sums of an array of lengths, each plus lead: sums of strides are taken first, then what is left within one."""
+    whole = lambda i: F.floor(i / stride).cast("int")
+
+    def strides(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(whole(F.size(n) - 1), F.lit(0))), lambda b: total(F.slice(n, b * stride + 1, stride)))
+
+    starts = let(lengths, lambda n: let(strides(n), lambda sums: F.transform(n, lambda _, i: lead + total(F.slice(sums, 1, whole(i))) + total(F.slice(n, whole(i) * stride + 1, i % stride)))))
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(starts)
 
 
 def roman_to_int(text: Column) -> Column:

@@ -12,14 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.functions.text import SENTENCE_GAP, SENTENCE_OR_BLANK, TOKEN_WITH_GAP, context_header, piece_starts, strip, substring, total
+from spanlab.functions.text import SENTENCE_OR_BLANK, TOKEN_WITH_GAP, context_header, let, piece_starts, strip, substring, total
 
 SPAN = "array<struct<char_start:int,char_end:int>>"
 
 
 def _exploded(docs: DataFrame, spans: Column) -> DataFrame:
-    rows = docs.select("document_id", "text", F.posexplode(spans).alias("chunk_index", "s"))
-    return rows.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("s.char_start").cast("bigint").alias("char_start"), F.col("s.char_end").cast("bigint").alias("char_end"), substring(F.col("text"), F.col("s.char_start"), F.col("s.char_end")).alias("text"))
+    """The slices are cut below the generator, so that a document's text isn't carried with each of its chunks."""
+    cut = F.transform(spans, lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), substring(F.col("text"), s["char_start"], s["char_end"]).alias("t")))
+    rows = docs.select("document_id", cut.alias("s")).select("document_id", F.posexplode("s").alias("i", "s"))
+    return rows.select("document_id", F.col("i").cast("bigint").alias("chunk_index"), F.col("s.a").cast("bigint").alias("char_start"), F.col("s.b").cast("bigint").alias("char_end"), F.col("s.t").alias("text"))
 
 
 def fixed_size(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
@@ -38,19 +40,22 @@ def _leading(text: Column) -> Column:
 def token_window(docs: DataFrame, window: int = 64, overlap: int = 8) -> DataFrame:
     """Windows of tokens: sums over whole steps first, so a window's start needs no sum over all tokens before it."""
     step = window - overlap
-    docs = docs.withColumn("_pieces", F.regexp_extract_all("text", F.lit(TOKEN_WITH_GAP), F.lit(0))).where(F.size("_pieces") > 0)
-    docs = docs.withColumn("_lengths", F.transform("_pieces", lambda p: F.length(p))).withColumn("_n", F.size("_pieces"))
-    windows = F.when(F.col("_n") > overlap, F.ceil((F.col("_n") - overlap) / step)).otherwise(1).cast("int")
-    docs = docs.withColumn("_steps", F.transform(F.sequence(F.lit(0), windows - 1), lambda i: total(F.slice("_lengths", i * step + 1, step))))
     lead = _leading(F.col("text"))
 
-    def span(i: Column) -> Column:
-        start = lead + total(F.slice("_steps", 1, i))
-        last = F.least(i * step + window, F.col("_n"))
-        gap = F.length(F.regexp_extract(F.element_at("_pieces", last), r"\s*$", 0))
-        return F.struct(start.alias("char_start"), (start + total(F.slice("_lengths", i * step + 1, window)) - gap).alias("char_end"))
+    def spans(pieces: Column, lengths: Column) -> Column:
+        n = F.size(pieces)
+        windows = F.when(n > overlap, F.ceil((n - overlap) / step)).otherwise(1).cast("int")
+        steps = F.transform(F.sequence(F.lit(0), windows - 1), lambda i: total(F.slice(lengths, i * step + 1, step)))
 
-    return _exploded(docs, F.transform(F.sequence(F.lit(0), F.size("_steps") - 1), span))
+        def span(sums: Column, i: Column) -> Column:
+            start = lead + total(F.slice(sums, 1, i))
+            gap = F.length(F.regexp_extract(F.element_at(pieces, F.least(i * step + window, n)), r"\s*$", 0))
+            return F.struct(start.alias("char_start"), (start + total(F.slice(lengths, i * step + 1, window)) - gap).alias("char_end"))
+
+        return let(steps, lambda sums: F.transform(sums, lambda _, i: span(sums, i)))
+
+    cut = let(F.regexp_extract_all("text", F.lit(TOKEN_WITH_GAP), F.lit(0)), lambda p: F.when(F.size(p) > 0, let(F.transform(p, lambda x: F.length(x)), lambda n: spans(p, n))).otherwise(F.array().cast(SPAN)))
+    return _exploded(docs, cut)
 
 
 def sentence_split(docs: DataFrame, min_chars: int = 100) -> DataFrame:
@@ -70,13 +75,20 @@ def sentence_split(docs: DataFrame, min_chars: int = 100) -> DataFrame:
 def sentence_window(docs: DataFrame, window: int = 3, stride: int = 2) -> DataFrame:
     """Windows of sentences, from the first's start to the last's end."""
     pieces = F.regexp_extract_all("text", F.lit(r"[\s\S]*?[.!?](?=\s)\s+|[\s\S]+"), F.lit(0))
-    docs = docs.withColumn("_pieces", pieces).withColumn("_starts", piece_starts(F.transform("_pieces", lambda p: F.length(p)), F.lit(0)))
-    spans = F.transform(F.arrays_zip("_pieces", "_starts"), lambda z: F.struct(z["_starts"].alias("char_start"), (z["_starts"] + F.length(F.regexp_replace(z["_pieces"], r"\s+$", ""))).alias("char_end"), z["_pieces"].rlike(r"\S").alias("full")))
-    docs = docs.withColumn("_spans", F.filter(spans, lambda s: s["full"])).withColumn("_n", F.size("_spans"))
-    windows = F.when(F.col("_n") <= window, 1).otherwise(F.ceil((F.col("_n") - window) / stride) + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.struct(F.get("_spans", i * stride)["char_start"].alias("char_start"), F.get("_spans", F.least(i * stride + window, F.col("_n")) - 1)["char_end"].alias("char_end")))
-    whole = F.when(F.length("text") > 0, F.array(F.struct(F.lit(0).alias("char_start"), F.length("text").alias("char_end")))).otherwise(F.array().cast(SPAN))
-    return _exploded(docs, F.when(F.col("_n") > 0, cut).otherwise(whole))
+
+    def sentences(p: Column) -> Column:
+        starts = piece_starts(F.transform(p, lambda x: F.length(x)), F.lit(0))
+        spans = F.zip_with(p, starts, lambda x, a: F.struct(a.alias("char_start"), (a + F.length(F.regexp_replace(x, r"\s+$", ""))).alias("char_end"), x.rlike(r"\S").alias("full")))
+        return F.filter(spans, lambda s: s["full"])
+
+    def windows(s: Column) -> Column:
+        n = F.size(s)
+        many = F.when(n <= window, 1).otherwise(F.ceil((n - window) / stride) + 1).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.get(s, i * stride)["char_start"].alias("char_start"), F.get(s, F.least(i * stride + window, n) - 1)["char_end"].alias("char_end")))
+        whole = F.when(F.length("text") > 0, F.array(F.struct(F.lit(0).alias("char_start"), F.length("text").alias("char_end")))).otherwise(F.array().cast(SPAN))
+        return F.when(n > 0, cut).otherwise(whole)
+
+    return _exploded(docs, let(let(pieces, sentences), windows))
 
 
 def recursive_spans(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[tuple[int, int]]:

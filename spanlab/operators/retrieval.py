@@ -102,10 +102,10 @@ def ndcg(hits: DataFrame, sections: DataFrame, k: int = 10, out: str = "ndcg") -
     joined = sized.join(rows, "query_id", "left")
 
     @F.udf(DoubleType())
-    def large(rows):
-        return best_assignment({(r["rank"], o["section_no"]): o["w"] for r in rows for o in r["options"]})
+    def large(rows):  # null where the expression does it
+        return None if rows is None else best_assignment({(r["rank"], o["section_no"]): o["w"] for r in rows for o in r["options"]})
 
-    gain_ = F.when(F.col("rows").isNull(), 0.0).when(F.col("n_sections") <= EXPRESSION_SECTIONS, assignment_gain(F.col("rows"), EXPRESSION_SECTIONS)).otherwise(large(F.col("rows")))
+    gain_ = F.when(F.col("rows").isNull(), 0.0).when(F.col("n_sections") <= EXPRESSION_SECTIONS, assignment_gain(F.col("rows"), EXPRESSION_SECTIONS)).otherwise(large(F.when(F.col("n_sections") > EXPRESSION_SECTIONS, F.col("rows"))))
     return joined.select("query_id", safe_ratio(gain_, ideal).alias(out))
 
 

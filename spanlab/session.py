@@ -9,6 +9,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1024
+
+
 def session(name: str = "spanlab", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster, bring your own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -28,7 +32,12 @@ def session(name: str = "spanlab", cores: str = "*", partitions: int = 8, **conf
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once a context, so that Python workers anywhere can import it."""
+    """Sends this package to the executors, once a context, so that Python workers anywhere can import it.
+
+    Arrow batches are made small where nobody has set their size: 10,000 long texts at once are too much for a worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_spanlab_shipped", False):
         return spark
