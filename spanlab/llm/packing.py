@@ -18,12 +18,14 @@ repeat an identifier are packed as documents of their own, told apart by `copy`;
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +51,22 @@ class WordTokenizer:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+        rules = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(next(r["pattern"]["Regex"] for r in rules if r["type"] == "Split"))
+
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters_ids(self, words: list[str]) -> list[bytes]:
-        """Of words of letters only, which are one pre-token each: encoded as one text and cut at the tokens that end a word."""
+    def _joined_ids(self, words: list[str], parts: list[int] | None = None) -> list[bytes]:
+        """Encoded as one text and cut at the tokens that end a pre-token, of which a word has parts (one, if it is letters)."""
         if not words:
             return []
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):  # a letter whose lower case isn't one
+        if len(cuts) != (sum(parts) if parts else len(words)):  # as of a letter whose lower case isn't one
             return self._ids(words)
+        if parts:
+            cuts = cuts[np.cumsum(parts) - 1]
         flat = ids.tobytes()
         ends = (4 * cuts).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
@@ -83,8 +90,11 @@ class WordTokenizer:
                     made.append((w, low, mark))
             else:
                 other[w] = None
-        words.update(zip(stems, self._letters_ids(list(stems))))
-        words.update(zip(other, self._ids(list(other))))
+        words.update(zip(stems, self._joined_ids(list(stems))))
+        plain = [w for w in other if w.isascii() and "<|" not in w]
+        words.update(zip(plain, self._joined_ids(plain, [len(self.split.findall(w.lower())) for w in plain])))
+        rare = [w for w in other if w not in words]
+        words.update(zip(rare, self._ids(rare)))
         for w, low, mark in made:
             words[w] = words[low] + words[mark] if mark else words[low]
 
