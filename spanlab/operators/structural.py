@@ -67,3 +67,69 @@ def macro_average(rows: DataFrame, by: list[str], columns: list[str], poison: bo
     """Means over documents; with poison a single null makes the mean null, else nulls are skipped."""
     mean = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.avg(c)) if poison else F.avg(c)
     return rows.groupBy(*by).agg(*[mean(c).alias(c) for c in columns])
+
+
+def headings(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Recall and precision of the clauses that chunks claim in section_hierarchy; null where no chunk has one.
+
+    A claim is right if a clause under that key overlaps the chunk. Recall is over clauses that some chunk reaches 50
+    characters into.
+    """
+    from spanlab.functions.identifiers import claimed_identifier, lookup_keys, normalize_identifier
+
+    here = located(chunks)
+    gold = clauses.select("document_id", "identifier", "g_start", "g_end")
+    claims = here.withColumn("claim", claimed_identifier(F.col("section_hierarchy"))).where("claim is not null").withColumn("key", normalize_identifier(F.col("claim")))
+    keyed = gold.withColumn("key", F.explode(lookup_keys(F.col("identifier"))))
+    hit = overlap_join(claims.select(*KEYS, "chunk_index", "char_start", "char_end", "key"), keyed.withColumnRenamed("key", "g_key")).where("key = g_key")
+    reached = overlap_join(here.select(*KEYS, "char_start", "char_end"), gold, 50).select(*KEYS, "identifier").distinct()
+    first = hit.groupBy(*KEYS, "chunk_index").agg(F.min(F.struct("g_start", "identifier"))["identifier"].alias("identifier"))
+    right = first.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("right"))
+    found = first.select(*KEYS, "identifier").distinct().join(reached, [*KEYS, "identifier"], "left_semi").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("found"))
+    out = chunks.groupBy(*KEYS).agg(F.bool_or(F.col("section_hierarchy").isNotNull()).alias("_some"))
+    for part in (claims.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("claims")), right, found, reached.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gold_headings"))):
+        out = out.join(part, KEYS, "left")
+    out = out.fillna(0, ["claims", "right", "found", "n_gold_headings"])
+    some = lambda x: F.when(F.col("_some"), x)
+    return out.select(*KEYS, some(safe_ratio(F.col("found"), F.col("n_gold_headings"), 1.0)).alias("heading_recall"), some(safe_ratio(F.col("right"), F.col("claims"), 1.0)).alias("heading_precision"), "n_gold_headings")
+
+
+def definition_attachment(chunks: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of uses of defined terms outside of their definition, the share whose chunk has the definition (to four fifths, or in
+    its definitions map). A use is a (chunk, term) pair."""
+    here = located(chunks).join(docs.select("document_id", F.col("text").alias("document")), "document_id").withColumn("slice", F.expr("substring(document, char_start + 1, char_end - char_start)"))
+    pairs = here.drop("document").join(terms, "document_id")
+    # Pieces that end with the term tell where it stands: their lengths add up.
+    quoted = F.concat(F.lit(r"(?isU).*?\b\Q"), F.col("term"), F.lit(r"\E\b"))
+    pieces = F.transform(F.expr("regexp_extract_all(slice, _rule, 0)"), lambda p: F.length(p))
+    pairs = pairs.withColumn("_rule", quoted).withColumn("_ends", pieces)
+    ends = F.aggregate("_ends", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["all"], a["at"] + n).alias("all")), lambda a: a["all"])
+    outside = F.exists(ends, lambda e: (F.col("char_start") + e - F.length("term") < F.col("definition_start")) | (F.col("char_start") + e - F.length("term") >= F.col("definition_end")))
+    uses = pairs.where(outside)
+    shared = F.greatest(F.lit(0), F.least("char_end", "definition_end") - F.greatest("char_start", "definition_start"))
+    carried = F.coalesce(F.length(F.trim(F.try_element_at("definitions", F.col("term")))) > 0, F.lit(False)) if "definitions" in chunks.columns else F.lit(False)
+    attached = (5 * shared >= 4 * (F.col("definition_end") - F.col("definition_start"))) | carried
+    sums = uses.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_definition_uses"), F.count_if(attached).alias("_with"))
+    out = chunks.select(*KEYS).distinct().join(sums, KEYS, "left").fillna(0, ["n_definition_uses", "_with"])
+    return out.select(*KEYS, safe_ratio(F.col("_with"), F.col("n_definition_uses"), 1.0).alias("definition_attachment"), "n_definition_uses")
+
+
+def cross_references(chunks: DataFrame, refs: DataFrame) -> DataFrame:
+    """Recall and precision of emitted targets (cross_references: array of struct with target) against the references that
+    begin in the chunk; null where no chunk has any list."""
+    from spanlab.functions.identifiers import normalize_identifier
+
+    inner = refs.where("target is not null").select("document_id", "ref_start", normalize_identifier(F.col("target")).alias("want")).distinct()
+    here = located(chunks)
+    sent = here.select(*KEYS, "chunk_index", "char_start", "char_end", F.explode("cross_references").alias("r")).where("r.target is not null and r.target <> ''").withColumn("got", normalize_identifier(F.col("r.target")))
+    scope = here.select(*KEYS, "chunk_index", "char_start", "char_end").join(inner, "document_id").where("char_start <= ref_start and ref_start < char_end").select(*KEYS, "chunk_index", "ref_start", "want")
+    wanted = scope.select(*KEYS, "chunk_index", F.col("want").alias("got")).distinct()
+    right = sent.join(wanted, [*KEYS, "chunk_index", "got"], "left_semi").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("right"))
+    recalled = scope.join(sent.select(*KEYS, "chunk_index", F.col("got").alias("want")).distinct(), [*KEYS, "chunk_index", "want"], "left_semi").select(*KEYS, "ref_start", "want").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("recalled"))
+    total = inner.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_gold_cross_refs"))
+    out = chunks.groupBy(*KEYS).agg(F.bool_or(F.col("cross_references").isNotNull()).alias("_some")).join(total, "document_id", "left")
+    for part in (sent.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("sent")), right, recalled):
+        out = out.join(part, KEYS, "left")
+    out = out.fillna(0, ["sent", "right", "recalled", "n_gold_cross_refs"])
+    some = lambda x: F.when(F.col("_some"), x)
+    return out.select(*KEYS, some(safe_ratio(F.col("recalled"), F.col("n_gold_cross_refs"), 1.0)).alias("xref_recall"), some(safe_ratio(F.col("right"), F.col("sent"), 1.0)).alias("xref_precision"), "n_gold_cross_refs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlab.functions.text import word_tokens
+from spanlab.functions.text import let, word_tokens
 
 #: So many query vectors are broadcast at most; beyond, queries are scored in blocks of that size.
 BROADCAST_QUERIES = 20_000
@@ -33,10 +33,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def hashed_counts(text: Column, dim: int = 64) -> Column:
     """The default embedder: counts of words hashed into dim places, of unit length (zeros for a text without words)."""
-    places = F.transform(word_tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(length > 0, x / F.nullif(length, F.lit(0.0))).otherwise(0.0).cast("float"))
+    place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    counts = let(F.transform(word_tokens(text), place), lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double")))
+    unit = lambda n, length: F.transform(n, lambda x: F.when(length > 0, x / F.nullif(length, F.lit(0.0))).otherwise(0.0).cast("float"))
+    return let(counts, lambda n: let(F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x)), lambda length: unit(n, length)))
 
 
 EMBEDDERS = {"hashed_64": lambda text: hashed_counts(text, 64)}

@@ -51,7 +51,7 @@ def rm28(spark, sf):
 
 
 @query("rm5_assignment_ndcg", f"""WITH RECURSIVE {HITS_SQL},
- weights AS (SELECT DISTINCT query_id, rank, no, (2.0 ** grade - 1) / log2(rank + 1) AS w FROM matched WHERE rank <= 10),
+ weights AS MATERIALIZED (SELECT DISTINCT query_id, rank, no, (2.0 ** grade - 1) / log2(rank + 1) AS w FROM matched WHERE rank <= 10),
  states AS (SELECT item_id AS query_id, 0::BIGINT AS rank, 0::BIGINT AS mask, 0.0::DOUBLE AS total FROM benchmark
             UNION ALL
             SELECT query_id, rank + 1, mask, max(total) FROM (
@@ -147,7 +147,7 @@ def val10(spark, sf):
 HASHED_SQL = r"SELECT doc_id AS owner_id, p, count(*) AS n FROM (SELECT doc_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 64 AS p FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS w FROM documents WHERE doc_id < 300)) GROUP BY ALL"
 
 
-@query("em1_hashed_embedder", f"WITH c AS ({HASHED_SQL}) SELECT owner_id, p AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY owner_id)), 5) AS x FROM c")
+@query("em1_hashed_embedder", f"WITH c AS ({HASHED_SQL}) SELECT owner_id, p AS place, round((n / sqrt(sum(n * n) OVER (PARTITION BY owner_id)))::FLOAT::DOUBLE, 5) AS x FROM c")
 def em1(spark, sf):
     rows = documents(spark, sf).where("document_id < 300").select(F.col("document_id").alias("owner_id"), "text")
     return V.embedded(rows).select("owner_id", F.posexplode("vec").alias("place", "x")).where("x > 0").select("owner_id", F.col("place").cast("bigint").alias("place"), number(F.col("x").cast("double"), 5).alias("x"))
