@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 TOKEN = r"\S+"
 TOKEN_WITH_GAP = r"\S+\s*"
 WORD = r"[\p{L}\p{N}_]+"
-SENTENCE_GAP = r"(?<=[.!?])\s+"
+SENTENCE_END = r"(?<=[.!?])(?=\s)"
 SENTENCE_OR_BLANK = r"(?<=[.!?])\s+(?=[A-Z])|\n\s*\n"
 
 

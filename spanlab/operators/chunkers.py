@@ -12,25 +12,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.functions.text import SENTENCE_OR_BLANK, TOKEN_WITH_GAP, context_header, let, piece_starts, strip, substring, total
+from spanlab.functions.text import SENTENCE_END, SENTENCE_OR_BLANK, TOKEN_WITH_GAP, context_header, let, piece_starts, strip, substring, total
 
 SPAN = "array<struct<char_start:int,char_end:int>>"
+CHUNKS = "array<struct<char_start:bigint,char_end:bigint,text:string>>"
 
 
-def _exploded(docs: DataFrame, spans: Column) -> DataFrame:
-    """The slices are cut below the generator, so that a document's text isn't carried with each of its chunks."""
-    cut = F.transform(spans, lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), substring(F.col("text"), s["char_start"], s["char_end"]).alias("t")))
-    rows = docs.select("document_id", cut.alias("s")).select("document_id", F.posexplode("s").alias("i", "s"))
-    return rows.select("document_id", F.col("i").cast("bigint").alias("chunk_index"), F.col("s.a").cast("bigint").alias("char_start"), F.col("s.b").cast("bigint").alias("char_end"), F.col("s.t").alias("text"))
+def _chunk(start: Column, text: Column) -> Column:
+    return F.struct(start.cast("bigint").alias("char_start"), (start + F.length(text)).cast("bigint").alias("char_end"), text.alias("text"))
+
+
+def _exploded(docs: DataFrame, chunks: Column) -> DataFrame:
+    """chunks: structs with their own slices, so that a document's text isn't carried with each of its chunks."""
+    rows = docs.select("document_id", chunks.alias("s")).select("document_id", F.posexplode("s").alias("i", "s"))
+    return rows.select("document_id", F.col("i").cast("bigint").alias("chunk_index"), "s.char_start", "s.char_end", "s.text")
+
+
+def _sliced(docs: DataFrame, spans: Column) -> DataFrame:
+    """From an array of spans."""
+    return _exploded(docs, F.transform(spans, lambda s: _chunk(s["char_start"], substring(F.col("text"), s["char_start"], s["char_end"]))))
 
 
 def fixed_size(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     if overlap:
         raise ValueError("fixed-size chunks don't overlap")
-    n = F.length("text")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    spans = F.transform(starts, lambda i: F.struct(i.alias("char_start"), F.least(i + size, n).alias("char_end")))
-    return _exploded(docs, F.filter(spans, lambda s: substring(F.col("text"), s["char_start"], s["char_end"]).rlike(r"\S")))
+    # One pass of a pattern instead of a substring for each chunk, which would count from the start each time.
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return _exploded(docs, F.filter(F.transform(pieces, lambda p, i: _chunk(i * size, p)), lambda c: c["text"].rlike(r"\S")))
 
 
 def _leading(text: Column) -> Column:
@@ -40,21 +48,19 @@ def _leading(text: Column) -> Column:
 def token_window(docs: DataFrame, window: int = 64, overlap: int = 8) -> DataFrame:
     """Windows of tokens: sums over whole steps first, so a window's start needs no sum over all tokens before it."""
     step = window - overlap
-    lead = _leading(F.col("text"))
 
-    def spans(pieces: Column, lengths: Column) -> Column:
+    def spans(pieces: Column, lengths: Column, lead: Column) -> Column:
         n = F.size(pieces)
         windows = F.when(n > overlap, F.ceil((n - overlap) / step)).otherwise(1).cast("int")
         steps = F.transform(F.sequence(F.lit(0), windows - 1), lambda i: total(F.slice(lengths, i * step + 1, step)))
 
         def span(sums: Column, i: Column) -> Column:
-            start = lead + total(F.slice(sums, 1, i))
-            gap = F.length(F.regexp_extract(F.element_at(pieces, F.least(i * step + window, n)), r"\s*$", 0))
-            return F.struct(start.alias("char_start"), (start + total(F.slice(lengths, i * step + 1, window)) - gap).alias("char_end"))
+            own = F.array_join(F.slice(pieces, i * step + 1, window), "")
+            return _chunk(lead + total(F.slice(sums, 1, i)), F.regexp_replace(own, r"\s+$", ""))
 
         return let(steps, lambda sums: F.transform(sums, lambda _, i: span(sums, i)))
 
-    cut = let(F.regexp_extract_all("text", F.lit(TOKEN_WITH_GAP), F.lit(0)), lambda p: F.when(F.size(p) > 0, let(F.transform(p, lambda x: F.length(x)), lambda n: spans(p, n))).otherwise(F.array().cast(SPAN)))
+    cut = let(F.regexp_extract_all("text", F.lit(TOKEN_WITH_GAP), F.lit(0)), lambda p: F.when(F.size(p) > 0, let(F.transform(p, lambda x: F.length(x)), lambda n: let(_leading(F.col("text")), lambda lead: spans(p, n, lead)))).otherwise(F.array().cast(CHUNKS)))
     return _exploded(docs, cut)
 
 
@@ -73,22 +79,26 @@ def sentence_split(docs: DataFrame, min_chars: int = 100) -> DataFrame:
 
 
 def sentence_window(docs: DataFrame, window: int = 3, stride: int = 2) -> DataFrame:
-    """Windows of sentences, from the first's start to the last's end."""
-    pieces = F.regexp_extract_all("text", F.lit(r"[\s\S]*?[.!?](?=\s)\s+|[\s\S]+"), F.lit(0))
+    """Windows of sentences, from the first's start to the last's end. A part begins with the gap before its sentence."""
+    parts = F.split("text", SENTENCE_END, -1)
 
-    def sentences(p: Column) -> Column:
-        starts = piece_starts(F.transform(p, lambda x: F.length(x)), F.lit(0))
-        spans = F.zip_with(p, starts, lambda x, a: F.struct(a.alias("char_start"), (a + F.length(F.regexp_replace(x, r"\s+$", ""))).alias("char_end"), x.rlike(r"\S").alias("full")))
-        return F.filter(spans, lambda s: s["full"])
-
-    def windows(s: Column) -> Column:
-        n = F.size(s)
+    def windows(p: Column, starts: Column) -> Column:
+        n = F.size(p)
         many = F.when(n <= window, 1).otherwise(F.ceil((n - window) / stride) + 1).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.get(s, i * stride)["char_start"].alias("char_start"), F.get(s, F.least(i * stride + window, n) - 1)["char_end"].alias("char_end")))
-        whole = F.when(F.length("text") > 0, F.array(F.struct(F.lit(0).alias("char_start"), F.length("text").alias("char_end")))).otherwise(F.array().cast(SPAN))
-        return F.when(n > 0, cut).otherwise(whole)
 
-    return _exploded(docs, let(let(pieces, sentences), windows))
+        def chunk_at(i: Column) -> Column:
+            own = F.array_join(F.slice(p, i * stride + 1, window), "")
+            gap = F.when(i > 0, F.length(F.regexp_extract(F.get(p, i * stride), r"^\s*", 0))).otherwise(0)
+            return _chunk(F.get(starts, i * stride) + gap, F.when(i > 0, strip(own)).otherwise(F.regexp_replace(own, r"\s+$", "")))
+
+        return F.transform(F.sequence(F.lit(0), many - 1), chunk_at)
+
+    def cut(p: Column) -> Column:
+        full = F.filter(p, lambda x: x.rlike(r"\S"))  # only the last can be blank
+        return let(full, lambda f: F.when(F.size(f) > 0, let(piece_starts(F.transform(f, lambda x: F.length(x)), F.lit(0)), lambda starts: windows(f, starts))).otherwise(whole))
+
+    whole = F.when(F.length("text") > 0, F.array(_chunk(F.lit(0), F.col("text")))).otherwise(F.array().cast(CHUNKS))
+    return _exploded(docs, let(parts, cut))
 
 
 def recursive_spans(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[tuple[int, int]]:
@@ -161,7 +171,7 @@ def recursive_character(docs: DataFrame, size: int = 512, overlap: int = 50, sep
 
     kind = docs.schema["document_id"].dataType.simpleString()
     cut = docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, text string, spans {SPAN}")
-    return _exploded(cut, F.col("spans"))
+    return _sliced(cut, F.col("spans"))
 
 
 # A clause opens at a numbered heading or item, or after a blank line.
@@ -189,7 +199,7 @@ def clause_aware(docs: DataFrame, min_chars: int = 120, max_chars: int = 1200) -
             yield pdf
 
     kind = docs.schema["document_id"].dataType.simpleString()
-    return _exploded(docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, text string, spans {SPAN}"), F.col("spans"))
+    return _sliced(docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, text string, spans {SPAN}"), F.col("spans"))
 
 
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], dict]] = {}

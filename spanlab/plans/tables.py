@@ -27,8 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Over all cores, if the files have fewer row groups than there are cores; larger inputs are never shuffled for it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id").drop("n_chars")
+    return spread(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "document_id").drop("n_chars")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
