@@ -111,7 +111,7 @@ def ndcg(hits: DataFrame, sections: DataFrame, k: int = 10, out: str = "ndcg") -
 
 def metrics(queries: DataFrame, hits: DataFrame, sections: DataFrame) -> DataFrame:
     """One row for each query: P, R and NDCG at KS, reciprocal rank, document mismatch in the first ten, and counts."""
-    hits = normalized_hits(hits)
+    raw, hits = hits.where("rank >= 1"), normalized_hits(hits)
     good = usable_sections(sections)
     found = matches(hits, good)
     relevant = found.select("query_id", "rank").distinct()
@@ -119,7 +119,8 @@ def metrics(queries: DataFrame, hits: DataFrame, sections: DataFrame) -> DataFra
     by_hit = relevant.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"rel_{k}") for k in KS], (1.0 / F.min("rank")).alias("mrr"), F.count(F.lit(1)).alias("relevant_retrieved"))
     by_section = first.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"sec_{k}") for k in KS])
     totals = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_relevant"))
-    deepest = hits.groupBy("query_id").agg(*[F.max(F.when(F.col("rank") <= k, F.col("rank"))).alias(f"deep_{k}") for k in KS], F.count(F.lit(1)).alias("n_hits"))
+    # A repeated chunk isn't scored again, but its rank was looked at.
+    deepest = raw.groupBy("query_id").agg(*[F.max(F.when(F.col("rank") <= k, F.col("rank"))).alias(f"deep_{k}") for k in KS], F.count(F.lit(1)).alias("n_hits"))
     targets = sections.select("query_id", "document_id").distinct()
     wrong = hits.where("rank <= 10").join(targets, ["query_id", "document_id"], "left_anti").groupBy("query_id").agg(F.count(F.lit(1)).alias("wrong"))
     out = queries.select("query_id")
