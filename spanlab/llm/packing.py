@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from spanlab.llm._common import written
 
 #: Words longer than this are never cached; beyond so many words the cache starts anew.
-CACHED_WORD, CACHED_WORDS = 48, 900_000
+CACHED_WORD, CACHED_WORDS = 48, 450_000
 #: Below this many segments the plan is broadcast; beyond, the join shuffles.
 BROADCAST_SEGMENTS = 500_000
 
@@ -43,6 +44,8 @@ class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit numbers, by way of a cache of words."""
 
     def __init__(self, path: str):
+        # One thread: tasks are parallel already, and threads of each worker would hold memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
