@@ -80,7 +80,8 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
 def copied_windows(suffixes: DataFrame, depth: int) -> DataFrame:
     """Windows of `depth` lines that copy an earlier one: doc, text_key, pos."""
     place = F.struct(*DOC, "pos")
-    least = suffixes.groupBy("rank").agg(F.min(place).alias("original"))
+    # Written first: else the join would stand on the sum's own partitions, and a frequent rank couldn't be split.
+    least = written(suffixes.groupBy("rank").agg(F.min(place).alias("original")), "originals")
     joined = suffixes.join(least, "rank")
     own = F.col("original.doc").eqNullSafe(F.col("doc")) & (F.col("original.text_key") == F.col("text_key"))
     return joined.where(~(own & (F.col("pos") < F.col("original.pos") + depth))).select(*DOC, "pos")
