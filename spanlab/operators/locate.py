@@ -106,3 +106,19 @@ def sequential(text: str, chunks: list[str]) -> list[tuple[int, int, int]]:
             out.append((i, at, at + len(chunk)))
             cursor = at + len(chunk)
     return out
+
+
+def located_sequentially(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """The chunks that `sequential` finds, with their spans."""
+    keys = ["document_id", "strategy"]
+    own = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("chunk_index").cast("bigint").alias("i"), F.col("text").alias("t")))).alias("own"))
+    rows = own.join(docs.select("document_id", F.col("text").alias("document")), "document_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["found"] = [[{"chunk_index": int(own[i]["i"]), "char_start": a, "char_end": b} for i, a, b in sequential(d or "", [x["t"] or "" for x in own])] for d, own in zip(pdf["document"], pdf["own"])]
+            yield pdf.drop(columns=["document", "own"])
+
+    kind = docs.schema["document_id"].dataType.simpleString()
+    out = rows.mapInPandas(run, f"document_id {kind}, strategy string, found array<struct<chunk_index:bigint,char_start:bigint,char_end:bigint>>")
+    return out.select(*keys, F.inline("found"))

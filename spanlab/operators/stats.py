@@ -40,6 +40,24 @@ def order_statistic_interval(items: DataFrame, by: list[str], value: str, resamp
     return sizes.join(sorted_, by, "left").select(*by, "point", F.coalesce(F.get("ms", F.lit(low)), "point").alias("low"), F.coalesce(F.get("ms", F.lit(high)), "point").alias("high"))
 
 
+def bootstrap_statistic(items: DataFrame, by: list[str], statistic, resamples: int = 200, seed: int = 42, order: str = "item_id") -> DataFrame:
+    """Item bootstrap of any statistic of a pandas frame (macro-F1, say): by, low, high as in `order_statistic_interval`.
+
+    Each resample is a group of its own, so the resamples of one system are spread over tasks.
+    """
+    numbered = items.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    drawn = draws(items.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), resamples, seed).drop("n").join(numbered, [*by, "pick"])
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in by)
+
+    def value(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in by}, "m": float(statistic(rows))}])
+
+    means = drawn.groupBy(*by, "r").applyInPandas(value, f"{kinds}, m double")
+    sorted_ = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
+    return sorted_.select(*by, F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"))
+
+
 def average_ranks(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Ranks from 1, ties share their mean."""
     tie = Window.partitionBy(*by, value)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.plans import chunk_queries, retrieval_queries, span_queries, stat_queries, structure_queries  # noqa: F401
+from spanlab.plans import chunk_queries, retrieval_queries, rule_queries, span_queries, stat_queries, structure_queries  # noqa: F401
 from spanlab.plans.tables import ORACLES, QUERIES
 from spanlab.session import ship
 

@@ -294,6 +294,13 @@ def test_effect_sizes(spark):
     assert ends["s"].low is None and ends["c"].low == ends["c"].high == 0.5
 
 
+def test_bootstrap_of_any_statistic(spark):
+    rows = frame(spark, [("s", i, float(i % 2)) for i in range(20)], "k string, item_id int, x double")
+    same = one(ST.order_statistic_interval(rows, ["k"], "x", 40))
+    got = one(ST.bootstrap_statistic(rows, ["k"], lambda r: r["x"].mean(), 40))
+    assert math.isclose(got["low"], same["low"]) and math.isclose(got["high"], same["high"])
+
+
 def test_leave_one_out(spark):
     rows = frame(spark, [("k", "a", 1.0), ("k", "a", 1.0), ("k", "b", 0.0), ("k", "c", 0.0)], "k string, document_id string, diff double")
     r = one(ST.leave_one_out(rows, ["k"]))
