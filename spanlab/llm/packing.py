@@ -18,6 +18,7 @@ repeat an identifier are packed as documents of their own, told apart by `copy`;
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import os
 import zlib
@@ -26,14 +27,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlab.llm._common import written
 
-#: Words longer than this are never cached; beyond so many words the cache starts anew.
-CACHED_WORD, CACHED_WORDS = 48, 450_000
+#: Words longer than this are never cached; beyond so many words the cache is trimmed, as it is after each task, to the words
+#: that came first, which are the frequent ones: an idle worker holds little, and most others never come again.
+CACHED_WORD, CACHED_WORDS, KEPT_WORDS = 48, 700_000, 150_000
+STRETCH = 4 << 20
 #: Below this many segments the plan is broadcast; beyond, the join shuffles.
 BROADCAST_SEGMENTS = 500_000
 
@@ -49,7 +53,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -74,7 +78,7 @@ class WordTokenizer:
         ends = (4 * cuts).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
         words = self.words
         stems: dict[str, None] = {}
         other: dict[str, None] = {}
@@ -101,22 +105,40 @@ class WordTokenizer:
         for w, low, mark in made:
             words[w] = words[low] + words[mark] if mark else words[low]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def trim(self) -> None:
+        if len(self.words) > KEPT_WORDS:
+            self.words = dict(itertools.islice(self.words.items(), KEPT_WORDS))
+
+    def _known(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the cache where it has them."""
         if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        known = self.words
-        cut = [t.split() for t in texts]
-        found = [[*map(known.get, words)] for words in cut]
-        gaps = [[i for i, x in enumerate(row) if x is None] for row in found]
-        missing = {words[i] for words, own in zip(cut, gaps) for i in own}
-        long = [w for w in missing if len(w) > CACHED_WORD]
+            self.trim()
+        found = [*map(self.words.get, distinct)]
+        gaps = [i for i, x in enumerate(found) if x is None]
+        long = [w for w in map(distinct.__getitem__, gaps) if len(w) > CACHED_WORD]
         apart = dict(zip(long, self._ids(long)))
-        self._learn(missing.difference(long))
-        for words, row, own in zip(cut, found, gaps):
-            for i in own:
-                w = words[i]
-                row[i] = apart[w] if w in apart else known[w]
-        return [*map(b"".join, found)]
+        self._learn([w for w in map(distinct.__getitem__, gaps) if 0 < len(w) <= CACHED_WORD])
+        for i in gaps:
+            found[i] = apart.get(distinct[i]) if len(distinct[i]) > CACHED_WORD else self.words[distinct[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text ends in it.
+
+        Words are cut at ASCII white space and numbered by Arrow; only distinct ones are looked up.
+        """
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = cut.flatten().dictionary_encode()
+        found = self._known(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy()
+        own = lengths[codes]
+        ends = np.cumsum(own)
+        shift = (np.cumsum(lengths) - lengths)[codes] - (ends - own)
+        ids = flat[np.repeat(shift, own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.asarray(cut.offsets)[1:] - np.asarray(cut.offsets)[0]
+        return ids, np.append(0, ends)[bounds]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -125,6 +147,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about STRETCH bytes of text at most, or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STRETCH, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     end = np.array([end_id], "<u4").tobytes()
     rows = ("id", "piece", "start", "length", "ids_crc32")
@@ -132,17 +164,19 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in _stretches(batch):
+                ids, ends = coder.encode(part.column(1))
                 out: list[tuple[int, int, int, int, int]] = []
-                for k, ids in enumerate(coder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[lo : lo + 4 * capacity]
-                        out.append((k, piece, lo // 4, len(own) // 4, zlib.crc32(own)))
-                k, *columns = np.array(out, np.int64).T
+                for k, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                    for piece, lo in enumerate(range(a, b + 1, capacity)):
+                        own = ids[lo : min(lo + capacity, b)]
+                        closing = lo + capacity > b  # the end id is one more
+                        digest = zlib.crc32(own.data)
+                        out.append((k, piece, lo - a, len(own) + closing, zlib.crc32(end, digest) if closing else digest))
+                k, *columns = np.array(out, np.int64).reshape(-1, 5).T
                 columns[0] = columns[0].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), *map(pa.array, columns)], rows)
+        coder.trim()
 
     return run
 
