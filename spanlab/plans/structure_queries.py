@@ -19,8 +19,7 @@ def numbered(spark, sf):
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S"))
     head = lambda i: F.concat((F.floor(i / 3) + 1).cast("string"), F.when(i % 3 == 0, F.lit(". ")).otherwise(F.concat(F.lit("."), (i % 3).cast("string"), F.lit(" "))))
     told = lambda x, i: F.concat(head(i), F.when(i % 3 == 1, F.lit('"Term" means a thing. ')).otherwise(F.concat(F.lit("See clause "), (F.floor(i / 3) + 1).cast("string"), F.lit(". "))), x)
-    rows = documents(spark, sf).where("document_id < 400")
-    return rows.select("document_id", F.array_join(F.transform(lines, told), "\n\n").alias("text"), F.lit("uk_decimal").alias("numbering_style"))
+    return documents(spark, sf).select("document_id", F.array_join(F.transform(lines, told), "\n\n").alias("text"), F.lit("uk_decimal").alias("numbering_style"))
 
 
 LINES_SQL = r"""
@@ -88,6 +87,6 @@ def sm6(spark, sf):
 
 @query("lg_legacy_row")
 def lg(spark, sf):
-    docs = numbered(spark, sf).where("document_id < 100")
+    docs = numbered(spark, sf)
     chunks = chunkers.chunk(docs, ["fixed_size", "sentence_split"])
     return legacy.legacy_row(chunks, docs, extract.clause_table(extract.extracted(docs)))
