@@ -19,16 +19,22 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries: query_id, q. vectors: vec_id, vec. Every vector is scored for every query (a flat index); ties go to the smaller vec_id."""
+def scored(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """queries: query_id, q. vectors: vec and others. Every vector with every query of its dimension, and their score."""
     parts = max(1, -(-queries.count() // BROADCAST_QUERIES))
     out = None
     for p in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        pairs = vectors.join(F.broadcast(own), F.size("vec") == F.size("q")).select("query_id", "vec_id", dot(F.col("q"), F.col("vec")).alias("score"))
+        pairs = vectors.join(F.broadcast(own), F.size("vec") == F.size("q")).withColumn("score", dot(F.col("q"), F.col("vec"))).drop("q", "vec")
         out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """queries: query_id, q. vectors: vec_id, vec. Every vector is scored for every query (a flat index); ties go to the smaller vec_id."""
+    pairs = scored(queries, vectors.select("vec_id", "vec"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def hashed_counts(text: Column, dim: int = 64) -> Column:

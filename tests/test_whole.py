@@ -43,3 +43,14 @@ def test_structure(spark, far, name):
 @pytest.mark.parametrize("name, of_each", [("sm5_definition_attachment", 1), ("lg_legacy_row", 2)])
 def test_structure_without_oracle(spark, far, name, of_each):
     assert catalog.queries()[name](spark, str(far)).count() == 200 * of_each
+
+
+def test_documents_beyond_the_cuts(spark, far):
+    agree(spark, "rm9_text_relevance", far, (" WHERE doc_id < 200", ""))
+    agree(spark, "em1_hashed_embedder", far, (" WHERE doc_id < 300", ""))
+    agree(spark, "src13_cache_split", far, ("WHERE doc_id < 300 AND", "WHERE"), (" WHERE doc_id < 300", ""))
+
+
+@pytest.mark.parametrize("name, cut", [("win2_vector_top_k", " WHERE vec_id < 20"), ("drm_by_strategy", " WHERE vec_id < 20"), ("jn7_vector_scores", " WHERE q.vec_id < 10"), ("em5_index_registry", " WHERE label % 2 = 1")])
+def test_vectors(spark, far, name, cut):
+    agree(spark, name, far, (cut, ""))
