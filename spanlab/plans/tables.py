@@ -64,7 +64,7 @@ def full_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ def far(tmp_path_factory):
     return out
 
 
+PREFIX = ("substring(text, 1, 60)", "text")
+
+
 def uncut(name, tables, *cuts):
     """The oracle's rows without its cuts, each a piece of SQL and what stands for it."""
     sql = catalog.oracle_sql()[name]
@@ -46,7 +49,7 @@ def test_structure_without_oracle(spark, far, name, of_each):
 
 
 def test_documents_beyond_the_cuts(spark, far):
-    agree(spark, "rm9_text_relevance", far, (" WHERE doc_id < 200", ""))
+    agree(spark, "rm9_text_relevance", far, (" WHERE doc_id < 200", ""), PREFIX)
     agree(spark, "em1_hashed_embedder", far, (" WHERE doc_id < 300", ""))
     agree(spark, "src13_cache_split", far, ("WHERE doc_id < 300 AND", "WHERE"), (" WHERE doc_id < 300", ""))
 
@@ -54,3 +57,8 @@ def test_documents_beyond_the_cuts(spark, far):
 @pytest.mark.parametrize("name, cut", [("win2_vector_top_k", " WHERE vec_id < 20"), ("drm_by_strategy", " WHERE vec_id < 20"), ("jn7_vector_scores", " WHERE q.vec_id < 10"), ("em5_index_registry", " WHERE label % 2 = 1")])
 def test_vectors(spark, far, name, cut):
     agree(spark, name, far, (cut, ""))
+
+
+@pytest.mark.parametrize("name", ["win1_lexical_top_k", "win3_budget_clip", "rm1_relevance", "rm2_rm8_metrics", "jn6_token_dot", "agg9_retrieval_means"])
+def test_whole_texts_of_queries(spark, far, name):
+    agree(spark, name, far, PREFIX)
