@@ -12,11 +12,27 @@ from pyspark.sql.types import DoubleType
 
 def draws(n: DataFrame, resamples: int, seed: int) -> DataFrame:
     """n: group columns and n. The drawn index of each (resample, place): a digest, so it is the same anywhere."""
-    places = n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    return drawn(n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))), seed)
+
+
+def drawn(rounds: DataFrame, seed: int) -> DataFrame:
+    """rounds: r and n. A row for each place, with i and pick."""
+    places = rounds.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "i")), 1, 8), 16, 10).cast("bigint")
     return places.withColumn("pick", F.pmod(digest, F.col("n")))
 
 
+def resampled_means(numbered: DataFrame, sizes: DataFrame, by: list[str], value: str, resamples: int, seed: int) -> DataFrame:
+    """numbered: by, pick, value. sizes: by, n. The mean of each resample: by, r, m.
+
+    Draws depend on a group's size alone, so groups of one size share them; resamples are dealt to tasks before they are drawn.
+    """
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds = sizes.select("n").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "r")
+    picked = drawn(rounds, seed).join(numbered.join(sizes.select(*by, "n"), by), ["n", "pick"])
+    return picked.groupBy(*by, "r").agg(F.avg(value).alias("m"))
+
+
 def bootstrap_means(diffs: DataFrame, by: list[str], value: str = "diff", resamples: int = 200, seed: int = 42, order: str = "query_id") -> DataFrame:
     """by, low, high: the 2.5 and 97.5 percentiles (interpolated) of resampled means; null for fewer than two rows.
 
@@ -24,8 +40,7 @@ def bootstrap_means(diffs: DataFrame, by: list[str], value: str = "diff", resamp
     """
     numbered = diffs.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).select(*by, "pick", value)
     sizes = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    picked = draws(sizes.where("n >= 2"), resamples, seed).join(numbered, [*by, "pick"])
-    means = picked.groupBy(*by, "r").agg(F.avg(value).alias("m"))
+    means = resampled_means(numbered, sizes.where("n >= 2"), by, value, resamples, seed)
     ends = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
     return sizes.join(ends, by, "left").select(*by, "low", "high")
 
@@ -34,7 +49,7 @@ def order_statistic_interval(items: DataFrame, by: list[str], value: str, resamp
     """Item bootstrap of a mean: the sorted draws' entries at int(tail * B); a point interval below two items."""
     numbered = items.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).select(*by, "pick", value)
     sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("point"))
-    means = draws(sizes.where("n >= 2").select(*by, "n"), resamples, seed).join(numbered, [*by, "pick"]).groupBy(*by, "r").agg(F.avg(value).alias("m"))
+    means = resampled_means(numbered, sizes.where("n >= 2"), by, value, resamples, seed)
     sorted_ = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms"))
     low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
     return sizes.join(sorted_, by, "left").select(*by, "point", F.coalesce(F.get("ms", F.lit(low)), "point").alias("low"), F.coalesce(F.get("ms", F.lit(high)), "point").alias("high"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from spanlab.operators import classification as C, stats as ST
 from spanlab.plans.tables import documents, number, query, table
 
+#: Of the oracles' SQL only; the queries read every document and draw RESAMPLES times.
 N, DRAWS = 60, 100
+RESAMPLES = 10_000
 STRATEGIES = ("alpha", "beta", "gamma")
 SCORES_SQL = f"""
  base AS (SELECT doc_id AS query_id, source AS document_id FROM documents WHERE doc_id < {N}),
@@ -21,7 +23,7 @@ BY = ["strategy_b", "metric"]
 
 
 def paired(spark, sf):
-    base = documents(spark, sf).where(F.col("document_id") < N).select(F.col("document_id").alias("query_id"), F.col("source").alias("document_id"))
+    base = documents(spark, sf).select(F.col("document_id").alias("query_id"), F.col("source").alias("document_id"))
     rows = base.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES)))).withColumn("model", F.lit("m"))
     digest = lambda sep, m: (F.conv(F.substring(F.md5(F.concat_ws(sep, "strategy", "query_id")), 1, 4), 16, 10).cast("bigint") % m) / m
     rows = rows.withColumn("mrr", digest(":", 20)).withColumn("ndcg", digest("/", 100))
@@ -36,12 +38,12 @@ def jn9(spark, sf):
 
 @query("st1_paired_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, ('0x' || substring(md5('42:' || r || ':' || i), 1, 8))::BIGINT % {N} AS pick FROM range({DRAWS}) t(r), range({N}) v(i)), m AS (SELECT strategy_b, metric, r, avg(diff) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL) SELECT strategy_b, metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL")
 def st1(spark, sf):
-    return ST.bootstrap_means(paired(spark, sf), BY, "diff", DRAWS).select(*BY, number("low").alias("low"), number("high").alias("high"))
+    return ST.bootstrap_means(paired(spark, sf), BY, "diff", RESAMPLES).select(*BY, number("low").alias("low"), number("high").alias("high"))
 
 
 @query("st2_item_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, ('0x' || substring(md5('42:' || r || ':' || i), 1, 8))::BIGINT % {N} AS pick FROM range({DRAWS}) t(r), range({N}) v(i)), m AS (SELECT strategy_b, metric, r, avg(a) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL), l AS (SELECT strategy_b, metric, list_sort(list(m)) AS ms FROM m GROUP BY ALL) SELECT strategy_b, metric, round((SELECT avg(a) FROM d WHERE d.strategy_b = l.strategy_b AND d.metric = l.metric), 6) AS point, round(ms[{int(0.025 * DRAWS) + 1}], 6) AS low, round(ms[{int(0.975 * DRAWS) + 1}], 6) AS high FROM l")
 def st2(spark, sf):
-    return ST.order_statistic_interval(paired(spark, sf), BY, "a", DRAWS, order="query_id").select(*BY, *[number(c).alias(c) for c in ("point", "low", "high")])
+    return ST.order_statistic_interval(paired(spark, sf), BY, "a", RESAMPLES, order="query_id").select(*BY, *[number(c).alias(c) for c in ("point", "low", "high")])
 
 
 @query("st3_t_statistic", f"WITH {SCORES_SQL} SELECT strategy_b, metric, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 5) AS t FROM d GROUP BY ALL")
@@ -76,7 +78,7 @@ def st8(spark, sf):
 
 @query("st9_comparison_matrix")
 def st9(spark, sf):
-    return ST.comparison_matrix(paired(spark, sf).drop("document_id"), DRAWS)
+    return ST.comparison_matrix(paired(spark, sf).drop("document_id"), RESAMPLES)
 
 
 @query("st11_spearman", "WITH d AS (SELECT lang, length(text) AS x, length(text) % 97 AS y FROM documents), r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2 AS ry FROM d) SELECT lang, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1")

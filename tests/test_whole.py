@@ -62,3 +62,17 @@ def test_vectors(spark, far, name, cut):
 @pytest.mark.parametrize("name", ["win1_lexical_top_k", "win3_budget_clip", "rm1_relevance", "rm2_rm8_metrics", "jn6_token_dot", "agg9_retrieval_means"])
 def test_whole_texts_of_queries(spark, far, name):
     agree(spark, name, far, PREFIX)
+
+
+@pytest.mark.parametrize("name", ["jn9_paired_differences", "st3_t_statistic", "st4_st5_signed_ranks", "st6_cohens_d", "st7_holm", "st8_leave_one_document_out"])
+def test_all_pairs(spark, far, name):
+    agree(spark, name, far, (" WHERE doc_id < 60", ""))
+
+
+@pytest.mark.parametrize("name, places", [("st1_paired_bootstrap", ()), ("st2_item_bootstrap", (("ms[3]", "ms[251]"), ("ms[98]", "ms[9751]")))])
+def test_bootstraps(spark, far, name, places):
+    agree(spark, name, far, (" WHERE doc_id < 60", ""), ("range(100)", "range(10000)"), ("% 60 AS", "% 200 AS"), ("range(60)", "range(200)"), *places)
+
+
+def test_comparison_matrix_has_all_pairs(spark, far):
+    assert {r.n for r in catalog.queries()["st9_comparison_matrix"](spark, str(far)).collect()} == {200}
