@@ -2,10 +2,11 @@
 
 Sizes are word counts. Every source gets a target: its weight's share of the mix, cut at `most_passes` times its own size,
 the excess shared again by weight until no target is above. The mix is a number of equal blocks of words; they go to
-sources by the highest quotients target / (2 s + 1), and within a source to its shards (a seeded hash of the document) in
-the same way, so every shard has an integer quota. In a shard the documents stand in a seeded order, which makes its words
-one stream of blocks; the quota takes the stream a whole number of times and, for what is left over, a run of neighbouring
-blocks that starts at a seeded place and may wrap round. So at most two documents of a shard are taken in part.
+sources by the highest quotients target / (2 s + 1). The words of a source's blocks go to its shards (a seeded hash of the
+document) in the same way, so every shard has a quota of whole words, and none is lost to a block that a shard doesn't
+fill. In a shard the documents stand in a seeded order, which makes its words one stream; the quota takes the stream a
+whole number of times and, for what is left over, a run of neighbouring words that starts at a seeded place and may wrap
+round. So at most two documents of a shard are taken in part.
 
 Defined cases: a null text has size 0; a null source is a source, after all others; repeated rows are documents of their
 own that share their identifier's place in the order; an empty table gives an empty result; a source without words has
@@ -69,14 +70,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     totals = apportioned(totals, "nth", "target", F.round(F.sum("target").over(everything) / F.col("block")), [], "source_blocks")
     cells = cells.alias("c").join(totals.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("t.*", "shard", "cell_size")
     cells = cells.withColumn("votes", F.col("cell_size").cast("double"))
-    cells = apportioned(cells, "shard", "votes", F.col("source_blocks"), ["nth"], "quota")
-    n = F.ceil(F.col("cell_size") / F.col("block")).cast("long")
-    cells = cells.withColumn("n", n).withColumn("quota", F.least(F.col("quota"), F.col("n") * most_passes))
+    cells = apportioned(cells, "shard", "votes", F.least(F.col("source_blocks") * F.col("block"), F.col("source_size") * most_passes), ["nth"], "quota")
+    cells = cells.withColumn("n", F.col("cell_size").cast("long")).withColumn("quota", F.least(F.col("quota"), F.col("n") * most_passes))
     cells = cells.withColumn("passes", F.coalesce(F.try_divide(F.col("quota"), F.col("n")).cast("long"), F.lit(0)))
     cells = cells.withColumn("over", F.col("quota") - F.col("passes") * F.col("n"))
     start = F.when(F.col("over") > 0, F.pmod(F.xxhash64(F.col("nth"), F.col("shard"), F.lit(seed)), F.col("n"))).otherwise(0)
-    cells = cells.withColumn("lo", start * F.col("block")).withColumn("hi", (start + F.col("over")) * F.col("block"))
-    cells = cells.withColumn("hi_wrapped", F.greatest(F.lit(0), F.col("hi") - F.col("n") * F.col("block")))
+    cells = cells.withColumn("lo", start).withColumn("hi", start + F.col("over"))
+    cells = cells.withColumn("hi_wrapped", F.greatest(F.lit(0), F.col("hi") - F.col("n")))
     cells = cells.select("source", "shard", "source_size", "target", "passes", "lo", F.least("hi", "cell_size").alias("hi"), "hi_wrapped")
     stream = Window.partitionBy("source", "shard").orderBy("place", "id", "size")
     placed = sized.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
