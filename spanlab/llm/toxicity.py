@@ -89,9 +89,6 @@ class Field:
         self.__post_init__()
 
     def _weigh(self, tokens: set[str]) -> None:
-        if len(self._plain) > _KNOWN_WORDS:
-            self._plain.clear()
-            self._loud.clear()
         for token in tokens:
             known = [self.weight[f] for f in features(token) if f in self.weight]
             if known:
@@ -118,6 +115,9 @@ class Field:
         best = [0.0] * len(texts)
         spans: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         for k, text in enumerate(texts):
+            if len(self._plain) > _KNOWN_WORDS:  # between texts only: a text's own words are looked up to its end
+                self._plain.clear()
+                self._loud.clear()
             words = text.lower().split()
             fresh = set(words).difference(self._plain)
             if fresh:

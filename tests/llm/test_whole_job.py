@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spanlab.llm import mixing
+from spanlab.llm import mixing, toxicity
 
 
 def test_small_sources_get_their_words(spark):
@@ -12,3 +12,12 @@ def test_small_sources_get_their_words(spark):
     got = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
     block = -(-sum(r.target for r in got) // 2000)
     assert len(got) == 3 and all(abs(r.taken - r.target) <= block and r.over <= 0 for r in got), got
+
+
+def test_clearing_known_words_changes_no_score(monkeypatch):
+    texts = ["an idiot here", "many new words that fill the set", "idiot with other words", "some more words, idiot", "plain"]
+    how = ({"=idiot": 12.0},)
+    want = [toxicity.Field(*how).tagged([t])[0] for t in texts]
+    monkeypatch.setattr(toxicity, "_KNOWN_WORDS", 3)
+    got = toxicity.Field(*how).tagged(texts)
+    assert got == want and got[2][1] and got[3][1]
