@@ -4,7 +4,7 @@ On a sample of `sample_rows` vectors at most, a graph of each vector's nearest n
 recursive bisection: halves along the main axis, then swaps of the pairs that cut the most edges. A softmax classifier
 learns the part of a vector, its targets smoothed over the parts of its neighbours. Every vector of the table is indexed
 by the classifier; a query goes to as many of its most probable parts as the sample's own queries need for `aim` recall,
-and all vectors of those parts are ranked again by exact distances in double precision, in blocks of bounded size.
+and on to the next ones while these hold too few vectors for a full answer, and all vectors of those parts are ranked again by exact distances in double precision, in blocks of bounded size.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those
 whose dimension isn't the most frequent one (the smaller at a tie). Ties in distance go to the smaller identifier; rows
@@ -157,13 +157,17 @@ def _indexed(shared):
     return run
 
 
-def _routed(shared):
+def _routed(shared, sizes: dict[int, int], least: int):
+    """To the router's number of parts, or as many as hold `least` vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
         for batch in batches:
             if batch.num_rows:
-                parts = router.parts(_matrix(batch.column(1)), router.probes).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(parts), pa.list_(pa.int32()))], ["query", "vec", "parts"])
+                parts = router.parts(_matrix(batch.column(1)), len(router.b2)).astype(np.int32)
+                held = np.array([sizes.get(p, 0) for p in range(len(router.b2))])[parts].cumsum(axis=1)
+                enough = np.maximum(router.probes, (held < least).sum(axis=1) + 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p[:n] for p, n in zip(parts, enough)], pa.list_(pa.int32()))], ["query", "vec", "parts"])
 
     return run
 
@@ -211,7 +215,9 @@ def nearest(vectors: DataFrame, queries: Column | None = None, id_col: str = "ve
     sizes = {r.part: r.n for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p, n in sizes.items() for v in (p, -(-n // block_rows))]), F.col("part")), F.lit(1))
     dealt = index.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    asked = rows.where("asks").select(F.col("id").alias("query"), "vec").mapInArrow(_routed(shared), f"query bigint, vec {kind}, parts array<int>")
+    # A query's own rows are no candidates.
+    own = rows.where("asks").groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    asked = rows.where("asks").select(F.col("id").alias("query"), "vec").mapInArrow(_routed(shared, sizes, many + own), f"query bigint, vec {kind}, parts array<int>")
     asked = asked.select("query", "vec", F.explode("parts").alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     found = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(_nearest(many), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -1,8 +1,9 @@
 """Places where an operator once did less than its whole job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spanlab.llm import mixing, toxicity
+from spanlab.llm import mixing, neighbours, toxicity
 
 
 def test_small_sources_get_their_words(spark):
@@ -21,3 +22,11 @@ def test_clearing_known_words_changes_no_score(monkeypatch):
     monkeypatch.setattr(toxicity, "_KNOWN_WORDS", 3)
     got = toxicity.Field(*how).tagged(texts)
     assert got == want and got[2][1] and got[3][1]
+
+
+def test_queries_of_small_parts_get_all_neighbours(spark, monkeypatch):
+    sides = neighbours.Router(np.zeros(2), 1.0, np.array([[1, -1], [0, 0]], "float32"), np.zeros(2, "float32"), np.eye(2, dtype="float32"), np.zeros(2, "float32"), 1)
+    monkeypatch.setattr(neighbours, "train_router", lambda *_: sides)
+    docs = spark.createDataFrame([(i, [5.0 if i < 4 else -5.0, float(i)]) for i in range(34)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(docs).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [*range(1, 11)] and [r.rank for r in got] == [*range(1, 11)]
