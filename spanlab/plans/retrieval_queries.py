@@ -91,7 +91,7 @@ def flt5(spark, sf):
     return R.malformed_queries(rows.withColumn("g_end", F.when(F.col("query_id") % 2 == 0, F.col("g_start")).otherwise(F.col("g_end"))))
 
 
-@query("rm9_text_relevance", r"WITH w AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(substring(text, 1, 60)), '[\p{L}\p{N}_]+')), lambda x: length(x) > 4) AS l FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id < 200), p AS (SELECT query_id, doc_id, len(l) AS n, len(list_filter(l, lambda x: contains(t, x))) AS found FROM w, d WHERE len(l) > 0) SELECT query_id, count(*) AS relevant FROM p WHERE 2 * found >= n GROUP BY 1")
+@query("rm9_text_relevance", r"WITH w AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: length(x) > 4) AS l FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT query_id, doc_id, len(l) AS n, len(list_filter(l, lambda x: contains(t, x))) AS found FROM w, d WHERE len(l) > 0) SELECT query_id, count(*) AS relevant FROM p WHERE 2 * found >= n GROUP BY 1")
 def rm9(spark, sf):
     """A document is relevant if it holds half of the query's long words."""
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), lambda w: F.length(w) > 4)
@@ -110,14 +110,14 @@ def rm9(spark, sf):
 
 
 DOTS_SQL = """
- q AS (SELECT vec_id AS query_id, label AS q_label, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20),
+ q AS (SELECT vec_id AS query_id, label AS q_label, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
  pairs AS (SELECT query_id, q_label, vec_id, label, list_sum(list_transform(list_zip(q, embedding::DOUBLE[]), lambda z: z[1] * z[2])) AS score FROM q, embeddings WHERE vec_id <> query_id),
  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 10)"""
 
 
 def vector_hits(spark, sf):
     rows = table(spark, sf, "embeddings")
-    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return V.top_k(asked, rows.select("vec_id", F.col("embedding").alias("vec")), 11).where("vec_id <> query_id")
 
 
@@ -129,10 +129,10 @@ def win2(spark, sf):
     return vector_hits(spark, sf).withColumn("r", F.row_number().over(order)).where("r <= 10").select("query_id", "vec_id", number("score").alias("score"))
 
 
-@query("jn7_vector_scores", "SELECT q.vec_id AS query_id, e.label, round(max(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda z: z[1] * z[2]))), 6) AS best FROM embeddings q, embeddings e WHERE q.vec_id < 10 GROUP BY ALL")
+@query("jn7_vector_scores", "SELECT q.vec_id AS query_id, e.label, round(max(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda z: z[1] * z[2]))), 6) AS best FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 GROUP BY ALL")
 def jn7(spark, sf):
     rows = table(spark, sf, "embeddings")
-    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     pairs = V.scored(asked, rows.select("label", F.col("embedding").alias("vec")))
     return pairs.groupBy("query_id", "label").agg(number(F.max("score")).alias("best"))
 
@@ -152,7 +152,7 @@ def val10(spark, sf):
     return rows.groupBy(F.size("embedding").cast("bigint").alias("dim")).agg(F.count(F.lit(1)).alias("n"), number(F.max(F.abs(1 - V.norm(F.col("embedding")))), 4).alias("off_unit"))
 
 
-HASHED_SQL = r"SELECT doc_id AS owner_id, p, count(*) AS n FROM (SELECT doc_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 64 AS p FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS w FROM documents WHERE doc_id < 300)) GROUP BY ALL"
+HASHED_SQL = r"SELECT doc_id AS owner_id, p, count(*) AS n FROM (SELECT doc_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 64 AS p FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS w FROM documents)) GROUP BY ALL"
 
 
 @query("em1_hashed_embedder", f"WITH c AS ({HASHED_SQL}) SELECT owner_id, p AS place, round((n / sqrt(sum(n * n) OVER (PARTITION BY owner_id)))::FLOAT::DOUBLE, 5) AS x FROM c")
@@ -161,7 +161,7 @@ def em1(spark, sf):
     return V.embedded(rows).select("owner_id", F.posexplode("vec").alias("place", "x")).where("x > 0").select("owner_id", F.col("place").cast("bigint").alias("place"), number(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query("src13_cache_split", "SELECT doc_id % 2 = 0 AS hit, count(*) AS n FROM documents WHERE doc_id < 300 AND text NOT IN (SELECT text FROM documents WHERE doc_id < 300 GROUP BY text HAVING count(*) > 1) GROUP BY 1")
+@query("src13_cache_split", "SELECT doc_id % 2 = 0 AS hit, count(*) AS n FROM documents WHERE text NOT IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1) GROUP BY 1")
 def src13(spark, sf):
     rows = documents(spark, sf).select(F.col("document_id").alias("owner_id"), "text")
     single = rows.join(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("text"), "text")
@@ -172,7 +172,7 @@ def src13(spark, sf):
     return both.groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("em5_index_registry", "SELECT label % 2 AS part, vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings WHERE label % 2 = 1")
+@query("em5_index_registry", "SELECT label % 2 AS part, vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
 def em5(spark, sf):
     """An index for each (strategy, model) is a partition of one table; here by label."""
     rows = table(spark, sf, "embeddings").withColumn("part", F.col("label") % 2)

@@ -23,7 +23,7 @@ def numbered(spark, sf):
 
 
 LINES_SQL = r"""
- lines AS (SELECT doc_id AS document_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents WHERE doc_id < 400)),
+ lines AS (SELECT doc_id AS document_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents)),
  gold AS (SELECT document_id, i, CASE WHEN i % 3 = 0 THEN (i // 3 + 1)::VARCHAR ELSE (i // 3 + 1) || '.' || (i % 3) END AS identifier FROM lines)"""
 
 

@@ -113,7 +113,7 @@ CLAUSES_SQL = """
                   FROM clauses c)"""
 
 RANKING_SQL = TOKENS_SQL + r""",
- asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(replace(lower(substring(text, 1, 60)), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS token FROM benchmark),
+ asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS token FROM benchmark),
  q_counts AS (SELECT query_id, token, count(*) AS n FROM asked GROUP BY ALL),
  posted AS (SELECT document_id, char_start, char_end, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS token FROM window_texts),
  c_counts AS (SELECT document_id, char_start, char_end, token, count(*) AS n FROM posted GROUP BY ALL),
