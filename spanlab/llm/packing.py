@@ -1,12 +1,19 @@
 """Best-fit packing of tokenised documents into sequences, in bulk-synchronous rounds.
 
-Documents become pieces of at most `capacity` tokens; only longer documents are cut. The pieces are sorted by length,
-the gaps by size, both as runs of equals: at most `capacity` runs of pieces however many documents there are. In each
-round the longest pieces left look up their successor, the smallest gap that holds them; the piece of rank r in its run
-gets the r-th place that the run of gaps offers (so no two ask for the same one), the gaps shrink and are put back, and
-the next round follows. Pieces without a gap open new sequences. The rounds give a plan of segments (length, ranks,
-places); ranks within a length are dealt in buckets, so no length need meet in one task, and a join of pieces and
-segments by length and rank places every piece.
+Documents become pieces of at most `capacity` tokens; only longer documents are cut. Pieces and gaps are sorted by size into
+ranges, as runs of equals (a length has one run of pieces whatever their number; a run of gaps is a stretch of sequences).
+A round is a Spark job over the ranges:
+
+1. Each range sweeps its runs from the largest size down: a piece looks up its successor, the smallest gap that holds it,
+   and a run of pieces that meets a run of gaps takes places by rank, the piece of rank r the r-th place, so no two ask for
+   the same one. What stays smaller than the gap goes back into the sweep while it lies in the range.
+2. Pieces whose successor lies in a higher range meet the gaps that are left there, again by rank.
+3. All other gaps are updated and dealt to their new ranges for the next round.
+
+Sequences are opened as empty gaps, as many as the tokens left need at least, so an empty one is only taken where nothing
+else holds a piece. Rounds end when all pieces are placed; when one places nothing, more sequences are opened. The rounds
+give segments (length, ranks, places); ranks within a length are dealt in buckets, as many as the number of pieces asks
+for, and pieces meet the segments of their own length and bucket.
 
 Tokens: words between white space are tokenised on their own and kept in a bounded cache, which gives the same ids as the
 whole text for this tokenizer, as its pre-tokenizer drops white space and never looks across it.
@@ -17,15 +24,16 @@ repeat an identifier are packed as documents of their own, told apart by `copy`;
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import itertools
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -38,8 +46,11 @@ from spanlab.llm._common import written
 #: that came first, which are the frequent ones: an idle worker holds little, and most others never come again.
 CACHED_WORD, CACHED_WORDS, KEPT_WORDS = 48, 700_000, 150_000
 STRETCH = 4 << 20
-#: Below this many segments the plan is broadcast; beyond, the join shuffles.
-BROADCAST_SEGMENTS = 500_000
+#: A length's ranks are dealt in so many buckets at least.
+LEAST_BUCKETS = 256
+
+Run = tuple[int, int, int]
+Segment = tuple[int, int, int, int, int, int]
 
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -181,67 +192,127 @@ def _pieces(path: str, end_id: int, capacity: int):
     return run
 
 
-def plan(lengths: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Segments (length, first rank, pieces, first sequence, places a sequence offers, first offset), and how many sequences.
+def swept(pieces: Iterable[Run], gaps: Iterable[Run], lowest: int, capacity: int) -> tuple[list[Segment], list[Run], list[Run]]:
+    """One sweep from the largest size down. pieces: (length, first rank, how many); gaps: (size, first sequence, how many).
 
-    The piece of rank first + i lies in sequence first + i // places, at offset + (i % places) * length.
+    Returns segments, the pieces and the gaps that are left. What remains of a filled gap goes on in the sweep down to the
+    size `lowest`; below, it is for the next round.
     """
-    gaps: list[int] = []  # sizes that there are, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}  # by size: (first sequence, how many)
-    segments = []
-    opened = 0
+    ahead = [(-size, first, many) for size, first, many in gaps if many]
+    heapq.heapify(ahead)
+    offered: list[Run] = []  # gaps that hold the piece at hand, the smallest last
+    segments: list[Segment] = []
+    left: list[Run] = []
+    later: list[Run] = []
 
     def put(size: int, first: int, many: int) -> None:
-        if size and many:
-            if size not in runs:
-                bisect.insort(gaps, size)
-            runs.setdefault(size, []).append((first, many))
-
-    for length in sorted(lengths, reverse=True):
-        left, rank = lengths[length], 0
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at < len(gaps):
-                size = gaps[at]
-                first, many = runs[size].pop()
-                if not runs[size]:
-                    del runs[size]
-                    gaps.pop(at)
-            else:
-                size, first, many = capacity, opened, -(-left // (capacity // length))
-                opened += many
+        if size >= lowest and size and many:
+            heapq.heappush(ahead, (-size, first, many))
+        elif size and many:
+            later.append((size, first, many))
+
+    for length, rank, many in sorted(pieces, reverse=True):
+        while many:
+            while ahead and -ahead[0][0] >= length:
+                size, first, n = heapq.heappop(ahead)
+                offered.append((-size, first, n))
+            if not offered:
+                left.append((length, rank, many))
+                break
+            size, first, n = offered.pop()
             places = size // length
-            taken = min(left, places * many)
+            taken = min(many, places * n)
             segments.append((length, rank, taken, first, places, capacity - size))
             full, some = divmod(taken, places)
-            put(size - places * length, first, full)
-            if some:
-                put(size - some * length, first + full, 1)
             used = full + bool(some)
-            put(size, first + used, many - used)
-            left, rank = left - taken, rank + taken
-    return segments, opened
+            if used < n:
+                offered.append((size, first + used, n - used))
+            put(size - places * length, first, full)
+            put(size - some * length, first + full, int(bool(some)))
+            rank, many = rank + taken, many - taken
+    later += offered + [(-size, first, many) for size, first, many in ahead]
+    return segments, left, later
+
+
+#: Rows of a round: kind (PIECES, GAPS or SEGMENTS), size or length, first rank or sequence, how many; of segments also
+#: the first sequence, places for each sequence, and the offset of the first.
+PIECES, GAPS, SEGMENTS = 0, 1, 2
+ROUND = "kind int, size bigint, first bigint, many bigint, sequence bigint, places bigint, at bigint"
 
 
-def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 4096, buckets: int = 256) -> DataFrame:
+def _sweeper(ranges: int | None, capacity: int):
+    """Sweeps the rows of one range; with ranges None the rows that all ranges left."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        told = rows[["kind", "size", "first", "many"]].to_numpy()
+        pieces, gaps = ([tuple(r[1:]) for r in told[told[:, 0] == k].tolist()] for k in (PIECES, GAPS))
+        lowest = capacity + 1
+        if ranges is not None:  # the least size of this range
+            at = (int(told[0, 1]) - 1) * ranges // capacity
+            lowest = -(-at * capacity // ranges) + 1
+        segments, left, later = swept(pieces, gaps, lowest, capacity)
+        out = [(PIECES, *r, 0, 0, 0) for r in left] + [(GAPS, *r, 0, 0, 0) for r in later] + [(SEGMENTS, *s) for s in segments]
+        new = pd.DataFrame(out, columns=list(rows.columns[:7])).astype("int64").astype({"kind": "int32"})
+        return pd.concat([new, rows.loc[rows["kind"] == SEGMENTS, new.columns]])
+
+    return run
+
+
+def placed(lengths: DataFrame, capacity: int, ranges: int = 4) -> DataFrame:
+    """lengths: length, n. Segments (length, first, many, sequence, places, at) of all pieces, by rounds.
+
+    The piece of rank first + i lies in sequence + i // places, at offset at + (i % places) * length. Each round is written
+    to the shared folder. Runs are bounded by the capacity, not by the documents, and never come to the driver.
+    """
+    spark = lengths.sparkSession
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("sequence", "places", "at")]
+    row = lambda kind, size, first, many: [F.lit(kind).alias("kind"), size.cast("bigint").alias("size"), first.cast("bigint").alias("first"), many.cast("bigint").alias("many"), *zero]
+    state = written(lengths.select(*row(PIECES, F.col("length"), F.lit(0), F.col("n"))), "packing-round")
+    segments, opened = state.where("false"), 0
+    while True:
+        left = state.where(F.col("kind") == PIECES).agg(F.sum(F.col("size") * F.col("many")).alias("tokens"), F.sum("many").alias("many")).first()
+        if not left.many:
+            return segments.select(F.col("size").alias("length"), "first", "many", "sequence", "places", "at")
+        if not opened or left.many == before:
+            more = -(-left.tokens // capacity)
+            state = state.unionByName(spark.range(1).select(*row(GAPS, F.lit(capacity), F.lit(opened), F.lit(more))))
+            opened += more
+        before = left.many
+        # Pieces and gaps by range, each swept for itself; then what they leave, over all ranges.
+        here = F.floor((F.col("size") - 1) * ranges / capacity)
+        local = state.withColumn("range", here).groupBy("range").applyInPandas(_sweeper(ranges, capacity), ROUND)
+        crossed = local.groupBy().applyInPandas(_sweeper(None, capacity), ROUND)
+        done = written(crossed, "packing-round")
+        segments = segments.unionByName(done.where(F.col("kind") == SEGMENTS))
+        state = done.where(F.col("kind") != SEGMENTS)
+
+
+def packed(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 4096,
+    bucket_rows: int = 1 << 21, ranges: int = 4,
+) -> DataFrame:
     """One row for each piece: identifier, piece, start, length, ids_crc32, sequence_id, offset, copy."""
     if not Path(tokenizer_path).name:
         raise ValueError("a tokenizer file is needed")
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    pieces = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
-    pieces = written(pieces, "pieces").withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
-    counts = written(pieces.groupBy("length", "bucket").count(), "piece-counts")  # capacity * buckets rows at most
-    lengths = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
-    segments, _ = plan(lengths, capacity)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    pieces = written(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), schema), "pieces")
+    # Buckets by count, so that no length, however frequent, fills a task.
+    buckets = max(LEAST_BUCKETS, -(-pieces.count() // bucket_rows))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
+    counts = written(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    segments = placed(counts.groupBy("length").agg(F.sum("n").alias("n")), capacity, ranges)
     below = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("before"))
+    begins = counts.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    # A bucket's ranks are a stretch of its length's ranks, and few segments reach into it.
+    own = begins.join(segments, "length").where("first < before + n and before < first + many")
+    own = written(own.select("length", "bucket", "before", "first", "many", "sequence", "places", "at"), "piece-segments")
     order = Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("nth", F.row_number().over(order) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("nth") + F.col("before"))
-    table = spark.createDataFrame(segments, "length bigint, first bigint, many bigint, sequence bigint, places bigint, at bigint")
-    side = (F.broadcast(table) if len(segments) <= BROADCAST_SEGMENTS else table).alias("s")
-    placed = ranked.alias("p").join(side, (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("many")))
-    i = F.col("rank") - F.col("first")
+    ranked = pieces.withColumn("nth", F.row_number().over(order) - 1)
+    found = ranked.join(own, ["length", "bucket"]).withColumn("i", F.col("nth") + F.col("before") - F.col("first")).where("i >= 0 and i < many")
+    sequence = (F.col("sequence") + F.floor(F.col("i") / F.col("places"))).cast("long")
+    offset = (F.col("at") + F.col("i") % F.col("places") * F.col("length")).cast("long")
+    out = found.select("id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
     copy = F.row_number().over(Window.partitionBy("id", "piece").orderBy("sequence_id", "offset")) - 1
-    out = placed.select("id", "piece", "start", F.col("p.length").alias("length"), "ids_crc32", (F.col("sequence") + F.floor(i / F.col("places"))).cast("long").alias("sequence_id"), (F.col("at") + i % F.col("places") * F.col("p.length")).cast("long").alias("offset"))
     return out.withColumn("copy", copy).withColumnRenamed("id", id_col)
