@@ -2,15 +2,18 @@
 
 A document is the sequence of its lines that hold more than white space; a line's identifier is a digest of its text. The
 suffixes of all sequences are sorted by prefix doubling: ranks by the first line, then by the first two, four and so on
-lines, each round ranking pairs of the last round's ranks. Suffixes whose prefix is unique are settled and leave. Ranks
-are sums over distinct pairs, taken in range buckets that follow from the last ranks, so a line that is a third of all
-rows is one row of that sum. Once a rank covers `min_lines` lines, suffixes of equal rank are neighbours in the array and
-form an interval whose longest common prefix is that long or longer. The first of an interval in document order is the
-original, the others are copies; copied windows that touch make up the maximal runs, which are deleted. A single line of
-`min_words` words or more is long enough for a run by itself.
+lines, each round ranking pairs of the last round's ranks, until every suffix is settled: one whose prefix is unique, or
+that has fewer lines than the prefix, leaves. Ranks are sums over distinct pairs, taken in range buckets that follow from
+the last ranks, so a line that is a third of all rows is one row of that sum.
 
-A copy is always of lines that stand earlier (by identifier, then line), so each deleted line is left somewhere. A window
-that overlaps its original isn't a copy.
+Suffixes of equal rank at a depth are an interval of the suffix array whose common prefix is that deep or deeper. The first
+of an interval in document order is its original, the others are copies; a window that overlaps its original isn't one. A
+copy is set against the original of the deepest interval in which it is a copy, and their longest common prefix follows
+from the ranks of all depths, taken downwards from that of the interval. Copies that no other copy's prefix covers are the
+maximal repeated runs (`maximal_runs`); those of `min_lines` lines or more are deleted. A single line of `min_words` words
+or more is long enough for a run by itself.
+
+A copy is always of lines that stand earlier (by identifier, then line), so each deleted line is left somewhere.
 
 Defined cases: a null text has no lines and stays null; lines of white space are never deleted; rows that repeat both
 identifier and text are one document, with the result on each; a null identifier comes before all others; an empty table
@@ -52,53 +55,104 @@ def _ranked(keys: DataFrame, by: list[str], where: Column, buckets: int) -> Data
     return out.withColumn("place", F.coalesce(F.sum("n").over(inner), F.lit(0)) + F.col("before")).drop("bucket", "before")
 
 
-def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
-    """Of the suffixes whose first `depth` lines stand elsewhere too: doc, text_key, pos, rank, n. Equal ranks: equal prefixes,
-    n of them."""
+def _at(doc: str, key: str, pos: Column, ranks: DataFrame, out: str) -> tuple[DataFrame, Column]:
+    """ranks under names of its own, and the condition that joins it at a place."""
+    side = ranks.select(F.col("doc").alias(f"_{out}_doc"), F.col("text_key").alias(f"_{out}_key"), F.col("pos").alias(f"_{out}_pos"), F.col("rank").alias(out))
+    return side, F.col(doc).eqNullSafe(F.col(f"_{out}_doc")) & (F.col(key) == F.col(f"_{out}_key")) & (pos == F.col(f"_{out}_pos"))
+
+
+def suffix_levels(lines: DataFrame, min_lines: int, doubled: bool = True) -> list[tuple[int, DataFrame]]:
+    """Depths, ascending, each with the suffixes whose first `depth` lines stand elsewhere too: doc, text_key, pos, rank, n.
+    Equal ranks: equal prefixes, n of them. The depths are 1, 2, 4 and so on, with min_lines among them and doubled from
+    there until no suffix is left; without `doubled` they end at min_lines."""
     buckets = 4 * shuffle_partitions(lines.sparkSession)
     first = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Digests are spread evenly, so their leading bits are range buckets.
     leading = F.conv(F.substring(F.hex("line"), 1, 8), 16, 10).cast("double") / (1 << 32) * buckets
     ranks = _ranked(first, ["line"], F.floor(leading), buckets)
     state = written(lines.join(ranks, "line").select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
-    total = max(1, lines.count())
-    covered = 1
-    while covered < depth:
-        step = min(covered, depth - covered)  # two windows may overlap, so any depth is met
-        ahead = state.select(*[F.col(c).alias(f"_{c}") for c in DOC], (F.col("pos") - step).alias("_pos"), F.col("rank").alias("next"))
-        same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text_key")) & (F.col("pos") == F.col("_pos"))
-        pairs = written(state.join(ahead, same).select(*DOC, "pos", "rank", "n", "next"), "suffix-pairs")
+    total, depth, out = max(1, lines.count()), 1, []
+    while not state.isEmpty():
+        out.append((depth, state))
+        if depth >= min_lines and not doubled:
+            break
+        step = min(depth, min_lines - depth) if depth < min_lines else depth  # two windows may overlap, so any depth is met
+        side, same = _at("doc", "text_key", F.col("pos") + step, state, "next")
+        pairs = written(state.join(side, same).select(*DOC, "pos", "rank", "n", "next"), "suffix-pairs")
+        if pairs.isEmpty():
+            break
         keys = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("span")).where("m > 1").withColumnRenamed("m", "n")
         # A rank's rows fill the next `span` ranks; the second rank tells where among them a pair stands.
         at = (F.col("rank") + F.col("span") * F.col("next") / F.lit(float(total))) / F.lit(float(total)) * buckets
         found = _ranked(keys, ["rank", "next"], F.least(F.floor(at), F.lit(buckets - 1)), buckets)
         state = written(pairs.drop("n").join(found, ["rank", "next"]).select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
-        covered += step
-    return state
+        depth += step
+    return out
 
 
-def copied_windows(suffixes: DataFrame, depth: int) -> DataFrame:
-    """Windows of `depth` lines that copy an earlier one: doc, text_key, pos."""
+def copies(suffixes: DataFrame, depth: int) -> DataFrame:
+    """Windows of `depth` lines that copy an earlier one: doc, text_key, pos, original (doc, text_key, pos)."""
     place = F.struct(*DOC, "pos")
     # Written first: else the join would stand on the sum's own partitions, and a frequent rank couldn't be split.
     least = written(suffixes.groupBy("rank").agg(F.min(place).alias("original")), "originals")
     joined = suffixes.join(least, "rank")
     own = F.col("original.doc").eqNullSafe(F.col("doc")) & (F.col("original.text_key") == F.col("text_key"))
-    return joined.where(~(own & (F.col("pos") < F.col("original.pos") + depth))).select(*DOC, "pos")
+    return joined.where(~(own & (F.col("pos") < F.col("original.pos") + depth))).select(*DOC, "pos", "original")
+
+
+def copied_prefixes(lines: DataFrame, min_lines: int) -> DataFrame:
+    """Of each suffix that copies min_lines lines or more: doc, text_key, pos, original, and length, the longest common
+    prefix with its original."""
+    levels = suffix_levels(lines, min_lines)
+    deep = [(depth, copies(state, depth)) for depth, state in levels if depth >= min_lines]
+    if not deep:
+        return lines.where("false").select(*DOC, "pos", F.struct(*DOC, "pos").alias("original"), F.lit(0).alias("length"))
+    rows = None
+    for depth, found in deep:
+        own = found.withColumn("best", F.struct(F.lit(depth).alias("length"), "original")).select(*DOC, "pos", "best")
+        rows = own if rows is None else rows.unionByName(own)
+    if len(deep) > 1:
+        rows = rows.groupBy(*DOC, "pos").agg(F.max_by("best", "best.length").alias("best"))
+    rows = rows.select(*DOC, "pos", "best.original", "best.length")
+    # Within a document the prefix may run into the copy itself, so it is measured from the longest depth down.
+    own = F.col("original.doc").eqNullSafe(F.col("doc")) & (F.col("original.text_key") == F.col("text_key"))
+    rows = rows.withColumn("interval", F.when(own, F.lit(1 << 30)).otherwise(F.col("length"))).withColumn("length", F.when(own, 0).otherwise(F.col("length")))
+    for depth, state in reversed(levels):
+        rows = written(rows, "copied-prefixes")
+        odd = rows.where(F.col("interval") > depth).withColumns({"o_doc": F.col("original.doc"), "o_key": F.col("original.text_key")})
+        here, at_here = _at("doc", "text_key", F.col("pos") + F.col("length"), state, "own_rank")
+        there, at_there = _at("o_doc", "o_key", F.col("original.pos") + F.col("length"), state, "other_rank")
+        longer = odd.join(here, at_here).join(there, at_there).where("own_rank = other_rank")
+        longer = longer.select(*DOC, "pos", F.lit(depth).alias("more"))
+        side = longer.select(*[F.col(c).alias(f"_{c}") for c in (*DOC, "pos")], "more")
+        same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text_key")) & (F.col("pos") == F.col("_pos"))
+        rows = rows.join(side, same, "left").select(*DOC, "pos", "original", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), "interval")
+    return rows.drop("interval")
+
+
+def maximal_runs(lines: DataFrame, min_lines: int = 2) -> DataFrame:
+    """The copied prefixes that no earlier one of their document covers: doc, text_key, pos, original, length. Rows of one
+    original and length are the copies of one interval."""
+    rows = copied_prefixes(lines, min_lines)
+    before = Window.partitionBy(*DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max(F.col("pos") + F.col("length")).over(before), F.lit(0))
+    return rows.withColumn("_reached", reached).where("pos + length > _reached").drop("_reached")
 
 
 def deleted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int = 50) -> DataFrame:
     """doc, text_key, runs: array of (first, last) line numbers, from 0 and sorted, of the lines to delete."""
     lines = written(sequences(docs, id_col, text_col), "lines")
-    windows = copied_windows(suffix_ranks(lines, min_lines), min_lines).withColumn("pos", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))))
-    long = copied_windows(suffix_ranks(lines.where(F.col("words") >= min_words), 1), 1)
-    gone = windows.unionByName(long).distinct().select(*[F.col(c).alias(f"_{c}") for c in (*DOC, "pos")])
+    runs = maximal_runs(lines, min_lines).select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)).alias("pos"))
+    long = [copies(state, 1) for _, state in suffix_levels(lines.where(F.col("words") >= min_words), 1, doubled=False)]
+    for found in long:
+        runs = runs.unionByName(found.select(*DOC, "pos"))
+    gone = runs.distinct().select(*[F.col(c).alias(f"_{c}") for c in (*DOC, "pos")])
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text_key")) & (F.col("pos") == F.col("_pos"))
     gone = lines.select(*DOC, "pos", "line_no").join(gone, same, "left_semi")
     order = Window.partitionBy(*DOC).orderBy("pos")
     gone = gone.withColumn("island", F.col("pos") - F.row_number().over(order))
-    runs = gone.groupBy(*DOC, "island").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
-    return runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    islands = gone.groupBy(*DOC, "island").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    return islands.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def line_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int = 50) -> DataFrame:
@@ -108,9 +162,18 @@ def line_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key = F.xxhash64("_line_text", F.length("_line_text"))
     rows = rows.join(runs, F.col("_line_id").eqNullSafe(F.col("_line_doc")) & (key == F.col("_line_key")), "left")
     runs_of = F.coalesce("_line_runs", F.array().cast("array<struct<first:int,last:int>>"))
-    inside = lambda x, i: ~F.exists(runs_of, lambda r: (r["first"] <= i) & (i <= r["last"]))
-    hits = F.filter(F.transform(_lines(F.col("_line_text")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~inside(s["x"], s["i"]) & s["x"].rlike(r"[^\s\p{Z}]"))
-    kept = F.when(F.col("_line_text").isNotNull(), F.when(F.size(runs_of) == 0, F.col("_line_text")).otherwise(F.array_join(F.filter(_lines(F.col("_line_text")), lambda x, i: inside(x, i) | ~x.rlike(r"[^\s\p{Z}]")), "\n")))
+    rows = rows.withColumn("_line_gone", runs_of).withColumn("_line_all", _lines(F.col("_line_text")))
+    # A run's lines are cut out as slices between runs, so a document is gone through once, whatever its number of runs.
+    blank = lambda x: ~x.rlike(r"[^\s\p{Z}]")
+    run_lines = lambda r: F.slice("_line_all", r["first"] + 1, r["last"] - r["first"] + 1)
+    begin = lambda i: F.when(i > 0, F.get("_line_gone", i - 1)["last"] + 1).otherwise(0)
+    between = F.transform("_line_gone", lambda r, i: F.concat(F.slice("_line_all", begin(i) + 1, r["first"] - begin(i)), F.filter(run_lines(r), blank)))
+    end = begin(F.size("_line_gone"))
+    rest = F.slice("_line_all", end + 1, F.size("_line_all") - end)
+    cut = F.array_join(F.concat(F.flatten(between), rest), "\n")
+    removed = F.aggregate("_line_gone", F.lit(0), lambda n, r: n + F.size(F.filter(run_lines(r), lambda x: ~blank(x))))
+    some = F.size("_line_gone") > 0
+    kept = F.when(F.col("_line_text").isNotNull(), F.when(some, cut).otherwise(F.col("_line_text")))
     columns = [(kept if c == text_col else F.col("_line_row").getField(c)).alias(c) for c in docs.columns]
-    total = F.when(F.col("_line_text").isNull(), 0).otherwise(F.size(_lines(F.col("_line_text"))))
-    return rows.select(*columns, runs_of.alias("removed_runs"), total.alias("n_lines"), F.when(F.size(runs_of) == 0, 0).otherwise(F.size(hits)).alias("n_removed"))
+    total = F.when(F.col("_line_text").isNull(), 0).otherwise(F.size("_line_all"))
+    return rows.select(*columns, F.col("_line_gone").alias("removed_runs"), total.alias("n_lines"), F.when(some, removed).otherwise(0).alias("n_removed"))

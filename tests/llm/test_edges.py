@@ -160,23 +160,46 @@ def test_packing(odd, none):
     assert packing.packed(none, path).count() == 0
 
 
-def test_packing_plan_is_best_fit_decreasing():
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= s]
+        if fits:
+            gaps[gaps.index(min(fits))] -= s
+        else:
+            gaps.append(capacity - s)
+    return len(gaps)
+
+
+def test_packing_sweep_is_best_fit_decreasing():
+    """One sweep over all sizes, with empty gaps enough."""
     rng = np.random.default_rng(3)
     for _ in range(30):
         sizes = rng.integers(1, 41, 200).tolist()
         counts = {s: sizes.count(s) for s in set(sizes)}
-        segments, opened = packing.plan(counts, 40)
-        gaps = []
-        for s in sorted(sizes, reverse=True):
-            fits = [g for g in gaps if g >= s]
-            if fits:
-                gaps[gaps.index(min(fits))] -= s
-            else:
-                gaps.append(40 - s)
-        assert opened == len(gaps)
+        segments, left, gaps = packing.swept([(s, 0, n) for s, n in counts.items()], [(40, 0, 200)], 1, 40)
+        assert not left and 200 - sum(n for size, _, n in gaps if size == 40) == best_fit_decreasing(sizes, 40)
         assert {s: sum(n for length, _, n, *_ in segments if length == s) for s in counts} == counts
 
 
+def test_packing_rounds_over_ranges(spark):
+    """Ranges swept apart, pieces that cross ranges and further sequences: all pieces placed, hardly more sequences."""
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(1, 41, 400), rng.integers(15, 30, 300), np.array([21] * 40 + [3] * 5)):
+        counts = {int(s): int((sizes == s).sum()) for s in set(sizes)}
+        lengths = spark.createDataFrame(list(counts.items()), "length long, n long")
+        used = {}
+        for r in packing.placed(lengths, 40, ranges=3).collect():
+            for i in range(r.many):
+                used.setdefault(r.sequence + i // r.places, []).append((r["at"] + i % r.places * r.length, r.length, r.first + i))
+        ranks = sorted((n, k) for pieces in used.values() for _, n, k in pieces)
+        assert ranks == sorted((s, k) for s, n in counts.items() for k in range(n))
+        for pieces in used.values():
+            ends = np.cumsum([n for _, n, _ in sorted(pieces)])
+            assert [at for at, *_ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 40
+        assert len(used) <= 1.03 * best_fit_decreasing(sizes.tolist(), 40) + 1
+
+
 def test_line_dedup(spark, none):
     para = " ".join(["word"] * 50)
     docs = spark.createDataFrame([(1, f"a\nb\n\nc\n{para}"), (2, f"x\na\nb\ny\n{para}\nc"), (3, None), (4, ""), (5, "q\nq\nq\nq"), (6, "a\nb\nc"), (6, "a\nb\nc"), (None, "c\nz")], "doc_id long, text string").withColumn("pos", F.lit(1)).withColumn("line", F.lit("l"))
@@ -190,6 +213,39 @@ def test_line_dedup(spark, none):
     assert deep[2] == f"x\na\nb\ny\n{para}\nc" and deep[1] == f"a\nb\n\nc\n{para}" and deep[6] == ""
 
 
+def test_line_dedup_maximal_runs(spark):
+    """Runs of more lines than the least depth, with their originals and lengths, against all pairs of places."""
+    rng = np.random.default_rng(6)
+    base = [f"l{i}" for i in range(40)]
+    texts = ["\n".join(base), "\n".join(["x", *base[5:17], "y", *base[30:33], "z"]), "\n".join([*base[3:9], *base[5:17]]), "\n".join(base[20:22] * 3), "\n".join(base), "\n".join(rng.choice(["a", "b"], 30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = line_dedup.maximal_runs(line_dedup.sequences(docs, "doc_id", "text"), 2).collect()
+    own = [t.split("\n") for t in texts]
+    for r in got:
+        a, b = own[r.doc][r.pos :], own[r.original.doc][r.original.pos :]
+        common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert (r.original.doc, r.original.pos) < (r.doc, r.pos) and r.length == common >= 2
+    found = {(r.doc, r.pos, r.length) for r in got}
+    assert {(1, 1, 12), (1, 14, 3), (2, 0, 6), (2, 6, 12), (4, 0, 40)} <= found
+    covered = {(r.doc, p) for r in got for p in range(r.pos, r.pos + r.length)}
+    want, first = set(), {}
+    for d, lines in enumerate(own):
+        for p in range(len(lines) - 1):
+            at = first.setdefault(tuple(lines[p : p + 2]), (d, p))
+            if at[0] != d or p >= at[1] + 2:
+                want |= {(d, p), (d, p + 1)}
+    assert covered == want
+
+
+def test_line_dedup_long_text(spark):
+    """Many runs in one long document."""
+    text = "\n".join(f"only {i}" if i % 3 else f"shared {i}\nnext {i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, "\n".join(f"shared {i}\nnext {i}\n" for i in range(0, 30_000, 6))), (2, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_deduplicated(docs).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 10_000 and len(got[2].removed_runs) == 5_000
+    assert got[2].text == "\n".join(f"only {i}" if i % 3 else f"shared {i}\nnext {i}" for i in range(30_000) if i % 6)
+
+
 def test_toxicity(spark, odd, none):
     labels = spark.createDataFrame([(None, 1, 1)], "doc_id long, quality int, toxic int")
     unlabelled = toxicity.toxicity(odd, labels).collect()
