@@ -25,6 +25,11 @@ def scores(queries: DataFrame, selected: DataFrame, gold: DataFrame) -> DataFram
     return out.withColumn("recall", F.when(F.col("answerable"), safe_ratio(F.col("covered_chars"), F.col("gold_chars")))).withColumn("precision", F.when(F.col("answerable"), safe_ratio(F.col("covered_chars"), F.col("selected_chars")))).withColumn("abstention_correct", F.when(F.col("answerable"), F.col("n_selected") > 0).otherwise(F.col("n_selected") == 0))
 
 
+def resolved(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """queries: query_id, evidence_ids. The spans that a query's identifiers stand for; unknown ones have none."""
+    return queries.select("query_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence, "evidence_id")
+
+
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Means over the queries they apply to; null where there are none."""
     return rows.groupBy(*by).agg(

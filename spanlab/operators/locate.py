@@ -8,30 +8,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlab.functions.numbers import safe_ratio
+from spanlab.functions.text import sanitized
 
-def _affix(text: str, chunk: str, last: bool) -> tuple[int, int] | None:
-    """The longest verbatim suffix (or prefix) of chunk that text holds, if it is half of chunk or more."""
+
+def _found(text: str, piece: str, cursor: int) -> int:
+    at = text.find(piece, cursor)
+    return at if at >= 0 else text.find(piece)
+
+
+def _affix(text: str, chunk: str, last: bool, cursor: int) -> tuple[int, int] | None:
+    """The longest verbatim suffix (or prefix) of chunk that text holds, if it is half of chunk or more, sought from the
+    cursor, then from 0."""
     lo, hi, best = (len(chunk) + 1) // 2, len(chunk), None
     while lo <= hi:
         n = (lo + hi) // 2
-        at = text.find(chunk[len(chunk) - n :] if last else chunk[:n])
-        if at >= 0:
-            best, lo = (at, at + n), n + 1
+        piece = chunk[len(chunk) - n :] if last else chunk[:n]
+        if piece in text:
+            best, lo = piece, n + 1
         else:
             hi = n - 1
-    return best
+    if best is None:
+        return None
+    at = _found(text, best, cursor)
+    return at, at + len(best)
 
 
-def fuzzy(text: str, chunk: str) -> tuple[int, int, int] | None:
-    """(start, end, covered) from the longest verbatim ends of a chunk that isn't in text as a whole."""
+def fuzzy(text: str, chunk: str, cursor: int = 0) -> tuple[int, int, int] | None:
+    """(start, end, covered) from the longest verbatim ends of a chunk that isn't in text as a whole: both together where the
+    gap between them is at most twice the chunk, and covered is then the longer one."""
     if not chunk:
         return None
-    head, tail = _affix(text, chunk, False), _affix(text, chunk, True)
+    head, tail = _affix(text, chunk, False, cursor), _affix(text, chunk, True, cursor)
     if head and tail:
-        start, end = min(head[0], tail[0]), max(head[1], tail[1])
-        if end - start <= 2 * len(chunk):
-            covered = (head[1] - head[0]) + (tail[1] - tail[0]) - max(0, min(head[1], tail[1]) - max(head[0], tail[0]))
-            return start, end, min(covered, len(chunk))
+        gap = max(head[0], tail[0]) - min(head[1], tail[1])
+        if gap <= 2 * len(chunk):
+            return min(head[0], tail[0]), max(head[1], tail[1]), max(head[1] - head[0], tail[1] - tail[0])
     best = tail if tail and (not head or tail[1] - tail[0] >= head[1] - head[0]) else head
     return (*best, best[1] - best[0]) if best else None
 
@@ -42,14 +54,12 @@ def located_in(text: str, chunks: list[str]) -> list[tuple[int | None, int | Non
     for chunk in chunks:
         at = -1
         if chunk.strip():
-            at = text.find(chunk, cursor)
-            if at < 0:
-                at = text.find(chunk)
+            at = _found(text, chunk, cursor)
         if at >= 0:
             out.append((at, at + len(chunk), len(chunk), True))
             cursor = max(cursor, at + len(chunk))
             continue
-        near = fuzzy(text, chunk) if chunk.strip() else None
+        near = fuzzy(text, chunk, cursor) if chunk.strip() else None
         if near is None:
             out.append((None, None, 0, False))
             cursor = 0
@@ -59,14 +69,19 @@ def located_in(text: str, chunks: list[str]) -> list[tuple[int | None, int | Non
     return out
 
 
+#: A character that isn't white space of any kind, for SQL.
+SOLID = r"[^\\s\\p{Z}\\x1c-\\x1f\\x85]"
+
+
 def located(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """chunks (document_id, strategy, chunk_index, text) with char_start, char_end, covered_chars, exact in docs' texts.
+    """chunks (document_id, strategy, chunk_index, text) with char_start, char_end, covered_chars, exact in docs' texts, which
+    are sanitised first (chunks aren't).
 
     A document's chunks of one strategy are gathered in order beside its text, and folded in Arrow batches.
     """
     keys = ["document_id", "strategy"]
     own = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("chunk_index").cast("bigint").alias("i"), F.col("text").alias("t")))).alias("own"))
-    rows = own.join(docs.select("document_id", F.col("text").alias("document")), "document_id")
+    rows = own.join(docs.select("document_id", sanitized(F.col("text")).alias("document")), "document_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -87,7 +102,7 @@ def located_exactly(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     found = "array<struct<i:bigint,t:string,s:int>>"
     folded = F.expr(f"""
         aggregate(own, struct(0 AS cursor, cast(array() AS {found}) AS found),
-          (a, c) -> transform(array(if(length(trim(c.t)) = 0, 0, if(locate(c.t, document, a.cursor + 1) > 0, locate(c.t, document, a.cursor + 1), locate(c.t, document)))),
+          (a, c) -> transform(array(if(NOT c.t RLIKE '{SOLID}', 0, if(locate(c.t, document, a.cursor + 1) > 0, locate(c.t, document, a.cursor + 1), locate(c.t, document)))),
             at -> struct(if(at > 0, greatest(a.cursor, at - 1 + length(c.t)), 0) AS cursor,
                          array_append(a.found, struct(c.i AS i, c.t AS t, if(at > 0, at - 1, null) AS s)) AS found))[0],
           a -> a.found)""")
@@ -122,3 +137,9 @@ def located_sequentially(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     kind = docs.schema["document_id"].dataType.simpleString()
     out = rows.mapInPandas(run, f"document_id {kind}, strategy string, found array<struct<chunk_index:bigint,char_start:bigint,char_end:bigint>>")
     return out.select(*keys, F.inline("found"))
+
+
+def localization(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows: as `located` gives them. The share of chunks that were found, and of their characters that were."""
+    rate = F.coalesce(F.avg(F.col("char_start").isNotNull().cast("double")), F.lit(0.0))
+    return rows.groupBy(*by).agg(rate.alias("localization_rate"), safe_ratio(F.sum("covered_chars"), F.sum(F.length("text"))).alias("localization_coverage"))

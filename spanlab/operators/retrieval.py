@@ -14,6 +14,14 @@ KS = (1, 3, 5, 10)
 EXPRESSION_SECTIONS = 8
 
 
+def grid(strategies: list[str], models: list[str], queries: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Every query with every strategy and model that there is an index for: strategy, model and the columns of queries."""
+    spark = queries.sparkSession
+    pairs = spark.createDataFrame([(s, m) for s in strategies for m in models], "strategy string, model string")
+    built = pairs.join(indexes.select("strategy", "model").distinct(), ["strategy", "model"])
+    return queries.crossJoin(F.broadcast(built))  # strategies times models, as configured
+
+
 def usable_sections(sections: DataFrame) -> DataFrame:
     """Positive grades and widths; duplicates keep their highest grade and first place."""
     good = sections.where("grade > 0 and g_end > g_start")

@@ -70,28 +70,31 @@ def macro_average(rows: DataFrame, by: list[str], columns: list[str], poison: bo
 
 
 def headings(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Recall and precision of the clauses that chunks claim in section_hierarchy; null where no chunk has one.
+    """Recall and precision of the clauses that chunks claim in section_hierarchy; null where no chunk has one, and then all
+    clauses are counted.
 
-    A claim is right if a clause under that key overlaps the chunk. Recall is over clauses that some chunk reaches 50
-    characters into.
+    A claim counts if its chunk touches a clause at all, and is right if a clause under that key does. Recall is over clauses
+    that some chunk reaches 50 characters into.
     """
     from spanlab.functions.identifiers import claimed_identifier, lookup_keys, normalize_identifier
 
-    here = located(chunks)
     gold = clauses.select("document_id", "identifier", "g_start", "g_end")
-    claims = here.withColumn("claim", claimed_identifier(F.col("section_hierarchy"))).where("claim is not null").withColumn("key", normalize_identifier(F.col("claim")))
-    keyed = gold.withColumn("key", F.explode(lookup_keys(F.col("identifier"))))
-    hit = overlap_join(claims.select(*KEYS, "chunk_index", "char_start", "char_end", "key"), keyed.withColumnRenamed("key", "g_key")).where("key = g_key")
-    reached = overlap_join(here.select(*KEYS, "char_start", "char_end"), gold, 50).select(*KEYS, "identifier").distinct()
-    first = hit.groupBy(*KEYS, "chunk_index").agg(F.min(F.struct("g_start", "identifier"))["identifier"].alias("identifier"))
-    right = first.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("right"))
-    found = first.select(*KEYS, "identifier").distinct().join(reached, [*KEYS, "identifier"], "left_semi").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("found"))
+    here = located(chunks).withColumn("claim", claimed_identifier(F.col("section_hierarchy")))
+    here = here.select(*KEYS, "chunk_index", "char_start", "char_end", normalize_identifier(F.col("claim")).alias("key"))
+    touched = overlap_join(here, gold.withColumn("keys", lookup_keys(F.col("identifier"))))
+    named = F.when(F.array_contains("keys", F.col("key")), F.struct("g_start", "identifier"))
+    claims = touched.where("key is not null").groupBy(*KEYS, "chunk_index").agg(F.min(named).alias("hit"))
+    reached = touched.where("overlap_chars >= 50").select(*KEYS, "identifier").distinct()
+    told = claims.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("claims"), F.count("hit").alias("right"))
+    found = claims.where("hit is not null").select(*KEYS, "hit.identifier").distinct().join(reached, [*KEYS, "identifier"], "left_semi")
     out = chunks.groupBy(*KEYS).agg(F.bool_or(F.col("section_hierarchy").isNotNull()).alias("_some"))
-    for part in (claims.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("claims")), right, found, reached.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gold_headings"))):
+    for part in (told, found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("found")), reached.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("reached"))):
         out = out.join(part, KEYS, "left")
-    out = out.fillna(0, ["claims", "right", "found", "n_gold_headings"])
+    out = out.join(gold.groupBy("document_id").agg(F.count(F.lit(1)).alias("all")), "document_id", "left")
+    out = out.fillna(0, ["claims", "right", "found", "reached", "all"])
     some = lambda x: F.when(F.col("_some"), x)
-    return out.select(*KEYS, some(safe_ratio(F.col("found"), F.col("n_gold_headings"), 1.0)).alias("heading_recall"), some(safe_ratio(F.col("right"), F.col("claims"), 1.0)).alias("heading_precision"), "n_gold_headings")
+    number = F.when(F.col("_some"), F.col("reached")).otherwise(F.col("all")).alias("n_gold_headings")
+    return out.select(*KEYS, some(safe_ratio(F.col("found"), F.col("reached"), 1.0)).alias("heading_recall"), some(safe_ratio(F.col("right"), F.col("claims"), 1.0)).alias("heading_precision"), number)
 
 
 def definition_attachment(chunks: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -45,6 +45,39 @@ def hashed_counts(text: Column, dim: int = 64) -> Column:
     return let(counts, lambda n: let(F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x)), lambda length: unit(n, length)))
 
 
+def registered(vectors: DataFrame) -> DataFrame:
+    """vectors: strategy, model, vec. The indexes that there are, a partition each: strategy, model, n_vectors and dim."""
+    return vectors.groupBy("strategy", "model").agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("vec")).cast("bigint").alias("dim"))
+
+
+def index_of(vectors: DataFrame, strategy: str, model: str) -> DataFrame:
+    """The vectors of one index; written partitioned by strategy and model, no other is read."""
+    return vectors.where((F.col("strategy") == strategy) & (F.col("model") == model)).drop("strategy", "model")
+
+
+class ModelError(ValueError):
+    """No configured model can be used."""
+
+
+def resolved_models(configured: list[str], paid: dict[str, str], allow_paid: bool, env: dict[str, str]) -> list[str]:
+    """The models to run. paid: those that cost money, with the variable that holds their key: they need both the key and the
+    permission, and with both they run even if they aren't configured. Unknown names are errors, and so is an empty list."""
+    unknown = [m for m in configured if m not in EMBEDDERS and m not in paid]
+    if unknown:
+        raise ModelError(f"unknown models: {unknown}")
+    usable = [m for m, key in paid.items() if allow_paid and env.get(key)]
+    out = [m for m in configured if m in EMBEDDERS or m in usable]
+    out += [m for m in usable if m not in out]
+    if not out:
+        raise ModelError("no usable embedding model")
+    return out
+
+
+def prefixed(text: Column, prefix: str) -> Column:
+    """The text under a model's instruction, unless it begins with the instruction's first word already."""
+    return F.when(F.startswith(text, F.lit(prefix.split()[0])), text).otherwise(F.concat(F.lit(prefix), text))
+
+
 EMBEDDERS = {"hashed_64": lambda text: hashed_counts(text, 64)}
 
 

@@ -85,7 +85,10 @@ def chk9(spark, sf):
     return fixed(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), number(F.coalesce(F.avg(F.col("char_end") - F.col("char_start")), F.lit(0.0))).alias("avg_chunk_size"))
 
 
-@query("chk11_strategy_parameters")
+PARAMETERS = {"clause_aware": '{"max_chars": 1200, "min_chars": 120}', "fixed_size": '{"size": 256}', "rcts_1024": '{"overlap": 100, "size": 1024}', "rcts_512": '{"overlap": 50, "size": 512}', "sentence_split": '{"min_chars": 100}', "sentence_window": '{"stride": 2, "window": 3}', "token_window": '{"overlap": 8, "window": 64}'}
+
+
+@query("chk11_strategy_parameters", "FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in PARAMETERS.items()) + ") t(strategy, parameters)")
 def chk11(spark, sf):
     return chunkers.strategy_parameters(spark, {"fixed_size": {"size": 256}})
 
@@ -106,22 +109,64 @@ def txt3(spark, sf):
     return documents(spark, sf).select("document_id", T.token_count(F.col("text")).alias("n_tokens"), T.line_count(F.col("text")).alias("line_count"))
 
 
-@query("txt4_locate_chunks", f"WITH {TOKENS_SQL} SELECT document_id, chunk_index, char_end - char_start AS found FROM windows")
-def txt4(spark, sf):
-    rows = locate.located_exactly(windows(spark, sf).withColumn("strategy", F.lit("token_window")), documents(spark, sf))
-    return rows.select("document_id", "chunk_index", (F.col("char_end") - F.col("char_start")).alias("found"))
+#: The place of a text at or after a cursor, else its first place; null where there is none.
+SOUGHT = "CASE WHEN instr(substring(d.text, (f.cursor + 1)::INT), {0}) > 0 THEN f.cursor + instr(substring(d.text, (f.cursor + 1)::INT), {0}) - 1 WHEN instr(d.text, {0}) > 0 THEN instr(d.text, {0}) - 1 END"
 
 
-@query("txt5_fuzzy_locate")
+@query("txt4_locate_chunks", f"""WITH RECURSIVE {TOKENS_SQL.replace("window_texts AS", "window_texts AS MATERIALIZED")},
+ found AS (SELECT doc_id AS document_id, -1::BIGINT AS k, 0::BIGINT AS cursor, NULL::BIGINT AS char_start, NULL::BIGINT AS char_end FROM documents
+           UNION ALL
+           SELECT document_id, k, CASE WHEN place IS NULL THEN 0 ELSE greatest(cursor, place + n) END, place, place + n FROM (
+             SELECT f.document_id, f.k + 1 AS k, f.cursor, length(w.text) AS n, {SOUGHT.format("w.text")}::BIGINT AS place
+             FROM found f JOIN window_texts w ON w.document_id = f.document_id AND w.chunk_index = f.k + 1 JOIN documents d ON d.doc_id = f.document_id))
+ SELECT document_id, k AS chunk_index, char_start, char_end FROM found WHERE k >= 0""")
+def txt4(spark, sf):
+    rows = locate.located_exactly(windows(spark, sf).withColumn("strategy", F.lit("token_window")), documents(spark, sf))
+    return rows.select("document_id", "chunk_index", "char_start", "char_end")
+
+
+ENDS = "list_max(list_filter(range(((length(c.text) + 1) // 2)::BIGINT, length(c.text) + 1), lambda n: contains(d.text, {}(c.text, n::INT))))"
+LOCATED_SQL = SENTENCE_SQL + f""",
+ ends AS MATERIALIZED (SELECT c.document_id, chunk_index, c.text, contains(d.text, c.text) AS whole, CASE WHEN NOT whole THEN {ENDS.format("right")} END AS tail, CASE WHEN NOT whole THEN {ENDS.format("left")} END AS head
+                       FROM chunks c JOIN documents d ON d.doc_id = c.document_id),
+ found AS (SELECT doc_id AS document_id, -1::BIGINT AS k, 0::BIGINT AS cursor, NULL::BIGINT AS char_start, NULL::BIGINT AS char_end, 0::BIGINT AS covered_chars, false AS exact, 0::BIGINT AS n FROM documents
+           UNION ALL
+           SELECT document_id, k, CASE WHEN a IS NULL THEN 0 ELSE greatest(cursor, b) END, a, b, coalesce(covered, 0), whole, n FROM (
+             SELECT document_id, k, cursor, whole, n, tail, head,
+                    CASE WHEN whole THEN w WHEN joined THEN least(t, h) WHEN last THEN t ELSE h END::BIGINT AS a,
+                    CASE WHEN whole THEN w + n WHEN joined THEN greatest(t + tail, h + head) WHEN last THEN t + tail ELSE h + head END::BIGINT AS b,
+                    CASE WHEN whole THEN n WHEN joined THEN greatest(tail, head) WHEN last THEN tail ELSE head END::BIGINT AS covered
+             FROM (SELECT *, tail IS NOT NULL AND head IS NOT NULL AND greatest(t, h) - least(t + tail, h + head) <= 2 * n AS joined, tail IS NOT NULL AND (head IS NULL OR tail >= head) AS last
+                   FROM (SELECT f.document_id, f.k + 1 AS k, f.cursor, e.whole, length(e.text) AS n, e.tail, e.head, {SOUGHT.format("e.text")} AS w,
+                                {SOUGHT.format("right(e.text, e.tail::INT)")} AS t, {SOUGHT.format("left(e.text, e.head::INT)")} AS h
+                         FROM found f JOIN ends e ON e.document_id = f.document_id AND e.chunk_index = f.k + 1 JOIN documents d ON d.doc_id = f.document_id))))"""
+
+
+@query("txt5_fuzzy_locate", LOCATED_SQL + " SELECT document_id, 'sentence_split' AS strategy, k AS chunk_index, coalesce(char_start, -1) AS char_start, coalesce(char_end, -1) AS char_end, covered_chars, exact FROM found WHERE k >= 0")
 def txt5(spark, sf):
     chunks = chunkers.sentence_split(documents(spark, sf)).withColumn("strategy", F.lit("sentence_split"))
-    return locate.located(chunks, documents(spark, sf)).drop("text")
+    return locate.located(chunks, documents(spark, sf)).drop("text").fillna(-1, ["char_start", "char_end"])
 
 
-@query("txt7_localization", f"WITH {TOKENS_SQL} SELECT 1.0::DOUBLE AS localization_rate, 1.0::DOUBLE AS localization_coverage, count(*) AS n_chunks FROM windows")
+@query("txt7_localization", LOCATED_SQL + " SELECT document_id, round(avg((char_start IS NOT NULL)::INT), 6) AS localization_rate, round(sum(covered_chars) / sum(n), 6) AS localization_coverage FROM found WHERE k >= 0 GROUP BY 1")
 def txt7(spark, sf):
-    rows = locate.located(windows(spark, sf).drop("char_start", "char_end").withColumn("strategy", F.lit("token_window")), documents(spark, sf))
-    return rows.agg(F.avg(F.col("char_start").isNotNull().cast("double")).alias("localization_rate"), (F.sum("covered_chars") / F.sum(F.length("text"))).alias("localization_coverage"), F.count(F.lit(1)).alias("n_chunks"))
+    chunks = chunkers.sentence_split(documents(spark, sf)).withColumn("strategy", F.lit("sentence_split"))
+    rows = locate.localization(locate.located(chunks, documents(spark, sf)), ["document_id"])
+    return rows.select("document_id", number("localization_rate").alias("localization_rate"), number("localization_coverage").alias("localization_coverage"))
+
+
+@query("txt8_sequential_search", SENTENCE_SQL + f""",
+ held AS MATERIALIZED (SELECT document_id, chunk_index, text FROM chunks),
+ found AS (SELECT doc_id AS document_id, -1::BIGINT AS k, 0::BIGINT AS cursor, NULL::BIGINT AS char_start, NULL::BIGINT AS char_end FROM documents
+           UNION ALL
+           SELECT document_id, k, coalesce(place + n, cursor), place, place + n FROM (
+             SELECT f.document_id, f.k + 1 AS k, f.cursor, length(w.text) AS n, {SOUGHT.format("w.text")}::BIGINT AS place
+             FROM found f JOIN held w ON w.document_id = f.document_id AND w.chunk_index = f.k + 1 JOIN documents d ON d.doc_id = f.document_id))
+ SELECT document_id, k AS chunk_index, char_start, char_end FROM found WHERE char_start IS NOT NULL""")
+def txt8(spark, sf):
+    """Of sentence chunks, some of which aren't verbatim and are skipped."""
+    chunks = chunkers.sentence_split(documents(spark, sf)).withColumn("strategy", F.lit("sentence_split"))
+    return locate.located_sequentially(chunks, documents(spark, sf)).drop("strategy")
 
 
 @query("gld6_finalize_clauses", f"WITH {CLAUSES_SQL} SELECT document_id, identifier, g_start, g_end FROM clauses")
@@ -134,24 +179,6 @@ def gld7(spark, sf):
     return spans.nearest_preceding(clauses(spark, sf), F.col("is_top_level"), "identifier", "nearest").select("document_id", "identifier", "nearest")
 
 
-@query("gld10_first_sentence", f"WITH {CLAUSES_SQL} SELECT document_id, identifier, substring(regexp_extract(trim(heading), '^[^.]*\\.?'), 1, 120) AS title FROM clauses")
-def gld10(spark, sf):
-    return clauses(spark, sf).select("document_id", "identifier", F.substring(F.regexp_extract(F.trim("heading"), r"^[^.]*\.?", 0), 1, 120).alias("title"))
-
-
-@query("gld11_roman", "SELECT i::BIGINT AS i, i::BIGINT AS back FROM range(1, 1000) t(i)")
-def gld11(spark, sf):
-    return spark.range(1, 1000).select(F.col("id").alias("i"), T.roman_to_int(T.int_to_roman(F.col("id"))).cast("bigint").alias("back"))
-
-
-@query("gld12_drift", f"WITH {CLAUSES_SQL} SELECT document_id, count(*) AS missing FROM clauses WHERE length(heading) < 60 GROUP BY 1")
-def gld12(spark, sf):
-    """Clauses in a fresh extraction against those committed: here without short ones."""
-    fresh = clauses(spark, sf).select("document_id", "identifier", "g_start", "g_end")
-    committed = clauses(spark, sf).where("length(heading) >= 60").select("document_id", "identifier", "g_start", "g_end")
-    return fresh.exceptAll(committed).groupBy("document_id").agg(F.count(F.lit(1)).alias("missing"))
-
-
 @query("flt2_leaf_and_top", f"WITH {CLAUSES_SQL} SELECT document_id, count(*) FILTER (WHERE is_leaf) AS leaves, count(*) FILTER (WHERE is_top_level) AS tops, count(*) FILTER (WHERE is_leaf AND g_end - g_start >= 20) AS eligible FROM full_clauses GROUP BY 1")
 def flt2(spark, sf):
     return full_clauses(spark, sf).groupBy("document_id").agg(F.count_if("is_leaf").alias("leaves"), F.count_if("is_top_level").alias("tops"), F.count_if(F.col("is_leaf") & (F.col("g_end") - F.col("g_start") >= 20)).alias("eligible"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlab.operators import retrieval as R, vector as V
+from spanlab.operators.validate import candidate_violations, vector_violations
 from spanlab.plans.tables import RANKING_SQL, benchmark_queries, documents, evidence, number, query, ranking, table
 
 DEPTH = 10
@@ -137,19 +138,27 @@ def jn7(spark, sf):
     return pairs.groupBy("query_id", "label").agg(number(F.max("score")).alias("best"))
 
 
-@query("jn12_dense_grid", "SELECT s.strategy, m.model, count(*) AS n FROM (VALUES ('fixed_size'), ('token_window')) s(strategy), (VALUES ('a'), ('b')) m(model), benchmark WHERE NOT (s.strategy = 'fixed_size' AND m.model = 'b') GROUP BY ALL")
+@query("jn12_dense_grid", "SELECT s.strategy, m.model, item_id AS query_id FROM (VALUES ('fixed_size'), ('token_window'), ('sentence_split')) s(strategy), (VALUES ('a'), ('b')) m(model), benchmark WHERE (s.strategy, m.model) IN (SELECT ['fixed_size', 'token_window', 'sentence_split'][label % 3 + 1], ['a', 'b'][label % 2 + 1] FROM embeddings WHERE label < 5)")
 def jn12(spark, sf):
-    strategies = spark.createDataFrame([("fixed_size",), ("token_window",)], "strategy string")
-    models = spark.createDataFrame([("a",), ("b",)], "model string")
-    built = spark.createDataFrame([("fixed_size", "a"), ("token_window", "a"), ("token_window", "b")], "strategy string, model string")
-    grid = F.broadcast(strategies.crossJoin(models).join(built, ["strategy", "model"]))
-    return benchmark_queries(spark, sf).crossJoin(grid).groupBy("strategy", "model").agg(F.count(F.lit(1)).alias("n"))
+    """An index for some pairs of strategy and model only."""
+    rows = indexes(spark, sf).where("label < 5")
+    return R.grid(["fixed_size", "token_window", "sentence_split"], ["a", "b"], benchmark_queries(spark, sf), rows).select("strategy", "model", "query_id")
 
 
-@query("val10_vector_dimensions", "SELECT len(embedding)::BIGINT AS dim, count(*) AS n, round(max(abs(1 - sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))))), 4) AS off_unit FROM embeddings GROUP BY 1")
+def indexes(spark, sf):
+    """Vectors of six indexes: strategy, model, vec_id, vec."""
+    strategy = F.element_at(F.array(*map(F.lit, ("fixed_size", "token_window", "sentence_split"))), (F.col("label") % 3 + 1).cast("int"))
+    model = F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("label") % 2 + 1).cast("int"))
+    return table(spark, sf, "embeddings").select(strategy.alias("strategy"), model.alias("model"), "vec_id", "label", F.col("embedding").alias("vec"))
+
+
+@query("val10_vector_dimensions", "SELECT vec_id::VARCHAR AS document_id, 'vector length' AS what FROM embeddings WHERE vec_id % 11 = 4 OR vec_id % 13 = 5")
 def val10(spark, sf):
+    """Some vectors are short, some are missing."""
+    vec = F.when(F.col("vec_id") % 13 == 5, F.lit(None)).when(F.col("vec_id") % 11 == 4, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
     rows = table(spark, sf, "embeddings")
-    return rows.groupBy(F.size("embedding").cast("bigint").alias("dim")).agg(F.count(F.lit(1)).alias("n"), number(F.max(F.abs(1 - V.norm(F.col("embedding")))), 4).alias("off_unit"))
+    dim = len(rows.select("embedding").first()[0])
+    return vector_violations(rows.select("vec_id", vec.alias("vec")), dim)
 
 
 HASHED_SQL = r"SELECT doc_id AS owner_id, p, count(*) AS n FROM (SELECT doc_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 64 AS p FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS w FROM documents)) GROUP BY ALL"
@@ -172,11 +181,19 @@ def src13(spark, sf):
     return both.groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("em5_index_registry", "SELECT label % 2 AS part, vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
+REGISTRY_SQL = "rows AS (SELECT ['fixed_size', 'token_window', 'sentence_split'][label % 3 + 1] AS strategy, ['a', 'b'][label % 2 + 1] AS model, * FROM embeddings)"
+
+
+@query("em5_index_registry", f"WITH {REGISTRY_SQL} SELECT strategy, model, count(*) AS n_vectors, len(any_value(embedding))::BIGINT AS dim FROM rows GROUP BY ALL")
 def em5(spark, sf):
-    """An index for each (strategy, model) is a partition of one table; here by label."""
-    rows = table(spark, sf, "embeddings").withColumn("part", F.col("label") % 2)
-    return rows.select("part", "vec_id", number(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+    return V.registered(indexes(spark, sf))
+
+
+@query("em5_search_of_one_index", f"WITH {REGISTRY_SQL}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), pairs AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(q, embedding::DOUBLE[]), lambda z: z[1] * z[2])) AS score FROM q, rows WHERE strategy = 'token_window' AND model = 'b') SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 5")
+def em5_search(spark, sf):
+    asked = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    hits = V.top_k(asked, V.index_of(indexes(spark, sf), "token_window", "b"), 5)
+    return hits.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("drm_by_strategy", f"WITH {DOTS_SQL} SELECT query_id % 5 AS document_id, round(avg((vec_id % 5 <> query_id % 5)::INT), 6) AS drm FROM top GROUP BY 1")
@@ -188,8 +205,12 @@ def drm_by_strategy(spark, sf):
     return rows.groupBy((F.col("query_id") % 5).alias("document_id")).agg(number(F.avg((F.col("vec_id") % 5 != F.col("query_id") % 5).cast("int"))).alias("drm"))
 
 
-@query("val6_candidate_ids", "SELECT query_id, document_id, 0::BIGINT AS n FROM (SELECT 0 AS query_id, 0 AS document_id) WHERE false")
+@query("val6_candidate_ids", f"WITH {RANKING_SQL}, top AS (SELECT *, document_id || ':' || char_start AS id FROM all_ranks WHERE rank <= 5), kept AS (SELECT document_id, id, query_id, rank FROM top QUALIFY row_number() OVER (PARTITION BY id ORDER BY query_id, rank) = 1) SELECT document_id::VARCHAR AS document_id, 'repeated candidate ' || id AS what FROM kept WHERE query_id % 5 = 0 UNION ALL SELECT document_id::VARCHAR, 'span of ' || id FROM kept, (SELECT unnest(range(0, 2)) AS copy) WHERE rank = 2 AND (copy = 0 OR query_id % 5 = 0)")
 def val6(spark, sf):
-    """Ranked candidates that stand twice: none."""
-    return ranking(spark, sf).groupBy("query_id", "document_id", "char_start").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("query_id", "document_id", "n")
+    """Each candidate once, but for some that stand twice and some whose span is a character too long."""
+    from pyspark.sql import Window
 
+    rows = ranking(spark, sf).withColumn("id", F.concat_ws(":", "document_id", "char_start"))
+    once = rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("query_id", "rank"))).where("n = 1")
+    once = once.withColumn("char_end", F.col("char_end") + (F.col("rank") == 2).cast("int"))
+    return candidate_violations(once.unionByName(once.where("query_id % 5 = 0")))

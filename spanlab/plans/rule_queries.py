@@ -52,13 +52,6 @@ def win56(spark, sf):
     return deepest.join(first, "query_id", "left").fillna(0, ["first"])
 
 
-@query("txt8_sequential_search", f"WITH {TOKENS_SQL} SELECT document_id, count(*) AS found FROM windows GROUP BY 1")
-def txt8(spark, sf):
-    """Sentence windows of no overlap would be skipped where they aren't found; token windows all are."""
-    rows = windows(spark, sf).withColumn("strategy", F.lit("token_window"))
-    return locate.located_sequentially(rows, documents(spark, sf)).groupBy("document_id").agg(F.count(F.lit(1)).alias("found"))
-
-
 @query("txt11_context_header", "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '[Section: ' || source || CASE WHEN doc_id % 3 = 1 THEN ' | Terms: a, b' ELSE ' | Refs: z, y, x' END || ']' || chr(10) END AS header FROM documents")
 def txt11(spark, sf):
     part = F.col("document_id") % 3
@@ -67,10 +60,28 @@ def txt11(spark, sf):
     return documents(spark, sf).select("document_id", T.context_header(F.when(part > 0, F.col("source")), F.lit(None).cast("string"), terms, refs).alias("header"))
 
 
-@query("val1_clause_rules", f"WITH {CLAUSES_SQL} SELECT document_id::VARCHAR AS document_id, 'bounds of ' || identifier AS what FROM clauses WHERE g_end <= g_start")
+RULES_SQL = f"""WITH {CLAUSES_SQL},
+ c AS (SELECT *, k % 3 AS r, document_id::VARCHAR AS d FROM clauses),
+ kinds AS (SELECT document_id, d, k, r, identifier, parent, g_start, g_end, n_chars,
+                  CASE WHEN k = 0 THEN 'none' WHEN k % 11 = 3 AND r = 0 THEN 'flag' WHEN k % 11 = 4 AND r > 0 THEN 'unknown' WHEN k % 11 = 5 AND r > 0 THEN 'level' WHEN k % 11 = 7 AND r > 0 THEN 'orphan' ELSE 'none' END AS kind
+           FROM c JOIN (SELECT doc_id AS document_id, length(text) AS n_chars FROM documents) USING (document_id))
+ SELECT d AS document_id, 'bounds of ' || identifier AS what FROM kinds WHERE g_end <= g_start
+ UNION ALL SELECT d, 'top-level flag of ' || identifier FROM kinds WHERE kind IN ('flag')
+ UNION ALL SELECT d, 'unknown parent of ' || identifier FROM kinds WHERE kind = 'unknown'
+ UNION ALL SELECT d, 'parent level or place of ' || identifier FROM kinds WHERE kind = 'level'
+ UNION ALL SELECT d, 'no parent of ' || identifier FROM kinds WHERE kind = 'orphan'"""
+
+
+@query("val1_clause_rules", RULES_SQL.replace("n_chars\n           FROM c JOIN", "x.n_chars\n           FROM c JOIN").replace("length(text) AS n_chars FROM documents) USING", "length(text) AS n_chars FROM documents) x USING"))
 def val1(spark, sf):
+    """Clauses with one rule broken here and there."""
     rows = full_clauses(spark, sf).join(documents(spark, sf).select("document_id", F.length("text").alias("n_chars")), "document_id")
-    return validate.clause_violations(rows.withColumn("level", F.when(F.col("is_top_level"), 1).otherwise(2)))
+    k = F.substring("identifier", 2, 9).cast("int")
+    spot = lambda n, child: (k > 0) & (k % 11 == n) & ((k % 3 > 0) if child else (k % 3 == 0))
+    rows = rows.withColumn("level", F.when(spot(5, True), 3).when(F.col("is_top_level"), 1).otherwise(2))
+    rows = rows.withColumn("parent", F.when(spot(4, True), "gone").when(spot(7, True), None).otherwise(F.col("parent")))
+    rows = rows.withColumn("is_top_level", F.when(spot(3, False), False).otherwise(F.col("is_top_level")))
+    return validate.clause_violations(rows)
 
 
 @query("val5_text_digests", "SELECT doc_id::VARCHAR AS document_id, 'another text' AS what FROM documents WHERE doc_id % 10 = 0")

@@ -66,11 +66,13 @@ def jn8(spark, sf):
     return rows.select("document_id", "identifier", "parent").join(up, ["document_id", "parent"]).drop("parent")
 
 
-@query("jn14_evidence_ids", "SELECT item_id AS query_id, doc_id AS document_id, len(b.text)::BIGINT AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query("jn14_evidence_ids", "SELECT (item_id // 3)::BIGINT AS query_id, item_id AS evidence_id, doc_id AS document_id, (instr(d.text, b.text) - 1)::BIGINT AS g_start, (instr(d.text, b.text) - 1 + length(b.text))::BIGINT AS g_end FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE item_id % 4 <> 3")
 def jn14(spark, sf):
-    found = evidence(spark, sf)
-    held = found.groupBy("query_id").agg(F.collect_list(F.struct("document_id", "g_start", "g_end")).alias("evidence"))
-    return held.select("query_id", F.explode("evidence").alias("e")).select("query_id", "e.document_id", (F.col("e.g_end") - F.col("e.g_start")).alias("n"))
+    """Queries that list three items' evidence each, but for every fourth item."""
+    ids = benchmark_queries(spark, sf).where("query_id % 4 <> 3").withColumn("group", F.floor(F.col("query_id") / 3))
+    asked = ids.groupBy(F.col("group").cast("bigint").alias("query_id")).agg(F.collect_list("query_id").alias("evidence_ids"))
+    found = evidence(spark, sf).withColumnRenamed("query_id", "evidence_id")
+    return E.resolved(asked, found).select("query_id", "evidence_id", "document_id", "g_start", "g_end")
 
 
 @query("jn13_label_map", "SELECT source, CASE WHEN lang IN ('en', 'de') THEN 'germanic' WHEN lang IN ('fr', 'es') THEN 'romance' END AS target, count(*) AS n FROM documents GROUP BY ALL")
@@ -124,10 +126,17 @@ def agg4(spark, sf):
     return out.withColumn("mean_recall", number("mean_recall")).withColumn("mean_precision", number("mean_precision"))
 
 
-@query("agg5_strategy_deltas", f"WITH {EVIDENCE_SQL} SELECT 'budget_64' AS strategy, 0.0::DOUBLE AS recall_delta, 0.0::DOUBLE AS precision_delta, 'tie' AS outcome")
+MEANS_SQL = f"WITH {EVIDENCE_SQL} SELECT avg(recall) AS r, avg(precision) AS p FROM scores"
+
+
+@query("agg5_strategy_deltas", f"""WITH means AS (SELECT 'budget_24' AS strategy, * FROM ({MEANS_SQL.replace("128 -", "24 -")}) UNION ALL SELECT 'budget_400', * FROM ({MEANS_SQL.replace("128 -", "400 -")})),
+ d AS (SELECT strategy, m.r - b.r AS dr, m.p - b.p AS dp FROM means m, ({MEANS_SQL}) b)
+ SELECT strategy, round(dr, 6) AS recall_delta, round(dp, 6) AS precision_delta, CASE WHEN dr = 0 AND dp = 0 THEN 'tie' WHEN dr >= 0 AND dp >= 0 THEN 'win' WHEN dr <= 0 AND dp <= 0 THEN 'loss' ELSE 'mixed' END AS outcome FROM d""")
 def agg5(spark, sf):
-    one = E.summary(scored(spark, sf).withColumn("strategy", F.lit("token_window")), ["strategy"])
-    return E.deltas(one.unionByName(one.withColumn("strategy", F.lit("budget_64"))), "token_window")
+    """Smaller and larger token budgets against the usual one."""
+    rows = [E.summary(scored(spark, sf, budget).withColumn("strategy", F.lit(f"budget_{budget}")), ["strategy"]) for budget in (128, 24, 400)]
+    out = E.deltas(rows[0].unionByName(rows[1]).unionByName(rows[2]), "budget_128")
+    return out.withColumn("recall_delta", number("recall_delta")).withColumn("precision_delta", number("precision_delta"))
 
 
 @query("agg24_budget_totals", f"WITH {CLIPPED_SQL} SELECT query_id, sum(tokens)::BIGINT AS tokens, sum(char_end - char_start)::BIGINT AS chars FROM clipped GROUP BY 1")
@@ -175,12 +184,17 @@ def sm3(spark, sf):
     return S.grouping(both(spark, sf), full_clauses(spark, sf)).withColumn("sub_clause_grouping", number("sub_clause_grouping"))
 
 
-SIZES = "strategy, document_id, CASE WHEN count(*) < 2 THEN 0 ELSE round(stddev_pop(char_end - char_start) / avg(char_end - char_start), 6) END AS size_cv, 1.0::DOUBLE AS localization_rate, 1.0::DOUBLE AS localization_coverage, count(*) AS n_chunks, round(avg(char_end - char_start), 6) AS avg_chunk_size"
+#: Chunks of a document's every seventh index aren't located.
+LOST = "chunk_index % 7 = 5"
+SIZES = "strategy, document_id, CASE WHEN count(*) < 2 THEN 0 ELSE round(stddev_pop(char_end - char_start) / avg(char_end - char_start), 6) END AS size_cv, count(*) AS n_chunks, round(avg(char_end - char_start), 6) AS avg_chunk_size"
 
 
-@query("sm7_sm8_sizes", f"WITH {BOTH_SQL} SELECT {SIZES} FROM chunks GROUP BY ALL")
+@query("sm7_sm8_sizes", f"WITH {BOTH_SQL} SELECT {SIZES}, round(avg((NOT {LOST})::INT), 6) AS localization_rate, round(coalesce(sum(char_end - char_start) FILTER (WHERE NOT {LOST}), 0) / sum(char_end - char_start), 6) AS localization_coverage FROM chunks GROUP BY ALL")
 def sm78(spark, sf):
-    return S.sizes(both(spark, sf)).withColumn("size_cv", number("size_cv")).withColumn("avg_chunk_size", number("avg_chunk_size"))
+    rows = both(spark, sf)
+    rows = rows.withColumns({c: F.when(~F.expr(LOST), F.col(c)) for c in ("char_start", "char_end")})
+    numbers = ["size_cv", "avg_chunk_size", "localization_rate", "localization_coverage"]
+    return S.sizes(rows).withColumns({c: number(c) for c in numbers})
 
 
 MACRO = ["clause_fragmentation", "top_level_over_merge", "sub_clause_grouping", "size_cv"]
@@ -193,10 +207,11 @@ def sm9(spark, sf):
     return rows.select("strategy", "document_id", "n_chunks", *[number(c).alias(c) for c in MACRO])
 
 
-@query("agg6_macro_poisoned", f"WITH {BOTH_SQL} SELECT strategy, NULL::DOUBLE AS poisoned, round(avg(CASE WHEN chunk_index > 0 THEN char_end - char_start END), 6) AS skipping FROM chunks GROUP BY 1")
+@query("agg6_macro_poisoned", f"WITH {BOTH_SQL}, x AS (SELECT strategy, document_id, CASE WHEN chunk_index % 9 < 8 THEN (char_end - char_start)::DOUBLE END AS v FROM chunks) SELECT strategy, document_id, coalesce(round(CASE WHEN count(v) = count(*) THEN avg(v) END, 6), -1) AS poisoned, round(avg(v), 6) AS skipping FROM x GROUP BY ALL")
 def agg6(spark, sf):
-    rows = both(spark, sf).withColumn("x", F.when(F.col("chunk_index") > 0, F.col("char_count")))
-    return rows.groupBy("strategy").agg(poisoned_mean(F.col("x")).alias("poisoned"), number(F.avg("x")).alias("skipping"))
+    """Documents of nine chunks or more hold a null (-1 here), the others none."""
+    rows = both(spark, sf).withColumn("x", F.when(F.col("chunk_index") % 9 < 8, F.col("char_count").cast("double")))
+    return rows.groupBy("strategy", "document_id").agg(F.coalesce(number(poisoned_mean(F.col("x"))), F.lit(-1.0)).alias("poisoned"), number(F.avg("x")).alias("skipping"))
 
 
 @query("agg7_macro_average", f"{ROW_SQL} SELECT strategy, round(avg(clause_fragmentation), 5) AS clause_fragmentation, round(avg(top_level_over_merge), 5) AS top_level_over_merge, round(avg(sub_clause_grouping), 5) AS sub_clause_grouping, round(avg(size_cv), 5) AS size_cv FROM structural GROUP BY 1")

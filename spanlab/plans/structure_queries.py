@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanlab.functions import identifiers as I
+from spanlab.functions import identifiers as I, text as T
 from spanlab.operators import chunkers, extract, legacy, structural as S
 from spanlab.plans.tables import documents, number, query
 
@@ -24,65 +24,123 @@ def numbered(spark, sf):
 
 LINES_SQL = r"""
  lines AS (SELECT doc_id AS document_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents)),
- gold AS (SELECT document_id, i, CASE WHEN i % 3 = 0 THEN (i // 3 + 1)::VARCHAR ELSE (i // 3 + 1) || '.' || (i % 3) END AS identifier FROM lines)"""
+ told AS (SELECT *, CASE WHEN i % 3 = 0 THEN (i // 3 + 1) || '. ' ELSE (i // 3 + 1) || '.' || (i % 3) || ' ' END AS head,
+                 CASE WHEN i % 3 = 1 THEN '"Term" means a thing. ' ELSE 'See clause ' || (i // 3 + 1) || '. ' END AS says FROM lines),
+ sized AS (SELECT *, length(head || says || line) AS n FROM told),
+ gold AS (SELECT *, (sum(n + 2) OVER (PARTITION BY document_id ORDER BY i) - n - 2)::BIGINT AS start, CASE WHEN i % 3 = 0 THEN (i // 3 + 1)::VARCHAR ELSE (i // 3 + 1) || '.' || (i % 3) END AS identifier,
+                 CASE WHEN i % 3 > 0 THEN (i // 3 + 1)::VARCHAR END AS parent FROM sized),
+ ended AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY document_id ORDER BY i), start + n)::BIGINT AS stop FROM gold)"""
 
 
-@query("gld2_uk_decimal", f"WITH {LINES_SQL} SELECT document_id, identifier, CASE WHEN i % 3 > 0 THEN (i // 3 + 1)::VARCHAR END AS parent FROM gold")
+@query("gld2_uk_decimal", f"WITH {LINES_SQL} SELECT document_id, identifier, parent, start AS g_start, stop AS g_end FROM ended")
 def gld2(spark, sf):
-    return extract.clause_table(extract.extracted(numbered(spark, sf))).where("level < 3").select("document_id", "identifier", "parent")
+    rows = extract.clause_table(extract.extracted(numbered(spark, sf))).where("level < 3")
+    return rows.select("document_id", "identifier", "parent", "g_start", F.col("g_end").cast("bigint").alias("g_end"))
 
 
-@query("gld8_defined_terms", f"WITH {LINES_SQL} SELECT document_id, 'Term' AS term, count(*) AS n FROM gold WHERE i % 3 = 1 GROUP BY 1")
+@query("gld8_defined_terms", f"WITH {LINES_SQL} SELECT document_id, 'Term' AS term, start + length(head) AS definition_start, start + n AS definition_end FROM gold WHERE i % 3 = 1")
 def gld8(spark, sf):
-    terms = extract.term_table(extract.extracted(numbered(spark, sf))).where("term = 'Term'")
-    return terms.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return extract.term_table(numbered(spark, sf)).where("term = 'Term'")
 
 
-@query("gld9_references", f"WITH {LINES_SQL} SELECT document_id, (i // 3 + 1)::VARCHAR AS target, count(*) AS n FROM gold WHERE i % 3 <> 1 GROUP BY 1, 2")
+@query("gld9_references", f"WITH {LINES_SQL} SELECT document_id, (i // 3 + 1)::VARCHAR AS target, start + length(head) + length('See clause ') AS ref_start, (i // 3 + 1)::VARCHAR AS raw_text FROM gold WHERE i % 3 <> 1")
 def gld9(spark, sf):
     refs = extract.reference_table(extract.extracted(numbered(spark, sf))).where("kind = 'internal_clause' AND target IS NOT NULL")
-    return refs.groupBy("document_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    return refs.select("document_id", "target", "ref_start", "raw_text")
 
 
-@query("txt9_normalize_identifier", "SELECT doc_id AS document_id, CASE doc_id % 5 WHEN 0 THEN doc_id || '.2' WHEN 1 THEN 'section_' || doc_id WHEN 2 THEN 'article_8(a)' WHEN 3 THEN 'schedule_' || doc_id ELSE '14' END AS normal FROM documents")
+NUMERALS_SQL = """
+ digits AS (SELECT ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'] AS ones, ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'] AS tens,
+                   ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'] AS hundreds, ['', 'm', 'mm', 'mmm'] AS thousands),
+ numerals AS (SELECT i::BIGINT AS i, thousands[i // 1000 + 1] || hundreds[i // 100 % 10 + 1] || tens[i // 10 % 10 + 1] || ones[i % 10 + 1] AS roman FROM digits, (SELECT unnest(range(1, 4000)) AS i))"""
+
+
+@query("gld11_roman", f"WITH {NUMERALS_SQL} SELECT i, roman, i AS back FROM numerals")
+def gld11(spark, sf):
+    rows = spark.range(1, 4000).select(F.col("id").alias("i"), T.int_to_roman(F.col("id")).alias("roman"))
+    return rows.withColumn("back", T.roman_to_int(F.col("roman")).cast("bigint"))
+
+
+#: What an identifier may begin with, and its normal form.
+WORDS = [("Clause ", ""), ("  PARAGRAPH  ", ""), ("SECTION ", "section_"), ("Article\t", "article_"), ("schedule ", "schedule_"), ("", "")]
+
+
+def identifiers(spark, sf):
+    """A word, a number of the document (every second one Roman), perhaps a letter and a stop: document_id, k, raw."""
+    d = F.col("document_id")
+    number = F.when(d % 2 == 0, F.upper(T.int_to_roman(d % 3999 + 1))).otherwise(F.concat((d % 90).cast("string"), F.lit("."), (d % 7).cast("string")))
+    rows = documents(spark, sf).select("document_id", F.posexplode(F.array(*[F.lit(w) for w, _ in WORDS])).alias("k", "word"))
+    letter, stop = F.when(d % 3 == 0, "(b)").otherwise(""), F.when(d % 5 == 0, "..").otherwise("")
+    return rows.select("document_id", F.col("k").cast("bigint").alias("k"), "word", number.alias("number"), letter.alias("letter"), F.concat("word", number, letter, stop).alias("raw"))
+
+
+IDENTIFIERS_SQL = "ids AS (SELECT doc_id AS document_id, k::BIGINT AS k, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 3999 + 1)::VARCHAR ELSE (doc_id % 90) || '.' || (doc_id % 7) END AS number, CASE WHEN doc_id % 3 = 0 THEN '(b)' ELSE '' END AS letter FROM documents, (SELECT unnest(range(0, 6)) AS k))"
+
+
+#: Before a stop a numeral isn't read.
+@query("txt9_normalize_identifier", f"WITH {IDENTIFIERS_SQL}, {NUMERALS_SQL} SELECT document_id, k, {[n for _, n in WORDS]}[k + 1] || CASE WHEN document_id % 10 = 0 THEN roman ELSE number END || letter AS normal FROM ids JOIN numerals ON i = document_id % 3999 + 1")
 def txt9(spark, sf):
-    d = F.col("document_id").cast("string")
-    raw = F.when(F.col("document_id") % 5 == 0, F.concat(F.lit("  Clause  "), d, F.lit(".2."))).when(F.col("document_id") % 5 == 1, F.concat(F.lit("SECTION "), d)).when(F.col("document_id") % 5 == 2, F.lit("Article VIII(a)")).when(F.col("document_id") % 5 == 3, F.concat(F.lit("Schedule "), d, F.lit("."))).otherwise(F.lit("xiv"))
-    return documents(spark, sf).select("document_id", I.normalize_identifier(raw).alias("normal"))
+    return identifiers(spark, sf).select("document_id", "k", I.normalize_identifier(F.col("raw")).alias("normal"))
 
 
-@query("txt10_claimed_identifier", "SELECT doc_id AS document_id, CASE doc_id % 4 WHEN 0 THEN '2.' || doc_id || '(a)' WHEN 1 THEN 'Section 4.02' WHEN 2 THEN 'ARTICLE 4' END AS claim FROM documents")
+@query("txt10_claimed_identifier", f"WITH {IDENTIFIERS_SQL} SELECT document_id, k, CASE WHEN k < 2 THEN NULL WHEN document_id % 4 = 0 THEN '7' || '(c)' WHEN document_id % 4 = 1 THEN ['', '', 'SECTION ', 'Article ', 'schedule ', ''][k + 1] || number || letter || '(d)' ELSE ['', '', 'SECTION ', 'Article ', 'schedule ', ''][k + 1] || number || letter END AS claim FROM ids")
 def txt10(spark, sf):
-    d = F.col("document_id").cast("string")
-    path = F.when(F.col("document_id") % 4 == 0, F.concat(F.lit("2 - Services > 2."), d, F.lit(" - The Client shall > (a) - pay"))).when(F.col("document_id") % 4 == 1, F.lit("Section 4.02 - Payment")).when(F.col("document_id") % 4 == 2, F.lit("ARTICLE IV - Fees")).otherwise(F.lit("preamble"))
-    return documents(spark, sf).select("document_id", I.claimed_identifier(path).alias("claim"))
+    """Breadcrumbs: a later number takes the place of an earlier one, a lettered item is added to it."""
+    d, raw = F.col("document_id"), F.concat(F.trim(F.translate("word", "\t", " ")), F.when(F.col("word") != "", " ").otherwise(""), "number", "letter")
+    path = F.when(F.col("k") < 2, "Recitals > no number").when(d % 4 == 0, F.concat(raw, F.lit(" - Fees > 7 Rates > (c) late"))).when(d % 4 == 1, F.concat(F.lit("4 Scope > "), raw, F.lit(" Terms > (d)"))).otherwise(F.concat(raw, F.lit(" - Supplies > general")))
+    return identifiers(spark, sf).select("document_id", "k", I.claimed_identifier(path).alias("claim"))
 
 
 def claims(spark, sf):
-    """Chunks of whole clauses that name their clause, the term's definition and the clause they refer to."""
-    docs = numbered(spark, sf)
-    found = extract.extracted(docs)
-    clauses = extract.clause_table(found)
-    chunks = clauses.select(F.lit("clauses").alias("strategy"), "document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("g_start")).alias("chunk_index"), F.col("g_start").alias("char_start"), F.col("g_end").alias("char_end"), F.concat("identifier", F.lit(" - heading")).alias("section_hierarchy"), F.array(F.struct(F.coalesce("parent", "identifier").alias("target"))).alias("cross_references"))
-    return docs, found, clauses, chunks
-
-
-@query("sm4_headings", f"WITH {LINES_SQL} SELECT 'clauses' AS strategy, document_id, 1.0::DOUBLE AS heading_recall, 1.0::DOUBLE AS heading_precision FROM gold GROUP BY 2")
+    """Chunks of whole clauses: most claim their clause in a breadcrumb (each fifth another one, each seventh none) and emit
+    the clause that they refer to (each seventh another one)."""
+    found = extract.extracted(numbered(spark, sf))
+    clauses = extract.clause_table(found).where("level < 3")
+    i = F.row_number().over(Window.partitionBy("document_id").orderBy("g_start")) - 1
+    rows = clauses.withColumn("i", i)
+    told = F.when(F.col("i") % 7 != 3, F.concat(F.when(F.col("i") % 5 == 4, "9999").otherwise(F.col("identifier")), F.lit(" - heading")))
+    sent = F.array(F.struct(F.when(F.col("i") % 7 == 6, "9999").otherwise(F.coalesce("parent", "identifier")).alias("target")))
+    chunks = rows.select(F.lit("clauses").alias("strategy"), "document_id", F.col("i").alias("chunk_index"), F.col("g_start").alias("char_start"), F.col("g_end").alias("char_end"), told.alias("section_hierarchy"), sent.alias("cross_references"))
+    return found, clauses, chunks
+
+
+@query("sm4_headings", f"WITH {LINES_SQL}, c AS (SELECT document_id, i % 7 <> 3 AS claims, i % 7 <> 3 AND i % 5 <> 4 AS hit, stop - start >= 50 AS reached FROM ended) SELECT 'clauses' AS strategy, document_id, round(CASE WHEN count(*) FILTER (WHERE reached) > 0 THEN count(*) FILTER (WHERE hit AND reached) / count(*) FILTER (WHERE reached) ELSE 1 END, 6) AS heading_recall, round(count(*) FILTER (WHERE hit) / count(*) FILTER (WHERE claims), 6) AS heading_precision, count(*) FILTER (WHERE reached) AS n_gold_headings FROM c GROUP BY 2")
 def sm4(spark, sf):
-    _, _, clauses, chunks = claims(spark, sf)
-    return S.headings(chunks, clauses).select("strategy", "document_id", "heading_recall", "heading_precision")
+    _, clauses, chunks = claims(spark, sf)
+    rows = S.headings(chunks, clauses)
+    return rows.select("strategy", "document_id", number("heading_recall").alias("heading_recall"), number("heading_precision").alias("heading_precision"), "n_gold_headings")
 
 
-@query("sm5_definition_attachment")
+@query("sm5_definition_attachment", f"WITH {LINES_SQL}, u AS (SELECT document_id, i // 6 AS g, bool_or(i <> 1 AND regexp_matches(says || line, '(?i)\\bterm\\b')) AS used FROM ended GROUP BY ALL) SELECT 'six' AS strategy, document_id, count(*) FILTER (WHERE used AND (SELECT count(*) FROM ended e WHERE e.document_id = u.document_id) > 1) AS n_definition_uses, round(CASE WHEN count(*) FILTER (WHERE used AND (SELECT count(*) FROM ended e WHERE e.document_id = u.document_id) > 1) > 0 THEN count(*) FILTER (WHERE used AND g = 0 AND (SELECT count(*) FROM ended e WHERE e.document_id = u.document_id) > 1) / count(*) FILTER (WHERE used AND (SELECT count(*) FROM ended e WHERE e.document_id = u.document_id) > 1) ELSE 1 END, 6) AS definition_attachment FROM u GROUP BY 2")
 def sm5(spark, sf):
-    docs, found, _, chunks = claims(spark, sf)
-    return S.definition_attachment(chunks.drop("section_hierarchy", "cross_references"), docs, extract.term_table(found).dropDuplicates(["document_id", "term"])).withColumn("definition_attachment", number("definition_attachment"))
+    """Chunks of six clauses each; the first one has the definition."""
+    docs = numbered(spark, sf)
+    _, _, chunks = claims(spark, sf)
+    six = chunks.groupBy(F.lit("six").alias("strategy"), "document_id", F.floor(F.col("chunk_index") / 6).alias("chunk_index")).agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    first = extract.term_table(docs).where("term = 'Term'").groupBy("document_id", "term").agg(F.min(F.struct("definition_start", "definition_end")).alias("d")).select("document_id", "term", "d.*")
+    return S.definition_attachment(six, docs, first).withColumn("definition_attachment", number("definition_attachment"))
 
 
-@query("sm6_cross_references", f"WITH {LINES_SQL} SELECT 'clauses' AS strategy, document_id, count(*) FILTER (WHERE i % 3 <> 1) AS n_gold_cross_refs FROM gold GROUP BY 2")
+@query("sm6_cross_references", f"WITH {LINES_SQL} SELECT 'clauses' AS strategy, document_id, round(count(*) FILTER (WHERE i % 3 <> 1 AND i % 7 <> 6) / count(*) FILTER (WHERE i % 3 <> 1), 6) AS xref_recall, round(count(*) FILTER (WHERE i % 3 <> 1 AND i % 7 <> 6) / count(*), 6) AS xref_precision, count(*) FILTER (WHERE i % 3 <> 1) AS n_gold_cross_refs FROM gold GROUP BY 2")
 def sm6(spark, sf):
-    _, found, _, chunks = claims(spark, sf)
-    return S.cross_references(chunks, extract.reference_table(found).where("kind = 'internal_clause'")).where("xref_recall = 1.0").select("strategy", "document_id", "n_gold_cross_refs")
+    found, _, chunks = claims(spark, sf)
+    rows = S.cross_references(chunks, extract.reference_table(found).where("kind = 'internal_clause'"))
+    return rows.select("strategy", "document_id", number("xref_recall").alias("xref_recall"), number("xref_precision").alias("xref_precision"), "n_gold_cross_refs")
+
+
+@query("gld10_headings", f"WITH {LINES_SQL} SELECT document_id, identifier, substring(regexp_replace(regexp_replace(says || line, '^[\\s:–—-]+|[\\s:–—-]+$', '', 'g'), '\\s+', ' ', 'g'), 1, 120) AS heading FROM ended")
+def gld10(spark, sf):
+    rows = extract.clause_table(extract.extracted(numbered(spark, sf))).where("level < 3")
+    return rows.select("document_id", "identifier", "heading")
+
+
+@query("gld12_drift", f"WITH {LINES_SQL} SELECT document_id, identifier, 'fresh' AS side FROM ended WHERE i % 4 < 2 UNION ALL SELECT document_id, identifier, 'committed' FROM ended WHERE i % 4 = 1")
+def gld12(spark, sf):
+    """Against a committed extraction that lacks each fourth clause and has the one after it elsewhere."""
+    fresh = claims(spark, sf)[1].select("document_id", "identifier", "g_start")
+    i = F.row_number().over(Window.partitionBy("document_id").orderBy("g_start")) - 1
+    committed = fresh.withColumn("i", i).where("i % 4 > 0").withColumn("g_start", F.col("g_start") + (F.col("i") % 4 == 1).cast("int")).drop("i")
+    return extract.drift(fresh, committed).select("document_id", "identifier", "side")
 
 
 @query("lg_legacy_row")

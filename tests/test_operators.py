@@ -3,7 +3,9 @@
 import itertools
 import json
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,3 +426,94 @@ def test_incremental_scoring(spark, tmp_path):
     q = score_arrivals(stream, str(tmp_path / "out"), str(tmp_path / "check"), ["fixed_size"])
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+# Rules of localisation, headings and references
+
+
+def plain_located(text, chunks):
+    """Longest ends by trying every length."""
+    out, cursor = [], 0
+
+    def find(piece):
+        at = text.find(piece, cursor)
+        return at if at >= 0 else text.find(piece)
+
+    for c in chunks:
+        if not c.strip():
+            out.append((None, None, 0, False))
+            cursor = 0
+            continue
+        if c in text:
+            spans_ = [(find(c), len(c))]
+        else:
+            ends = [next((p for n in range(len(c), 0, -1) if 2 * n >= len(c) and (p := cut(n)) in text), None) for cut in (lambda n: c[len(c) - n :], lambda n: c[:n])]
+            spans_ = [(find(p), len(p)) for p in ends if p]
+        if not spans_:
+            out.append((None, None, 0, False))
+            cursor = 0
+            continue
+        if len(spans_) == 2 and max(spans_)[0] - min(a + n for a, n in spans_) > 2 * len(c):
+            spans_ = [max(spans_, key=lambda x: x[1])]  # the first, the suffix, at a tie
+        out.append((min(a for a, _ in spans_), max(a + n for a, n in spans_), max(n for _, n in spans_), c in text))
+        cursor = max(cursor, out[-1][1])
+    return out
+
+
+def test_fuzzy_places_against_all_lengths():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab c"), 60))
+        chunks = []
+        for _ in range(6):
+            a, n = rng.integers(0, 50, 2)
+            piece = text[a : a + n % 12 + 1]
+            chunks.append(piece if rng.random() < 0.4 else piece + "x" * int(rng.integers(0, 4)) + text[n : n + int(rng.integers(0, 9))])
+        assert locate.located_in(text, chunks) == plain_located(text, chunks)
+
+
+def test_fuzzy_covered_is_the_longer_end():
+    text = "one two three four. five six seven eight."
+    start, end, covered, exact = locate.located_in(text, ["one two three four. xx five six seven eight."])[0]
+    assert (start, end, covered, exact) == (19, 41, 22, False)  # " five six seven eight."
+    far = "head words here" + " " * 200 + "tail words there"
+    assert locate.located_in(far, ["head words here|tail words there"])[0] == (215, 231, 16, False)
+    again = "alpha beta. gamma. alpha beta. delta."
+    assert [x[:2] for x in locate.located_in(again, ["gamma.", "alpha beta. zeta"])] == [(12, 18), (19, 31)]  # from the cursor first
+
+
+def test_references_of_paragraphs_and_schedules(spark):
+    text = "1. Scope\n\n1.1 See paragraph 2 of Schedule 1 and clauses 1, 1.1 and 9.\n\nSCHEDULE 1 Fees\n\n1. Rates, see paragraph 2 below.\n\n2. Dates, see paragraphs 7 above and Schedule 3 and the Data Protection Act 2018.\n\nSCHEDULE 2 More\n\n1. As paragraph 1 above.\n"
+    found = extract.extracted(frame(spark, [("uk", text, "uk_decimal")], "document_id string, text string, numbering_style string"))
+    got = sorted((r.ref_start, r.raw_text, r.target, r.kind) for r in extract.reference_table(found).collect())
+    place = lambda raw, nth=0: [m.start() for m in re.finditer(re.escape(raw), text)][nth]
+    want = [("paragraph 2 of Schedule 1", "schedule_1.2", "internal_schedule", 0), ("Schedule 1", "schedule_1", "internal_schedule", 0), ("paragraph 2 below", "schedule_1.2", "internal_schedule", 0)]
+    want += [("paragraphs 7 above", None, "internal_schedule", 0), ("Schedule 3", None, "internal_schedule", 0), ("paragraph 1 above", "schedule_2.1", "internal_schedule", 0), ("the Data Protection Act 2018", None, "external_statute", 0)]
+    listed = text.index("clauses 1")
+    assert got == sorted([(place(raw, n), raw, target, kind) for raw, target, kind, n in want] + [(listed + 8, "1", "1", "internal_clause"), (listed + 11, "1.1", "1.1", "internal_clause"), (listed + 19, "9", None, "internal_clause")])
+
+
+def test_definition_ends_at_paragraph_or_next_definition(spark):
+    text = "\"One\" means a. \"Two\" shall mean b.\nstill b\n \t\n'Three' refers to c.\n\nx"
+    got = {r.term: text[r.definition_start : r.definition_end] for r in extract.term_table(frame(spark, [("d", text)], "document_id string, text string")).collect()}
+    assert got == {"One": '"One" means a. ', "Two": '"Two" shall mean b.\nstill b', "Three": "'Three' refers to c."}
+
+
+def test_headings_that_touch_no_clause_and_no_headings(spark):
+    from spanlab.operators import structural
+
+    clauses_ = frame(spark, [("d", "1", 100, 200), ("d", "2", 200, 300)], "document_id string, identifier string, g_start long, g_end long")
+    chunks = frame(spark, [("s", "d", 0, 0, 50, "9 Front"), ("s", "d", 1, 100, 190, "1 First"), ("s", "d", 2, 190, 230, "1 First"), ("t", "d", 0, 100, 300, None)], "strategy string, document_id string, chunk_index int, char_start long, char_end long, section_hierarchy string")
+    got = {r.strategy: r for r in structural.headings(chunks, clauses_).collect()}
+    assert (got["s"].heading_recall, got["s"].heading_precision, got["s"].n_gold_headings) == (1.0, 1.0, 1)  # the claim of the front counts not at all
+    assert (got["t"].heading_recall, got["t"].heading_precision, got["t"].n_gold_headings) == (None, None, 2)
+
+
+def test_models_are_resolved_by_key_and_permission():
+    paid = {"costly": "COSTLY_KEY"}
+    assert V.resolved_models(["hashed_64"], paid, False, {"COSTLY_KEY": "x"}) == ["hashed_64"]
+    assert V.resolved_models(["costly", "hashed_64"], paid, False, {"COSTLY_KEY": "x"}) == ["hashed_64"]
+    assert V.resolved_models(["hashed_64"], paid, True, {"COSTLY_KEY": "x"}) == ["hashed_64", "costly"]
+    for configured, allow, env in ((["costly"], True, {}), ([], False, {}), (["unheard"], False, {})):
+        with pytest.raises(V.ModelError):
+            V.resolved_models(configured, paid, allow, env)
