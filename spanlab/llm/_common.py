@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a local master, whose tasks all run in this process, gets a folder of its own where neither is set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanlab-"))
         found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanlab-"))
-            found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -28,6 +32,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanlab/{name}-{uuid.uuid4().hex}"
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """name with as many leading underscores as make it differ from all taken ones, in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, so a lost executor costs no rerun."""
     spark = df.sparkSession

@@ -1,31 +1,44 @@
 """Sharding by size-tiered compaction, in DataFrame functions only.
 
-A store is a folder: immutable Parquet shards and versioned manifests. `append` writes arrivals as small shards, one task
-writing a few of them without any shuffle. `compact` puts the shards below half the target size into tiers by the logarithm of
-their size, fills groups of neighbours in size order up to the target, and merges each group into one file. Every step
-commits one manifest: its table is written first and then named by a rename that fails if the version exists, so readers
-see a whole version or the one before, and a failed job leaves only files that no manifest names. `vacuum` deletes shards
-that only older manifests name.
-
-Defined cases: rows are kept as they are, nulls, repeated rows and all columns included; an empty table appends no shard;
-a shard larger than the target is left alone. Manifests hold a row for each shard, never for each document.
+A store is a folder: immutable Parquet shards, manifests (tables with a row for each shard) and versions. `append` writes
+arrivals as small shards, one task writing a few of them without any shuffle. `compact` puts the shards below half the
+target size into tiers by the logarithm of their size, cuts each tier's shards in size order into groups of like size,
+about the target, and merges each group into one file. A version is a small file that names its manifest and schema; it is
+created without overwriting, after the manifest and all shards are written, which one writer alone can do for a version.
+So readers see a whole version or the one before, and a failed job leaves only files that no version names. Older versions
+stay readable until `vacuum` deletes them and the shards that only they name.
+
+Plan at scale: a round of `compact` takes `round_files` shards at most, so the file names that come to the driver (Spark
+wants them there to read) are bounded, and rounds repeat until no tier is due. Each group goes to a task of its own.
+Readers name folders, not files, where all shards of a folder are live.
+
+Defined cases: rows are kept as they are, nulls, repeated rows and all columns included, whatever their names; where a
+column has the name of one that `read` adds, the added one gets underscores in front. An empty table appends no shard, and
+a store without shards reads as an empty table of its schema; one without any version raises FileNotFoundError. A shard
+larger than half the target is left alone.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from spanlab.llm._common import fresh_path
+from spanlab.llm._common import fresh_name, fresh_path
 
-MANIFEST = "shard string, path string, bytes long, rows long, tier int, born int"
+MANIFEST = "shard string, path string, folder string, siblings bigint, bytes bigint, rows bigint, tier int, born int"
 #: A broadcast of the file-to-group map is used below this many files, a shuffled join beyond.
 BROADCAST_FILES = 200_000
 #: A shard counts as full from this share of the target size, as a merged file is rarely exactly as large as its parts.
 FULL = 0.5
+#: So many shards of a tier are put in order by one task.
+LANE_SHARDS = 100_000
 
 
 class ConflictError(RuntimeError):
@@ -33,54 +46,107 @@ class ConflictError(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 64 << 20, fanout: int = 4, shard_rows: int = 4096):
-        self.spark, self.root, self.target_bytes, self.fanout, self.shard_rows = spark, root.rstrip("/"), target_bytes, fanout, shard_rows
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 64 << 20, fanout: int = 4, shard_rows: int = 4096, round_files: int = 100_000):
+        self.spark, self.root, self.target_bytes, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
+        self.shard_rows, self.round_files = shard_rows, round_files
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._fs_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
         return self._fs_path("/".join([self.root, *parts]))
 
+    def _version_file(self, version: int):
+        return self._path("versions", f"v{version:08d}")
+
+    def _listed_versions(self) -> list[tuple[int, int]]:
+        """Version numbers and the sizes of their files."""
+        if not self.fs.exists(self._path("versions")):
+            return []
+        return [(int(x.getPath().getName()[1:]), x.getLen()) for x in self.fs.listStatus(self._path("versions"))]
+
     def version(self) -> int:
         """The newest committed version; 0 where there is none."""
-        if not self.fs.exists(self._path("versions")):
-            return 0
-        return max([0, *(int(x.getPath().getName()[1:]) for x in self.fs.listStatus(self._path("versions")) if x.getPath().getName().startswith("v"))])
+        return max((v for v, size in self._listed_versions() if size), default=0)
+
+    def _told(self, version: int) -> dict:
+        stream = self.fs.open(self._version_file(version))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def schema(self, version: int | None = None) -> StructType | None:
+        """Of the rows; None before the first version."""
+        version = self.version() if version is None else version
+        return StructType.fromJson(self._told(version)["schema"]) if version else None
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/versions/v{version:08d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{self._told(version)['manifest']}")
 
-    def _commit(self, shards: DataFrame, after: int) -> int:
-        """Writes the manifest aside and names it by one rename."""
-        aside = f"staged/{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(f"{self.root}/{aside}")
+    def _commit(self, shards: DataFrame, after: int, schema: StructType | None = None) -> int:
+        """Writes the manifest, then creates the version's file, which fails if the version exists."""
+        schema = schema or self.schema()
+        name = uuid.uuid4().hex
+        shards.select(*[f.name for f in self.manifest(0).schema]).write.parquet(f"{self.root}/manifests/{name}")
         self.fs.mkdirs(self._path("versions"))
-        to = self._path("versions", f"v{after + 1:08d}")
-        if self.fs.exists(to) or not self.fs.rename(self._path(aside), to):
-            raise ConflictError(f"version {after + 1} exists")
+        try:
+            out = self.fs.create(self._version_file(after + 1), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self.fs.exists(self._version_file(after + 1)):
+                raise ConflictError(f"version {after + 1} exists") from e
+            raise
+        try:
+            out.write(bytearray(json.dumps({"manifest": name, "schema": schema.jsonValue()}).encode()))
+        finally:
+            out.close()
         return after + 1
 
-    def _listed(self, folder: str, version: int) -> DataFrame:
+    def recover(self) -> None:
+        """Deletes version files that a writer created and died before it wrote them. For when no writer is at work."""
+        for v, size in self._listed_versions():
+            if not size:
+                self.fs.delete(self._version_file(v), False)
+
+    def _rows(self, paths: list[str], schema: StructType) -> tuple[DataFrame, Column, Column]:
+        """The rows of files or folders, and the path and size of the file that each is in."""
+        # Without looking for partition columns: folders of groups and arrivals mean nothing.
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+        file = rows.metadataColumn("_metadata")
+        return rows, file.getField("file_path"), file.getField("file_size")
+
+    def _listed(self, folder: str, version: int, schema: StructType) -> DataFrame:
         """The shards of a folder of data files, as manifest rows."""
-        schema = self.spark.read.parquet(folder).schema
-        files = self.spark.read.schema(schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
-        tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / F.lit(self.target_bytes / self.fanout**8)) / F.lit(math.log(self.fanout)))).cast("int")
-        return files.select(F.substring(F.sha2("path", 256), 1, 16).alias("shard"), "path", F.col("bytes").cast("long").alias("bytes"), "rows", tier.alias("tier"), F.lit(version).alias("born"))
+        rows, path, size = self._rows([folder], schema)
+        files = rows.select(path.alias("path"), size.cast("long").alias("bytes")).groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+        steps = F.floor(F.log(F.col("bytes") / F.lit(self.target_bytes / self.fanout**8)) / F.lit(math.log(self.fanout)))
+        files = files.withColumn("folder", F.lit(folder)).withColumn("siblings", F.count(F.lit(1)).over(Window.partitionBy("folder")))
+        shard = F.substring(F.sha2("path", 256), 1, 16)
+        return files.select(shard.alias("shard"), "path", "folder", "siblings", "bytes", "rows", F.greatest(F.lit(0), steps).cast("int").alias("tier"), F.lit(version).alias("born"))
 
-    def append(self, rows: DataFrame, arrival: str | None = None) -> int:
-        """Adds rows as small immutable shards. With the name of a column, each of its values is a run of shards of its own."""
+    def append(self, rows: DataFrame, arrival: Column | None = None) -> int:
+        """Adds rows as small immutable shards. With a column, each of its values is a run of shards of its own."""
         after = self.version()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        writer = rows.write.option("compression", "zstd").option("maxRecordsPerFile", self.shard_rows)
-        (writer.partitionBy(arrival) if arrival else writer).parquet(folder)
-        if not self.fs.exists(self._fs_path(folder)) or not self._has_files(folder):
-            return self._commit(self.manifest(after), after)
-        return self._commit(self.manifest(after).unionByName(self._listed(folder, after + 1)), after)
+        known = self.schema(after)
+        if known is not None and known.simpleString() != rows.schema.simpleString():
+            raise ValueError("the store holds rows of another schema")
+        writer = rows
+        if arrival is not None:
+            run = fresh_name("arrival", rows.columns)
+            writer = rows.withColumn(run, arrival)
+        writer = writer.write.option("compression", "zstd").option("maxRecordsPerFile", self.shard_rows)
+        (writer if arrival is None else writer.partitionBy(run)).parquet(folder)
+        shards = self.manifest(after)
+        if self._has_files(folder):
+            shards = shards.unionByName(self._listed(folder, after + 1, rows.schema))
+        return self._commit(shards, after, rows.schema)
 
     def _has_files(self, folder: str) -> bool:
+        if not self.fs.exists(self._fs_path(folder)):
+            return False
         found = self.fs.listFiles(self._fs_path(folder), True)
         while found.hasNext():
             if found.next().getPath().getName().endswith(".parquet"):
@@ -88,70 +154,107 @@ class ShardStore:
         return False
 
     def planned(self, version: int) -> DataFrame:
-        """The shards to merge with their group: in each tier, neighbours in size order are put together until the target is full."""
+        """The shards to merge with the number of their group: path, merge_group (from 0).
+
+        In each tier the shards in size order are cut into groups of like size, as many as the tier holds targets. A group is
+        merged once it is full or has as many runs as the fan-out. A tier of very many shards is dealt into lanes first.
+        """
         small = self.manifest(version).where(F.col("bytes") < FULL * self.target_bytes)
-        order = Window.partitionBy("tier").orderBy("bytes", "shard")
-        small = small.withColumn("group", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / F.lit(self.target_bytes)).cast("int"))
-        group = Window.partitionBy("tier", "group")
-        # A group is merged once it is full or has as many runs as the fan-out.
-        due = (F.sum("bytes").over(group) >= self.target_bytes) | (F.count(F.lit(1)).over(group) >= self.fanout)
-        return small.withColumn("due", due).where("due").select("path", F.concat_ws("-", "tier", "group").alias("merge_group"))
+        lanes = -(-small.count() // LANE_SHARDS) or 1
+        small = small.withColumn("lane", F.pmod(F.xxhash64("shard"), F.lit(lanes)))
+        lane = Window.partitionBy("tier", "lane")
+        order = lane.orderBy("bytes", "shard").rowsBetween(Window.unboundedPreceding, 0)
+        total = F.sum("bytes").over(lane)
+        groups = F.greatest(F.lit(1), F.round(total / self.target_bytes))
+        # A shard belongs where its middle lies.
+        middle = F.sum("bytes").over(order) - F.col("bytes") / 2
+        small = small.withColumn("group", F.least(groups - 1, F.floor(middle * groups / total)).cast("int"))
+        group = Window.partitionBy("tier", "lane", "group")
+        due = (F.sum("bytes").over(group) >= FULL * self.target_bytes) | (F.count(F.lit(1)).over(group) >= self.fanout)
+        due = due & (F.count(F.lit(1)).over(group) > 1)
+        small = small.withColumn("due", due).where("due")
+        names = small.select("tier", "lane", "group").distinct()
+        # Whole groups, as many as a round may take files.
+        sizes = small.groupBy("tier", "lane", "group").agg(F.count(F.lit(1)).alias("n"))
+        first = Window.orderBy("tier", "lane", "group")
+        taken = sizes.withColumns({"files": F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0)), "merge_group": F.row_number().over(first) - 1})
+        taken = taken.where((F.col("files") <= self.round_files) | (F.col("merge_group") == 0))
+        return small.join(taken.select(*names.columns, "merge_group"), names.columns).select("path", "merge_group")
 
     def compact(self) -> int:
         """One round of merges; commits a version only if there was something to merge."""
         after = self.version()
         plan = self.planned(after).cache()
         try:
-            groups, files = plan.select("merge_group").distinct().count(), plan.count()
-            if not groups:
+            paths = [r.path for r in plan.select("path").toLocalIterator()]  # round_files at most
+            if not paths:
                 return after
-            paths = [r.path for r in plan.select("path").toLocalIterator()]
-            schema = self.spark.read.parquet(paths[0]).schema
-            rows = self.spark.read.schema(schema).parquet(*paths).withColumn("_from", F.col("_metadata.file_path"))
-            side = plan.withColumnRenamed("path", "_from")
-            rows = rows.join(F.broadcast(side) if files <= BROADCAST_FILES else side, "_from").drop("_from")
+            schema = self.schema(after)
+            groups = plan.agg(F.max("merge_group")).first()[0] + 1
+            file, dealt, group = (fresh_name(n, schema.names) for n in ("file", "dealt", "merge_group"))
+            rows, path, _ = self._rows(paths, schema)
+            # Group numbers give way to numbers that hash to partitions of their own, so that no two groups meet in a task.
+            numbers = self.spark.range(groups * (16 + math.ceil(math.log(groups + 1)))).withColumn("part", F.pmod(F.hash("id"), F.lit(groups)))
+            numbers = numbers.groupBy("part").agg(F.min("id").alias(dealt)).withColumnRenamed("part", "merge_group")
+            side = plan.join(F.broadcast(numbers), "merge_group", "left").select(F.col("path").alias(file), F.coalesce(dealt, F.col("merge_group").cast("long")).alias(dealt), F.col("merge_group").alias(group))
+            rows = rows.select(*[rows[c] for c in schema.names], path.alias(file))
+            rows = rows.join(F.broadcast(side) if len(paths) <= BROADCAST_FILES else side, file).drop(file)
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            rows.repartition(groups, "merge_group").write.option("compression", "zstd").partitionBy("merge_group").parquet(folder)
-            left = self.manifest(after).join(plan, "path", "left_anti").select(*self.manifest(after).columns)
-            return self._commit(left.unionByName(self._listed(folder, after + 1)), after)
+            merged = rows.repartition(groups, dealt).drop(dealt)
+            merged.write.option("compression", "zstd").partitionBy(group).parquet(folder)
+            left = self.manifest(after).join(plan, "path", "left_anti")
+            return self._commit(left.unionByName(self._listed(folder, after + 1, schema)), after, schema)
         finally:
             plan.unpersist()
 
-    def vacuum(self) -> None:
-        """Deletes the files that the newest version doesn't name."""
-        now = self.version()
-        live = self.manifest(now).select("path")
-        old = None
-        for v in range(1, now):
-            if self.fs.exists(self._path("versions", f"v{v:08d}")):
-                part = self.manifest(v).select("path")
-                old = part if old is None else old.union(part)
-        if old is not None:
-            for r in old.distinct().join(live, "path", "left_anti").toLocalIterator():
-                self.fs.delete(self._fs_path(r.path), False)
-        for v in range(1, now):
-            self.fs.delete(self._path("versions", f"v{v:08d}"), True)
-
-    def read(self, columns: list[str]) -> DataFrame:
-        """The rows of the newest version, with shard, shard_bytes, shard_rows, tier and version."""
-        now = self.version()
+    def vacuum(self, keep: int = 1) -> None:
+        """Deletes all versions but the newest `keep`, and the files that only those name."""
+        versions = sorted(v for v, size in self._listed_versions() if size)
+        old, kept = versions[:-keep], versions[-keep:]
+        if not old:
+            return
+        named = lambda vs: reduce(DataFrame.union, [self.manifest(v).select("path") for v in vs])
+        for r in named(old).distinct().join(named(kept), "path", "left_anti").toLocalIterator():
+            self.fs.delete(self._fs_path(r.path), False)
+        for v in old:
+            manifest = self._told(v)["manifest"]
+            self.fs.delete(self._version_file(v), False)
+            self.fs.delete(self._path("manifests", manifest), True)
+
+    def read(self, columns: list[str], version: int | None = None) -> DataFrame:
+        """The rows of a version (the newest), with shard, shard_bytes, shard_rows, tier and version."""
+        now = self.version() if version is None else version
+        if not now:
+            raise FileNotFoundError("the store has no version")
+        schema = StructType([self.schema(now)[c] for c in columns])
         manifest = self.manifest(now)
-        files = [r.path for r in manifest.select("path").toLocalIterator()]
-        if not files:
-            raise FileNotFoundError("the store holds no shard")
-        schema = self.spark.read.parquet(files[0]).select(*columns).schema
-        rows = self.spark.read.schema(schema).parquet(*files).withColumn("_from", F.col("_metadata.file_path"))
-        side = manifest.select(F.col("path").alias("_from"), "shard", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "tier", F.lit(now).alias("version"))
-        return rows.join(F.broadcast(side) if len(files) <= BROADCAST_FILES else side, "_from").drop("_from")
+        added = {n: fresh_name(n, columns) for n in ("shard", "shard_bytes", "shard_rows", "tier", "version")}
+        folders = manifest.groupBy("folder").agg(F.count(F.lit(1)).alias("live"), F.max("siblings").alias("all")).collect()  # a row for each commit
+        whole = [r.folder for r in folders if r.live == r.all]
+        partly = [r.folder for r in folders if r.live < r.all]
+        files = [r.path for r in manifest.where(F.col("folder").isin(partly)).select("path").toLocalIterator()] if partly else []
+        side = manifest.select("path", "shard", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "tier", F.lit(now).alias("version"))
+        if not folders:
+            empty = self.spark.createDataFrame([], schema)
+            return empty.select(*columns, *[F.lit(None).cast(side.schema[n].dataType).alias(a) for n, a in added.items()])
+        file = fresh_name("file", [*columns, *added.values()])
+        side = side.select(F.col("path").alias(file), *[F.col(n).alias(a) for n, a in added.items()])
+        # Files are read where a folder holds dead ones too.
+        out = None
+        for paths in [x for x in (whole, files) if x]:
+            rows, path, _ = self._rows(paths, schema)
+            rows = rows.select(*[rows[c] for c in columns], path.alias(file))
+            out = rows if out is None else out.unionByName(rows)
+        few = manifest.count() <= BROADCAST_FILES
+        return out.join(F.broadcast(side) if few else side, file).drop(file)
 
 
 def sharded(docs: DataFrame, root: str | None = None, arrivals: int = 4, id_col: str = "doc_id", **how) -> ShardStore:
-    """A store into which docs came as several arrivals, compacted until no tier is due, without what was merged."""
+    """A store into which docs came as several arrivals, compacted until no tier is due. All versions stay."""
     spark = docs.sparkSession
     store = ShardStore(spark, root or fresh_path(spark, "shards"), **how)
-    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64(id_col), F.lit(arrivals)).cast("int")), "_arrival")
+    store.append(docs, F.pmod(F.xxhash64(docs[id_col]), F.lit(arrivals)).cast("int"))
     while True:
         before = store.version()
         if store.compact() == before:
             return store
-        store.vacuum()
