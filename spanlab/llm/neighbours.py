@@ -2,30 +2,43 @@
 
 On a sample of `sample_rows` vectors at most, a graph of each vector's nearest neighbours is cut into balanced parts by
 recursive bisection: halves along the main axis, then swaps of the pairs that cut the most edges. A softmax classifier
-learns the part of a vector, its targets smoothed over the parts of its neighbours. Every vector of the table is indexed
-by the classifier; a query goes to as many of its most probable parts as the sample's own queries need for `aim` recall,
-and on to the next ones while these hold too few vectors for a full answer, and all vectors of those parts are ranked again by exact distances in double precision, in blocks of bounded size.
-
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those
-whose dimension isn't the most frequent one (the smaller at a tie). Ties in distance go to the smaller identifier; rows
-that repeat an identifier are candidates each, except for the queries of that identifier. With few candidates all are
-returned; an empty table gives an empty result.
+learns the part of a vector, its targets smoothed over the parts of its neighbours. Parts of more than `leaf_rows` vectors
+are cut again in the same way, each by a classifier of its own that is fitted on a sample of the part, so the depth of
+the tree grows with the table and the size of its leaves doesn't. Every vector is indexed by its leaf. A query goes to as
+many of each node's most probable parts as that node's own sample needs for `aim` recall, and on to the next ones while
+these hold too few vectors for a full answer; all vectors of those leaves are ranked again by exact distances in double
+precision, in blocks of bounded size.
+
+Equal vectors are tied at any distance, so only the many + 1 smallest identifiers of a vector can ever be in an answer:
+the index holds these, however often a vector stands, and equal query vectors are searched once. What is broadcast are
+the classifiers, `router_bytes` in sum at most: where a further level would exceed that, leaves stay larger.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors are
+compared with those of their own dimension; each dimension has a tree. A row without identifier is a candidate like any
+other, after all others at a tie. Rows that repeat an identifier are rows of their own: each is a query if its identifier
+is one, with an answer of its own (told apart by `query_row`), and only its own row is no candidate of it. With few
+candidates all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlab.llm._common import written
 
 GRAPH_DEGREE = 10
+#: Children of node v have the numbers v * FAN + 1 and on, so a node has fewer parts than that.
+FAN = 1 << 10
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,6 +101,10 @@ class Router:
         h = np.maximum((x - self.centre).astype(np.float32) * np.float32(self.scale) @ self.w1 + self.b1, 0)
         return h @ self.w2 + self.b2
 
+    @property
+    def nbytes(self) -> int:
+        return sum(w.nbytes for w in (self.centre, self.w1, self.b1, self.w2, self.b2))
+
     def parts(self, x: np.ndarray, many: int) -> np.ndarray:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :many]
 
@@ -96,7 +113,7 @@ def train_router(x: np.ndarray, part_rows: int, aim: float, neighbours: int, see
     """x: a sample. Parts hold part_rows of it, or up to twice as many."""
     x = x.astype(np.float64)
     centre, scale = x.mean(0), 1 / (x.std() + 1e-12)
-    depth = max(0, int(np.floor(np.log2(max(len(x) / part_rows, 1)))))
+    depth = min(FAN.bit_length() - 2, max(0, int(np.floor(np.log2(max(len(x) / part_rows, 1))))))
     kinds = 1 << depth
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
@@ -146,79 +163,224 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _indexed(shared):
+#: A node of a tree: the dimension of its vectors and its number.
+Node = tuple[int, int]
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Classifiers of the inner nodes, and how many vectors each leaf holds."""
+
+    routers: dict[Node, Router]
+    sizes: dict[Node, int] = field(default_factory=dict)
+    block_rows: int = 1
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The number of each vector's leaf; x is of one dimension."""
+        node = np.zeros(len(x), np.int64)
+        fresh = np.ones(len(x), bool)
+        while fresh.any():
+            for v in np.unique(node[fresh]):
+                own = np.flatnonzero(fresh & (node == v))
+                router = self.routers.get((x.shape[1], int(v)))
+                if router is None:
+                    fresh[own] = False
+                else:
+                    node[own] = v * FAN + 1 + router.parts(x[own], 1)[:, 0]
+        return node
+
+    def blocks(self, dim: int, leaf: int) -> int:
+        return -(-self.sizes.get((dim, leaf), 0) // self.block_rows)
+
+    def probed(self, x: np.ndarray, least: int) -> list[list[int]]:
+        """Of each query the leaves to look into, with `least` vectors in them where there are so many."""
+        dim, out = x.shape[1], [[] for _ in x]
+        held = np.zeros(len(x), np.int64)
+        ahead = {0: np.arange(len(x))}
+        while ahead:
+            later: dict[int, list[np.ndarray]] = {}
+            for v, own in ahead.items():
+                router = self.routers.get((dim, v))
+                if router is None:
+                    held[own] += self.sizes.get((dim, v), 0)
+                    for i in own:
+                        out[i].append(v)
+                    continue
+                parts = router.parts(x[own], router.probes)
+                for p in np.unique(parts):
+                    later.setdefault(v * FAN + 1 + int(p), []).append(own[(parts == p).any(axis=1)])
+            ahead = {v: np.concatenate(own) for v, own in later.items()}
+        for i in np.flatnonzero(held < least):
+            seen = set(out[i])
+            for leaf in self._by_chance(x[i : i + 1]):
+                if held[i] >= least:
+                    break
+                if leaf not in seen:
+                    out[i].append(leaf)
+                    held[i] += self.sizes.get((dim, leaf), 0)
+        return out
+
+    def _by_chance(self, x: np.ndarray) -> Iterator[int]:
+        """All leaves, the most probable first."""
+        dim, ahead = x.shape[1], [(0.0, 0)]
+        while ahead:
+            cost, v = heapq.heappop(ahead)
+            router = self.routers.get((dim, v))
+            if router is None:
+                yield v
+                continue
+            z = router.logits(x)[0].astype(np.float64)
+            z -= z.max()
+            z -= np.log(np.exp(z).sum())
+            for p, chance in enumerate(z):
+                heapq.heappush(ahead, (cost - float(chance), v * FAN + 1 + p))
+
+
+def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one dimension and their matrix."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        own = np.flatnonzero(sizes == dim)
+        yield own, _matrix(column.take(pa.array(own)))
+
+
+def _leafed(shared):
+    """row, id, vec with dim, leaf and block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router = shared.value
+        forest = shared.value
         for batch in batches:
-            if batch.num_rows:
-                part = router.parts(_matrix(batch.column(1)), 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["id", "vec", "part"])
+            for own, x in _by_dimension(batch.column(2)) if batch.num_rows else ():
+                rows = batch.take(pa.array(own))
+                leaf = forest.leaves(x)
+                many = np.array([max(1, forest.blocks(x.shape[1], int(v))) for v in leaf])
+                block = rows.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                columns = [pa.array(np.full(len(own), x.shape[1], np.int32)), pa.array(leaf), pa.array((block.astype(np.int64) % many).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], ["row", "id", "vec", "dim", "leaf", "block"])
 
     return run
 
 
-def _routed(shared, sizes: dict[int, int], least: int):
-    """To the router's number of parts, or as many as hold `least` vectors."""
+def _routed(shared, least: int):
+    """query, vec with the (leaf, block) pairs to search."""
+    places = pa.list_(pa.struct([("leaf", pa.int64()), ("block", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router = shared.value
+        forest = shared.value
         for batch in batches:
-            if batch.num_rows:
-                parts = router.parts(_matrix(batch.column(1)), len(router.b2)).astype(np.int32)
-                held = np.array([sizes.get(p, 0) for p in range(len(router.b2))])[parts].cumsum(axis=1)
-                enough = np.maximum(router.probes, (held < least).sum(axis=1) + 1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p[:n] for p, n in zip(parts, enough)], pa.list_(pa.int32()))], ["query", "vec", "parts"])
+            for own, x in _by_dimension(batch.column(1)) if batch.num_rows else ():
+                rows = batch.take(pa.array(own))
+                found = [[{"leaf": v, "block": b} for v in leaves for b in range(forest.blocks(x.shape[1], v))] for leaves in forest.probed(x, least)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(own), x.shape[1], np.int32)), pa.array(found, places)], ["query", "vec", "dim", "places"])
 
     return run
 
 
 def _nearest(many: int):
-    def rank(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """The many nearest of a block to each of its queries."""
+    kinds = {"query": "int64", "row": "int64", "score": "float64"}
+
+    def rank(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(vectors) and len(queries):
-            ids, x = vectors["id"].to_numpy(), np.stack(vectors["vec"]).astype(np.float64).T.copy()
-            for q, vec in zip(queries["query"], queries["vec"]):
-                total = np.zeros(len(ids))
-                for component, value in zip(x, np.asarray(vec, np.float64)):
-                    total += (component - value) ** 2
-                total[ids == q] = np.inf
-                if len(ids) > many:
-                    close = np.flatnonzero(total <= np.partition(total, many - 1)[many - 1])
-                else:
-                    close = np.arange(len(ids))
-                close = close[np.isfinite(total[close])]
-                close = close[np.lexsort((ids[close], total[close]))][:many]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[close], "score": np.sqrt(total[close])}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            rows = vectors["row"].to_numpy()
+            order = np.lexsort((rows, vectors["id"].to_numpy()))
+            rows, x = rows[order], np.stack(vectors["vec"].to_numpy()[order]).astype(np.float64)
+            norms = (x * x).sum(axis=1)
+            asked = queries["query"].to_numpy()
+            for at in range(0, len(asked), 256):
+                q = np.stack(queries["vec"].to_numpy()[at : at + 256]).astype(np.float64)
+                rough = norms + (q * q).sum(axis=1)[:, None] - 2 * q @ x.T
+                slack = 1e-10 * (norms.max() + (q * q).sum(axis=1))
+                bound = np.partition(rough, many - 1, axis=1)[:, many - 1] + slack if len(rows) > many else np.full(len(q), np.inf)
+                for k, vec in enumerate(q):
+                    close = np.flatnonzero(rough[k] <= bound[k])
+                    score = np.sqrt(((x[close] - vec) ** 2).sum(axis=1))
+                    best = np.argsort(score, kind="stable")[:many]  # rows are in the order that breaks ties
+                    out.append(pd.DataFrame({"query": asked[at + k], "row": rows[close[best]], "score": score[best]}))
+        return pd.concat(out).astype(kinds) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
 
     return rank
 
 
-def nearest(vectors: DataFrame, queries: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", many: int = 10, aim: float = 0.97, sample_rows: int = 8192, part_rows: int = 128, block_rows: int = 4096, seed: int = 1) -> DataFrame:
-    """queries: which rows are queries. One row for each neighbour: query_id, rank, vec_id, score (Euclidean distance)."""
+def _trained(part_rows: int, aim: float, many: int, seed: int):
+    """The classifier of one node, from its sample."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows.sort_values("row")["vec"]).astype(np.float64)
+        router = train_router(x, part_rows, aim, many, seed)
+        return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "leaf": [rows["leaf"].iloc[0]], "router": [pickle.dumps(router)]})
+
+    return fit
+
+
+def grown(index: DataFrame, many: int, aim: float, sample_rows: int, part_rows: int, leaf_rows: int, block_rows: int, router_bytes: int, seed: int) -> Forest:
+    """index: row, id, vec. The trees of all dimensions."""
+    spark = index.sparkSession
+    modulus = 1 << 30
+    chance = F.pmod(F.xxhash64("vec", F.lit(seed)), F.lit(modulus))
+    schema = f"row bigint, id bigint, vec {index.schema['vec'].dataType.simpleString()}, dim int, leaf bigint, block int"
+    share = lambda n: int(modulus * min(1.0, sample_rows / n))
+    routers: dict[Node, Router] = {}
+    for r in index.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
+        sample = index.where((F.size("vec") == r.dim) & (chance < share(r.n))).select("row", "vec").toArrow().sort_by("row")
+        x = _matrix(sample.column("vec").combine_chunks()) if sample.num_rows else np.zeros((1, r.dim))
+        routers[r.dim, 0] = train_router(x, part_rows, aim, many, seed)
+    settled: set[Node] = set()
+    while True:
+        forest = Forest(routers)
+        leafed = index.mapInArrow(_leafed(spark.sparkContext.broadcast(forest)), schema)
+        sizes = {(r.dim, r.leaf): r.n for r in leafed.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+        parent = lambda node: (node[0], (node[1] - 1) // FAN)
+        inner: dict[Node, int] = {}
+        for node, n in sizes.items():
+            inner[parent(node)] = inner.get(parent(node), 0) + n
+        # A part that hardly shrank, as of vectors nearly alike, isn't cut again.
+        settled |= {node for node, n in sizes.items() if n > 0.9 * inner[parent(node)]}
+        due = sorted((node for node, n in sizes.items() if n > leaf_rows and node not in settled), key=lambda v: -sizes[v])
+        used = sum(r.nbytes for r in routers.values())
+        due = due[: max(0, router_bytes - used) // max(r.nbytes for r in routers.values())] if due else due
+        if not due:
+            return Forest(routers, sizes, block_rows)
+        cut = spark.createDataFrame([(*node, share(sizes[node])) for node in due], "dim int, leaf bigint, most bigint")
+        sample = leafed.join(F.broadcast(cut), ["dim", "leaf"]).where(chance < F.col("most")).select("row", "vec", "dim", "leaf")
+        fitted = sample.groupBy("dim", "leaf").applyInPandas(_trained(part_rows, aim, many, seed), "dim int, leaf bigint, router binary")
+        found = {(r.dim, r.leaf): pickle.loads(r.router) for r in fitted.toLocalIterator()}
+        if not found:
+            return Forest(routers, sizes, block_rows)
+        settled |= {node for node in due if node not in found}
+        routers = routers | found
+
+
+def nearest(
+    vectors: DataFrame, queries: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", many: int = 10, aim: float = 0.97,
+    sample_rows: int = 8192, part_rows: int = 128, leaf_rows: int = 8192, block_rows: int = 4096, router_bytes: int = 256 << 20, seed: int = 1,
+) -> DataFrame:
+    """queries: which rows are queries. One row for each neighbour: query_id, rank, vec_id, score (Euclidean distance) and
+    query_row, which tells the query rows of one identifier apart."""
     spark = vectors.sparkSession
     queries = F.col(id_col) % 100 == 0 if queries is None else queries
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = rows.where(usable(F.col("vec")) & F.col("id").isNotNull())
-    dims = rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("vec") == dims[0].dim)
-    modulus = 1 << 30
-    share = min(1.0, sample_rows / dims[0].n)
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(modulus)) < int(share * modulus)).select("id", "vec").toArrow().sort_by("id")
-    x = _matrix(sample.column("vec").combine_chunks()) if sample.num_rows else np.zeros((1, dims[0].dim))
-    router = train_router(x, part_rows, aim, many, seed)
-    shared = spark.sparkContext.broadcast(router)  # bounded: parts are at most sample_rows / part_rows
+    # Written once, so a row's number stays its own.
+    rows = written(rows.where(usable(F.col("vec"))).withColumn("row", F.monotonically_increasing_id()), "vectors")
     kind = rows.schema["vec"].dataType.simpleString()
-    index = written(rows.select("id", "vec").mapInArrow(_indexed(shared), f"id bigint, vec {kind}, part int"), "index")
-    sizes = {r.part: r.n for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p, n in sizes.items() for v in (p, -(-n // block_rows))]), F.col("part")), F.lit(1))
-    dealt = index.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    # A query's own rows are no candidates.
-    own = rows.where("asks").groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    asked = rows.where("asks").select(F.col("id").alias("query"), "vec").mapInArrow(_routed(shared, sizes, many + own), f"query bigint, vec {kind}, parts array<int>")
-    asked = asked.select("query", "vec", F.explode("parts").alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    found = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(_nearest(many), "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many).select("query_id", "rank", "vec_id", "score")
+    equal = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy(F.col("id").asc_nulls_last(), "row")
+    index = rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= many + 1).select("row", "id", "vec")
+    index = written(index, "distinct-vectors")
+    forest = grown(index, many, aim, sample_rows, part_rows, leaf_rows, block_rows, router_bytes, seed)
+    shared = spark.sparkContext.broadcast(forest)
+    dealt = index.mapInArrow(_leafed(shared), f"row bigint, id bigint, vec {kind}, dim int, leaf bigint, block int")
+    dealt = dealt.fillna((1 << 63) - 1, ["id"])  # at a tie, after all others
+    asking = rows.where("asks").select("row", "id", "vec")
+    alike = asking.groupBy("vec").agg(F.min("row").alias("query"))
+    asked = alike.select("query", "vec").mapInArrow(_routed(shared, many + 1), f"query bigint, vec {kind}, dim int, places array<struct<leaf:bigint,block:int>>")
+    asked = asked.select("query", "vec", "dim", F.inline("places"))
+    by = ["dim", "leaf", "block"]
+    found = dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_nearest(many + 1), "query bigint, row bigint, score double")
+    found = found.join(index.select("row", F.col("id").alias("vec_id")), "row")
+    order = [F.col("score"), F.col("vec_id").asc_nulls_last(), F.col("row")]
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= many + 1)
+    each = asking.join(alike, "vec").select("query", F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    pairs = each.join(best, "query").where("row <> query_row")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(*order))).where(F.col("rank") <= many)
+    return ranked.select("query_id", "rank", "vec_id", "score", "query_row")
