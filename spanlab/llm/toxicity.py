@@ -1,15 +1,18 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals give scores and offsets.
 
-Tokens are runs without white space, lower-cased and stripped of ASCII punctuation; a chain is a stretch of at most
-`CHAIN` tokens of one line. Labels are of documents, so the token labels that the field learns from are derived first: a
-token of a toxic document is labelled if one of its features (the word, or its first 4, 5 or 6 characters) stands in
-toxic documents nearly alone and beyond chance. Emissions are weights of such features, transitions couple neighbours, and all are fitted
-by gradient steps on the conditional likelihood, with forward-backward over all chains at once. Chains without a known
-feature have the same marginals at the same length and are weighted instead of repeated.
-
-A document's score is a logistic function, fitted on the same rows, of its highest marginal; spans are the tokens whose
-marginal is 0.5 or more. The fit takes `sample_docs` labelled documents at most, by a hash of the identifier, whole texts;
-scoring reads all of every text.
+Tokens are runs without white space, lower-cased and stripped of ASCII punctuation; a chain is a line, whole. Labels are of
+documents, so the tags are latent: of a clean document all tags are 0, of a toxic one at least one is 1, and the field is
+fitted to the likelihood of just that. With P0 the chance of a document without any tag 1, the slope of the log-likelihood
+is the expected features of a clean document, negative, and those of a toxic one times P0 / (1 - P0): gradient steps on
+the marginals of forward-backward over all chains, in which each toxic document shares out its tags among its tokens.
+Features of a token are its word, its first 4, 5 and 6 characters, and the words before and after it. Words and prefixes
+take part if they are tied to toxic documents beyond chance, neighbours if they stand next to such a word in several
+documents; which of them mark a toxic token is for the field to find. Transitions couple neighbouring tags.
+
+Chains without a known feature have the same marginals at the same length, which are computed once for each length. A
+document's score is a logistic function, fitted on the same rows, of its highest marginal; spans are the tokens whose
+marginal is 0.5 or more. The fit takes labelled documents in the order of a hash of their identifier, whole texts, up to
+`sample_docs` of them and `sample_bytes` of text; scoring reads all of every text.
 
 Defined cases: a null or empty text gets the score of a text without any toxic token, and no span; without labelled rows
 of both kinds every score is the smoothed share of toxic ones among them (0 without any). Repeated rows are scored each;
@@ -21,50 +24,104 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHAIN = 64
 PREFIXES = (4, 5, 6)
 _TOKEN = re.compile(r"\S+")
 _KNOWN_WORDS = 1_000_000
+#: Forward-backward runs over so many places at once.
+_PLACES = 1 << 18
+
+
+def bare(token: str) -> str:
+    return token.strip(string.punctuation)
 
 
 def features(token: str) -> list[str]:
-    word = token.strip(string.punctuation)
+    """Of a token itself."""
+    word = bare(token)
     return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)] if word else []
 
 
 def marginals(emission: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """emission: (chains, CHAIN), the score of label 1 against 0. move: (2, 2) transition scores.
+    """emission: (chains, width), the score of label 1 against 0. move: (2, 2) transition scores.
 
     Returns P(label 1) for each place, expected transitions (chains, 2, 2), and log Z. Places beyond a chain's length are 0.
+    Forward and backward vectors are scaled to sum to 1, so that only that of label 1 is held.
     """
     n, width = emission.shape
-    e = np.zeros((n, width, 2))
-    e[:, :, 1] = emission
-    alpha = np.zeros((n, width, 2))
-    alpha[:, 0] = e[:, 0]
+    place, m = np.exp(np.ascontiguousarray(emission.T)), np.exp(move)
+    ahead, behind, sums = np.empty((width, n)), np.full((width, n), 0.5), np.empty((width, n))
+    sums[0] = 1 + place[0]
+    ahead[0] = place[0] / sums[0]
     for t in range(1, width):
-        alpha[:, t] = e[:, t] + np.logaddexp(alpha[:, t - 1, :1] + move[0], alpha[:, t - 1, 1:] + move[1])
+        one = ahead[t - 1]
+        up = (m[0, 1] + one * (m[1, 1] - m[0, 1])) * place[t]
+        sums[t] = up + m[0, 0] + one * (m[1, 0] - m[0, 0])
+        ahead[t] = up / sums[t]
     last = np.maximum(length - 1, 0)
-    z = np.logaddexp.reduce(alpha[np.arange(n), last], axis=1)
-    beta = np.zeros((n, width, 2))
     for t in range(width - 2, -1, -1):
-        on = (t < last)[:, None]
-        after = e[:, t + 1] + beta[:, t + 1]
-        beta[:, t] = np.where(on, np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:]), 0.0)
-    inside = np.arange(width) < length[:, None]
-    p = np.where(inside, np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]), 0.0)
-    pairs = alpha[:, :-1, :, None] + move + (e + beta)[:, 1:, None, :] - z[:, None, None, None]
-    moves = np.where((np.arange(1, width) < length[:, None])[:, :, None, None], np.exp(pairs), 0.0).sum(axis=1)
-    return p, moves, z
+        one = behind[t + 1]
+        up, down = one * place[t + 1], 1 - one
+        to_one = m[1, 0] * down + m[1, 1] * up
+        found = to_one / (to_one + m[0, 0] * down + m[0, 1] * up)
+        behind[t] = np.where(t < last, found, 0.5)
+    inside = np.arange(width)[:, None] < length
+    both = ahead * behind
+    p = np.where(inside, both / (both + (1 - ahead) * (1 - behind)), 0.0)
+    up, down = behind[1:] * place[1:], 1 - behind[1:]
+    pairs = [[x * y * m[a, b] for b, y in enumerate((down, up))] for a, x in enumerate((1 - ahead[:-1], ahead[:-1]))]
+    whole = np.where(inside[1:], 1 / (pairs[0][0] + pairs[0][1] + pairs[1][0] + pairs[1][1]), 0.0)
+    moves = np.array([[(w * whole).sum(axis=0) for w in row] for row in pairs]).transpose(2, 0, 1)
+    return p.T, moves, np.where(inside, np.log(sums), 0.0).sum(axis=0)
+
+
+class Quiet:
+    """Marginals of chains without known features: of each length from shared prefixes and suffixes, which are scaled to sum
+    to 1."""
+
+    def __init__(self, bias: float, move: np.ndarray):
+        self.place, self.move = np.exp([0.0, bias]), np.exp(move)
+        self.ahead, self.behind, self.log_sum = np.empty((0, 2)), np.empty((0, 2)), np.empty(0)
+
+    def _reach(self, length: int) -> None:
+        many = len(self.log_sum)
+        if many >= length:
+            return
+        ahead, behind, sums = np.empty((length, 2)), np.empty((length, 2)), np.empty(length)
+        ahead[:many], behind[:many], sums[:many] = self.ahead, self.behind, self.log_sum
+        for t in range(many, length):
+            a = (ahead[t - 1] @ self.move if t else np.ones(2)) * self.place
+            b = self.move @ (self.place * behind[t - 1]) if t else np.ones(2)
+            ahead[t], behind[t], sums[t] = a / a.sum(), b / b.sum(), math.log(a.sum()) + (sums[t - 1] if t else 0.0)
+        self.ahead, self.behind, self.log_sum = ahead, behind, sums
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """As `marginals` has them, of one chain."""
+        if length > len(self.log_sum):
+            self._reach(max(length, 2 * len(self.log_sum)))
+        both = self.ahead[:length] * self.behind[:length][::-1]
+        pairs = self.ahead[: length - 1, :, None] * self.move * (self.place * self.behind[: length - 1][::-1])[:, None, :]
+        return both[:, 1] / both.sum(axis=1), (pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0), float(self.log_sum[length - 1])
+
+
+def batched(lengths: list[int]) -> Iterator[np.ndarray]:
+    """Numbers of chains, those of like length together, so that a batch holds about _PLACES places with its padding."""
+    order = np.argsort(np.array(lengths, int), kind="stable")
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * lengths[order[to]] <= _PLACES and lengths[order[to]] <= 2 * lengths[order[at]] + 8:
+            to += 1
+        yield order[at:to]
+        at = to
 
 
 @dataclass
@@ -78,8 +135,9 @@ class Field:
 
     def __post_init__(self):
         self._plain: set[str] = set()
-        self._loud: dict[str, float] = {}
+        self._loud: dict[str, tuple[float, float, float]] = {}
         self._quiet: dict[int, float] = {}
+        self._alone: Quiet | None = None
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -89,18 +147,33 @@ class Field:
         self.__post_init__()
 
     def _weigh(self, tokens: set[str]) -> None:
+        """Known weights of a token: its own, and those that it gives the tokens after and before it."""
         for token in tokens:
-            known = [self.weight[f] for f in features(token) if f in self.weight]
-            if known:
-                self._loud[token] = sum(known)
+            word = bare(token)
+            own = sum(self.weight.get(f, 0.0) for f in features(token))
+            near = self.weight.get(f"<{word}", 0.0), self.weight.get(f">{word}", 0.0)
+            if own or any(near):
+                self._loud[token] = (own, *near)
             else:
                 self._plain.add(token)
 
+    def emission(self, tokens: list[str]) -> np.ndarray | None:
+        """Scores of tag 1 along a line; None if no token has a known weight."""
+        known = [(t, self._loud[w]) for t, w in enumerate(tokens) if w in self._loud]
+        if not known:
+            return None
+        row = np.full(len(tokens) + 2, self.bias)
+        for t, (own, after, before) in known:
+            row[t + 1] += own
+            row[t + 2] += after
+            row[t] += before
+        return row[1:-1]
+
     def quiet(self, length: int) -> float:
         """The highest marginal of a chain without known features."""
         if length not in self._quiet:
-            p, _, _ = marginals(np.full((1, CHAIN), self.bias), np.array([length]), self.move)
-            self._quiet[length] = float(p.max())
+            self._alone = self._alone or Quiet(self.bias, self.move)
+            self._quiet[length] = float(self._alone.of(length)[0].max())
         return self._quiet[length]
 
     def score(self, marginal: float) -> float:
@@ -111,7 +184,7 @@ class Field:
 
     def tagged(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """Of each text the highest marginal and the spans (start, end, marginal)."""
-        chains, lengths, owner, tokens_of = [], [], [], []
+        chains, owner, tokens_of = [], [], []
         best = [0.0] * len(texts)
         spans: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         for k, text in enumerate(texts):
@@ -125,33 +198,37 @@ class Field:
                 if new:
                     self._weigh(new)
                 fresh = fresh.intersection(self._loud)
+            lines = text.split("\n")
             if not fresh:
                 if words:
-                    longest = min(CHAIN, max(map(len, map(str.split, text.split("\n"))))) if len(words) > 1 else 1
-                    best[k] = self.quiet(longest)
+                    best[k] = max(self.quiet(n) for n in {len(line.split()) for line in lines} if n)
                 continue
             base = 0
-            for line in text.split("\n"):
+            for line in lines:
                 found = list(_TOKEN.finditer(line))
-                for lo in range(0, len(found), CHAIN):
-                    part = found[lo : lo + CHAIN]
-                    scores = [self._loud.get(m.group().lower(), 0.0) for m in part]
-                    if any(scores):
-                        row = np.full(CHAIN, self.bias)
-                        row[: len(part)] += scores
-                        chains.append(row)
-                        lengths.append(len(part))
-                        owner.append(k)
-                        tokens_of.append([(base + m.start(), base + m.end()) for m in part])
-                    else:
-                        best[k] = max(best[k], self.quiet(len(part)))
+                row = self.emission([m.group().lower() for m in found])
+                if row is not None:
+                    chains.append(row)
+                    owner.append(k)
+                    tokens_of.append([(base + m.start(), base + m.end()) for m in found])
+                elif found:
+                    best[k] = max(best[k], self.quiet(len(found)))
                 base += len(line) + 1
-        for lo in range(0, len(chains), 2048):
-            p, _, _ = marginals(np.array(chains[lo : lo + 2048]), np.array(lengths[lo : lo + 2048]), self.move)
-            for row, k, places in zip(p, owner[lo : lo + 2048], tokens_of[lo : lo + 2048]):
-                best[k] = max(best[k], float(row.max()))
-                spans[k] += [(*places[t], float(row[t])) for t in np.flatnonzero(row >= 0.5)]
-        return [*zip(best, spans)]
+        for p, i in self._marginals(chains):
+            k = owner[i]
+            best[k] = max(best[k], float(p.max()))
+            spans[k] += [(*tokens_of[i][t], float(p[t])) for t in np.flatnonzero(p >= 0.5)]
+        return [*zip(best, map(sorted, spans))]
+
+    def _marginals(self, chains: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
+        lengths = [*map(len, chains)]
+        for own in batched(lengths):
+            rows = np.zeros((len(own), lengths[own[-1]]))
+            for row, i in zip(rows, own):
+                row[: lengths[i]] = chains[i]
+            p, _, _ = marginals(rows, np.array([lengths[i] for i in own]), self.move)
+            for row, i in zip(p, own):
+                yield row[: lengths[i]], int(i)
 
 
 def association(toxic_with: int, clean_with: int, toxic: int, clean: int) -> float:
@@ -165,55 +242,109 @@ def association(toxic_with: int, clean_with: int, toxic: int, clean: int) -> flo
     return 2 * (split - part(k, n) - part(n - k, n))
 
 
-def fit_field(rows: list[tuple[str, int]], rounds: int = 60, least_association: float = 40.0, purity: float = 0.9) -> Field:
-    """rows: text and document label (1: toxic). Features are those that are tied to toxic documents beyond chance."""
+def known_features(rows: list[tuple[str, int]], least_docs: int = 3) -> dict[str, float]:
+    """Features with a first weight: words and prefixes tied to toxic documents beyond chance, with the logarithm of how much
+    more frequent they are there, shared among the features of a token; and words next to those, with 0.
+
+    A tie is beyond chance where none as close is expected once in a hundred times among so many features.
+    """
+    toxic = sum(y for _, y in rows)
+    rate = [len(rows) - toxic, toxic]
+    seen: tuple[Counter, Counter] = Counter(), Counter()
+    of_token: dict[str, list[str]] = {}
+    for text, y in rows:
+        tokens = set(text.lower().split())
+        of_token.update((t, features(t)) for t in tokens if t not in of_token)
+        seen[y].update({f for t in tokens for f in of_token[t]})
+    least = 2 * math.log(100 * max(1, len(seen[0].keys() | seen[1].keys())))
+    odds = lambda f: math.log((seen[1][f] + 0.5) / (rate[1] + 1)) - math.log((seen[0][f] + 0.5) / (rate[0] + 1))
+    tied = lambda f, n: n >= least_docs and odds(f) > 0 and association(n, seen[0][f], rate[1], rate[0]) >= least
+    used = {f: odds(f) / (1 + len(PREFIXES)) for f, n in seen[1].items() if tied(f, n)}
+    loud = {t for t, own in of_token.items() if any(f in used for f in own)}
+    near: Counter = Counter()
+    for text, _ in rows:
+        own = set()
+        for line in text.lower().split("\n"):
+            tokens = line.split()
+            for t in (t for t, token in enumerate(tokens) if token in loud):
+                own |= {f"<{bare(tokens[t - 1])}"} if t else set()
+                own |= {f">{bare(tokens[t + 1])}"} if t + 1 < len(tokens) else set()
+        near.update(own)
+    return used | {f: 0.0 for f, n in near.items() if n >= least_docs}
+
+
+def fit_field(rows: list[tuple[str, int]], rounds: int = 25) -> Field:
+    """rows: text and document label (1: toxic). Tags are latent; see the module."""
     rows = sorted(set(rows))  # copies would make chance look like a tie
     toxic = sum(y for _, y in rows)
     if not rows or toxic in (0, len(rows)):
         return Field(constant=(toxic + 1) / (len(rows) + 2) if rows else 0.0)
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-    for text, y in rows:
-        seen[y].update({f for token in set(text.lower().split()) for f in features(token)})
-    rate = [len(rows) - toxic, toxic]
-    share = lambda f: (seen[1][f] / rate[1]) / (seen[1][f] / rate[1] + (seen[0][f] + 0.5) / rate[0])
-    used = sorted(f for f, n in seen[1].items() if n > 2 and share(f) > 0.8 and association(n, seen[0][f], rate[1], rate[0]) >= least_association)
-    telling = {f for f in used if share(f) >= purity}
-    number = {f: i for i, f in enumerate(used)}
-    chains: list[list[tuple[list[int], int]]] = []
-    quiet: dict[int, int] = defaultdict(int)
-    for text, y in rows:
+    weights = known_features(rows)
+    number = {f: i for i, f in enumerate(sorted(weights))}
+    # Of a token its own features, and those that it is for the tokens after and before it.
+    of_token: dict[str, tuple[list[int], list[int], list[int]]] = {}
+    chains: list[list[list[int]]] = []
+    of_chain: list[int] = []
+    quiet: Counter = Counter()  # (document, length) of chains without features
+    for d, (text, _) in enumerate(rows):
         for line in text.lower().split("\n"):
             tokens = line.split()
-            for lo in range(0, len(tokens), CHAIN):
-                part = [[f for f in features(t) if f in number] for t in tokens[lo : lo + CHAIN]]
-                if any(part):
-                    chains.append([([number[f] for f in fs], int(y and any(f in telling for f in fs))) for fs in part])
-                else:
-                    quiet[len(part)] += 1
-    n = len(chains) + len(quiet)
-    length = np.array([*map(len, chains), *quiet])
-    weight = np.array([1.0] * len(chains) + [*quiet.values()], float)
-    label = np.zeros((n, CHAIN), int)
-    where, what = [], []
-    for i, chain in enumerate(chains):
-        for t, (fs, y) in enumerate(chain):
-            label[i, t] = y
-            where += [i * CHAIN + t] * len(fs)
-            what += fs
-    where, what = np.array(where, int), np.array(what, int)
-    inside = np.arange(CHAIN) < length[:, None]
-    seen_moves = np.array([[((label[:, :-1] == a) & (label[:, 1:] == b) & inside[:, 1:]) @ np.ones(CHAIN - 1) @ weight for b in (0, 1)] for a in (0, 1)])
-    theta, bias, move = np.zeros(len(used)), -4.0, np.zeros((2, 2))
-    step = [np.zeros(len(used)), 0.0, np.zeros((2, 2))]
-    size = weight.sum()
+            for t in tokens:
+                if t not in of_token:
+                    of_token[t] = tuple([number[f] for f in fs if f in number] for fs in (features(t), [f"<{bare(t)}"], [f">{bare(t)}"]))
+            marks = [of_token[t] for t in tokens]
+            if any(own or after or before for own, after, before in marks):
+                known = [[*own] for own, _, _ in marks]
+                for t, (_, after, before) in enumerate(marks):
+                    if after and t + 1 < len(known):
+                        known[t + 1] += after
+                    if before and t:
+                        known[t - 1] += before
+                chains.append(known)
+                of_chain.append(d)
+            elif tokens:
+                quiet[d, len(tokens)] += 1
+    lengths = [*map(len, chains)]
+    batches = []
+    for own in batched(lengths):
+        width = lengths[own[-1]]
+        at = [(k * width + t, f) for k, i in enumerate(own) for t, fs in enumerate(chains[i]) for f in fs]
+        where, what = np.array(at, int).reshape(-1, 2).T
+        batches.append((np.array([lengths[i] for i in own]), width, where, what, np.array([of_chain[i] for i in own])))
+    sizes = sorted({n for _, n in quiet})
+    place = {n: i for i, n in enumerate(sizes)}
+    quiet_doc, quiet_size, quiet_many = (np.array(x) for x in zip(*[(d, place[n], m) for (d, n), m in quiet.items()])) if quiet else (np.empty(0, int),) * 3
+    label = np.array([y for _, y in rows])
+    theta = np.array([weights[f] for f in sorted(weights)])
+    prior, bias, move = theta.copy(), -6.0, np.zeros((2, 2))
+    step = [np.zeros(len(theta)), 0.0, np.zeros((2, 2))]
     for _ in range(rounds):
-        emission = np.zeros(n * CHAIN)
-        np.add.at(emission, where, theta[what])
-        p, moves, _ = marginals(emission.reshape(n, CHAIN) + bias, length, move)
-        miss = (np.where(inside, label, 0) - p) * weight[:, None]
-        slopes = [np.bincount(what, miss.ravel()[where], len(used)) - 0.05 * theta, miss.sum() - 0.001 * bias, seen_moves - np.einsum("nab,n->ab", moves, weight) - 0.05 * move]
-        step = [s + (g / size) ** 2 for s, g in zip(step, slopes)]
-        theta, bias, move = (x + 0.5 * g / size / (np.sqrt(s) + 1e-12) for x, g, s in zip((theta, bias, move), slopes, step))
+        done = []
+        none = np.zeros(len(rows))  # log P0
+        for length, width, where, what, doc in batches:
+            emission = np.bincount(where, theta[what], len(length) * width).reshape(-1, width) + bias
+            p, moves, z = marginals(emission, length, move)
+            np.add.at(none, doc, -z)
+            done.append((p, moves))
+        same = Quiet(bias, move)
+        alone = [same.of(n) for n in reversed(sizes)][::-1]
+        if sizes:
+            np.add.at(none, quiet_doc, -np.array([z for *_, z in alone])[quiet_size] * quiet_many)
+        share = np.where(label == 1, 1 / np.expm1(np.clip(-none, 1e-9, 700)), -1.0)
+        slopes = [-0.5 * (theta - prior), -0.001 * bias, -0.5 * move]
+        for (p, moves), (length, width, where, what, doc) in zip(done, batches):
+            own = p * share[doc][:, None]
+            slopes[0] += np.bincount(what, own.ravel()[where], len(theta))
+            slopes[1] += own.sum()
+            slopes[2] += np.einsum("nab,n->ab", moves, share[doc])
+        if sizes:
+            weight = np.bincount(quiet_size, share[quiet_doc] * quiet_many, len(sizes))
+            slopes[1] += sum(w * p.sum() for w, (p, _, _) in zip(weight, alone))
+            slopes[2] += sum(w * moves for w, (_, moves, _) in zip(weight, alone))
+        slopes[2][0, 0] = 0.0  # scores are against all tags 0
+        slopes = [s / len(rows) for s in slopes]
+        step = [s + g**2 for s, g in zip(step, slopes)]
+        theta, bias, move = (x + 0.4 * g / (np.sqrt(s) + 1e-12) for x, g, s in zip((theta, bias, move), slopes, step))
     out = Field({f: float(theta[i]) for f, i in number.items() if abs(theta[i]) > 1e-3}, float(bias), move)
     top = np.array([m for m, _ in out.tagged([t for t, _ in rows])])
     x = np.log(np.clip(top, 1e-9, 1 - 1e-9) / (1 - np.clip(top, 1e-9, 1 - 1e-9)))
@@ -230,15 +361,18 @@ def fit_field(rows: list[tuple[str, int]], rounds: int = 60, least_association:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_id: str, label_col: str, sample_docs: int, seed: int) -> list[tuple[str, int]]:
-    """At most about sample_docs rows: that many, chosen by a hash, come to the driver."""
-    rows = docs.where(F.coalesce(learn, F.lit(False))).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+def training_rows(
+    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_id: str, label_col: str, sample_docs: int,
+    sample_bytes: int, seed: int,
+) -> list[tuple[str, int]]:
+    """In the order of a hash as many labelled rows as sample_docs and sample_bytes allow; those come to the driver."""
+    rows = docs.where(F.coalesce(learn, F.lit(False))).select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     marks = labels.where(labels[label_col].isNotNull() & labels[label_id].isNotNull()).select(labels[label_id].alias("id"), (labels[label_col] > 0).cast("int").alias("y"))
-    marks = marks.join(rows.select("id"), "id", "left_semi")
-    total = marks.count()
-    modulus = 1 << 30
-    taken = marks.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(modulus)) < int(modulus * min(1.0, sample_docs / max(total, 1))))
-    return [(r.text or "", r.y) for r in rows.join(F.broadcast(taken), "id").select("id", "text", "y").collect()]
+    sizes = rows.select("id", F.octet_length("text").cast("long").alias("size")).join(marks, "id").withColumn("turn", F.xxhash64("id", F.lit(seed)))
+    first = sizes.orderBy("turn", "id", "y", "size").limit(sample_docs)
+    so_far = Window.orderBy("turn", "id", "y", "size").rowsBetween(Window.unboundedPreceding, 0)
+    taken = first.withColumn("held", F.sum("size").over(so_far)).where(F.col("held") <= sample_bytes).select("id", "y").distinct()
+    return [(r.text, r.y) for r in rows.join(F.broadcast(taken), "id").select("id", "text", "y").collect()]
 
 
 def _scored(shared):
@@ -257,11 +391,11 @@ def _scored(shared):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample_docs: int = 5000, seed: int = 9) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample_docs: int = 5000, sample_bytes: int = 32 << 20, seed: int = 9) -> DataFrame:
     """One row for each document: identifier, held_out, score, predicted, and spans (offsets in code points, marginals)."""
     remainder = F.pmod(F.crc32(F.encode(docs[id_col].cast("string"), "UTF-8")), F.lit(5))
-    model = fit_field(training_rows(docs, labels, remainder != 0, id_col, text_col, label_id, label_col, sample_docs, seed))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample_docs
+    model = fit_field(training_rows(docs, labels, remainder != 0, id_col, text_col, label_id, label_col, sample_docs, sample_bytes, seed))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample_docs and sample_bytes
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), docs[text_col].cast("string").alias("text"))
     out = rows.mapInArrow(_scored(shared), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, marginal double, score double, spans array<struct<start:int,end:int,marginal:double>>")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
