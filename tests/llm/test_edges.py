@@ -62,8 +62,59 @@ def test_sharding(spark, odd, none):
     assert store.read(["doc_id"]).count() == 2 * odd.count()
     with pytest.raises(sharding.ConflictError):
         store._commit(store.manifest(), store.version() - 1)
+    empty = sharding.sharded(none).read(["doc_id"])
+    assert empty.columns[0] == "doc_id" and empty.count() == 0
     with pytest.raises(FileNotFoundError):
-        sharding.sharded(none).read(["doc_id"])
+        sharding.ShardStore(spark, f"{store.root}/nothing").read(["doc_id"])
+
+
+def test_sharding_clashing_names(spark, odd):
+    names = ["merge_group", "shard", "arrival", "file", "_arrival", "_from", "tier", "dealt"]
+    docs = odd.select("doc_id", "text", *[F.concat(F.lit(n), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    store = sharding.sharded(docs, target_bytes=1 << 30, fanout=2)
+    rows = store.read(docs.columns)
+    assert store.version() > 1 and rows.columns == [*docs.columns, "_shard", "shard_bytes", "shard_rows", "_tier", "version"]
+    assert rows.select(*docs.columns).exceptAll(docs).isEmpty() and rows.count() == docs.count()
+
+
+def test_sharding_versions_and_plan(spark):
+    """Each version stays as it was; groups follow a plain version of the plan; files hold what the manifest says."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    store = sharding.sharded(docs, target_bytes=60_000, fanout=3, shard_rows=50, round_files=40)
+    assert store.version() > 3
+    for v in range(1, store.version() + 1):
+        assert sorted(r.doc_id for r in store.read(["doc_id"], v).select("doc_id").collect()) == list(range(4000))
+    for r in store.manifest().collect():
+        held = spark.read.parquet(r.path)
+        assert held.count() == r.rows and [x.shard for x in store.read(["doc_id"]).where(F.col("shard") == r.shard).select("shard").distinct().collect()] == [r.shard]
+    groups = {}
+    for r in store.planned(1).collect():
+        groups.setdefault(r.merge_group, set()).add(r.path)
+    small, want = {}, []
+    for r in store.manifest(1).collect():
+        small.setdefault(r.tier, []).append((r.bytes, r.shard, r.path))
+    for tier in sorted(small):
+        total, n, at, own = sum(b for b, *_ in small[tier]), max(1, round(sum(b for b, *_ in small[tier]) / 60_000)), 0, {}
+        for size, _, path in sorted(small[tier]):
+            own.setdefault(min(n - 1, int((at + size / 2) * n / total)), []).append((size, path))
+            at += size
+        want += [{p for _, p in x} for _, x in sorted(own.items()) if len(x) > 1 and (len(x) >= 3 or sum(b for b, _ in x) >= 30_000)]
+    taken = []
+    for w in want:
+        if taken and sum(map(len, taken)) + len(w) > 40:
+            break
+        taken.append(w)
+    assert [groups[g] for g in sorted(groups)] == taken
+    store.vacuum()
+    assert store.read(["doc_id"]).count() == 4000
+    with pytest.raises(Exception, match="v00000001"):
+        store.read(["doc_id"], 1)
+    store.fs.create(store._version_file(store.version() + 1), False).close()  # as a writer that died leaves it
+    with pytest.raises(sharding.ConflictError):
+        store.append(docs)
+    store.recover()
+    store.append(docs)
+    assert store.read(["doc_id"]).count() == 8000
 
 
 def plain_components(prints):
@@ -122,8 +173,6 @@ def test_language(spark, odd, none):
     assert untaught.where("lang_pred <> 'und'").count() == 0
     kept = language.in_known_language(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, 7, None, 10}
-    with_pruning = language.fit(odd, F.lit(True), max_contexts=5)
-    assert len(with_pruning.seen) <= 6
 
 
 def test_neighbours(spark):
@@ -131,7 +180,12 @@ def test_neighbours(spark):
     rows = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, part int")
     got = neighbours.nearest(rows).toPandas()
     assert set(got.query_id) == {0, 200}
-    assert got[got.query_id == 200].sort_values("rank").vec_id.tolist()[:3] == [0, 1, 2]
+    of = lambda rows: [None if np.isnan(v) else int(v) for v in rows.sort_values("rank").vec_id]
+    assert of(got[got.query_id == 200]) == [None, 0, 1, 2, 0]  # a row without identifier is a row of the table
+    twice = [of(own) for _, own in got[got.query_id == 0].groupby("query_row")]
+    assert sorted(twice, key=str) == [[0, 1, 2, None, 200], [1, 2, None, 0, 200]]  # each row that repeats an identifier asks for itself
+    other = spark.createDataFrame([(100, [1.0]), (1, [3.0]), (2, [2.0]), (200, [1.0, 0.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(other).collect()) == [(100, 1, 2), (100, 2, 1), (200, 1, 3)]  # by dimension
     assert neighbours.nearest(rows.where("false")).count() == 0
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6000, 16)).astype("float32")
@@ -145,6 +199,41 @@ def test_neighbours(spark):
     assert hits / 600 >= 0.9 and (got.groupby("query_id").size() == 10).all()
 
 
+def test_neighbours_tree_grows_with_the_table(spark):
+    """Ten times the rows: recall holds, and the vectors that a query is compared with hardly grow."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 16)) * 3
+    seen = {}
+    for n in (4000, 40_000):
+        x = (centres[rng.integers(0, 300, n)] + rng.normal(size=(n, 16))).astype("float32")
+        index = spark.createDataFrame([(i, i, v) for i, v in enumerate(x.tolist())], "row long, id long, vec array<float>")
+        forest = neighbours.grown(index, 11, 0.97, 2000, 128, 500, 4096, 1 << 28, 1)
+        asked = x[::400].astype(float)
+        leaves = forest.leaves(x.astype(float))
+        probed = forest.probed(asked, 11)
+        hits = 0
+        for q, own in zip(asked, probed):
+            d = ((x.astype(float) - q) ** 2).sum(1)
+            hits += np.isin(leaves[np.argsort(d)[1:11]], own).sum()
+        assert hits / (10 * len(asked)) >= 0.9
+        seen[n] = np.mean([sum(forest.sizes[16, v] for v in own) for own in probed])
+    assert seen[40_000] < 4 * seen[4000], seen
+
+
+def test_neighbours_of_many_equal_vectors(spark):
+    """A third of the rows share one vector; answers are those of brute force."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 4)).astype("float32")
+    x[::3] = x[0]
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(docs, aim=1.0, sample_rows=600, part_rows=64, leaf_rows=100, block_rows=50).toPandas()
+    for q in range(0, 900, 100):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(900), d)) if i != q][:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert np.allclose(own.score, d[want]) and (q % 3 or own.vec_id.tolist() == want)
+
+
 def test_packing(odd, none):
     from tokenizers import Tokenizer
 
