@@ -6,16 +6,14 @@ its chunks have no offsets of their own; `locate` finds them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.functions.text import SENTENCE_END, SENTENCE_OR_BLANK, TOKEN_WITH_GAP, context_header, let, piece_starts, strip, substring, total
-
-SPAN = "array<struct<char_start:int,char_end:int>>"
-CHUNKS = "array<struct<char_start:bigint,char_end:bigint,text:string>>"
+from spanlab.functions.text import SENTENCE_OR_BLANK, context_header, strip
 
 
 def _chunk(start: Column, text: Column) -> Column:
@@ -28,11 +26,6 @@ def _exploded(docs: DataFrame, chunks: Column) -> DataFrame:
     return rows.select("document_id", F.col("i").cast("bigint").alias("chunk_index"), "s.char_start", "s.char_end", "s.text")
 
 
-def _sliced(docs: DataFrame, spans: Column) -> DataFrame:
-    """From an array of spans."""
-    return _exploded(docs, F.transform(spans, lambda s: _chunk(s["char_start"], substring(F.col("text"), s["char_start"], s["char_end"]))))
-
-
 def fixed_size(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     if overlap:
         raise ValueError("fixed-size chunks don't overlap")
@@ -41,27 +34,47 @@ def fixed_size(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     return _exploded(docs, F.filter(F.transform(pieces, lambda p, i: _chunk(i * size, p)), lambda c: c["text"].rlike(r"\S")))
 
 
-def _leading(text: Column) -> Column:
-    return F.length(F.regexp_extract(text, r"^\s*", 0))
-
-
-def token_window(docs: DataFrame, window: int = 64, overlap: int = 8) -> DataFrame:
-    """Windows of tokens: sums over whole steps first, so a window's start needs no sum over all tokens before it."""
+#: White space as the patterns of the evaluation have it, and the bytes of text after which a batch of chunks is passed on.
+_SPACE = " \t\n\x0b\f\r"
+_PASSED = 8 << 20
+_TOKEN = re.compile(f"[^{_SPACE}]+")
+_SENTENCE = re.compile(f"[.!?](?=[{_SPACE}])")
+
+
+def _cut_in_batches(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """One pass over each text, in Arrow batches: a chunk for each span that the function gives."""
+    kind = docs.schema["document_id"].dataType
+    names = ["document_id", "chunk_index", "char_start", "char_end", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: list[int] = []
+            rows: list[tuple[int, int, int, str]] = []
+            held = 0
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                found = spans(text or "")
+                own += [k] * len(found)
+                rows += [(i, a, b, text[a:b]) for i, (a, b) in enumerate(found)]
+                held += len(text or "")
+                if held >= _PASSED or k + 1 == batch.num_rows:
+                    index, start, end, texts = zip(*rows) if rows else ((), (), (), ())
+                    columns = [pa.array(x, pa.int64()) for x in (index, start, end)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int32())), *columns, pa.array(texts, pa.string())], names)
+                    own, rows, held = [], [], 0
+
+    return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind.simpleString()}, chunk_index bigint, char_start bigint, char_end bigint, text string")
+
+
+def token_spans(text: str, window: int, overlap: int) -> list[tuple[int, int]]:
+    """Windows of tokens, each a step after the one before; the last may be shorter."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
     step = window - overlap
+    last = max(1, -(-(len(tokens) - overlap) // step)) if tokens else 0
+    return [(tokens[i * step][0], tokens[min(i * step + window, len(tokens)) - 1][1]) for i in range(last)]
 
-    def spans(pieces: Column, lengths: Column, lead: Column) -> Column:
-        n = F.size(pieces)
-        windows = F.when(n > overlap, F.ceil((n - overlap) / step)).otherwise(1).cast("int")
-        steps = F.transform(F.sequence(F.lit(0), windows - 1), lambda i: total(F.slice(lengths, i * step + 1, step)))
-
-        def span(sums: Column, i: Column) -> Column:
-            own = F.array_join(F.slice(pieces, i * step + 1, window), "")
-            return _chunk(lead + total(F.slice(sums, 1, i)), F.regexp_replace(own, r"\s+$", ""))
-
-        return let(steps, lambda sums: F.transform(sums, lambda _, i: span(sums, i)))
 
-    cut = let(F.regexp_extract_all("text", F.lit(TOKEN_WITH_GAP), F.lit(0)), lambda p: F.when(F.size(p) > 0, let(F.transform(p, lambda x: F.length(x)), lambda n: let(_leading(F.col("text")), lambda lead: spans(p, n, lead)))).otherwise(F.array().cast(CHUNKS)))
-    return _exploded(docs, cut)
+def token_window(docs: DataFrame, window: int = 64, overlap: int = 8) -> DataFrame:
+    return _cut_in_batches(docs, lambda text: token_spans(text, window, overlap))
 
 
 def sentence_split(docs: DataFrame, min_chars: int = 100) -> DataFrame:
@@ -78,27 +91,25 @@ def sentence_split(docs: DataFrame, min_chars: int = 100) -> DataFrame:
     return rows.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.lit(None).cast("bigint").alias("char_start"), F.lit(None).cast("bigint").alias("char_end"), "text")
 
 
-def sentence_window(docs: DataFrame, window: int = 3, stride: int = 2) -> DataFrame:
-    """Windows of sentences, from the first's start to the last's end. A part begins with the gap before its sentence."""
-    parts = F.split("text", SENTENCE_END, -1)
-
-    def windows(p: Column, starts: Column) -> Column:
-        n = F.size(p)
-        many = F.when(n <= window, 1).otherwise(F.ceil((n - window) / stride) + 1).cast("int")
-
-        def chunk_at(i: Column) -> Column:
-            own = F.array_join(F.slice(p, i * stride + 1, window), "")
-            gap = F.when(i > 0, F.length(F.regexp_extract(F.get(p, i * stride), r"^\s*", 0))).otherwise(0)
-            return _chunk(F.get(starts, i * stride) + gap, F.when(i > 0, strip(own)).otherwise(F.regexp_replace(own, r"\s+$", "")))
-
-        return F.transform(F.sequence(F.lit(0), many - 1), chunk_at)
+def sentence_spans(text: str, window: int, stride: int) -> list[tuple[int, int]]:
+    """Windows of sentences, from the first's start to the last's end. A sentence's gap is before it, and only the first
+    window keeps its own."""
+    if not text.strip(_SPACE):
+        return [(0, len(text))] if text else []
+    bounds = [0, *(m.end() for m in _SENTENCE.finditer(text))]
+    if text[bounds[-1] :].strip(_SPACE):
+        bounds.append(len(text))
+    many = len(bounds) - 1
+    out = []
+    for i in range(1 if many <= window else -(-(many - window) // stride) + 1):
+        start, end = bounds[i * stride], bounds[min(i * stride + window, many)]
+        own = text[start:end]
+        out.append((start + (len(own) - len(own.lstrip(_SPACE)) if i else 0), start + len(own.rstrip(_SPACE))))
+    return out
 
-    def cut(p: Column) -> Column:
-        full = F.filter(p, lambda x: x.rlike(r"\S"))  # only the last can be blank
-        return let(full, lambda f: F.when(F.size(f) > 0, let(piece_starts(F.transform(f, lambda x: F.length(x)), F.lit(0)), lambda starts: windows(f, starts))).otherwise(whole))
 
-    whole = F.when(F.length("text") > 0, F.array(_chunk(F.lit(0), F.col("text")))).otherwise(F.array().cast(CHUNKS))
-    return _exploded(docs, let(parts, cut))
+def sentence_window(docs: DataFrame, window: int = 3, stride: int = 2) -> DataFrame:
+    return _cut_in_batches(docs, lambda text: sentence_spans(text, window, stride))
 
 
 def recursive_spans(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[tuple[int, int]]:
@@ -162,16 +173,8 @@ DEFAULT_SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def recursive_character(docs: DataFrame, size: int = 512, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """A state machine over each text, in Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["spans"] = [[{"char_start": a, "char_end": b} for a, b in recursive_spans(t or "", size, overlap, separators)] for t in pdf["text"]]
-            yield pdf
-
-    kind = docs.schema["document_id"].dataType.simpleString()
-    cut = docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, text string, spans {SPAN}")
-    return _sliced(cut, F.col("spans"))
+    """A state machine over each text."""
+    return _cut_in_batches(docs, lambda text: recursive_spans(text, size, overlap, separators))
 
 
 # A clause opens at a numbered heading or item, or after a blank line.
@@ -180,8 +183,6 @@ CLAUSE_OPENING = r"(?m)^(?:ARTICLE|Article|Section|SCHEDULE|Schedule|CHAPTER|Cha
 
 def clause_spans(text: str, min_chars: int, max_chars: int) -> list[tuple[int, int]]:
     """Stretches from opening to opening; short ones grow forward, long ones are cut recursively."""
-    import re
-
     out, start = [], 0
     for at in [*(m.start() for m in re.finditer(CLAUSE_OPENING, text)), len(text)]:
         if at > start and (at - start >= min_chars or at == len(text)):
@@ -192,14 +193,7 @@ def clause_spans(text: str, min_chars: int, max_chars: int) -> list[tuple[int, i
 
 def clause_aware(docs: DataFrame, min_chars: int = 120, max_chars: int = 1200) -> DataFrame:
     """Our own clause-aware chunker: boundaries at numbering."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["spans"] = [[{"char_start": a, "char_end": b} for a, b in clause_spans(t or "", min_chars, max_chars)] for t in pdf["text"]]
-            yield pdf
-
-    kind = docs.schema["document_id"].dataType.simpleString()
-    return _sliced(docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, text string, spans {SPAN}"), F.col("spans"))
+    return _cut_in_batches(docs, lambda text: clause_spans(text, min_chars, max_chars))
 
 
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], dict]] = {}

@@ -119,7 +119,9 @@ def ndcg(hits: DataFrame, sections: DataFrame, k: int = 10, out: str = "ndcg") -
 
 def metrics(queries: DataFrame, hits: DataFrame, sections: DataFrame) -> DataFrame:
     """One row for each query: P, R and NDCG at KS, reciprocal rank, document mismatch in the first ten, and counts."""
-    raw, hits = hits.where("rank >= 1"), normalized_hits(hits)
+    # Several branches use the ranking and the sections: a few rows for each query, kept once computed.
+    raw, sections = hits.where("rank >= 1").persist(), sections.persist()
+    hits = normalized_hits(raw)
     good = usable_sections(sections)
     found = matches(hits, good)
     relevant = found.select("query_id", "rank").distinct()

@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def scrambled(x: Column) -> Column:
+    """A 32-bit number to another one, by products that stay below 2 ** 63, so any engine has the same."""
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftright(x, 16)) * 73244475 % (1 << 32)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
 def draws(n: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """n: group columns and n. The drawn index of each (resample, place): a digest, so it is the same anywhere."""
+    """n: group columns and n. The drawn index of each (resample, place): scrambled numbers, so it is the same anywhere."""
     return drawn(n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))), seed)
 
 
 def drawn(rounds: DataFrame, seed: int) -> DataFrame:
     """rounds: r and n. A row for each place, with i and pick."""
+    long = lambda c: F.col(c).cast("bigint")
+    rounds = rounds.withColumn("_base", scrambled((long("r") + F.lit(seed) * 1_000_003) % (1 << 32)))
     places = rounds.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "i")), 1, 8), 16, 10).cast("bigint")
-    return places.withColumn("pick", F.pmod(digest, F.col("n")))
+    return places.withColumn("pick", scrambled(F.col("_base").bitwiseXOR(scrambled(long("i") + 1))) % F.col("n")).drop("_base")
 
 
 def resampled_means(numbered: DataFrame, sizes: DataFrame, by: list[str], value: str, resamples: int, seed: int) -> DataFrame:
@@ -29,8 +37,12 @@ def resampled_means(numbered: DataFrame, sizes: DataFrame, by: list[str], value:
     """
     tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = sizes.select("n").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "r")
-    picked = drawn(rounds, seed).join(numbered.join(sizes.select(*by, "n"), by), ["n", "pick"])
-    return picked.groupBy(*by, "r").agg(F.avg(value).alias("m"))
+    # Sums go by the number of a group: whole numbers aggregate faster than its columns do.
+    names = sizes.select(*by, "n").withColumn("_no", F.row_number().over(Window.orderBy(*by)))
+    values = numbered.join(names, by).select("n", "pick", "_no", value)
+    picked = drawn(rounds, seed).select("n", "r", "pick").join(values, ["n", "pick"])
+    means = picked.groupBy("_no", "r").agg(F.avg(value).alias("m"))
+    return means.join(F.broadcast(names), "_no").select(*by, "r", "m")  # a row for each group
 
 
 def bootstrap_means(diffs: DataFrame, by: list[str], value: str = "diff", resamples: int = 200, seed: int = 42, order: str = "query_id") -> DataFrame:

@@ -57,6 +57,8 @@ def sizes(chunks: DataFrame) -> DataFrame:
 
 
 def structural_row(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
+    # Spans without texts, used by four branches; what memory can't hold goes to disk.
+    chunks, clauses = chunks.select(*KEYS, "chunk_index", "char_start", "char_end", "char_count").persist(), clauses.persist()
     out = sizes(chunks)
     for part in (fragmentation(chunks, clauses), over_merge(chunks, clauses), grouping(chunks, clauses)):
         out = out.join(part, KEYS)

@@ -18,6 +18,10 @@ SCORES_SQL = f"""
  u AS (SELECT strategy, query_id, document_id, 'mrr' AS metric, mrr AS v FROM s UNION ALL SELECT strategy, query_id, document_id, 'ndcg', ndcg FROM s),
  d AS (SELECT b.strategy AS strategy_b, a.metric, a.query_id, a.document_id, a.v AS a, b.v AS b, a.v - b.v AS diff FROM u a JOIN u b USING (query_id, metric) WHERE a.strategy = 'alpha' AND b.strategy <> 'alpha')"""
 BY = ["strategy_b", "metric"]
+_ONE = "(xor($, $ >> 16) * 73244475 % 4294967296)"
+_TWO = _ONE.replace("$", _ONE)
+#: The scrambling of a whole number $ that the draws use.
+SCRAMBLED = f"xor({_TWO}, {_TWO} >> 16)"
 
 
 def paired(spark, sf):
@@ -34,12 +38,12 @@ def jn9(spark, sf):
     return paired(spark, sf).select(*BY, "query_id", number("diff").alias("diff"))
 
 
-@query("st1_paired_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, ('0x' || substring(md5('42:' || r || ':' || i), 1, 8))::BIGINT % (SELECT count(*) FROM base) AS pick FROM range({RESAMPLES}) t(r), (SELECT unnest(range((SELECT count(*) FROM base))) AS i) v), m AS (SELECT strategy_b, metric, r, avg(diff) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL) SELECT strategy_b, metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL")
+@query("st1_paired_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM base) AS pick FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS i)) v), m AS (SELECT strategy_b, metric, r, avg(diff) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL) SELECT strategy_b, metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL")
 def st1(spark, sf):
     return ST.bootstrap_means(paired(spark, sf), BY, "diff", RESAMPLES).select(*BY, number("low").alias("low"), number("high").alias("high"))
 
 
-@query("st2_item_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, ('0x' || substring(md5('42:' || r || ':' || i), 1, 8))::BIGINT % (SELECT count(*) FROM base) AS pick FROM range({RESAMPLES}) t(r), (SELECT unnest(range((SELECT count(*) FROM base))) AS i) v), m AS (SELECT strategy_b, metric, r, avg(a) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL), l AS (SELECT strategy_b, metric, list_sort(list(m)) AS ms FROM m GROUP BY ALL) SELECT strategy_b, metric, round((SELECT avg(a) FROM d WHERE d.strategy_b = l.strategy_b AND d.metric = l.metric), 6) AS point, round(ms[{int(0.025 * RESAMPLES) + 1}], 6) AS low, round(ms[{int(0.975 * RESAMPLES) + 1}], 6) AS high FROM l")
+@query("st2_item_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM base) AS pick FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS i)) v), m AS (SELECT strategy_b, metric, r, avg(a) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL), l AS (SELECT strategy_b, metric, list_sort(list(m)) AS ms FROM m GROUP BY ALL) SELECT strategy_b, metric, round((SELECT avg(a) FROM d WHERE d.strategy_b = l.strategy_b AND d.metric = l.metric), 6) AS point, round(ms[{int(0.025 * RESAMPLES) + 1}], 6) AS low, round(ms[{int(0.975 * RESAMPLES) + 1}], 6) AS high FROM l")
 def st2(spark, sf):
     return ST.order_statistic_interval(paired(spark, sf), BY, "a", RESAMPLES, order="query_id").select(*BY, *[number(c).alias(c) for c in ("point", "low", "high")])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.functions.text import piece_starts
+from spanlab.functions.text import piece_starts, substring
 from spanlab.operators import chunkers, lexical, spans
 
 #: name -> builder, and name -> SQL; filled by the modules beside this one.
@@ -76,7 +76,9 @@ def ranking(spark: SparkSession, sf_dir: str, depth: int = 5) -> DataFrame:
     """Lexical top of the token windows for each benchmark query, with text."""
     candidates = windows(spark, sf_dir)
     best = lexical.ranked(benchmark_queries(spark, sf_dir), candidates, depth, ["document_id", "char_start", "char_end"])
-    return best.join(candidates.select("document_id", "char_start", "char_end", "text"), ["document_id", "char_start", "char_end"])
+    # The texts of the best are cut from their documents again, not all candidates.
+    texts = documents(spark, sf_dir).select("document_id", F.col("text").alias("_text"))
+    return best.join(texts, "document_id").withColumn("text", substring(F.col("_text"), F.col("char_start"), F.col("char_end"))).drop("_text")
 
 
 def number(x: Column | str, places: int = 6) -> Column:
