@@ -41,28 +41,45 @@ _TOKEN = re.compile(f"[^{_SPACE}]+")
 _SENTENCE = re.compile(f"[.!?](?=[{_SPACE}])")
 
 
-def _cut_in_batches(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
-    """One pass over each text, in Arrow batches: a chunk for each span that the function gives."""
+def _cut_in_batches(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]], errors: bool = False) -> DataFrame:
+    """One pass over each text, in Arrow batches: a chunk for each span that the function gives.
+
+    With errors there is a column `error` too: a text on which the function raises has one row, with the kind of exception
+    and without a chunk, and the others are cut all the same.
+    """
     kind = docs.schema["document_id"].dataType
-    names = ["document_id", "chunk_index", "char_start", "char_end", "text"]
+    names = ["document_id", "chunk_index", "char_start", "char_end", "text", "error"][: 6 if errors else 5]
+
+    def cut(text: str) -> list[tuple[int | None, int | None, int | None, str | None, str | None]]:
+        try:
+            return [(i, a, b, text[a:b], None) for i, (a, b) in enumerate(spans(text))]
+        except Exception as problem:
+            if not errors:
+                raise
+            return [(None, None, None, None, type(problem).__name__)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: list[int] = []
-            rows: list[tuple[int, int, int, str]] = []
+            rows: list[tuple] = []
             held = 0
             for k, text in enumerate(batch.column(1).to_pylist()):
-                found = spans(text or "")
+                found = cut(text or "")
                 own += [k] * len(found)
-                rows += [(i, a, b, text[a:b]) for i, (a, b) in enumerate(found)]
+                rows += found
                 held += len(text or "")
                 if held >= _PASSED or k + 1 == batch.num_rows:
-                    index, start, end, texts = zip(*rows) if rows else ((), (), (), ())
-                    columns = [pa.array(x, pa.int64()) for x in (index, start, end)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int32())), *columns, pa.array(texts, pa.string())], names)
+                    columns = [*zip(*rows)] if rows else [()] * 5
+                    columns = [pa.array(x, pa.int64()) for x in columns[:3]] + [pa.array(x, pa.string()) for x in columns[3:]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int32())), *columns][: len(names)], names)
                     own, rows, held = [], [], 0
 
-    return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind.simpleString()}, chunk_index bigint, char_start bigint, char_end bigint, text string")
+    return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind.simpleString()}, chunk_index bigint, char_start bigint, char_end bigint, text string" + (", error string" if errors else ""))
+
+
+def guarded(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """The chunks of a chunker that may fail on some texts, and a row with the error for each of those."""
+    return _cut_in_batches(docs, spans, errors=True)
 
 
 def token_spans(text: str, window: int, overlap: int) -> list[tuple[int, int]]:

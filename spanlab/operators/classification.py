@@ -26,12 +26,40 @@ def accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def per_class(rows: DataFrame, by: list[str]) -> DataFrame:
     """Precision, recall, F1, support and predicted count of each gold label, from confusion counts."""
-    pairs = rows.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return _classes(rows.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n")), by).drop("hit")
+
+
+def _classes(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs: by, gold, pred, n."""
     support = pairs.groupBy(*by, F.col("gold").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("hit"))
     predicted = pairs.groupBy(*by, F.col("pred").alias("label")).agg(F.sum("n").alias("predicted"))
     out = support.join(predicted, [*by, "label"], "left").fillna(0, ["predicted"])
     out = out.withColumn("precision", safe_ratio(F.col("hit"), F.col("predicted"))).withColumn("recall", safe_ratio(F.col("hit"), F.col("support")))
-    return out.withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("hit")
+    return out.withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def score_system(items: DataFrame, by: list[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """All scores of a system in one row: n, accuracy and macro-F1 with intervals of an item bootstrap, calibration error, and
+    as arrays its classes, most frequent confusions and calibration bins. items: by, item_id, gold, pred, confidence.
+
+    Resamples are counted by (gold, pred) where they are drawn, so each is a few rows before it is shuffled.
+    """
+    from spanlab.operators.stats import draws
+
+    numbered = items.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy("item_id")) - 1).select(*by, "pick", "gold", "pred")
+    sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    pairs = draws(sizes, resamples, seed).join(numbered, [*by, "pick"]).groupBy(*by, "r", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    each = _classes(pairs, [*by, "r"]).groupBy(*by, "r").agg((F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+    sorted_ = each.groupBy(*by).agg(F.sort_array(F.collect_list("accuracy")).alias("a"), F.sort_array(F.collect_list("macro_f1")).alias("f"))  # resamples entries
+    low, high = F.lit(int(0.025 * resamples)), F.lit(min(resamples - 1, int(0.975 * resamples)))
+    ends = sorted_.select(*by, F.get("a", low).alias("accuracy_low"), F.get("a", high).alias("accuracy_high"), F.get("f", low).alias("macro_f1_low"), F.get("f", high).alias("macro_f1_high"))
+    held = lambda rows, order, name: rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order))).alias(name))
+    parts = [macro_f1(items, by), ends, calibration_error(items, by), held(per_class(items, by), ["label", "support", "predicted", "precision", "recall", "f1"], "classes")]
+    parts += [held(confusion_top(items, by), ["place", "gold", "pred", "n"], "confusions"), held(calibration(items, by), ["bin", "mean_confidence", "bin_accuracy", "n"], "bins")]
+    out = accuracy(items, by)
+    for part in parts:
+        out = out.join(part, by, "left")
+    return out
 
 
 def macro_f1(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -21,6 +21,11 @@ def significance_marks(rows: DataFrame, comparisons: DataFrame) -> DataFrame:
     return rows.join(first, ["strategy", "metric"], "left").withColumn("mark", F.coalesce(mark, F.lit(""))).drop("p")
 
 
+def shared_models(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The models that both runs have, which alone can be compared."""
+    return before.select("model").intersect(after.select("model"))
+
+
 def model_pivot(metrics: DataFrame, value: str, models: list[str]) -> DataFrame:
     return metrics.groupBy("strategy").pivot("model", models).agg(F.avg(value))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from spanlab.functions.numbers import improvement_pct
+
 
 def scrambled(x: Column) -> Column:
     """A 32-bit number to another one, by products that stay below 2 ** 63, so any engine has the same."""
@@ -211,6 +213,15 @@ def comparison_matrix(diffs: DataFrame, resamples: int = 200, seed: int = 42, do
     return out.withColumn("significant", F.col("p_holm") < 0.05)
 
 
+def uncorrected(diffs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The older comparison, for readers of it: a paired t-test for each metric and pair of strategies with two common queries
+    or more, uncorrected, with the change of the means in per cent (0 for a mean of 0). `comparison_matrix` takes its place."""
+    by = ["model", "metric", "strategy_a", "strategy_b"]
+    out = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), t_statistic(F.col("diff")).alias("t"), cohens_d(F.col("diff")).alias("cohens_d"))
+    out = out.where("n >= 2").withColumn("improvement_pct", improvement_pct(F.col("mean_a"), F.col("mean_b")))
+    return out.withColumn("p", t_p("t", F.col("n") - 1)).withColumn("significant", F.col("p") < alpha)
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """0 for fewer than two rows or a constant side."""
     ranks = average_ranks(average_ranks(rows, by, x, "_rx"), by, y, "_ry")

@@ -179,9 +179,53 @@ def cl3(spark, sf):
     return scored.select("document_id", F.col("label").cast("int").alias("gold"), F.col("prediction").cast("int").alias("pred"))
 
 
-@query("agg23_failures", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'fixed_size' ELSE 'token_window' END AS strategy, 'too_long' AS kind, count(*) AS n FROM documents WHERE length(text) > 5000 GROUP BY 1")
+def fragile(text: str) -> list[tuple[int, int]]:
+    """Windows of tokens, but for texts of more than 5,000 characters and those whose length is a multiple of seven."""
+    from spanlab.operators.chunkers import token_spans
+
+    if len(text) > 5000:
+        raise OverflowError(len(text))
+    if len(text) % 7 == 0:
+        raise KeyError(len(text))
+    return token_spans(text, 64, 8)
+
+
+@query("agg23_failures", "SELECT 'fragile' AS strategy, CASE WHEN length(text) > 5000 THEN 'OverflowError' ELSE 'KeyError' END AS kind, count(*) AS n FROM documents WHERE length(text) > 5000 OR length(text) % 7 = 0 GROUP BY 2")
 def agg23(spark, sf):
+    from spanlab.operators.chunkers import guarded
     from spanlab.operators.containment import failures
 
-    rows = documents(spark, sf).select(F.when(F.col("document_id") % 2 == 0, "fixed_size").otherwise("token_window").alias("strategy"), F.when(F.length("text") > 5000, "too_long").alias("error"))
-    return failures(rows)
+    return failures(guarded(documents(spark, sf), fragile).withColumn("strategy", F.lit("fragile")))
+
+
+SYSTEM_RESAMPLES = 1000
+SYSTEM_SQL = CLASS_SQL + f""",
+ numbered AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pick FROM items),
+ draws AS (SELECT r, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM items) AS pick
+           FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({SYSTEM_RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM items))) AS i)) v),
+ drawn AS (SELECT r, gold, pred, count(*) AS n FROM draws JOIN numbered USING (pick) GROUP BY ALL),
+ classes AS (SELECT g.r, g.label, g.support, hit, coalesce(predicted, 0) AS predicted FROM (SELECT r, gold AS label, sum(n) AS support, coalesce(sum(n) FILTER (WHERE gold = pred), 0) AS hit FROM drawn GROUP BY ALL) g LEFT JOIN (SELECT r, pred AS label, sum(n) AS predicted FROM drawn GROUP BY ALL) p ON p.r = g.r AND p.label = g.label),
+ of_draw AS (SELECT r, sum(hit) / sum(support) AS accuracy, avg(CASE WHEN support + predicted > 0 THEN 2 * hit / (support + predicted) ELSE 0 END) AS macro_f1 FROM classes GROUP BY 1),
+ ends AS (SELECT list_sort(list(accuracy)) AS a, list_sort(list(macro_f1)) AS f FROM of_draw)"""
+
+
+@query("cl4_score_system", f"WITH {SYSTEM_SQL} SELECT 'rule' AS system, (SELECT count(*) FROM items) AS n, (SELECT round(avg((gold = pred)::INT), 6) FROM items) AS accuracy, round(a[26], 6) AS accuracy_low, round(a[976], 6) AS accuracy_high, (SELECT round(avg(f1), 6) FROM f) AS macro_f1, round(f[26], 6) AS macro_f1_low, round(f[976], 6) AS macro_f1_high, (SELECT count(*) FROM f) AS n_classes FROM ends")
+def cl4(spark, sf):
+    rows = C.score_system(items(spark, sf), ["system"], SYSTEM_RESAMPLES)
+    numbers = ["accuracy", "accuracy_low", "accuracy_high", "macro_f1", "macro_f1_low", "macro_f1_high"]
+    return rows.select("system", "n", *[number(c).alias(c) for c in numbers], F.size("classes").cast("bigint").alias("n_classes"))
+
+
+@query("st10_uncorrected_comparisons", f"WITH {SCORES_SQL} SELECT strategy_b, metric, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(CASE WHEN avg(b) > 0 THEN (avg(a) - avg(b)) / avg(b) * 100 ELSE 0 END, 4) AS improvement_pct, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 5) AS t, round(avg(diff) / stddev_samp(diff), 6) AS cohens_d FROM d GROUP BY ALL")
+def st10(spark, sf):
+    rows = ST.uncorrected(paired(spark, sf).drop("document_id"))
+    return rows.select(*BY, "n", *[number(c, p).alias(c) for c, p in (("mean_a", 6), ("mean_b", 6), ("improvement_pct", 4), ("t", 5), ("cohens_d", 6))])
+
+
+@query("set7_shared_models", "SELECT DISTINCT ['a', 'b', 'c'][label % 3 + 1] AS model FROM embeddings WHERE label < 4 AND ['a', 'b', 'c'][label % 3 + 1] IN (SELECT ['a', 'b', 'c'][label % 3 + 1] FROM embeddings WHERE label IN (1, 5, 8))")
+def set7(spark, sf):
+    from spanlab.operators.report import shared_models
+
+    model = F.element_at(F.array(*map(F.lit, "abc")), (F.col("label") % 3 + 1).cast("int")).alias("model")
+    rows = table(spark, sf, "embeddings")
+    return shared_models(rows.where("label < 4").select(model), rows.where("label IN (1, 5, 8)").select(model))
