@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -32,19 +35,59 @@ def drawn(rounds: DataFrame, seed: int) -> DataFrame:
     return places.withColumn("pick", scrambled(F.col("_base").bitwiseXOR(scrambled(long("i") + 1))) % F.col("n")).drop("_base")
 
 
+#: Values of so many rows are broadcast for resampling (64 MB); beyond, draws are joined to them.
+BROADCAST_VALUES = 8_000_000
+
+
+def _drawn_means(shared, seed: int):
+    """Of each resample the mean of every group; groups of one size share their draws. As `drawn` and a join have it."""
+
+    def scramble(x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = (x ^ (x >> 16)) * 73244475 % (1 << 32)
+        return x ^ (x >> 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for no, values in shared.value:
+            by_size.setdefault(len(values), []).append((no, values))
+        for batch in batches:
+            out = []
+            for r in batch.column(0).to_pylist():
+                base = scramble(np.array([(r + seed * 1_000_003) % (1 << 32)]))
+                for n, groups in by_size.items():
+                    sums = np.zeros(len(groups))
+                    for at in range(0, n, 1 << 16):
+                        picks = scramble(base ^ scramble(np.arange(at, min(at + (1 << 16), n)) + 1)) % n
+                        sums += [values[picks].sum() for _, values in groups]
+                    out += [(no, r, total / n) for (no, _), total in zip(groups, sums)]
+            no, rs, means = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), pa.array(rs, pa.int64()), pa.array(means, pa.float64())], ["_no", "r", "m"])
+
+    return run
+
+
 def resampled_means(numbered: DataFrame, sizes: DataFrame, by: list[str], value: str, resamples: int, seed: int) -> DataFrame:
     """numbered: by, pick, value. sizes: by, n. The mean of each resample: by, r, m.
 
     Draws depend on a group's size alone, so groups of one size share them; resamples are dealt to tasks before they are drawn.
     """
-    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rounds = sizes.select("n").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "r")
+    spark = numbered.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Sums go by the number of a group: whole numbers aggregate faster than its columns do.
     names = sizes.select(*by, "n").withColumn("_no", F.row_number().over(Window.orderBy(*by)))
-    values = numbered.join(names, by).select("n", "pick", "_no", value)
-    picked = drawn(rounds, seed).select("n", "r", "pick").join(values, ["n", "pick"])
-    means = picked.groupBy("_no", "r").agg(F.avg(value).alias("m"))
-    return means.join(F.broadcast(names), "_no").select(*by, "r", "m")  # a row for each group
+    values = numbered.join(names, by).select("n", "pick", "_no", F.col(value).cast("double").alias("_value"))
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_VALUES:
+        held = values.select("_no", "pick", "_value").toArrow().sort_by([("_no", "ascending"), ("pick", "ascending")])
+        no, x = held.column("_no").to_numpy(), held.column("_value").to_numpy()
+        groups = [(int(k), x[no == k]) for k in np.unique(no)]
+        shared = spark.sparkContext.broadcast(groups)
+        means = spark.range(0, resamples, 1, tasks).mapInArrow(_drawn_means(shared, seed), "_no int, r bigint, m double")
+    else:
+        rounds = sizes.select("n").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "r")
+        picked = drawn(rounds, seed).select("n", "r", "pick").join(values, ["n", "pick"])
+        means = picked.groupBy("_no", "r").agg(F.avg("_value").alias("m"))
+    return means.join(F.broadcast(names.drop("n")), "_no").select(*by, "r", "m")  # a row for each group
 
 
 def bootstrap_means(diffs: DataFrame, by: list[str], value: str = "diff", resamples: int = 200, seed: int = 42, order: str = "query_id") -> DataFrame:

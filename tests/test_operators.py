@@ -517,3 +517,10 @@ def test_models_are_resolved_by_key_and_permission():
     for configured, allow, env in ((["costly"], True, {}), ([], False, {}), (["unheard"], False, {})):
         with pytest.raises(V.ModelError):
             V.resolved_models(configured, paid, allow, env)
+
+
+def test_resampled_means_by_broadcast_and_by_join(spark, monkeypatch):
+    rows = frame(spark, [(g, i, float((i * 37 + n) % 11)) for g, n in (("a", 40), ("b", 40), ("c", 7)) for i in range(n)], "g string, query_id int, diff double")
+    near = ST.bootstrap_means(rows, ["g"], resamples=50).orderBy("g").collect()
+    monkeypatch.setattr(ST, "BROADCAST_VALUES", 0)
+    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in near] == [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in ST.bootstrap_means(rows, ["g"], resamples=50).orderBy("g").collect()]
