@@ -244,33 +244,49 @@ def association(toxic_with: int, clean_with: int, toxic: int, clean: int) -> flo
 
 def known_features(rows: list[tuple[str, int]], least_docs: int = 3) -> dict[str, float]:
     """Features with a first weight: words and prefixes tied to toxic documents beyond chance, with the logarithm of how much
-    more frequent they are there, shared among the features of a token; and words next to those, with 0.
+    more frequent they are there, shared among the features of a token; and words that mostly stand next to those, with 0.
 
     A tie is beyond chance where none as close is expected once in a hundred times among so many features.
     """
     toxic = sum(y for _, y in rows)
     rate = [len(rows) - toxic, toxic]
     seen: tuple[Counter, Counter] = Counter(), Counter()
-    of_token: dict[str, list[str]] = {}
+    for text, y in rows:
+        if y:
+            seen[1].update({f for t in set(text.lower().split()) for f in features(t)})
+    least = 2 * math.log(100 * max(1, len(seen[1])))
+    tried = {f for f, n in seen[1].items() if n >= least_docs}
+    marks: dict[str, list[str]] = {}  # of tokens that have any
+    plain: set[str] = set()
     for text, y in rows:
         tokens = set(text.lower().split())
-        of_token.update((t, features(t)) for t in tokens if t not in of_token)
-        seen[y].update({f for t in tokens for f in of_token[t]})
-    least = 2 * math.log(100 * max(1, len(seen[0].keys() | seen[1].keys())))
+        for t in [t for t in tokens if t not in plain and t not in marks]:
+            if own := [f for f in features(t) if f in tried]:
+                marks[t] = own
+            else:
+                plain.add(t)
+        if not y:
+            seen[0].update({f for t in tokens if t in marks for f in marks[t]})
     odds = lambda f: math.log((seen[1][f] + 0.5) / (rate[1] + 1)) - math.log((seen[0][f] + 0.5) / (rate[0] + 1))
-    tied = lambda f, n: n >= least_docs and odds(f) > 0 and association(n, seen[0][f], rate[1], rate[0]) >= least
-    used = {f: odds(f) / (1 + len(PREFIXES)) for f, n in seen[1].items() if tied(f, n)}
-    loud = {t for t, own in of_token.items() if any(f in used for f in own)}
+    used = {f: odds(f) / (1 + len(PREFIXES)) for f in tried if odds(f) > 0 and association(seen[1][f], seen[0][f], rate[1], rate[0]) >= least}
+    loud = {t for t, own in marks.items() if any(f in used for f in own)}
     near: Counter = Counter()
     for text, _ in rows:
         own = set()
+        if loud.isdisjoint(text.lower().split()):
+            continue
         for line in text.lower().split("\n"):
             tokens = line.split()
             for t in (t for t, token in enumerate(tokens) if token in loud):
                 own |= {f"<{bare(tokens[t - 1])}"} if t else set()
                 own |= {f">{bare(tokens[t + 1])}"} if t + 1 < len(tokens) else set()
         near.update(own)
-    return used | {f: 0.0 for f, n in near.items() if n >= least_docs}
+    # A word counts as a neighbour if a fifth of the documents that have it have it there; others tell nothing of the place.
+    names = {f[1:] for f, n in near.items() if n >= least_docs}
+    held: Counter = Counter()
+    for text, _ in rows:
+        held.update(names.intersection(map(bare, text.lower().split())))
+    return used | {f: 0.0 for f, n in near.items() if n >= least_docs and 5 * n >= held[f[1:]]}
 
 
 def fit_field(rows: list[tuple[str, int]], rounds: int = 25) -> Field:
@@ -281,34 +297,37 @@ def fit_field(rows: list[tuple[str, int]], rounds: int = 25) -> Field:
         return Field(constant=(toxic + 1) / (len(rows) + 2) if rows else 0.0)
     weights = known_features(rows)
     number = {f: i for i, f in enumerate(sorted(weights))}
-    # Of a token its own features, and those that it is for the tokens after and before it.
-    of_token: dict[str, tuple[list[int], list[int], list[int]]] = {}
-    chains: list[list[list[int]]] = []
+    # Of a token that has any: its own features, and those that it is for the tokens after and before it.
+    loud: dict[str, tuple[list[int], list[int], list[int]]] = {}
+    plain: set[str] = set()
+    chains: list[list[tuple[int, int]]] = []  # of each the places and numbers of features
+    lengths: list[int] = []
     of_chain: list[int] = []
     quiet: Counter = Counter()  # (document, length) of chains without features
     for d, (text, _) in enumerate(rows):
         for line in text.lower().split("\n"):
             tokens = line.split()
-            for t in tokens:
-                if t not in of_token:
-                    of_token[t] = tuple([number[f] for f in fs if f in number] for fs in (features(t), [f"<{bare(t)}"], [f">{bare(t)}"]))
-            marks = [of_token[t] for t in tokens]
-            if any(own or after or before for own, after, before in marks):
-                known = [[*own] for own, _, _ in marks]
-                for t, (_, after, before) in enumerate(marks):
-                    if after and t + 1 < len(known):
-                        known[t + 1] += after
-                    if before and t:
-                        known[t - 1] += before
+            for t in {t for t in tokens if t not in plain and t not in loud}:
+                own = tuple([number[f] for f in fs if f in number] for fs in (features(t), [f"<{bare(t)}"], [f">{bare(t)}"]))
+                if any(own):
+                    loud[t] = own
+                else:
+                    plain.add(t)
+            known = []
+            for t, token in enumerate(tokens):
+                if token in loud:
+                    own, after, before = loud[token]
+                    known += [(t, f) for f in own] + [(t + 1, f) for f in after if t + 1 < len(tokens)] + [(t - 1, f) for f in before if t]
+            if known:
                 chains.append(known)
+                lengths.append(len(tokens))
                 of_chain.append(d)
             elif tokens:
                 quiet[d, len(tokens)] += 1
-    lengths = [*map(len, chains)]
     batches = []
     for own in batched(lengths):
         width = lengths[own[-1]]
-        at = [(k * width + t, f) for k, i in enumerate(own) for t, fs in enumerate(chains[i]) for f in fs]
+        at = [(k * width + t, f) for k, i in enumerate(own) for t, f in chains[i]]
         where, what = np.array(at, int).reshape(-1, 2).T
         batches.append((np.array([lengths[i] for i in own]), width, where, what, np.array([of_chain[i] for i in own])))
     sizes = sorted({n for _, n in quiet})
