@@ -14,7 +14,7 @@ GOLD_PREFIXES = ("section_", "article_", "schedule_", "chapter_", "recital_", "p
 
 
 def normalize_identifier(identifier: Column) -> Column:
-    """Case folded, one space between words, without 'clause'; 'Section 4.02' is section_4.02, 'Article VIII' article_8."""
+    """Case folded, one space between words, without 'clause'; 'Schedule 7.1' is schedule_7.1, 'Article XII' article_12."""
     plain = F.regexp_replace(F.regexp_replace(casefold(identifier), r"^\s+|\s+$", ""), r"\s+", " ")
 
     def body(text: Column) -> Column:
@@ -28,6 +28,7 @@ def normalize_identifier(identifier: Column) -> Column:
     return let(plain, body)
 
 
+# Fixed value: a numbered component of a breadcrumb, with its word, number and letter.
 PATH_TOKEN = r"(?i)^\s*(?:(article|section|schedule|chapter|clause|recital|part)\s+)?(\([a-z]{1,3}\)|\d+(?:\.\d+)*|[ivxlcdm]+\b)(\([a-z]{1,3}\))?"
 
 

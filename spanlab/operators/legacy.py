@@ -12,16 +12,20 @@ KEYS = ["strategy", "document_id"]
 DEFINING = r"(?:means|shall\s+mean|defined\s+as|refers\s+to)"
 LEADS = (r"as\s+(?:defined|set\s+(?:out|forth))\s+in\s+", r"subject\s+to\s+", r"pursuant\s+to\s+", r"in\s+accordance\s+with\s+", r"referred\s+to\s+in\s+", r"under\s+")
 TARGET = r"(?:Section|Clause|Article)\s+[\d.()]+"
+# Quoted terms, numbering at the start of a line, and a heading's target, from which (kind) and (number) are taken.
+QUOTED = (r'"([A-Z][A-Za-z\s]{2,30})"', r"'([A-Z][A-Za-z\s]{2,30})'")
+NUMBERING = r"(?m)^(\d+(?:\.\d+)*)\."
+HEADING_BEFORE, HEADING_AFTER = r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?(?:", r"\E(?=$|[ \t:—-]|\.(?!\d)|\)(?!\d))"
 
 
 def truth(docs: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Clause texts, quoted terms, references (ref_text, target) and numbering depth of each document."""
     texts = clauses.join(docs.select("document_id", "text"), "document_id").select("document_id", "identifier", F.expr("substring(text, g_start + 1, g_end - g_start)").alias("clause"))
-    quoted = F.array_union(F.regexp_extract_all("text", F.lit(r'"([A-Z][A-Za-z\s]{2,30})"'), F.lit(1)), F.regexp_extract_all("text", F.lit(r"'([A-Z][A-Za-z\s]{2,30})'"), F.lit(1)))
+    quoted = F.array_union(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in QUOTED])
     terms = docs.select("document_id", F.explode(quoted).alias("term")).where("length(trim(term)) >= 2").distinct()
     found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?i){lead}{TARGET}"), F.lit(0)) for lead in LEADS]))
     refs = docs.select("document_id", F.explode(found).alias("ref_text")).withColumn("target", F.lower(F.regexp_extract("ref_text", f"(?i){TARGET}$", 0)))
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+(?:\.\d+)*)\."), F.lit(1)), lambda x: F.size(F.split(x, r"\.")))
+    numbers = F.transform(F.regexp_extract_all("text", F.lit(NUMBERING), F.lit(1)), lambda x: F.size(F.split(x, r"\.")))
     return texts, terms, refs, docs.select("document_id", F.greatest(F.coalesce(F.array_max(numbers), F.lit(0)), F.lit(1)).alias("depth"))
 
 
@@ -51,7 +55,7 @@ def reference_resolution(chunks: DataFrame, refs: DataFrame) -> DataFrame:
     near = chunks.select(*KEYS, "text", F.concat_ws("\n", F.lag("text").over(order), "text", F.lead("text").over(order)).alias("around"))
     number = F.regexp_extract("target", r"([\d.()]+)$", 1)
     kind = F.regexp_extract("target", r"^(clause|section|article|schedule)", 1)
-    rule = F.concat(F.lit(r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?(?:"), kind, F.lit(r"[ \t]+)?\Q"), number, F.lit(r"\E(?=$|[ \t:—-]|\.(?!\d)|\)(?!\d))"))
+    rule = F.concat(F.lit(HEADING_BEFORE), kind, F.lit(r"[ \t]+)?\Q"), number, F.lit(HEADING_AFTER))
     held = near.join(refs, "document_id").where(F.contains(F.lower("text"), F.lower("ref_text"))).withColumn("_rule", rule).withColumn("_has", F.expr("around rlike _rule"))
     best = held.groupBy(*KEYS, "ref_text", "target").agg(F.bool_or("_has").alias("kept"))
     asked = chunks.select(*KEYS).distinct().join(refs, "document_id")
