@@ -395,3 +395,14 @@ def test_pipeline_stages(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.encode().split())
     assert got == {d: n for d, n in due.items() if n} and four.columns == docs.columns
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == len(got)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
+    """Nulls, repeated rows and clashing names pass through all stages; an empty table gives an empty result."""
+    for docs in (none, odd):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, "")
+            assert kept.columns == docs.columns, name
+            docs = spark.createDataFrame(kept.collect(), docs.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
