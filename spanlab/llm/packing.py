@@ -24,6 +24,7 @@ repeat an identifier are packed as documents of their own, told apart by `copy`;
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 import json
@@ -240,16 +241,16 @@ PIECES, GAPS, SEGMENTS = 0, 1, 2
 ROUND = "kind int, size bigint, first bigint, many bigint, sequence bigint, places bigint, at bigint"
 
 
-def _sweeper(ranges: int | None, capacity: int):
-    """Sweeps the rows of one range; with ranges None the rows that all ranges left."""
+def _sweeper(bounds: list[int] | None, capacity: int):
+    """Sweeps the rows of one range, the sizes above one bound and up to the next; without bounds the rows that all left."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         told = rows[["kind", "size", "first", "many"]].to_numpy()
         pieces, gaps = ([tuple(r[1:]) for r in told[told[:, 0] == k].tolist()] for k in (PIECES, GAPS))
         lowest = capacity + 1
-        if ranges is not None:  # the least size of this range
-            at = (int(told[0, 1]) - 1) * ranges // capacity
-            lowest = -(-at * capacity // ranges) + 1
+        if bounds is not None:
+            below = bisect.bisect_left(bounds, int(told[0, 1]))
+            lowest = bounds[below - 1] + 1 if below else 1
         segments, left, later = swept(pieces, gaps, lowest, capacity)
         out = [(PIECES, *r, 0, 0, 0) for r in left] + [(GAPS, *r, 0, 0, 0) for r in later] + [(SEGMENTS, *s) for s in segments]
         new = pd.DataFrame(out, columns=list(rows.columns[:7])).astype("int64").astype({"kind": "int32"})
@@ -258,7 +259,7 @@ def _sweeper(ranges: int | None, capacity: int):
     return run
 
 
-def placed(lengths: DataFrame, capacity: int, ranges: int = 4) -> DataFrame:
+def placed(lengths: DataFrame, capacity: int, ranges: int = 8) -> DataFrame:
     """lengths: length, n. Segments (length, first, many, sequence, places, at) of all pieces, by rounds.
 
     The piece of rank first + i lies in sequence + i // places, at offset at + (i % places) * length. Each round is written
@@ -268,6 +269,9 @@ def placed(lengths: DataFrame, capacity: int, ranges: int = 4) -> DataFrame:
     zero = [F.lit(0).cast("bigint").alias(c) for c in ("sequence", "places", "at")]
     row = lambda kind, size, first, many: [F.lit(kind).alias("kind"), size.cast("bigint").alias("size"), first.cast("bigint").alias("first"), many.cast("bigint").alias("many"), *zero]
     state = written(lengths.select(*row(PIECES, F.col("length"), F.lit(0), F.col("n"))), "packing-round")
+    # Ranges of about as many lengths each.
+    cuts = state.agg(F.percentile_approx("size", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    bounds = sorted(set(cuts))
     segments, opened = state.where("false"), 0
     while True:
         left = state.where(F.col("kind") == PIECES).agg(F.sum(F.col("size") * F.col("many")).alias("tokens"), F.sum("many").alias("many")).first()
@@ -279,8 +283,8 @@ def placed(lengths: DataFrame, capacity: int, ranges: int = 4) -> DataFrame:
             opened += more
         before = left.many
         # Pieces and gaps by range, each swept for itself; then what they leave, over all ranges.
-        here = F.floor((F.col("size") - 1) * ranges / capacity)
-        local = state.withColumn("range", here).groupBy("range").applyInPandas(_sweeper(ranges, capacity), ROUND)
+        here = sum((F.col("size") > b).cast("int") for b in bounds) if bounds else F.lit(0)
+        local = state.withColumn("range", here).groupBy("range").applyInPandas(_sweeper(bounds, capacity), ROUND)
         crossed = local.groupBy().applyInPandas(_sweeper(None, capacity), ROUND)
         done = written(crossed, "packing-round")
         segments = segments.unionByName(done.where(F.col("kind") == SEGMENTS))
@@ -289,7 +293,7 @@ def placed(lengths: DataFrame, capacity: int, ranges: int = 4) -> DataFrame:
 
 def packed(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 4096,
-    bucket_rows: int = 1 << 21, ranges: int = 4,
+    bucket_rows: int = 1 << 21, ranges: int = 8,
 ) -> DataFrame:
     """One row for each piece: identifier, piece, start, length, ids_crc32, sequence_id, offset, copy."""
     if not Path(tokenizer_path).name:
