@@ -1,25 +1,21 @@
-"""Joins and unions of half-open spans. Both sides are always joined on their document first, so the span condition is the
-residual of a hash or sort-merge join and never a nested loop."""
+"""Joins and unions of half-open spans, by sweeps over a document's sorted spans: none pairs all spans of a document."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlab.functions.numbers import overlap
+from spanlab.operators import sweep
 
 
-def overlap_join(left: DataFrame, right: DataFrame, least: int = 1, key: str = "document_id", bin_size: int | None = None) -> DataFrame:
-    """Pairs of left (char_start, char_end) and right (g_start, g_end) with at least `least` shared characters; adds
-    overlap_chars. With bin_size both sides are dealt into bins of a document first, for documents of very many spans."""
-    ov = overlap(F.col("char_start"), F.col("char_end"), F.col("g_start"), F.col("g_end"))
-    if bin_size is None:
-        return left.join(right, key).withColumn("overlap_chars", ov).where(F.col("overlap_chars") >= least)
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bin_size)))
-    pairs = left.withColumn("_bin", bins("char_start", "char_end")).join(right.withColumn("_bin", bins("g_start", "g_end")), [key, "_bin"])
-    pairs = pairs.withColumn("overlap_chars", ov).where(F.col("overlap_chars") >= least)
-    # A pair meets in several bins; the first that both are in counts.
-    return pairs.where(F.col("_bin") == F.floor(F.greatest("char_start", "g_start") / bin_size)).drop("_bin")
+def overlap_join(left: DataFrame, right: DataFrame, least: int = 1, key: str = "document_id") -> DataFrame:
+    """Pairs of left (char_start, char_end) and right (g_start, g_end) with at least `least` shared characters (1 or more);
+    adds overlap_chars. Costs sorting and the pairs that overlap, whatever the number and length of a document's spans."""
+    if least < 1:
+        raise ValueError("spans that share nothing don't overlap")
+    return sweep.paired(left, right, [key], ("char_start", "char_end"), ("g_start", "g_end"), least)
 
 
 def section_match(ov: Column, length: Column, least: int = 100) -> Column:
@@ -37,14 +33,43 @@ def merged_intervals(spans: DataFrame, keys: list[str], start: str = "char_start
 
 
 def containment(gold: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each gold span (keys, g_start, g_end): is it contained in one chunk, and how many chunks does it touch?"""
-    touch = F.count_if(overlap(F.col("char_start"), F.col("char_end"), F.col("g_start"), F.col("g_end")) > 0)
-    inside = F.coalesce(F.bool_or((F.col("char_start") <= F.col("g_start")) & (F.col("g_end") <= F.col("char_end"))), F.lit(False))
-    return gold.join(chunks, keys, "left").groupBy(*gold.columns).agg(inside.alias("contained"), touch.alias("touched"))
+    """Of each different gold span (keys, g_start, g_end and more): is it contained in one chunk, and how many chunks does it
+    touch?
+
+    A sweep over the starts and ends of chunks and gold spans, in order. A gold span is contained if the furthest end among
+    chunks that start at or before its start isn't before its own end. It touches the chunks that start before its end, but
+    for those that end at or before its start; empty spans touch nothing. One shuffle and one sort by the document.
+    """
+    own = [c for c in gold.columns if c not in keys]
+    none = F.lit(None).cast(gold.select(F.struct(*own)).schema[0].dataType)
+    filled = (F.col("char_end") > F.col("char_start")).cast("int")
+
+    def event(at: str, turn: int, **columns: Column) -> Column:
+        values = {"at": F.col(at).cast("bigint"), "turn": F.lit(turn), "reach": F.lit(None).cast("bigint"), "opens": F.lit(0), "closes": F.lit(0)}
+        return F.struct(*[x.alias(name) for name, x in (values | columns).items()])
+
+    chunks = chunks.where(" and ".join(f"`{c}` is not null" for c in [*keys, "char_start", "char_end"]))
+    # At one place: ends of chunks, a gold span's end, starts of chunks, a gold span's start.
+    of_chunk = F.array(event("char_end", 0, closes=filled), event("char_start", 2, opens=filled, reach=F.col("char_end").cast("bigint")))
+    of_gold = F.array(event("g_end", 1), event("g_start", 3))
+    events = chunks.select(*keys, none.alias("own"), F.inline(of_chunk)).unionByName(gold.select(*keys, F.struct(*own).alias("own"), F.inline(of_gold)))
+    sweep_ = Window.partitionBy(*keys).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.select(*keys, "own", "at", "turn", F.max("reach").over(sweep_).alias("reach"), F.sum("opens").over(sweep_).alias("opened"), F.sum("closes").over(sweep_).alias("closed"))
+    asked = seen.where("own is not null")
+    at_start = lambda x: F.max(F.when(F.col("turn") == 3, F.col(x)))
+    before_end = F.max(F.when(F.col("turn") == 1, F.col("opened")))
+    found = asked.groupBy(*keys, "own").agg(at_start("reach").alias("reach"), before_end.alias("opened"), at_start("closed").alias("closed"))
+    touched = F.when(F.col("own.g_end") > F.col("own.g_start"), F.col("opened") - F.col("closed")).otherwise(0)
+    contained = F.coalesce(F.col("reach") >= F.col("own.g_end"), F.lit(False))
+    out = found.select(*keys, "own.*", contained.alias("contained"), touched.cast("bigint").alias("touched"))
+    return out.select(*gold.columns, "contained", "touched")
 
 
 def point_in_span(points: DataFrame, spans: DataFrame, key: str = "document_id", at: str = "ref_start") -> DataFrame:
-    return points.join(spans, key).where((F.col("char_start") <= F.col(at)) & (F.col(at) < F.col("char_end")))
+    """points with each span (char_start, char_end) that they are in."""
+    end = "_point_end"
+    rows = points.withColumn(end, F.col(at) + 1)
+    return sweep.paired(rows, spans, [key], (at, end), ("char_start", "char_end"), 1).drop(end, "overlap_chars")
 
 
 def finalized(clauses: DataFrame) -> DataFrame:
@@ -59,13 +84,39 @@ def nearest_preceding(rows: DataFrame, is_heading: Column, value: str, out: str)
     return rows.withColumn(out, F.last(F.when(is_heading, F.col(value)), ignorenulls=True).over(order))
 
 
-def subtree_ends(clauses: DataFrame, depth: int = 3) -> DataFrame:
-    """clauses: document_id, identifier, parent, g_end. Adds subtree_end, the largest end below; levels are three at most."""
-    out = clauses.withColumn("subtree_end", F.col("g_end"))
-    for _ in range(depth - 1):
-        below = out.where("parent is not null").groupBy("document_id", F.col("parent").alias("identifier")).agg(F.max("subtree_end").alias("_below"))
-        out = out.join(below, ["document_id", "identifier"], "left").withColumn("subtree_end", F.greatest("subtree_end", F.coalesce("_below", "subtree_end"))).drop("_below")
-    return out
+class CycleError(ValueError):
+    """A clause is its own ancestor."""
+
+
+def subtree_ends(clauses: DataFrame) -> DataFrame:
+    """clauses: document_id, identifier, parent, g_end and more. Adds subtree_end, the furthest end of a clause and of all
+    clauses below it, however deep.
+
+    Parents that the document doesn't have count as none; rows that repeat an identifier are one clause with all their
+    parents. A clause that is its own ancestor is a CycleError.
+    """
+
+    def work(batch: pa.RecordBatch, document: np.ndarray) -> list[pa.Array]:
+        size = len(document)
+        names = pa.concat_arrays([batch.column("identifier").cast(pa.string()), batch.column("parent").cast(pa.string())])
+        codes = names.dictionary_encode()
+        code = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        key = np.tile(document, 2) * (len(codes.dictionary) + 1) + code + 1
+        nodes, node = np.unique(key[:size], return_inverse=True)
+        parent = np.searchsorted(nodes, key[size:])
+        held = (parent < len(nodes)) & (nodes[np.minimum(parent, len(nodes) - 1)] == key[size:]) & (code[size:] >= 0)
+        lowest = np.iinfo(np.int64).min
+        end = batch.column("g_end").cast(pa.int64()).fill_null(lowest).to_numpy(zero_copy_only=False)
+        value = np.full(len(nodes), lowest)
+        np.maximum.at(value, node, end)
+        best, open_ = sweep.highest_below(node, np.where(held, parent, -1), value)
+        if len(open_):
+            where = int(np.flatnonzero(node == open_[0])[0])
+            raise CycleError(f"clause {batch.column('identifier')[where]} of document {batch.column('document_id')[where]} is in or above a cycle")
+        found = best[node]
+        return [pa.array(found, mask=found == lowest)]
+
+    return sweep.within_documents(clauses, ["document_id"], work, "subtree_end bigint")
 
 
 def leaves(clauses: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanlab.functions import text as T
 from spanlab.functions.numbers import size_variation
 from spanlab.operators import chunkers, locate, spans
-from spanlab.plans.tables import CLAUSES_SQL, FIXED_SQL, TOKENS_SQL, clauses, documents, fixed, full_clauses, number, query, table, windows
+from spanlab.plans.tables import CLAUSES_SQL, FIXED_SQL, TOKENS_SQL, clauses, documents, fixed, full_clauses, lines, number, query, table, windows
 
 SPAN_COLUMNS = ["document_id", "chunk_index", "char_start", "char_end"]
 
@@ -189,6 +189,21 @@ def jn16(spark, sf):
     return full_clauses(spark, sf).select("document_id", "identifier", F.col("subtree_end").cast("bigint").alias("subtree_end"))
 
 
+DEEP_SQL = f"""WITH RECURSIVE {CLAUSES_SQL},
+ deep AS (SELECT document_id, k, CASE WHEN k > 0 THEN (k - 1) // 2 END AS up, g_end FROM clauses),
+ below AS (SELECT document_id, k, k AS top, up, g_end FROM deep
+           UNION ALL SELECT b.document_id, b.k, d.k, d.up, b.g_end FROM below b JOIN deep d ON d.document_id = b.document_id AND d.k = b.up)
+ SELECT document_id, top AS k, max(g_end) AS subtree_end FROM below GROUP BY ALL"""
+
+
+@query("jn16_deep_subtree", DEEP_SQL)
+def jn16_deep(spark, sf):
+    """Lines as a binary tree, as deep as the logarithm of their number."""
+    k = F.col("k")
+    rows = lines(spark, sf).select("document_id", "k", k.cast("string").alias("identifier"), F.when(k > 0, F.floor((k - 1) / 2).cast("string")).alias("parent"), "g_end")
+    return spans.subtree_ends(rows).select("document_id", "k", "subtree_end")
+
+
 @query("src2_lookup", "SELECT DISTINCT doc_id AS document_id, source FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en'")
 def src2(spark, sf):
     return documents(spark, sf).where(F.col("source").isin("src1", "src2") & (F.col("lang") == "en")).select("document_id", "source").distinct()

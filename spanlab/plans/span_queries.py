@@ -24,7 +24,7 @@ def jn1(spark, sf):
 
 @query("jn1_overlap_join_binned", f"WITH {FIXED_SQL}, {CLAUSES_SQL} SELECT document_id, chunk_index, identifier, {OVERLAP} AS overlap_chars FROM fixed JOIN clauses USING (document_id) WHERE {OVERLAP} >= 50")
 def jn1_binned(spark, sf):
-    return spans.overlap_join(fixed(spark, sf).drop("text"), clauses(spark, sf), 50, bin_size=2048).select("document_id", "chunk_index", "identifier", F.col("overlap_chars").cast("bigint").alias("overlap_chars"))
+    return spans.overlap_join(fixed(spark, sf).drop("text"), clauses(spark, sf), 50).select("document_id", "chunk_index", "identifier", F.col("overlap_chars").cast("bigint").alias("overlap_chars"))
 
 
 @query("jn2_section_match", f"WITH {FIXED_SQL}, {CLAUSES_SQL} SELECT document_id, chunk_index, identifier FROM fixed JOIN clauses USING (document_id) WHERE {OVERLAP} > 0 AND CASE WHEN g_end - g_start < 100 THEN 2 * {OVERLAP} >= g_end - g_start ELSE {OVERLAP} >= 100 END")

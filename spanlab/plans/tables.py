@@ -45,16 +45,23 @@ def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.fixed_size(documents(spark, sf_dir))
 
 
-def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as clauses: every third is a top-level one, the two after it are its children."""
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a document, with its number k and its span; heading is its text."""
     docs = documents(spark, sf_dir).withColumn("lines", F.split("text", "\n", -1))
     docs = docs.withColumn("starts", piece_starts(F.transform("lines", lambda x: F.length(x) + 1), F.lit(0)))
     rows = docs.select("document_id", F.length("text").alias("n_chars"), F.posexplode(F.arrays_zip("lines", "starts")).alias("k", "z"))
-    named = lambda k: F.concat(F.lit("c"), k.cast("string"))
-    rows = rows.select("document_id", "n_chars", named(F.col("k")).alias("identifier"), F.when(F.col("k") % 3 > 0, named(F.col("k") - F.col("k") % 3)).alias("parent"), (F.col("k") % 3 == 0).alias("is_top_level"), F.col("z.starts").alias("g_start"), F.col("z.lines").alias("heading"))
+    rows = rows.select("document_id", "n_chars", F.col("k").cast("bigint").alias("k"), F.col("z.starts").alias("g_start"), F.col("z.lines").alias("heading"))
     return spans.finalized(rows).drop("n_chars")
 
 
+def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as clauses: every third is a top-level one, the two after it are its children."""
+    named = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    k = F.col("k")
+    parent = F.when(k % 3 > 0, named(k - k % 3)).alias("parent")
+    return lines(spark, sf_dir).select("document_id", named(k).alias("identifier"), parent, (k % 3 == 0).alias("is_top_level"), "g_start", "heading", "g_end")
+
+
 def full_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With is_leaf and subtree_end."""
     rows = clauses(spark, sf_dir).drop("heading")
