@@ -15,7 +15,8 @@ Part `pair`: all pairs of a language's sources, f summed over all V terms. Terms
 of terms that one of them has, f depends on its count only, so a group's numbers of terms by count do; only terms that both
 have are compared, by postings: the sources of a term, with their counts.
 
-Plans: documents are read once for terms and once for (lang, source) alone; occurrences are summed before any shuffle.
+Plans: documents are read once for terms and once for (lang, source) alone; occurrences are summed by tasks, in Arrow
+batches, before any shuffle.
 Postings are written, so lineage ends there. Joins on a group or language deal both sides by a salt too, as a hot source has
 a share of all terms. Pairs of sources are the result's own size; they are summed before the shuffle.
 
@@ -26,15 +27,21 @@ pairs; ties rank by UTF-8 bytes; other columns aren't read; an empty table gives
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlab.llm._common import shuffle_partitions, written
 
-#: Runs of letters, and what is between them, by code points.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Of UTF-8, what each byte becomes: ASCII letters in lower case, bytes of other characters as they are, anything else a space.
+_BYTES = bytes(b if b >= 128 or bytes([b]).isalpha() else 32 for b in range(256)).lower()
+#: Terms of groups that a task holds before it hands on their sums.
+HELD = 400_000
 GROUP = ["lang", "source"]
 
 
@@ -51,7 +58,7 @@ def distance(p: Column, q: Column) -> Column:
 
 def salts_of(spark: SparkSession) -> int:
     """Enough that a group with a third of all rows is a small part of a task, few enough to hold a group once for each."""
-    return min(shuffle_partitions(spark), 256)
+    return min(shuffle_partitions(spark), 32)
 
 
 def salted(rows: DataFrame, by: Column, salts: int) -> DataFrame:
@@ -62,15 +69,37 @@ def for_each_salt(rows: DataFrame, salts: int) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, source, text) to partial sums (lang, source, term, n, in_docs); what is held is HELD terms of groups and a text."""
+    counts: defaultdict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, in_docs) in counts.items():
+            terms = pa.array(n.keys(), pa.binary()).cast(pa.string())
+            names = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(n), np.int32))) for x in (lang, source)]
+            numbers = [pa.array(map(of.__getitem__, n), pa.int64()) for of in (n, in_docs)]
+            yield pa.RecordBatch.from_arrays([*names, terms, *numbers], ["lang", "source", "term", "n", "in_docs"])
+        counts.clear()
+
+    held = 0
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+            words = text.as_py().translate(_BYTES).split()
+            n, in_docs = counts[lang, source]
+            before = len(n)
+            n.update(words)
+            in_docs.update(set(words))
+            held += len(n) - before
+            if held >= HELD:
+                yield from sums()
+                held = 0
+    yield from sums()
+
+
 def postings(docs: DataFrame, text_col: str, lang_col: str, source_col: str, least_docs: int) -> DataFrame:
     """lang, term, source, n: occurrences of kept terms in each group that has them, and n_lang, those in the language."""
-    filled = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    terms = F.regexp_extract_all(F.translate(filled(text_col), _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    found = docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), terms.alias("terms"))
-    # An occurrence counts one, and a term counts one more for its document.
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("in_docs"))
-    each = F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)))
-    rows = found.select(*GROUP, F.inline(each))
+    filled = [F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
+    rows = docs.select(*filled).mapInArrow(_counted, "lang string, source string, term string, n bigint, in_docs bigint")
     rows = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("in_docs").alias("in_docs"))
     lang = Window.partitionBy("lang", "term")
     rows = rows.withColumn("n_lang", F.sum("n").over(lang)).withColumn("docs_lang", F.sum("in_docs").over(lang))
