@@ -8,7 +8,8 @@ text: what a pattern finds and what lies between gives the offsets, windows and
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,32 +27,37 @@ def roman(text: str) -> int:
     return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0]))
 
 
-# What opens a clause in each style, as (pattern of a line, level, how its identifier is made).
-# A rule's level 3 hangs on the last level 2, and so on; "own" headings stand on the next line.
-RULES: dict[str, list[tuple[str, int, Callable[[re.Match, dict], str]]]] = {
-    "eu_regulation": [
-        (r"CHAPTER[ \t]+([IVXLCDM]+)[ \t]*$", 1, lambda m, s: f"chapter_{roman(m[1])}"),
-        (r"Article[ \t]+(\d+)[ \t]*$", 2, lambda m, s: f"article_{m[1]}"),
-        (r"\((\d+)\)[ \t]+", 1, lambda m, s: "" if s["chapter"] else f"recital_{m[1]}"),
-        (r"(\d+)\.[ \t]+", 3, lambda m, s: f"{s[2]}_{m[1]}" if s[2] else ""),
-    ],
-    "uk_decimal": [
-        (r"SCHEDULE[ \t]+(\d+)\b", 1, lambda m, s: f"schedule_{m[1]}"),
-        (r"(\d+)\.(\d+)[ \t]+(?=\S)", 2, lambda m, s: f"{s['zone']}{m[1]}.{m[2]}"),
-        (r"(\d+)\.[ \t]+(?=\S)", 1, lambda m, s: f"{s['zone']}{m[1]}"),
-    ],
-    "us_article_section": [
-        (r"ARTICLE[ \t]+([IVXLCDM]+)[ \t]*$", 1, lambda m, s: f"article_{roman(m[1])}"),
-        (r"Section[ \t]+(\d+\.\d+\([a-z]\))[ \t]+(?=\S)", 3, lambda m, s: f"section_{m[1]}"),
-        (r"Section[ \t]+(\d+\.\d+)[ \t]+(?=\S)", 2, lambda m, s: f"section_{m[1]}"),
-    ],
-    "us_section_decimal": [
-        (r"Section[ \t]+(\d+\.\d+)[ \t]+(?=\S)", 2, lambda m, s: f"section_{m[1]}"),
-        (r"Section[ \t]+(\d+)\.[ \t]+(?=\S)", 1, lambda m, s: f"section_{m[1]}"),
-    ],
+# What marks a clause, in each style, at the start of a line. Only the kinds named `anywhere` count where no
+# empty line goes before. Letters are items of a list.
+LETTER = r"[ \t]*\(([a-z])\)[ \t]+"
+MARKS: dict[str, dict[str, str]] = {
+    "eu_regulation": {
+        "chapter": r"CHAPTER[ \t]+([IVXLCDM]+)[ \t]*$",
+        "article": r"Article[ \t]+(\d+)[ \t]*$",
+        "recital": r"\((\d+)\)[ \t]+",
+        "item": r"(\d+)\.[ \t]+",
+    },
+    "uk_decimal": {
+        "schedule": r"SCHEDULE[ \t]+(\d+)\b[ \t]*(.*)$",
+        "sub": r"(\d+\.\d+)[ \t]+(?=\S)",
+        "top": r"(\d+)\.[ \t]+(?=\S)",
+        "letter": LETTER,
+    },
+    "us_article_section": {
+        "exhibit": r"EXHIBIT[ \t]+[A-Z0-9]+\b",
+        "article": r"ARTICLE[ \t]+([IVXLCDM]+)[ \t]*$",
+        "lettered": r"Section[ \t]+(\d+\.\d+)\(([a-z])\)[ \t]+(?=\S)",
+        "sub": r"Section[ \t]+(\d+\.\d+)[ \t]+(?=\S)",
+        "letter": LETTER,
+    },
+    "us_section_decimal": {
+        "sub": r"Section[ \t]+(\d+\.\d+)[ \t]+(?=\S)",
+        "top": r"Section[ \t]+(\d+)\.[ \t]+(?=\S)",
+        "letter": LETTER,
+    },
 }
-# Fixed value: a lettered item.
-LETTER = re.compile(r"[ \t]*\(([a-z])\)[ \t]+")
+# What counts without an empty line before it. EU articles and UK schedules so end what is before them, no more.
+ANYWHERE = {"eu_regulation": {"chapter", "article"}, "uk_decimal": {"schedule", "letter"}, "us_article_section": {"exhibit", "lettered", "sub", "letter"}, "us_section_decimal": {"letter"}}
 # Fixed value: where a term is defined.
 DEFINITION = r"([\"'])([^\"'\n]{1,120}?)\1\s+(?:means|shall mean|refers to)\b"
 # Fixed value: what ends a paragraph.
@@ -84,54 +90,180 @@ REFERENCES: dict[str, list[tuple[str, str | None, str, str]]] = {
 }
 
 
-def heading(text: str, limit: int = 120) -> str:
-    return " ".join(text.split()).strip(" \t-–—:")[:limit]
+def heading(text: str, sentence: bool = False, limit: int = 120) -> str:
+    """A heading on one line, without dashes and colons around it; of a sentence, what is before its first stop."""
+    flat = " ".join(text.split())
+    stop = re.search(r"\.(?=\s|$)", flat[:limit]) if sentence else None
+    if stop and stop.start():
+        flat = flat[: stop.start()]
+    return flat.strip(" \t-–—:")[:limit]
+
+
+@dataclass
+class Mark:
+    """A line that may open a clause."""
+
+    kind: str
+    found: re.Match
+    at: int
+    end: int
+    fresh: bool
+
+
+_MARKS = {style: {kind: re.compile(rule) for kind, rule in rules.items()} for style, rules in MARKS.items()}
+_BLANK = re.compile(BLANK_LINE)
+
+
+def marks(text: str, style: str) -> Iterator[Mark]:
+    """In order; a line is one kind at most. A paragraph starts with the text and after an empty line: two line feeds, so a
+    line of white space doesn't do."""
+    rules, anywhere = _MARKS[style], ANYWHERE[style]
+    at, empty = 0, False
+    for line in text.split("\n"):
+        fresh = at == 0 or (empty and at > 1)
+        for kind, rule in rules.items():
+            if (fresh or kind in anywhere) and (m := rule.match(line)):
+                yield Mark(kind, m, at, at + m.end(), fresh)
+                break
+        at, empty = at + len(line) + 1, not line
+
+
+class Reader:
+    """What the styles share: places of zones and headings, and items of lists."""
+
+    def __init__(self, text: str, style: str):
+        self.text, self.found, self.size = text, list(marks(text, style)), len(text)
+        stop = next((i for i, m in enumerate(self.found) if m.kind == "exhibit"), None)
+        if stop is not None:
+            self.size, self.found = self.found[stop].at, self.found[:stop]
+        self.owner: str | None = None
+        self._letter: str | None = None
+
+    def ends(self, *kinds: str) -> list[int]:
+        """Of each mark where the next one of these kinds begins, or the end of what is read."""
+        out, last = [], self.size
+        for mark in reversed(self.found):
+            out.append(last)
+            if mark.kind in kinds:
+                last = mark.at
+        return out[::-1]
+
+    def paragraph(self, start: int, stop: int) -> str:
+        blank = _BLANK.search(self.text, start, stop)
+        return self.text[start : blank.start() if blank else stop]
+
+    def line_after(self, mark: Mark) -> str:
+        start = mark.end + (self.text[mark.end : mark.end + 1] == "\n")
+        return self.text[start:].split("\n", 1)[0] if start < len(self.text) else ""
+
+    def own(self, owner: str | None) -> None:
+        """Items that follow are the owner's, from the first letter on."""
+        self.owner, self._letter = owner, None
+
+    def item(self, mark: Mark, stop: int) -> Iterator[dict]:
+        """A list begins with (a) after an empty line, and goes on with the next letter."""
+        letter = mark.found[1]
+        if self.owner is None:
+            return
+        if (mark.fresh and letter == "a") or letter == self._letter:
+            self._letter = chr(ord(letter) + 1)
+            yield clause(mark, f"{self.owner}({letter})", 3, self.owner, heading(self.paragraph(mark.end, stop)), mark.at + mark.found.start(1) - 1)
+        else:
+            self._letter = None
+
+
+def clause(mark: Mark, identifier: str, level: int, parent: str | None, title: str, start: int | None = None) -> dict:
+    return {"identifier": identifier, "level": level, "parent": parent, "g_start": mark.at if start is None else start, "marker_end": mark.end, "heading": title}
+
+
+def _eu_regulation(r: Reader) -> Iterator[dict]:
+    """Recitals up to the first chapter; an article's items up to the next article, whatever stands between."""
+    chapter = article = None
+    recitals, stops = True, r.ends("article")
+    for mark, stop in zip(r.found, stops):
+        number = mark.found[1]
+        if mark.kind == "chapter":
+            recitals = False
+            if mark.fresh:
+                chapter = f"chapter_{roman(number)}"
+                yield clause(mark, chapter, 1, None, heading(r.line_after(mark)))
+        elif mark.kind == "article":
+            article = f"article_{number}" if mark.fresh else None
+            if article:
+                yield clause(mark, article, 2, chapter, heading(r.line_after(mark)))
+        elif mark.kind == "recital" and recitals:
+            yield clause(mark, f"recital_{number}", 1, None, heading(r.paragraph(mark.end, r.size)))
+        elif mark.kind == "item" and article:
+            yield clause(mark, f"{article}_{number}", 3, article, heading(r.paragraph(mark.end, stop)))
+
+
+def _uk_decimal(r: Reader) -> Iterator[dict]:
+    """The body up to the first schedule, with lists; then schedules with two levels and no lists."""
+    schedule: str | None = None
+    top, body = None, True
+    for mark, stop, stop_item in zip(r.found, r.ends("schedule"), r.ends("schedule", "top", "sub")):
+        number = mark.found[1]
+        if mark.kind == "letter":
+            yield from r.item(mark, stop_item)
+            continue
+        r.own(None)
+        if mark.kind == "schedule":
+            body, top = False, None
+            schedule = f"schedule_{number}" if mark.fresh else None
+            if schedule:
+                yield clause(mark, schedule, 1, None, heading(mark.found[2]))
+        elif body or schedule:
+            name = number if body else f"{schedule}.{number}"
+            title = heading(r.paragraph(mark.end, stop))
+            if mark.kind == "top":
+                top = name
+                yield clause(mark, name, 1 if body else 2, schedule, title)
+            else:
+                yield clause(mark, name, 2 if body else 3, top, title)
+                r.own(name if body else None)
+
+
+def _us_article_section(r: Reader) -> Iterator[dict]:
+    """Up to the first exhibit. Sections count anywhere, and only sections end a list."""
+    article = None
+    for mark, stop in zip(r.found, r.ends("sub", "lettered")):
+        if mark.kind == "article":
+            article = f"article_{roman(mark.found[1])}"
+            yield clause(mark, article, 1, None, heading(r.line_after(mark)))
+        elif mark.kind == "letter":
+            yield from r.item(mark, stop)
+        else:
+            section, title = f"section_{mark.found[1]}", heading(r.paragraph(mark.end, r.size), sentence=True)
+            if mark.kind == "sub":
+                yield clause(mark, section, 2, article, title)
+                r.own(section)
+            else:
+                yield clause(mark, f"{section}({mark.found[2]})", 3, section, title)
+                r.own(None)
+
+
+def _us_section_decimal(r: Reader) -> Iterator[dict]:
+    top = None
+    for mark, stop in zip(r.found, r.ends("sub", "top")):
+        if mark.kind == "letter":
+            yield from r.item(mark, stop)
+            continue
+        section, title = f"section_{mark.found[1]}", heading(r.paragraph(mark.end, r.size), sentence=mark.kind == "sub")
+        if mark.kind == "top":
+            top = section
+            yield clause(mark, section, 1, None, title)
+            r.own(None)
+        else:
+            yield clause(mark, section, 2, top, title)
+            r.own(section)
+
+
+_READ = {"eu_regulation": _eu_regulation, "uk_decimal": _uk_decimal, "us_article_section": _us_article_section, "us_section_decimal": _us_section_decimal}
 
 
 def clauses(text: str, style: str) -> list[dict]:
     """Clauses in order: identifier, level, parent, g_start, marker_end, heading."""
-    rules = [(re.compile(p), level, make) for p, level, make in RULES[style]]
-    out: list[dict] = []
-    state: dict = {1: None, 2: None, 3: None, "chapter": False, "zone": ""}
-    chain: str | None = None
-    at, fresh = 0, True
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
-        if style == "us_article_section" and re.match(r"EXHIBIT[ \t]+[A-Z0-9]+\b", line):
-            break
-        found = None
-        if fresh or style == "us_article_section":
-            for rule, level, make in rules:
-                m = rule.match(line)
-                if m and (fresh or level > 1) and (name := make(m, state)):
-                    found = (name, level, m)
-                    break
-        if found:
-            name, level, m = found
-            own = m.end() == len(line.rstrip()) and k + 1 < len(lines)
-            title = heading(lines[k + 1] if own else line[m.end() :])
-            if style.startswith("us_") and not own and level == 2:
-                title = heading(re.split(r"\.(?=\s|$)", title, maxsplit=1)[0])
-            parent = state[level - 1] if level > 1 else None
-            if level == 3 and style == "us_article_section":
-                parent = name[: name.index("(")]
-            out.append({"identifier": name, "level": level, "parent": parent, "g_start": at, "marker_end": at + m.end(), "heading": title})
-            state[level] = name
-            for below in range(level + 1, 4):
-                state[below] = None
-            state["chapter"] |= name.startswith("chapter_")
-            if re.fullmatch(r"schedule_\d+", name):
-                state["zone"] = f"{name}."
-            chain = None
-        elif style != "eu_regulation" and (m := LETTER.match(line)) and (owner := state[2] or (state[1] if style == "uk_decimal" else None)):
-            if fresh and m[1] == "a" or chain == m[1]:
-                out.append({"identifier": f"{owner}({m[1]})", "level": 3 if state[2] else 2, "parent": owner, "g_start": at + m.start(1) - 1, "marker_end": at + m.end(), "heading": heading(line[m.end() :])})
-                chain = chr(ord(m[1]) + 1)
-            else:
-                chain = None
-        fresh = not line.strip()
-        at += len(line) + 1
-    return out
+    return list(_READ[style](Reader(text, style)))
 
 
 def occurrences(text: Column, pattern: str) -> Column:

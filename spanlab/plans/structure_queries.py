@@ -38,6 +38,117 @@ def gld2(spark, sf):
     return rows.select("document_id", "identifier", "parent", "g_start", F.col("g_end").cast("bigint").alias("g_end"))
 
 
+def styled(spark, sf, style, head, prefix="", gap=lambda i: F.lit("\n\n"), told=lambda x: x):
+    """document_id, text, numbering_style: each line that isn't blank behind a head for its number, and a gap after it."""
+    some = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S"))
+    text = F.concat(F.lit(prefix), F.array_join(F.transform(some, lambda x, i: F.concat(head(i), told(x), gap(i))), ""))
+    return documents(spark, sf).select("document_id", text.alias("text"), F.lit(style).alias("numbering_style"))
+
+
+def styled_sql(head, identifier, parent, level, clauses="true", prefix="", gap="chr(10) || chr(10)", told="line", opening="", columns=""):
+    """The clauses of `styled` texts, those of the prefix (opening: rows of identifier, parent, level and start) included."""
+    return rf"""
+     WITH lines AS (SELECT doc_id AS document_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i
+                    FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents)),
+      told AS (SELECT *, {head} AS head, {told} AS says, {gap} AS gap FROM lines),
+      placed AS (SELECT *, {len(prefix)} + sum(length(head || says || gap)) OVER (PARTITION BY document_id ORDER BY i) - length(head || says || gap) AS start FROM told),
+      sized AS (SELECT doc_id AS document_id, {len(prefix)} + coalesce((SELECT sum(length(head || says || gap)) FROM told t WHERE t.document_id = doc_id), 0) AS size FROM documents),
+      opened AS (SELECT document_id, {identifier} AS identifier, {parent} AS parent, {level} AS level, start, says FROM placed WHERE {clauses}
+                 {" ".join(f"UNION ALL SELECT doc_id, '{n}', {p}, {l}, {at}, '' FROM documents" for n, p, l, at in opening)})
+     SELECT document_id, identifier, parent, level::INTEGER AS level, start::BIGINT AS g_start,
+            coalesce(lead(start) OVER (PARTITION BY document_id ORDER BY start), size)::BIGINT AS g_end{columns} FROM opened JOIN sized USING (document_id)"""
+
+
+def styled_clauses(docs):
+    rows = extract.clause_table(extract.extracted(docs))
+    return rows.select("document_id", "identifier", "parent", "level", "g_start", F.col("g_end").cast("bigint").alias("g_end"))
+
+
+def nth(i, size):
+    """The number from 1 of a group of so many lines, as text."""
+    return (F.floor(i / size) + 1).cast("string")
+
+
+EU_PREFIX = "(1) Whereas.\n\nCHAPTER I\nAll\n\n"
+
+
+@query(
+    "gld1_eu_regulation",
+    styled_sql(
+        "CASE WHEN i % 4 = 0 THEN 'Article ' || (i // 4 + 1) || chr(10) ELSE (i % 4) || '. ' END", "'article_' || (i // 4 + 1) || CASE WHEN i % 4 > 0 THEN '_' || (i % 4) ELSE '' END",
+        "CASE WHEN i % 4 = 0 THEN 'chapter_1' ELSE 'article_' || (i // 4 + 1) END", "CASE WHEN i % 4 = 0 THEN 2 ELSE 3 END",
+        prefix=EU_PREFIX, opening=[("recital_1", "NULL", 1, 0), ("chapter_1", "NULL", 1, EU_PREFIX.index("CHAPTER"))],
+    ),
+)
+def gld1(spark, sf):
+    """A recital and a chapter, then articles of a heading and three items."""
+    head = lambda i: F.when(i % 4 == 0, F.concat(F.lit("Article "), nth(i, 4), F.lit("\n"))).otherwise(F.concat((i % 4).cast("string"), F.lit(". ")))
+    return styled_clauses(styled(spark, sf, "eu_regulation", head, EU_PREFIX))
+
+
+@query(
+    "gld3_us_article_section",
+    styled_sql(
+        "CASE WHEN i % 3 = 0 THEN 'Section 1.' || (i // 3 + 1) || ' ' ELSE '(' || chr((96 + i % 3)::INT) || ') ' END",
+        "'section_1.' || (i // 3 + 1) || CASE WHEN i % 3 > 0 THEN '(' || chr((96 + i % 3)::INT) || ')' ELSE '' END",
+        "CASE WHEN i % 3 = 0 THEN 'article_1' ELSE 'section_1.' || (i // 3 + 1) END", "CASE WHEN i % 3 = 0 THEN 2 ELSE 3 END",
+        prefix="ARTICLE I\nAll\n\n", opening=[("article_1", "NULL", 1, 0)],
+    ),
+)
+def gld3(spark, sf):
+    """One article of sections with two items each."""
+    head = lambda i: F.when(i % 3 == 0, F.concat(F.lit("Section 1."), nth(i, 3), F.lit(" "))).when(i % 3 == 1, "(a) ").otherwise("(b) ")
+    return styled_clauses(styled(spark, sf, "us_article_section", head, "ARTICLE I\nAll\n\n"))
+
+
+@query(
+    "gld4_us_section_decimal",
+    styled_sql(
+        "CASE i % 3 WHEN 0 THEN 'Section ' || (i // 3 + 1) || '. ' WHEN 1 THEN 'Section ' || (i // 3 + 1) || '.1 ' ELSE '(a) ' END",
+        "'section_' || (i // 3 + 1) || CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN '.1' ELSE '.1(a)' END",
+        "CASE i % 3 WHEN 1 THEN 'section_' || (i // 3 + 1) WHEN 2 THEN 'section_' || (i // 3 + 1) || '.1' END", "i % 3 + 1",
+    ),
+)
+def gld4(spark, sf):
+    """Sections of one sub-section with one item."""
+    section = lambda i: F.concat(F.lit("Section "), nth(i, 3))
+    head = lambda i: F.when(i % 3 == 0, F.concat(section(i), F.lit(". "))).when(i % 3 == 1, F.concat(section(i), F.lit(".1 "))).otherwise("(a) ")
+    return styled_clauses(styled(spark, sf, "us_section_decimal", head))
+
+
+@query(
+    "gld5_lettered_items",
+    styled_sql(
+        "CASE WHEN i % 6 = 0 THEN '1.' || (i // 6 + 1) || ' ' ELSE '(' || substring('abdef', (i % 6)::INT, 1) || ') ' END",
+        "'1.' || (i // 6 + 1) || CASE WHEN i % 6 > 0 THEN '(' || substring('abdef', (i % 6)::INT, 1) || ')' ELSE '' END",
+        "CASE WHEN i % 6 > 0 THEN '1.' || (i // 6 + 1) END", "CASE WHEN i % 6 = 0 THEN 2 ELSE 3 END", clauses="i % 6 < 3",
+    ),
+)
+def gld5(spark, sf):
+    """Lists of a, b, d, e and f: without a c they end at b."""
+    letter = lambda i: F.substring(F.lit("abdef"), (i % 6).cast("int"), F.lit(1))
+    head = lambda i: F.when(i % 6 == 0, F.concat(F.lit("1."), nth(i, 6), F.lit(" "))).otherwise(F.concat(F.lit("("), letter(i), F.lit(") ")))
+    return styled_clauses(styled(spark, sf, "uk_decimal", head))
+
+
+@query(
+    "gld10_wrapped_headings",
+    styled_sql(
+        "(i + 1) || '. '", "(i + 1)::VARCHAR", "NULL::VARCHAR", "1", clauses="i = 0 OR (i - 1) % 5 <> 4",
+        gap="CASE WHEN i % 5 = 4 THEN chr(10) || ' ' || chr(10) ELSE chr(10) || chr(10) END", told=r"regexp_replace(line, '(\S)\s+(\S)', '\1' || chr(10) || '\2')",
+        columns=r", substring(regexp_replace(regexp_replace(says, '^[\s:–—-]+|[\s:–—-]+$', '', 'g'), '\s+', ' ', 'g'), 1, 120) AS heading",
+    ),
+)
+def gld10_wrapped(spark, sf):
+    """Each clause's text is wrapped after its first word; after each fifth there is a line of white space only, so that the
+    next clause starts no paragraph."""
+    gap = lambda i: F.when(i % 5 == 4, "\n \n").otherwise("\n\n")
+    told = lambda x: F.regexp_replace(x, r"^([\s\S]*?\S)\s+(\S)", "$1\n$2")
+    docs = styled(spark, sf, "uk_decimal", lambda i: F.concat((i + 1).cast("string"), F.lit(". ")), gap=gap, told=told)
+    rows = extract.clause_table(extract.extracted(docs))
+    return rows.select("document_id", "identifier", "parent", "level", "g_start", F.col("g_end").cast("bigint").alias("g_end"), "heading")
+
+
 @query("gld8_defined_terms", f"WITH {LINES_SQL} SELECT document_id, 'Term' AS term, start + length(head) AS definition_start, start + n AS definition_end FROM gold WHERE i % 3 = 1")
 def gld8(spark, sf):
     return extract.term_table(numbered(spark, sf)).where("term = 'Term'")

@@ -357,7 +357,7 @@ def test_clauses_by_style():
     names = lambda t, s: [(c["identifier"], c["parent"]) for c in extract.clauses(t, s)]
     assert names(EU, "eu_regulation") == [("recital_1", None), ("recital_2", None), ("chapter_1", None), ("article_1", "chapter_1"), ("article_1_1", "article_1"), ("article_1_2", "article_1"), ("article_2", "chapter_1")]
     assert names(US, "us_article_section") == [("article_1", None), ("section_1.01", "article_1"), ("section_1.01(a)", "section_1.01"), ("section_1.01(b)", "section_1.01"), ("section_1.02", "article_1")]
-    assert names(UK, "uk_decimal") == [("1", None), ("1.1", "1"), ("1.1(a)", "1.1"), ("1.1(b)", "1.1"), ("2", None), ("schedule_1", None), ("schedule_1.1", None)]
+    assert names(UK, "uk_decimal") == [("1", None), ("1.1", "1"), ("1.1(a)", "1.1"), ("1.1(b)", "1.1"), ("2", None), ("schedule_1", None), ("schedule_1.1", "schedule_1")]
     assert [c["heading"] for c in extract.clauses(US, "us_article_section")][:2] == ["Definitions", "Terms"]
 
 
