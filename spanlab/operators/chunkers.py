@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanlab.functions.text import SENTENCE_OR_BLANK, context_header, strip
+from spanlab.operators.clause_aware import clause_aware
 
 
 def _chunk(start: Column, text: Column) -> Column:
@@ -194,25 +196,6 @@ def recursive_character(docs: DataFrame, size: int = 512, overlap: int = 50, sep
     return _cut_in_batches(docs, lambda text: recursive_spans(text, size, overlap, separators))
 
 
-# A clause opens at a numbered heading or item, or after a blank line.
-CLAUSE_OPENING = r"(?m)^(?:ARTICLE|Article|Section|SCHEDULE|Schedule|CHAPTER|Chapter)\b|^\d+(?:\.\d+)*\.?\s|^\([a-z0-9]{1,4}\)\s|(?<=\n)\n+(?=\S)"
-
-
-def clause_spans(text: str, min_chars: int, max_chars: int) -> list[tuple[int, int]]:
-    """Stretches from opening to opening; short ones grow forward, long ones are cut recursively."""
-    out, start = [], 0
-    for at in [*(m.start() for m in re.finditer(CLAUSE_OPENING, text)), len(text)]:
-        if at > start and (at - start >= min_chars or at == len(text)):
-            out += [(start + a, start + b) for a, b in recursive_spans(text[start:at], max_chars, 0, SEPARATORS)]
-            start = at
-    return out
-
-
-def clause_aware(docs: DataFrame, min_chars: int = 120, max_chars: int = 1200) -> DataFrame:
-    """Our own clause-aware chunker: boundaries at numbering."""
-    return _cut_in_batches(docs, lambda text: clause_spans(text, min_chars, max_chars))
-
-
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], dict]] = {}
 
 
@@ -229,7 +212,7 @@ def chunk(docs: DataFrame, strategies: list[str] | None = None, overrides: dict[
     for name in strategies or sorted(REGISTRY):
         chunker, parameters = REGISTRY[name]
         rows = chunker(docs, **(parameters | (overrides or {}).get(name, {}))).withColumn("strategy", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)  # some tell more of a chunk
     return out
 
 
@@ -241,11 +224,20 @@ def strategy_parameters(spark, overrides: dict[str, dict] | None = None) -> Data
 
 
 def contextual(chunks: DataFrame) -> DataFrame:
-    """chunks with section_hierarchy, clause_type, defined_terms, cross_references: text gets a header, original_text stays."""
-    header = context_header(F.col("section_hierarchy"), F.col("clause_type"), F.col("defined_terms"), F.col("cross_references"))
+    """chunks with section_hierarchy, clause_type, defined_terms, cross_references (strings, or structs with raw_text): text
+    gets a header, original_text stays."""
+    refs = F.col("cross_references")
+    if isinstance(chunks.schema["cross_references"].dataType.elementType, StructType):
+        refs = F.transform(refs, lambda r: r["raw_text"])
+    header = context_header(F.col("section_hierarchy"), F.col("clause_type"), F.col("defined_terms"), refs)
     return chunks.withColumn("original_text", F.col("text")).withColumn("text", F.concat(header, F.col("text")))
 
 
+def clause_contextual(docs: DataFrame, **parameters) -> DataFrame:
+    """Clause-aware chunks under headers that tell their context."""
+    return contextual(clause_aware(docs, **parameters))
+
+
 register_chunker("fixed_size", fixed_size, size=512)
 register_chunker("token_window", token_window, window=64, overlap=8)
 register_chunker("sentence_split", sentence_split, min_chars=100)
@@ -253,3 +245,4 @@ register_chunker("sentence_window", sentence_window, window=3, stride=2)
 register_chunker("rcts_512", recursive_character, size=512, overlap=50)
 register_chunker("rcts_1024", recursive_character, size=1024, overlap=100)
 register_chunker("clause_aware", clause_aware, min_chars=120, max_chars=1200)
+register_chunker("contextual", clause_contextual, min_chars=120, max_chars=1200)

@@ -6,11 +6,16 @@ clauses: document_id, identifier, parent, g_start, g_end, is_top_level, is_leaf,
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlab.functions.numbers import safe_ratio, size_variation
-from spanlab.operators.spans import overlap_join
+from spanlab.operators.spans import overlap_join, point_in_span
+from spanlab.operators.terms import Phrases, is_whole
 
 KEYS = ["strategy", "document_id"]
 
@@ -99,24 +104,64 @@ def headings(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
     return out.select(*KEYS, some(safe_ratio(F.col("found"), F.col("reached"), 1.0)).alias("heading_recall"), some(safe_ratio(F.col("right"), F.col("claims"), 1.0)).alias("heading_precision"), number)
 
 
+def attached_uses(text: str, terms: list[tuple[str, int, int]], chunks: list[tuple[str, int, int, set[str]]]) -> dict[str, list[int]]:
+    """Of one document, by strategy: uses of terms (term, definition_start, definition_end) in chunks (strategy, start, end,
+    terms whose definition the chunk carries), and those with the definition at hand.
+
+    All terms are found in one pass over the text. A use is a chunk and a term with a find outside of the definition; what a
+    chunk's ends cut off doesn't count, so a word may end where the chunk does.
+    """
+    phrases = Phrases([term for term, _, _ in terms])
+    definitions: dict[str, list[tuple[int, int]]] = {}
+    for term, start, end in terms:
+        definitions.setdefault(term, []).append((start, end))
+    places = sorted((start, start + len(phrases.phrases[n]), n) for start, n in phrases.finds(text))
+    starts = [start for start, _, _ in places]
+    out: dict[str, list[int]] = {}
+    for strategy, start, end, carried in chunks:
+        sums = out.setdefault(strategy, [0, 0])
+        found: dict[int, list[int]] = {}
+        for at, to, n in places[bisect_left(starts, start) : bisect_left(starts, end)]:
+            if to <= end and is_whole(text, at, to, start, end):
+                found.setdefault(n, []).append(at)
+        for n, own in found.items():
+            for first, last in definitions[phrases.phrases[n]]:
+                if own[0] < first or own[-1] >= last:  # in order, so these tell whether any is outside
+                    near = 5 * max(0, min(end, last) - max(start, first)) >= 4 * (last - first) > 0
+                    sums[0] += 1
+                    sums[1] += near or phrases.phrases[n] in carried
+    return out
+
+
 def definition_attachment(chunks: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Of uses of defined terms outside of their definition, the share whose chunk has the definition (to four fifths, or in
-    its definitions map). A use is a (chunk, term) pair."""
-    here = located(chunks).join(docs.select("document_id", F.col("text").alias("document")), "document_id").withColumn("slice", F.expr("substring(document, char_start + 1, char_end - char_start)"))
-    pairs = here.drop("document").join(terms, "document_id")
-    # Pieces that end with the term tell where it stands: their lengths add up.
-    quoted = F.concat(F.lit(r"(?isU).*?\b\Q"), F.col("term"), F.lit(r"\E\b"))
-    pieces = F.transform(F.expr("regexp_extract_all(slice, _rule, 0)"), lambda p: F.length(p))
-    pairs = pairs.withColumn("_rule", quoted).withColumn("_ends", pieces)
-    ends = F.aggregate("_ends", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["all"], a["at"] + n).alias("all")), lambda a: a["all"])
-    outside = F.exists(ends, lambda e: (F.col("char_start") + e - F.length("term") < F.col("definition_start")) | (F.col("char_start") + e - F.length("term") >= F.col("definition_end")))
-    uses = pairs.where(outside)
-    shared = F.greatest(F.lit(0), F.least("char_end", "definition_end") - F.greatest("char_start", "definition_start"))
-    carried = F.coalesce(F.length(F.trim(F.try_element_at("definitions", F.col("term")))) > 0, F.lit(False)) if "definitions" in chunks.columns else F.lit(False)
-    attached = (5 * shared >= 4 * (F.col("definition_end") - F.col("definition_start"))) | carried
-    sums = uses.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_definition_uses"), F.count_if(attached).alias("_with"))
-    out = chunks.select(*KEYS).distinct().join(sums, KEYS, "left").fillna(0, ["n_definition_uses", "_with"])
-    return out.select(*KEYS, safe_ratio(F.col("_with"), F.col("n_definition_uses"), 1.0).alias("definition_attachment"), "n_definition_uses")
+    its map of definitions). Each definition of a term counts for itself.
+
+    A document's chunks and terms, bounded by its text, meet its text in one row; one Arrow pass does the rest.
+    """
+    maps = [c for c in ("definitions", "defined_terms_context") if c in chunks.columns]
+    told = [F.map_keys(F.map_filter(c, lambda _, v: F.length(F.trim(v)) > 0)) for c in maps]
+    carried = F.flatten(F.array_compact(F.array(*told))) if told else F.array().cast("array<string>")
+    own = located(chunks).groupBy("document_id").agg(F.collect_list(F.struct("strategy", "char_start", "char_end", carried.alias("carried"))).alias("chunks"))
+    known = terms.groupBy("document_id").agg(F.collect_list(F.struct("term", "definition_start", "definition_end")).alias("terms"))
+    rows = docs.select("document_id", "text").join(own, "document_id").join(known, "document_id")
+    kind = docs.schema["document_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for k, (text, chunks_, terms_) in enumerate(zip(*(batch.column(c) for c in (1, 2, 3)))):
+                listed = [(c["strategy"], c["char_start"], c["char_end"], {*c["carried"]}) for c in chunks_.as_py()]
+                for strategy, sums in attached_uses(text.as_py() or "", [tuple(t.values()) for t in terms_.as_py()], listed).items():
+                    at.append(k)
+                    found.append((strategy, *sums))
+            columns = zip(*found) if found else ((), (), ())
+            arrays = [pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *arrays], ["document_id", "strategy", "uses", "attached"])
+
+    sums = rows.mapInArrow(run, f"document_id {kind}, strategy string, uses bigint, attached bigint")
+    out = chunks.select(*KEYS).distinct().join(sums, KEYS, "left").fillna(0, ["uses", "attached"])
+    return out.select(*KEYS, safe_ratio(F.col("attached"), F.col("uses"), 1.0).alias("definition_attachment"), F.col("uses").alias("n_definition_uses"))
 
 
 def cross_references(chunks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -127,7 +172,7 @@ def cross_references(chunks: DataFrame, refs: DataFrame) -> DataFrame:
     inner = refs.where("target is not null").select("document_id", "ref_start", normalize_identifier(F.col("target")).alias("want")).distinct()
     here = located(chunks)
     sent = here.select(*KEYS, "chunk_index", "char_start", "char_end", F.explode("cross_references").alias("r")).where("r.target is not null and r.target <> ''").withColumn("got", normalize_identifier(F.col("r.target")))
-    scope = here.select(*KEYS, "chunk_index", "char_start", "char_end").join(inner, "document_id").where("char_start <= ref_start and ref_start < char_end").select(*KEYS, "chunk_index", "ref_start", "want")
+    scope = point_in_span(inner, here.select(*KEYS, "chunk_index", "char_start", "char_end")).select(*KEYS, "chunk_index", "ref_start", "want")
     wanted = scope.select(*KEYS, "chunk_index", F.col("want").alias("got")).distinct()
     right = sent.join(wanted, [*KEYS, "chunk_index", "got"], "left_semi").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("right"))
     recalled = scope.join(sent.select(*KEYS, "chunk_index", F.col("got").alias("want")).distinct(), [*KEYS, "chunk_index", "want"], "left_semi").select(*KEYS, "ref_start", "want").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("recalled"))

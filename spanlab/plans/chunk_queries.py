@@ -85,12 +85,15 @@ def chk9(spark, sf):
     return fixed(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), number(F.coalesce(F.avg(F.col("char_end") - F.col("char_start")), F.lit(0.0))).alias("avg_chunk_size"))
 
 
-PARAMETERS = {"clause_aware": '{"max_chars": 1200, "min_chars": 120}', "fixed_size": '{"size": 256}', "rcts_1024": '{"overlap": 100, "size": 1024}', "rcts_512": '{"overlap": 50, "size": 512}', "sentence_split": '{"min_chars": 100}', "sentence_window": '{"stride": 2, "window": 3}', "token_window": '{"overlap": 8, "window": 64}'}
+PARAMETERS = {"fixed_size": '{"size": 512}', "token_window": '{"overlap": 8, "window": 64}'}
 
 
-@query("chk11_strategy_parameters", "FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in PARAMETERS.items()) + ") t(strategy, parameters)")
+@query("chk11_strategy_parameters", f"WITH {FIXED_SQL}, {TOKENS_SQL} SELECT 'fixed_size' AS strategy, '{PARAMETERS['fixed_size']}' AS parameters, count(*) AS n_chunks, sum(char_end - char_start)::BIGINT AS chars FROM fixed UNION ALL SELECT 'token_window', '{PARAMETERS['token_window']}', count(*), sum(char_end - char_start)::BIGINT FROM windows")
 def chk11(spark, sf):
-    return chunkers.strategy_parameters(spark, {"fixed_size": {"size": 256}})
+    """The parameters of strategies as used, beside what they made of all documents."""
+    made = chunkers.chunk(documents(spark, sf), ["fixed_size", "token_window"]).groupBy("strategy")
+    made = made.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("char_end") - F.col("char_start")).alias("chars"))
+    return chunkers.strategy_parameters(spark).join(made, "strategy").select("strategy", "parameters", "n_chunks", "chars")
 
 
 @query("txt1_sanitize", r"SELECT doc_id AS document_id, md5(nfc_normalize(replace(replace(replace(text, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS digest FROM documents")

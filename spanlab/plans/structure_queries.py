@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanlab.functions import identifiers as I, text as T
-from spanlab.operators import chunkers, extract, legacy, structural as S
+from spanlab.operators import chunkers, clause_aware, extract, legacy, structural as S
 from spanlab.plans.tables import documents, number, query
 
 
@@ -166,12 +166,33 @@ NUMERALS_SQL = """
  numerals AS (SELECT i::BIGINT AS i, thousands[i // 1000 + 1] || hundreds[i // 100 % 10 + 1] || tens[i // 10 % 10 + 1] || ones[i % 10 + 1] AS roman FROM digits, (SELECT unnest(range(1, 4000)) AS i))"""
 
 
-@query("gld11_roman", f"WITH {NUMERALS_SQL} SELECT i, roman, i AS back FROM numerals")
+@query("gld11_roman", f"WITH {NUMERALS_SQL} SELECT doc_id, roman, i AS back FROM documents JOIN numerals ON i = length(text) % 3999 + 1")
 def gld11(spark, sf):
-    rows = spark.range(1, 4000).select(F.col("id").alias("i"), T.int_to_roman(F.col("id")).alias("roman"))
+    """Of each document, the length of its text as a numeral."""
+    number_ = F.length("text") % 3999 + 1
+    rows = documents(spark, sf).select(F.col("document_id").alias("doc_id"), T.int_to_roman(number_).alias("roman"))
     return rows.withColumn("back", T.roman_to_int(F.col("roman")).cast("bigint"))
 
 
+CLAUSE_CHUNKS_SQL = rf"""
+WITH {LINES_SQL},
+ titled AS (SELECT *, substring(regexp_replace(regexp_replace(says || line, '^[\s:–—-]+|[\s:–—-]+$', '', 'g'), '\s+', ' ', 'g'), 1, 60) AS title, says || line AS body FROM ended),
+ named AS (SELECT *, rtrim(identifier || ' ' || replace(title, '>', ' ')) AS label FROM titled)
+SELECT c.document_id, c.i AS chunk_index, c.start AS char_start, c.start + length(regexp_replace(c.head || c.body, '\s+$', '')) AS char_end,
+       coalesce(p.label || ' > ', '') || c.label AS section_hierarchy,
+       CASE WHEN regexp_matches(c.body, '(?i)\bterm\b') AND EXISTS (FROM ended e WHERE e.document_id = c.document_id AND e.i = 1) THEN 'Term' ELSE '' END AS terms,
+       CASE WHEN c.i % 3 <> 1 THEN (c.i // 3 + 1)::VARCHAR ELSE '' END AS targets
+FROM named c LEFT JOIN named p ON p.document_id = c.document_id AND p.identifier = c.parent"""
+
+
+@query("chk6_clause_metadata", CLAUSE_CHUNKS_SQL)
+def chk6_metadata(spark, sf):
+    """Numbered documents cut at each of their clauses: section paths, terms used and targets of references."""
+    rows = clause_aware.clause_aware(numbered(spark, sf), 1, 1 << 30, "uk")
+    targets = F.array_join(F.transform("cross_references", lambda r: r["target"]), ",")
+    return rows.select("document_id", "chunk_index", "char_start", "char_end", "section_hierarchy", F.array_join("defined_terms", ",").alias("terms"), targets.alias("targets"))
+
+
 #: What an identifier may begin with, and its normal form.
 WORDS = [("Clause ", ""), ("  PARAGRAPH  ", ""), ("SECTION ", "section_"), ("Article\t", "article_"), ("schedule ", "schedule_"), ("", "")]
 
@@ -232,6 +253,27 @@ def sm5(spark, sf):
     return S.definition_attachment(six, docs, first).withColumn("definition_attachment", number("definition_attachment"))
 
 
+ALL_DEFINITIONS_SQL = rf"""
+WITH {LINES_SQL},
+ own AS (SELECT document_id, i, i // 6 AS g, regexp_matches(says || line, '(?i)\bterm\b') AS used FROM ended),
+ held AS (SELECT document_id, g, count(*) FILTER (WHERE used) AS n FROM own GROUP BY ALL),
+ pairs AS (SELECT document_id, h.g = d.g AS near, h.n - (h.g = d.g)::INT > 0 AS used
+           FROM held h JOIN own d USING (document_id) WHERE d.i % 3 = 1)
+SELECT 'six' AS strategy, document_id, coalesce(uses, 0) AS n_definition_uses, CASE WHEN uses > 0 THEN round(with_ / uses, 6) ELSE 1 END AS definition_attachment
+FROM (SELECT DISTINCT document_id FROM own) LEFT JOIN
+     (SELECT document_id, count(*) FILTER (WHERE used) AS uses, count(*) FILTER (WHERE used AND near) AS with_ FROM pairs GROUP BY 1) USING (document_id)"""
+
+
+@query("sm5_all_definitions", ALL_DEFINITIONS_SQL)
+def sm5_all(spark, sf):
+    """Chunks of six clauses each, and all definitions of a document: each third clause has one."""
+    docs = numbered(spark, sf)
+    _, _, chunks = claims(spark, sf)
+    six = chunks.groupBy(F.lit("six").alias("strategy"), "document_id", F.floor(F.col("chunk_index") / 6).alias("chunk_index")).agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    rows = S.definition_attachment(six, docs, extract.term_table(docs).where("term = 'Term'"))
+    return rows.withColumn("definition_attachment", number("definition_attachment"))
+
+
 @query("sm6_cross_references", f"WITH {LINES_SQL} SELECT 'clauses' AS strategy, document_id, round(count(*) FILTER (WHERE i % 3 <> 1 AND i % 7 <> 6) / count(*) FILTER (WHERE i % 3 <> 1), 6) AS xref_recall, round(count(*) FILTER (WHERE i % 3 <> 1 AND i % 7 <> 6) / count(*), 6) AS xref_precision, count(*) FILTER (WHERE i % 3 <> 1) AS n_gold_cross_refs FROM gold GROUP BY 2")
 def sm6(spark, sf):
     found, _, chunks = claims(spark, sf)

@@ -106,8 +106,9 @@ def test_recursive_character():
 
 
 def test_clause_aware_and_registry(spark):
-    text = "Intro text here.\n1. First clause is long enough to stand.\n2. Second clause is long enough too.\n"
-    assert [text[a:b] for a, b in chunkers.clause_spans(text, 10, 1000)] == ["Intro text here.", "1. First clause is long enough to stand.", "2. Second clause is long enough too."]
+    text = "Intro text here.\n\n1. First clause is long enough to stand.\n\n2. Second clause is long enough too.\n"
+    cut = chunkers.clause_aware(docs(spark, text), 10, 1000)
+    assert [r.text for r in cut.orderBy("chunk_index").collect()] == ["Intro text here.", "1. First clause is long enough to stand.", "2. Second clause is long enough too."]
     both = chunkers.chunk(docs(spark, text), ["fixed_size", "clause_aware"], {"fixed_size": {"size": 20}})
     assert both.groupBy("strategy").count().count() == 2
     assert "20" in chunkers.strategy_parameters(spark, {"fixed_size": {"size": 20}}).where("strategy = 'fixed_size'").first().parameters
