@@ -11,8 +11,9 @@ documents; which of them mark a toxic token is for the field to find. Transition
 
 Chains without a known feature have the same marginals at the same length, which are computed once for each length. A
 document's score is a logistic function, fitted on the same rows, of its highest marginal; spans are the tokens whose
-marginal is 0.5 or more. The fit takes labelled documents in the order of a hash of their identifier, whole texts, up to
-`sample_docs` of them and `sample_bytes` of text; scoring reads all of every text.
+marginal is 0.5 or more. The fit takes labelled documents in the order of a hash of their identifier, whole and different
+texts, up to `sample_docs` of them and `sample_bytes` of text; one that doesn't fit is passed over, those after it aren't.
+Scoring reads all of every text.
 
 Defined cases: a null or empty text gets the score of a text without any toxic token, and no span; without labelled rows
 of both kinds every score is the smoothed share of toxic ones among them (0 without any). Repeated rows are scored each;
@@ -30,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PREFIXES = (4, 5, 6)
@@ -384,14 +385,31 @@ def training_rows(
     docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_id: str, label_col: str, sample_docs: int,
     sample_bytes: int, seed: int,
 ) -> list[tuple[str, int]]:
-    """In the order of a hash as many labelled rows as sample_docs and sample_bytes allow; those come to the driver."""
-    rows = docs.where(F.coalesce(learn, F.lit(False))).select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    marks = labels.where(labels[label_col].isNotNull() & labels[label_id].isNotNull()).select(labels[label_id].alias("id"), (labels[label_col] > 0).cast("int").alias("y"))
-    sizes = rows.select("id", F.octet_length("text").cast("long").alias("size")).join(marks, "id").withColumn("turn", F.xxhash64("id", F.lit(seed)))
-    first = sizes.orderBy("turn", "id", "y", "size").limit(sample_docs)
-    so_far = Window.orderBy("turn", "id", "y", "size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = first.withColumn("held", F.sum("size").over(so_far)).where(F.col("held") <= sample_bytes).select("id", "y").distinct()
-    return [(r.text, r.y) for r in rows.join(F.broadcast(taken), "id").select("id", "text", "y").collect()]
+    """In the order of a hash, so many different labelled texts as sample_docs and sample_bytes allow; those come to the driver.
+
+    A text that is longer than sample_bytes by itself is left out, and so is one that no longer fits; those after it are
+    tried. Texts are told apart by their digest, so rows that repeat a text or an identifier count once and both bounds hold.
+    """
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.where(F.coalesce(learn, F.lit(False))).select(docs[id_col].alias("id"), text.alias("text"))
+    marks = labels.where(labels[label_col].isNotNull() & labels[label_id].isNotNull())
+    marks = marks.select(labels[label_id].alias("id"), (labels[label_col] > 0).cast("int").alias("y")).distinct()
+    known = rows.select("id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+    known = known.join(marks, "id").where(F.col("size") <= sample_bytes).withColumn("turn", F.xxhash64("id", F.lit(seed)))
+    each = known.groupBy("digest", "y").agg(F.min("turn").alias("turn"), F.min("id").alias("id"), F.min("size").alias("size"))
+    taken, held = [], 0
+    for r in each.orderBy("turn", "digest", "y").limit(sample_docs).collect():  # digests and sizes only
+        if held + r["size"] <= sample_bytes:
+            taken.append((r["digest"], r["id"], r["y"]))
+            held += r["size"]
+    if not taken:
+        return []
+    spark = docs.sparkSession
+    kind = rows.schema["id"].dataType.simpleString()
+    chosen = spark.createDataFrame(taken, f"digest string, id {kind}, y int")  # sample_docs of them at most
+    found = rows.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").withColumn("digest", F.sha2("text", 256))
+    found = found.join(F.broadcast(chosen.drop("id")), "digest").groupBy("digest", "y").agg(F.first("text").alias("text"))
+    return [(r["text"], r["y"]) for r in found.collect()]
 
 
 def _scored(shared):
