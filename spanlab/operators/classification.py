@@ -42,13 +42,11 @@ def score_system(items: DataFrame, by: list[str], resamples: int = 2000, seed: i
     """All scores of a system in one row: n, accuracy and macro-F1 with intervals of an item bootstrap, calibration error, and
     as arrays its classes, most frequent confusions and calibration bins. items: by, item_id, gold, pred, confidence.
 
-    Resamples are counted by (gold, pred) where they are drawn, so each is a few rows before it is shuffled.
+    Resamples are drawn from the counts of (gold, pred), so neither items nor draws are shuffled.
     """
-    from spanlab.operators.stats import draws
+    from spanlab.operators.stats import resampled_counts
 
-    numbered = items.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy("item_id")) - 1).select(*by, "pick", "gold", "pred")
-    sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    pairs = draws(sizes, resamples, seed).join(numbered, [*by, "pick"]).groupBy(*by, "r", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    pairs = resampled_counts(items, by, ["gold", "pred"], resamples, seed)
     each = _classes(pairs, [*by, "r"]).groupBy(*by, "r").agg((F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
     sorted_ = each.groupBy(*by).agg(F.sort_array(F.collect_list("accuracy")).alias("a"), F.sort_array(F.collect_list("macro_f1")).alias("f"))  # resamples entries
     low, high = F.lit(int(0.025 * resamples)), F.lit(min(resamples - 1, int(0.975 * resamples)))

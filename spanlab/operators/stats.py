@@ -10,139 +10,173 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, NumericType
 
 from spanlab.functions.numbers import improvement_pct
+from spanlab.operators import ranges
 
 
-def scrambled(x: Column) -> Column:
-    """A 32-bit number to another one, by products that stay below 2 ** 63, so any engine has the same."""
-    for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 16)) * 73244475 % (1 << 32)
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def draws(n: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """n: group columns and n. The drawn index of each (resample, place): scrambled numbers, so it is the same anywhere."""
-    return drawn(n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))), seed)
-
-
-def drawn(rounds: DataFrame, seed: int) -> DataFrame:
-    """rounds: r and n. A row for each place, with i and pick."""
-    long = lambda c: F.col(c).cast("bigint")
-    rounds = rounds.withColumn("_base", scrambled((long("r") + F.lit(seed) * 1_000_003) % (1 << 32)))
-    places = rounds.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    return places.withColumn("pick", scrambled(F.col("_base").bitwiseXOR(scrambled(long("i") + 1))) % F.col("n")).drop("_base")
-
-
-#: Values of so many rows are broadcast for resampling (64 MB); beyond, draws are joined to them.
-BROADCAST_VALUES = 8_000_000
+#: Cells that a task holds of a group, and places of a table that tells the cell of a drawn index at once.
+CELLS = 1 << 20
+_PLACES = 1 << 22
 
 
-def _drawn_means(shared, seed: int):
-    """Of each resample the mean of every group; groups of one size share their draws. As `drawn` and a join have it."""
-
-    def scramble(x: np.ndarray) -> np.ndarray:
-        for _ in range(2):
-            x = (x ^ (x >> 16)) * 73244475 % (1 << 32)
-        return x ^ (x >> 16)
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """Numbers of 32 bits to other ones, by products that wrap, so any engine can have the same."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(73244475)
+    return x ^ (x >> np.uint32(16))
+
+
+def _drawn(ends: np.ndarray, first: int, n: int, rounds: np.ndarray, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Draws of n from n places, of which cells hold [first, ends[0]), [ends[0], ends[1]) and so on. For each round, by parts,
+    its position in rounds and the numbers of the cells that are drawn; places of other slices are passed over."""
+    bases = _scrambled(((rounds + seed * 1_000_003) % (1 << 32)).astype(np.uint32))
+    last = int(ends[-1])
+    whole = first == 0 and last == n
+    table = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=first)) if last - first <= _PLACES else None
+    for at in range(0, n, 1 << 16):
+        mixed = _scrambled(np.arange(at + 1, min(at + (1 << 16), n) + 1, dtype=np.uint32))
+        for k, base in enumerate(bases):
+            picks = _scrambled(base ^ mixed) % np.uint32(n)
+            if not whole:
+                picks = picks[(picks >= first) & (picks < last)]
+            yield k, table[picks - np.uint32(first)] if table is not None else np.searchsorted(ends, picks, "right")
+
+
+def _cells(items: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Different rows of columns in each group, with how often they stand (n) and in slices of CELLS: first, the place of a
+    cell's first item in the order of columns, and total, the group's size."""
+    counted = items.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("n"))
+    if len(columns) == 1 and isinstance(items.schema[columns[0]].dataType, NumericType):
+        placed = ranges.before(ranges.dealt(counted, by, columns[0]), by, columns[0], first=("sum", "n"), cell=("sum", F.lit(1)))
+    else:  # classes and the like: few
+        order = Window.partitionBy(*by).orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumns({"first": F.coalesce(F.sum("n").over(order), F.lit(0)), "cell": F.coalesce(F.sum(F.lit(1)).over(order), F.lit(0))})
+    totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
+    placed = ranges.same_keys(placed, totals, by) if by else placed.join(F.broadcast(totals))  # one row
+    return placed.select(*by, *columns, "n", "first", "total", F.floor(F.col("cell") / CELLS).alias("slice"))
+
+
+def _resampled(items: DataFrame, by: list[str], columns: list[str], resamples: int, work, added: str, least: int) -> DataFrame:
+    """work(cells, rounds) for each group, slice of its cells and block of rounds: a table with r and more; by is put before.
+
+    A task holds the cells of one slice, whatever the number of items: neither items nor draws are collected or joined.
+    """
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = min(resamples, 4 * tasks)
+    cells = _cells(items, by, columns).where(F.col("total") >= least)
+    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("first").combine_chunks()
+        rounds = np.arange(table.column("block")[0].as_py(), resamples, blocks)
+        out = work(table, rounds)
+        same = pa.array(np.zeros(len(out), np.int64))
+        return pa.Table.from_arrays([*(table.column(c).take(same) for c in by), *out.columns], [*by, *out.column_names])
+
+    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in by)
+    return cells.groupBy(*by, "slice", "block").applyInArrow(run, ", ".join(filter(None, (kinds, added))))
+
+
+def resampled_means(items: DataFrame, by: list[str], value: str, resamples: int, seed: int, least: int = 2) -> DataFrame:
+    """The mean of each resample of groups of `least` items or more: by, r, m. Draws are of places in the order of value."""
+    told = items.select(*by, F.col(value).cast("double").alias("_value"))
+
+    def work(cells: pa.Table, rounds: np.ndarray) -> pa.Table:
+        values, n = cells.column("_value").to_numpy(), cells.column("total")[0].as_py()
+        first = cells.column("first")[0].as_py()
+        ends = cells.column("first").to_numpy() + cells.column("n").to_numpy()
+        sums = np.zeros(len(rounds))
+        for k, drawn_ in _drawn(ends, first, n, rounds, seed):
+            sums[k] += values[drawn_].sum()
+        return pa.table({"r": rounds, "s": sums, "n": np.full(len(rounds), n)})
+
+    parts = _resampled(told, by, ["_value"], resamples, work, "r bigint, s double, n bigint", least)
+    return parts.groupBy(*by, "r").agg((F.sum("s") / F.first("n")).alias("m"))
+
+
+def resampled_counts(items: DataFrame, by: list[str], columns: list[str], resamples: int, seed: int) -> DataFrame:
+    """How often each resample has each different row of columns: by, r, columns, n (those it has)."""
+
+    def work(cells: pa.Table, rounds: np.ndarray) -> pa.Table:
+        first, n = cells.column("first")[0].as_py(), cells.column("total")[0].as_py()
+        ends = cells.column("first").to_numpy() + cells.column("n").to_numpy()
+        counts = np.zeros((len(rounds), len(ends)), np.int64)
+        for k, drawn_ in _drawn(ends, first, n, rounds, seed):
+            counts[k] += np.bincount(drawn_, minlength=len(ends))
+        k, cell = np.nonzero(counts)
+        return pa.table({"r": rounds[k], **{c: cells.column(c).take(pa.array(cell)) for c in columns}, "n": counts[k, cell]})
+
+    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in columns)
+    return _resampled(items.select(*by, *columns), by, columns, resamples, work, f"r bigint, {kinds}, n bigint", 1)
+
+
+def bootstrap_means(diffs: DataFrame, by: list[str], value: str = "diff", resamples: int = 200, seed: int = 42) -> DataFrame:
+    """by, low, high: the 2.5 and 97.5 percentiles (interpolated) of resampled means; null for fewer than two rows."""
+    means = resampled_means(diffs, by, value, resamples, seed)
+    ends = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+    return ranges.same_keys(diffs.select(*by).distinct(), ends, by)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for no, values in shared.value:
-            by_size.setdefault(len(values), []).append((no, values))
-        for batch in batches:
-            out = []
-            for r in batch.column(0).to_pylist():
-                base = scramble(np.array([(r + seed * 1_000_003) % (1 << 32)]))
-                for n, groups in by_size.items():
-                    sums = np.zeros(len(groups))
-                    for at in range(0, n, 1 << 16):
-                        picks = scramble(base ^ scramble(np.arange(at, min(at + (1 << 16), n)) + 1)) % n
-                        sums += [values[picks].sum() for _, values in groups]
-                    out += [(no, r, total / n) for (no, _), total in zip(groups, sums)]
-            no, rs, means = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), pa.array(rs, pa.int64()), pa.array(means, pa.float64())], ["_no", "r", "m"])
 
-    return run
+def order_statistic_interval(items: DataFrame, by: list[str], value: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+    """Item bootstrap of a mean: the sorted draws' entries at int(tail * B); a point interval below two items."""
+    points = items.groupBy(*by).agg(F.avg(value).alias("point"))
+    return _interval(points, resampled_means(items, by, value, resamples, seed), by, resamples)
 
 
-def resampled_means(numbered: DataFrame, sizes: DataFrame, by: list[str], value: str, resamples: int, seed: int) -> DataFrame:
-    """numbered: by, pick, value. sizes: by, n. The mean of each resample: by, r, m.
+def _interval(points: DataFrame, means: DataFrame, by: list[str], resamples: int) -> DataFrame:
+    sorted_ = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms"))  # resamples entries
+    low, high = (F.coalesce(F.get("ms", F.lit(k)), "point") for k in (int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))))
+    return ranges.same_keys(points, sorted_, by).select(*by, "point", low.alias("low"), high.alias("high"))
 
-    Draws depend on a group's size alone, so groups of one size share them; resamples are dealt to tasks before they are drawn.
-    """
-    spark = numbered.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Sums go by the number of a group: whole numbers aggregate faster than its columns do.
-    names = sizes.select(*by, "n").withColumn("_no", F.row_number().over(Window.orderBy(*by)))
-    values = numbered.join(names, by).select("n", "pick", "_no", F.col(value).cast("double").alias("_value"))
-    if (sizes.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_VALUES:
-        held = values.select("_no", "pick", "_value").toArrow().sort_by([("_no", "ascending"), ("pick", "ascending")])
-        no, x = held.column("_no").to_numpy(), held.column("_value").to_numpy()
-        groups = [(int(k), x[no == k]) for k in np.unique(no)]
-        shared = spark.sparkContext.broadcast(groups)
-        means = spark.range(0, resamples, 1, tasks).mapInArrow(_drawn_means(shared, seed), "_no int, r bigint, m double")
-    else:
-        rounds = sizes.select("n").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "r")
-        picked = drawn(rounds, seed).select("n", "r", "pick").join(values, ["n", "pick"])
-        means = picked.groupBy("_no", "r").agg(F.avg("_value").alias("m"))
-    return means.join(F.broadcast(names.drop("n")), "_no").select(*by, "r", "m")  # a row for each group
-
-
-def bootstrap_means(diffs: DataFrame, by: list[str], value: str = "diff", resamples: int = 200, seed: int = 42, order: str = "query_id") -> DataFrame:
-    """by, low, high: the 2.5 and 97.5 percentiles (interpolated) of resampled means; null for fewer than two rows.
-
-    Resampling joins drawn indices to numbered rows, so no group has to be held by one task.
-    """
-    numbered = diffs.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).select(*by, "pick", value)
-    sizes = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    means = resampled_means(numbered, sizes.where("n >= 2"), by, value, resamples, seed)
-    ends = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
-    return sizes.join(ends, by, "left").select(*by, "low", "high")
 
+def bootstrap_statistic(items: DataFrame, by: list[str], statistic, columns: list[str], resamples: int = 200, seed: int = 42) -> DataFrame:
+    """Item bootstrap of any statistic of a pandas frame of columns (macro-F1, say): by, point, low, high as in
+    `order_statistic_interval`. The statistic sees each different row with its column `times`, so that its frame has the
+    size of the different rows, not of the items."""
 
-def order_statistic_interval(items: DataFrame, by: list[str], value: str, resamples: int = 200, seed: int = 42, order: str = "item_id") -> DataFrame:
-    """Item bootstrap of a mean: the sorted draws' entries at int(tail * B); a point interval below two items."""
-    numbered = items.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).select(*by, "pick", value)
-    sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("point"))
-    means = resampled_means(numbered, sizes.where("n >= 2"), by, value, resamples, seed)
-    sorted_ = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
-    return sizes.join(sorted_, by, "left").select(*by, "point", F.coalesce(F.get("ms", F.lit(low)), "point").alias("low"), F.coalesce(F.get("ms", F.lit(high)), "point").alias("high"))
+    def frame(counts: pd.DataFrame) -> pd.DataFrame:
+        told = counts[columns].assign(times=counts["n"])
+        return pd.DataFrame([{**{c: counts[c].iloc[0] for c in [*by, "r"]}, "m": float(statistic(told))}])
 
+    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in by)
+    drawn_ = resampled_counts(items, by, columns, resamples, seed)
+    means = drawn_.groupBy(*by, "r").applyInPandas(frame, f"{kinds}, r bigint, m double")
+    counted = items.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.lit(0).cast("bigint"))
+    points = counted.groupBy(*by, "r").applyInPandas(frame, f"{kinds}, r bigint, m double").select(*by, F.col("m").alias("point"))
+    return _interval(points, means, by, resamples)
 
-def bootstrap_statistic(items: DataFrame, by: list[str], statistic, resamples: int = 200, seed: int = 42, order: str = "item_id") -> DataFrame:
-    """Item bootstrap of any statistic of a pandas frame (macro-F1, say): by, low, high as in `order_statistic_interval`.
 
-    Each resample is a group of its own, so the resamples of one system are spread over tasks.
-    """
-    numbered = items.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-    drawn = draws(items.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), resamples, seed).drop("n").join(numbered, [*by, "pick"])
-    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in by)
+def value_ranks(counted: DataFrame, by: list[str], value: str, out: str, count: str = "n") -> DataFrame:
+    """counted: each value of a group once, with how often it stands. Adds its rank from 1; ties share their mean."""
+    placed = ranges.before(ranges.dealt(counted, by, value), by, value, _first=("sum", count))
+    return placed.withColumn(out, F.col("_first") + (F.col(count) + 1) / 2).drop("_first", "_range")
 
-    def value(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in by}, "m": float(statistic(rows))}])
 
-    means = drawn.groupBy(*by, "r").applyInPandas(value, f"{kinds}, m double")
-    sorted_ = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
-    return sorted_.select(*by, F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"))
+def average_ranks(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Ranks from 1, ties share their mean. Values are counted before they are ranked, so ties and groups may be of any size."""
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return ranges.same_keys(rows, value_ranks(counted, by, value, out, "_n").drop("_n"), [*by, value])
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1, ties share their mean."""
-    tie = Window.partitionBy(*by, value)
-    return rows.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(tie) - 1) / 2)
+def signed_rank_sums(diffs: DataFrame, by: list[str], value: str = "diff") -> DataFrame:
+    """Of each group with differences other than zero: w_plus, w_minus, n_nonzero, and tied, the sum of t^3 - t over ties."""
+    some = diffs.where(F.col(value) != 0).withColumn("_abs", F.abs(value))
+    counted = some.groupBy(*by, "_abs").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) > 0).alias("above"))
+    placed = value_ranks(counted, by, "_abs", "_rank")
+    n, above, rank = F.col("n"), F.col("above"), F.col("_rank")
+    size = n.cast("double")
+    return placed.groupBy(*by).agg(F.sum(rank * above).alias("w_plus"), F.sum(rank * (n - above)).alias("w_minus"), F.sum(n).alias("n_nonzero"), F.sum(size * size * size - size).alias("tied"))
 
 
 def signed_ranks(diffs: DataFrame, by: list[str], value: str = "diff") -> DataFrame:
-    """Sums of ranks of positive and negative differences (zeros dropped), and the rank-biserial correlation."""
-    some = average_ranks(diffs.where(F.col(value) != 0).withColumn("_abs", F.abs(value)), by, "_abs", "_rank")
-    sums = some.groupBy(*by).agg(F.sum(F.when(F.col(value) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(value) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n_nonzero"))
-    out = diffs.select(*by).distinct().join(sums, by, "left").fillna(0, ["w_plus", "w_minus", "n_nonzero"])
+    """Sums of ranks of positive and negative differences (zeros dropped), the rank-biserial correlation, and p_wilcoxon."""
+    sums = signed_rank_sums(diffs, by, value)
+    out = ranges.same_keys(diffs.select(*by).distinct(), sums, by).fillna(0, ["w_plus", "w_minus", "n_nonzero", "tied"])
     total = F.col("w_plus") + F.col("w_minus")
-    return out.withColumn("rank_biserial", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / F.nullif(total, F.lit(0.0))).otherwise(0.0))
+    out = out.withColumn("rank_biserial", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / F.nullif(total, F.lit(0.0))).otherwise(0.0))
+    return out.withColumn("p_wilcoxon", wilcoxon_p("n_nonzero", "w_plus", "tied")).drop("tied")
 
 
 def cohens_d(value: Column) -> Column:
@@ -186,47 +220,46 @@ def t_p_value(t: float, df: float) -> float:
     return 0.0 if math.isinf(t) else incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-def wilcoxon_p_value(ranks: list[float], signs: list[int]) -> float:
-    """Two-sided; exact up to 50 untied differences, else normal with tie correction."""
-    n = len(ranks)
+def wilcoxon_p_value(n: int, plus: float, tied: float) -> float:
+    """Two-sided, from the number of differences, the rank sum of positive ones and the sum of t^3 - t over ties; exact up to
+    50 untied differences, else normal with the correction for ties."""
     if not n:
         return 1.0
-    plus = sum(r for r, s in zip(ranks, signs) if s > 0)
     low = min(plus, n * (n + 1) / 2 - plus)
-    if n <= 50 and len(set(ranks)) == n:
+    if n <= 50 and not tied:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for r in range(1, n + 1):
             for s in range(len(ways) - 1, r - 1, -1):
                 ways[s] += ways[s - r]
         return min(1.0, 2 * sum(ways[: int(low) + 1]) / 2**n)
-    ties = sum(k**3 - k for k in pd.Series(ranks).value_counts())
-    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48)
     return 1.0 if spread == 0 else min(1.0, math.erfc(abs(low - n * (n + 1) / 4) / spread / math.sqrt(2)))
 
 
 @F.pandas_udf(DoubleType())
-def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_p_value(a, b) for a, b in zip(t, df)])
-
+def wilcoxon_p(n: pd.Series, plus: pd.Series, tied: pd.Series) -> pd.Series:
+    return pd.Series([wilcoxon_p_value(int(a), b, c) for a, b, c in zip(n, plus, tied)])
 
-def wilcoxon(diffs: DataFrame, by: list[str], value: str = "diff") -> DataFrame:
-    """by, p_wilcoxon."""
-    some = average_ranks(diffs.where(F.col(value) != 0).withColumn("_abs", F.abs(value)), by, "_abs", "_rank")
-    held = some.groupBy(*by).agg(F.collect_list(F.struct(F.col("_rank").alias("r"), F.signum(value).cast("int").alias("s"))).alias("x"))
 
-    @F.pandas_udf(DoubleType())
-    def p(x: pd.Series) -> pd.Series:
-        return pd.Series([wilcoxon_p_value([e["r"] for e in rows], [e["s"] for e in rows]) for rows in x])
+@F.pandas_udf(DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_p_value(a, b) for a, b in zip(t, df)])
 
-    return diffs.select(*by).distinct().join(held.select(*by, p("x").alias("p_wilcoxon")), by, "left").fillna(1.0, ["p_wilcoxon"])
 
+def holm(rows: DataFrame, p: str, by: list[str] | None = None, out: str = "p_holm") -> DataFrame:
+    """Step-down correction over the whole family, or over each group's. Equal p have equal results; null ones don't count.
 
-def holm(rows: DataFrame, p: str, tie: list[str], by: list[str] | None = None, out: str = "p_holm") -> DataFrame:
-    """Step-down correction over the whole family, or over each group's."""
-    part = Window.partitionBy(*(by or []))
-    order = part.orderBy(p, *tie)
-    step = F.least(F.col(p) * (F.count(F.lit(1)).over(part) - F.row_number().over(order) + 1), F.lit(1.0))
-    return rows.withColumn("_step", step).withColumn(out, F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    Different p are ranked, not rows: the family may be of any size and is never in one task.
+    """
+    by = by or []
+    counted = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
+    size = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    told = ranges.same_keys(counted, size, by) if by else counted.join(F.broadcast(size))  # one row
+    placed = ranges.before(ranges.dealt(told, by, p), by, p, _first=("sum", "_n"))
+    step = placed.withColumn("_step", F.least(F.col(p) * (F.col("_size") - F.col("_first")), F.lit(1.0)))
+    highest = ranges.before(step, by, p, _highest=("max", "_step"))
+    corrected = highest.select(*by, p, F.greatest("_highest", "_step").alias(out))
+    return ranges.same_keys(rows, corrected, [*by, p])
 
 
 def leave_one_out(diffs: DataFrame, by: list[str], document: str = "document_id", value: str = "diff") -> DataFrame:
@@ -249,9 +282,9 @@ def comparison_matrix(diffs: DataFrame, resamples: int = 200, seed: int = 42, do
     """One row for each (model, metric, A, B): means, t, d, corrected p, interval, rank-biserial, sensitivity."""
     by = ["model", "metric", "strategy_a", "strategy_b"]
     out = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("diff").alias("mean_diff"), t_statistic(F.col("diff")).alias("t"), cohens_d(F.col("diff")).alias("cohens_d"))
-    out = holm(out.withColumn("p_t", t_p("t", F.col("n") - 1)), "p_t", by)
+    out = holm(out.withColumn("p_t", t_p("t", F.col("n") - 1)), "p_t")
     documents = diffs.withColumn("document_id", document if document is not None else F.col("query_id"))
-    for part in (bootstrap_means(diffs, by, "diff", resamples, seed), signed_ranks(diffs, by).drop("n_nonzero", "w_plus", "w_minus"), wilcoxon(diffs, by), leave_one_out(documents, by)):
+    for part in (bootstrap_means(diffs, by, "diff", resamples, seed), signed_ranks(diffs, by).drop("n_nonzero", "w_plus", "w_minus"), leave_one_out(documents, by)):
         out = out.join(part, by, "left")
     return out.withColumn("significant", F.col("p_holm") < 0.05)
 
@@ -266,11 +299,20 @@ def uncorrected(diffs: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """0 for fewer than two rows or a constant side."""
-    ranks = average_ranks(average_ranks(rows, by, x, "_rx"), by, y, "_ry")
-    flat = (F.count(F.lit(1)) < 2) | (F.min("_rx") == F.max("_rx")) | (F.min("_ry") == F.max("_ry"))
-    cov = F.avg(F.col("_rx") * F.col("_ry")) - F.avg("_rx") * F.avg("_ry")
-    return ranks.groupBy(*by).agg(F.when(flat, 0.0).otherwise(cov / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("spearman"))
+    """0 for fewer than two rows or a constant side. Sums go over different pairs of values, with how often they stand."""
+    pairs = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("n"))
+    for side, out in ((x, "_rx"), (y, "_ry")):
+        counted = pairs.groupBy(*by, side).agg(F.sum("n").alias("_n"))
+        pairs = ranges.same_keys(pairs, value_ranks(counted, by, side, out, "_n").drop("_n"), [*by, side])
+    n, a, b = F.col("n"), F.col("_rx"), F.col("_ry")
+    sums = pairs.groupBy(*by).agg(
+        F.sum(n).alias("n"), F.sum(n * a).alias("a"), F.sum(n * b).alias("b"), F.sum(n * a * b).alias("ab"), F.sum(n * a * a).alias("aa"),
+        F.sum(n * b * b).alias("bb"), ((F.min(a) == F.max(a)) | (F.min(b) == F.max(b))).alias("flat"),
+    )
+    mean = lambda c: F.col(c) / F.col("n")
+    spread = F.sqrt((mean("aa") - mean("a") * mean("a")) * (mean("bb") - mean("b") * mean("b")))
+    value = F.when((F.col("n") < 2) | F.col("flat"), 0.0).otherwise((mean("ab") - mean("a") * mean("b")) / F.nullif(spread, F.lit(0.0)))
+    return sums.select(*by, value.alias("spearman"))
 
 
 def seeded_sample(rows: DataFrame, k: int, seed: int, key: str, total: int | None = None) -> DataFrame:

@@ -38,14 +38,14 @@ def jn9(spark, sf):
     return paired(spark, sf).select(*BY, "query_id", number("diff").alias("diff"))
 
 
-@query("st1_paired_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM base) AS pick FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS i)) v), m AS (SELECT strategy_b, metric, r, avg(diff) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL) SELECT strategy_b, metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL")
+@query("st1_paired_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY diff) - 1 AS pick FROM d), draws AS (SELECT r, i, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM base) AS pick FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS i)) v), m AS (SELECT strategy_b, metric, r, avg(diff) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL) SELECT strategy_b, metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL")
 def st1(spark, sf):
     return ST.bootstrap_means(paired(spark, sf), BY, "diff", RESAMPLES).select(*BY, number("low").alias("low"), number("high").alias("high"))
 
 
-@query("st2_item_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY query_id) - 1 AS pick FROM d), draws AS (SELECT r, i, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM base) AS pick FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS i)) v), m AS (SELECT strategy_b, metric, r, avg(a) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL), l AS (SELECT strategy_b, metric, list_sort(list(m)) AS ms FROM m GROUP BY ALL) SELECT strategy_b, metric, round((SELECT avg(a) FROM d WHERE d.strategy_b = l.strategy_b AND d.metric = l.metric), 6) AS point, round(ms[{int(0.025 * RESAMPLES) + 1}], 6) AS low, round(ms[{int(0.975 * RESAMPLES) + 1}], 6) AS high FROM l")
+@query("st2_item_bootstrap", f"WITH {SCORES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY a) - 1 AS pick FROM d), draws AS (SELECT r, i, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM base) AS pick FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS i)) v), m AS (SELECT strategy_b, metric, r, avg(a) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL), l AS (SELECT strategy_b, metric, list_sort(list(m)) AS ms FROM m GROUP BY ALL) SELECT strategy_b, metric, round((SELECT avg(a) FROM d WHERE d.strategy_b = l.strategy_b AND d.metric = l.metric), 6) AS point, round(ms[{int(0.025 * RESAMPLES) + 1}], 6) AS low, round(ms[{int(0.975 * RESAMPLES) + 1}], 6) AS high FROM l")
 def st2(spark, sf):
-    return ST.order_statistic_interval(paired(spark, sf), BY, "a", RESAMPLES, order="query_id").select(*BY, *[number(c).alias(c) for c in ("point", "low", "high")])
+    return ST.order_statistic_interval(paired(spark, sf), BY, "a", RESAMPLES).select(*BY, *[number(c).alias(c) for c in ("point", "low", "high")])
 
 
 @query("st3_t_statistic", f"WITH {SCORES_SQL} SELECT strategy_b, metric, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 5) AS t FROM d GROUP BY ALL")
@@ -59,7 +59,26 @@ RANKS_SQL = "r AS (SELECT *, rank() OVER (PARTITION BY strategy_b, metric ORDER
 @query("st4_st5_signed_ranks", f"WITH {SCORES_SQL}, {RANKS_SQL}, w AS (SELECT strategy_b, metric, coalesce(sum(rk) FILTER (WHERE diff > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (WHERE diff < 0), 0) AS w_minus, count(*) AS n_nonzero FROM r GROUP BY ALL) SELECT *, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial FROM w")
 def st45(spark, sf):
     out = ST.signed_ranks(paired(spark, sf).withColumn("diff", F.round("diff", 9)), BY)
-    return out.withColumn("rank_biserial", number("rank_biserial"))
+    return out.withColumn("rank_biserial", number("rank_biserial")).drop("p_wilcoxon")
+
+
+def simpson(integrand: str, top: str, steps: int = 4000) -> str:
+    """SQL of the integral from 0 to top of a function of u."""
+    weight = f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(SELECT sum({weight} * ({integrand})) * ({top}) / {3 * steps} FROM (SELECT k, ({top}) * k / {steps} AS u FROM range({steps + 1}) t(k)))"
+
+
+WILCOXON_SQL = f"""
+ w AS (SELECT strategy_b, metric, count(*) AS n_nonzero, coalesce(sum(rk) FILTER (WHERE diff > 0), 0) AS w_plus FROM r GROUP BY ALL),
+ ties AS (SELECT strategy_b, metric, sum(t * t * t - t)::DOUBLE AS tied FROM (SELECT strategy_b, metric, rk, count(*)::HUGEINT AS t FROM r GROUP BY ALL) GROUP BY ALL),
+ z AS (SELECT strategy_b, metric, n_nonzero, w_plus, abs(w_plus - n_nonzero * (n_nonzero + 1) / 4) / sqrt(n_nonzero * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24 - tied / 48) AS z FROM w JOIN ties USING (strategy_b, metric)),
+ wilcoxon AS (SELECT *, 1 - 2 / sqrt(2 * pi()) * {simpson("exp(-u * u / 2)", "z.z")} AS p_wilcoxon FROM z)"""
+
+
+@query("st4_wilcoxon_p", f"WITH {SCORES_SQL}, {RANKS_SQL}, {WILCOXON_SQL} SELECT strategy_b, metric, n_nonzero, w_plus, round(p_wilcoxon, 6) AS p_wilcoxon FROM wilcoxon")
+def st4(spark, sf):
+    out = ST.signed_ranks(paired(spark, sf).withColumn("diff", F.round("diff", 9)), BY)
+    return out.select(*BY, "n_nonzero", "w_plus", number("p_wilcoxon").alias("p_wilcoxon"))
 
 
 @query("st6_cohens_d", f"WITH {SCORES_SQL} SELECT strategy_b, metric, round(avg(diff) / stddev_samp(diff), 6) AS d FROM d GROUP BY ALL")
@@ -70,7 +89,7 @@ def st6(spark, sf):
 @query("st7_holm", f"WITH {SCORES_SQL}, p AS (SELECT query_id, min(a) AS p FROM d GROUP BY 1), o AS (SELECT *, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p, query_id) + 1), 1) AS step FROM p) SELECT query_id, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, query_id ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM o")
 def st7(spark, sf):
     rows = paired(spark, sf).groupBy("query_id").agg(F.min("a").alias("p"))
-    return ST.holm(rows, "p", ["query_id"]).select("query_id", number("p").alias("p"), number("p_holm").alias("p_holm"))
+    return ST.holm(rows, "p").select("query_id", number("p").alias("p"), number("p_holm").alias("p_holm"))
 
 
 @query("st8_leave_one_document_out", f"WITH {SCORES_SQL}, w AS (SELECT strategy_b, metric, sum(diff) AS s, count(*) AS n FROM d GROUP BY ALL), e AS (SELECT strategy_b, metric, document_id, (any_value(s) - sum(diff)) / (any_value(n) - count(*)) AS m FROM d JOIN w USING (strategy_b, metric) GROUP BY ALL HAVING any_value(n) - count(*) >= 2) SELECT strategy_b, metric, round(min(m), 6) AS lodo_min, round(max(m), 6) AS lodo_max FROM e GROUP BY ALL")
@@ -78,9 +97,30 @@ def st8(spark, sf):
     return ST.leave_one_out(paired(spark, sf), BY).select(*BY, number("lodo_min").alias("lodo_min"), number("lodo_max").alias("lodo_max"))
 
 
-@query("st9_comparison_matrix")
+MATRIX_SQL = f"""
+WITH {SCORES_SQL.replace("a.v - b.v AS diff", "round(a.v - b.v, 9) AS diff")}, {RANKS_SQL}, {WILCOXON_SQL},
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy_b, metric ORDER BY diff) - 1 AS pick FROM d),
+ draws AS (SELECT r, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM base) AS pick
+           FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM base))) AS i)) v),
+ means AS (SELECT strategy_b, metric, r, avg(diff) AS m FROM draws JOIN numbered USING (pick) GROUP BY ALL),
+ ends AS (SELECT strategy_b, metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY ALL),
+ whole AS (SELECT strategy_b, metric, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(diff) AS mean_diff, sum(diff) AS s, avg(diff) / (stddev_samp(diff) / sqrt(count(*))) AS t, avg(diff) / stddev_samp(diff) AS cohens_d FROM d GROUP BY ALL),
+ p AS (SELECT *, 1 - 2 * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) * {simpson("pow(1 + u * u / (w.n - 1), -w.n / 2)", "abs(w.t)")} AS p_t FROM whole w),
+ steps AS (SELECT *, least(p_t * (count(*) OVER () - row_number() OVER (ORDER BY p_t) + 1), 1) AS step FROM p),
+ corrected AS (SELECT *, max(step) OVER (ORDER BY p_t ROWS UNBOUNDED PRECEDING) AS p_holm FROM steps),
+ without AS (SELECT strategy_b, metric, min((s - diff) / (n - 1)) AS lodo_min, max((s - diff) / (n - 1)) AS lodo_max FROM d JOIN whole USING (strategy_b, metric) GROUP BY ALL),
+ sums AS (SELECT strategy_b, metric, sum(rk) FILTER (WHERE diff < 0) AS w_minus FROM r GROUP BY ALL)
+SELECT 'alpha' AS strategy_a, strategy_b, metric, n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_diff, 6) AS mean_diff, round(t, 5) AS t, round(cohens_d, 6) AS cohens_d,
+       round(p_t, 6) AS p_t, round(p_holm, 6) AS p_holm, round(low, 6) AS low, round(high, 6) AS high, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial,
+       round(p_wilcoxon, 6) AS p_wilcoxon, round(lodo_min, 6) AS lodo_min, round(lodo_max, 6) AS lodo_max, p_holm < 0.05 AS significant
+FROM corrected JOIN ends USING (strategy_b, metric) JOIN wilcoxon USING (strategy_b, metric) JOIN without USING (strategy_b, metric) JOIN sums USING (strategy_b, metric)"""
+MATRIX = ["mean_a", "mean_b", "mean_diff", "cohens_d", "p_t", "p_holm", "low", "high", "rank_biserial", "p_wilcoxon", "lodo_min", "lodo_max"]
+
+
+@query("st9_comparison_matrix", MATRIX_SQL)
 def st9(spark, sf):
-    return ST.comparison_matrix(paired(spark, sf).drop("document_id"), RESAMPLES)
+    rows = ST.comparison_matrix(paired(spark, sf).drop("document_id").withColumn("diff", F.round("diff", 9)), RESAMPLES)
+    return rows.select("strategy_a", *BY, "n", number("t", 5).alias("t"), *[number(c).alias(c) for c in MATRIX], "significant")
 
 
 @query("st11_spearman", "WITH d AS (SELECT lang, length(text) AS x, length(text) % 97 AS y FROM documents), r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2 AS ry FROM d) SELECT lang, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1")
@@ -200,7 +240,7 @@ def agg23(spark, sf):
 
 SYSTEM_RESAMPLES = 1000
 SYSTEM_SQL = CLASS_SQL + f""",
- numbered AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pick FROM items),
+ numbered AS (SELECT *, row_number() OVER (ORDER BY gold, pred) - 1 AS pick FROM items),
  draws AS (SELECT r, {SCRAMBLED.replace("$", "xor(base_r, mixed_i)")} % (SELECT count(*) FROM items) AS pick
            FROM (SELECT r, {SCRAMBLED.replace("$", "(r + 42 * 1000003)")} AS base_r FROM range({SYSTEM_RESAMPLES}) t(r)), (SELECT i, {SCRAMBLED.replace("$", "(i + 1)")} AS mixed_i FROM (SELECT unnest(range((SELECT count(*) FROM items))) AS i)) v),
  drawn AS (SELECT r, gold, pred, count(*) AS n FROM draws JOIN numbered USING (pick) GROUP BY ALL),
