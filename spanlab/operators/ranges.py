@@ -25,21 +25,23 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(there, on, how).drop(*(f"_{k}_" for k in keys))
 
 
-def dealt(rows: DataFrame, by: list[str], order: str, ranges: int = RANGES, least: int = LEAST) -> DataFrame:
+def dealt(rows: DataFrame, by: list[str], order: str, ranges: int = RANGES, least: int = LEAST, **sums: str) -> DataFrame:
     """Adds _range: rows of a lower range are before those of a higher one, equals are in one range. order is numeric.
+    sums: columns to add, as sums over the whole group of others.
 
     Nulls are first and in range 0, NaNs last.
     """
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    cuts = F.when(F.count(F.lit(1)) > least, F.percentile_approx(F.col(order).cast("double"), shares, 20 * ranges)).alias("_cuts")
-    ends = rows.groupBy(*by).agg(cuts).where("_cuts is not null").withColumn("_cuts", F.array_distinct("_cuts"))
+    cuts = F.when(F.count(F.lit(1)) > least, F.array_distinct(F.percentile_approx(F.col(order).cast("double"), shares, 20 * ranges)))
+    ends = rows.groupBy(*by).agg(cuts.alias("_cuts"), *[F.sum(of).alias(name) for name, of in sums.items()])
     # A large group's rows meet its splitters in as many parts.
     parts = 16
     ends = ends.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int"))
     met = same_keys(rows, ends, [*by, "_part"])
     value = F.col(order).cast("double")
-    return met.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < value)), F.lit(0))).drop("_cuts", "_part")
+    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < value))
+    return met.withColumn("_range", below).drop("_cuts", "_part")
 
 
 def before(rows: DataFrame, by: list[str], order: str, **totals: tuple[str, Column | str]) -> DataFrame:

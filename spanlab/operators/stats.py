@@ -49,12 +49,13 @@ def _cells(items: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     cell's first item in the order of columns, and total, the group's size."""
     counted = items.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("n"))
     if len(columns) == 1 and isinstance(items.schema[columns[0]].dataType, NumericType):
-        placed = ranges.before(ranges.dealt(counted, by, columns[0]), by, columns[0], first=("sum", "n"), cell=("sum", F.lit(1)))
+        ordered = ranges.dealt(counted, by, columns[0], total="n")
+        placed = ranges.before(ordered, by, columns[0], first=("sum", "n"), cell=("sum", F.lit(1)))
     else:  # classes and the like: few
-        order = Window.partitionBy(*by).orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
-        placed = counted.withColumns({"first": F.coalesce(F.sum("n").over(order), F.lit(0)), "cell": F.coalesce(F.sum(F.lit(1)).over(order), F.lit(0))})
-    totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
-    placed = ranges.same_keys(placed, totals, by) if by else placed.join(F.broadcast(totals))  # one row
+        group = Window.partitionBy(*by)
+        order = group.orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+        sums = {"first": F.sum("n").over(order), "cell": F.sum(F.lit(1)).over(order)}
+        placed = counted.withColumns({name: F.coalesce(x, F.lit(0)) for name, x in sums.items()}).withColumn("total", F.sum("n").over(group))
     return placed.select(*by, *columns, "n", "first", "total", F.floor(F.col("cell") / CELLS).alias("slice"))
 
 
@@ -66,7 +67,8 @@ def _resampled(items: DataFrame, by: list[str], columns: list[str], resamples: i
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = min(resamples, 4 * tasks)
     cells = _cells(items, by, columns).where(F.col("total") >= least)
-    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Small tables of long work: by a fixed number of partitions, which are never put together for their size.
+    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(2 * tasks, *by, "slice", "block")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("first").combine_chunks()
@@ -253,9 +255,7 @@ def holm(rows: DataFrame, p: str, by: list[str] | None = None, out: str = "p_hol
     """
     by = by or []
     counted = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
-    size = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    told = ranges.same_keys(counted, size, by) if by else counted.join(F.broadcast(size))  # one row
-    placed = ranges.before(ranges.dealt(told, by, p), by, p, _first=("sum", "_n"))
+    placed = ranges.before(ranges.dealt(counted, by, p, _size="_n"), by, p, _first=("sum", "_n"))
     step = placed.withColumn("_step", F.least(F.col(p) * (F.col("_size") - F.col("_first")), F.lit(1.0)))
     highest = ranges.before(step, by, p, _highest=("max", "_step"))
     corrected = highest.select(*by, p, F.greatest("_highest", "_step").alias(out))

@@ -16,7 +16,7 @@ def small_ranges(request, monkeypatch):
     """Once more with ranges for groups of three rows, and slices of two cells."""
     if request.param:
         dealt = ranges.dealt
-        monkeypatch.setattr(ranges, "dealt", lambda rows, by, order: dealt(rows, by, order, ranges=7, least=request.param))
+        monkeypatch.setattr(ranges, "dealt", lambda rows, by, order, **sums: dealt(rows, by, order, 7, request.param, **sums))
         monkeypatch.setattr(ST, "CELLS", 2)
 
 
