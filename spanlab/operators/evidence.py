@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlab.functions.numbers import safe_ratio
 from spanlab.operators.spans import merged_intervals
+from spanlab.session import held
 
 
 def scores(queries: DataFrame, selected: DataFrame, gold: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def scores(queries: DataFrame, selected: DataFrame, gold: DataFrame) -> DataFram
     twice in the latter. Both are null for unanswerable queries; abstained tells whether nothing was selected.
     """
     # Both are a few rows for each query, and several branches use them.
-    selected, gold = selected.select("query_id", "document_id", "char_start", "char_end").persist(), gold.persist()
+    selected, gold = held(selected.select("query_id", "document_id", "char_start", "char_end")), held(gold)
     union = merged_intervals(gold, ["query_id", "document_id"], "g_start", "g_end")
     whole = union.groupBy("query_id").agg(F.sum(F.col("g_end") - F.col("g_start")).alias("gold_chars"))
     chosen = selected.groupBy("query_id").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("selected_chars"), F.count(F.lit(1)).alias("n_selected"))

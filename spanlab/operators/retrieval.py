@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from spanlab.functions.numbers import discount, gain, overlap, safe_ratio
+from spanlab.functions.numbers import overlap, safe_ratio
+from spanlab.operators import sweep
 from spanlab.operators.spans import section_match
+from spanlab.session import held
 
 KS = (1, 3, 5, 10)
-#: Up to so many sections the assignment runs as an expression over 2**n states, beyond as an Arrow function.
-EXPRESSION_SECTIONS = 8
-
-
 def grid(strategies: list[str], models: list[str], queries: DataFrame, indexes: DataFrame) -> DataFrame:
     """Every query with every strategy and model that there is an index for: strategy, model and the columns of queries."""
     spark = queries.sparkSession
@@ -33,13 +35,31 @@ def malformed_queries(sections: DataFrame) -> DataFrame:
 
 
 def normalized_hits(hits: DataFrame, k: int | None = None) -> DataFrame:
-    """First row of each rank and of each chunk, greedily by rank: a repeated chunk doesn't use up its rank."""
+    """First row of each rank and of each chunk, greedily by rank: a repeated chunk doesn't use up its rank. Adds deepest, the
+    greatest rank that was looked at.
+
+    A query's hits are read once, in order; what is held of them is the ranks and chunks that are taken.
+    """
     rows = hits.where(F.col("rank") >= 1) if k is None else hits.where(F.col("rank").between(1, k))
-    held = F.struct(*[F.col(c) for c in ("rank", "ord", "chunk_id", "document_id", "char_start", "char_end")])
-    sorted_ = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(held)).alias("all"), F.max("rank").alias("deepest"))
-    kind = sorted_.schema["all"].dataType.simpleString()
-    keep = F.aggregate("all", F.array().cast(kind), lambda a, h: F.when(F.exists(a, lambda x: (x["rank"] == h["rank"]) | (x["chunk_id"] == h["chunk_id"])), a).otherwise(F.array_append(a, h)))
-    return sorted_.select("query_id", "deepest", F.explode(keep).alias("h")).select("query_id", "deepest", "h.*")
+    rows = rows.select("query_id", "rank", "ord", "chunk_id", "document_id", "char_start", "char_end")
+
+    def work(batch: pa.RecordBatch, query: np.ndarray) -> list[pa.Array]:
+        kept, deepest = [], np.zeros(int(query[-1]) + 1, np.int64)
+        ranks = batch.column("rank").to_numpy(zero_copy_only=False).astype(np.int64)
+        np.maximum.at(deepest, query, ranks)
+        at, taken = -1, set()
+        for own, rank, chunk in zip(query.tolist(), ranks.tolist(), batch.column("chunk_id").to_pylist()):
+            if own != at:
+                at, taken = own, set()
+            new = ("rank", rank) not in taken and ("chunk", chunk) not in taken
+            if new:
+                taken |= {("rank", rank), ("chunk", chunk)}
+            kept.append(new)
+        return [pa.array(deepest[query]), pa.array(kept)]
+
+    order = ["rank", "ord", "chunk_id", "document_id", "char_start", "char_end"]
+    found = sweep.within_documents(rows, ["query_id"], work, "deepest bigint, kept boolean", order).where("kept")
+    return found.select("query_id", "deepest", *order)
 
 
 def matches(hits: DataFrame, sections: DataFrame, least: int = 100) -> DataFrame:
@@ -49,19 +69,6 @@ def matches(hits: DataFrame, sections: DataFrame, least: int = 100) -> DataFrame
     return hits.where("char_start is not null").join(s, ["query_id", "document_id"]).where((ov > 0) & section_match(ov, F.col("g_end") - F.col("g_start"), least))
 
 
-def assignment_gain(pairs: Column, sections: int) -> Column:
-    """pairs: array<struct<rank,grade_gain,section>> sorted by rank. The best one-to-one assignment of ranks to sections, by a
-    fold over pairs grouped by rank with 2**sections states."""
-    states = 1 << sections
-    start = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda m: F.when(m == 0, F.lit(0.0)).otherwise(F.lit(-1e18)))
-
-    def take(best: Column, row: Column) -> Column:
-        options = row["options"]
-        return F.transform(best, lambda b, m: F.aggregate(options, b, lambda acc, o: F.when(F.shiftright(m, 0).bitwiseAND(o["bit"]) > 0, F.greatest(acc, F.get(best, m - o["bit"]) + o["w"])).otherwise(acc)))
-
-    return F.array_max(F.aggregate(pairs, start, take))
-
-
 def best_assignment(weights: dict[tuple[int, int], float]) -> float:
     """Largest total weight of a one-to-one choice of (row, column), by augmenting along shortest paths (any size)."""
     rows = sorted({r for r, _ in weights})
@@ -98,29 +105,43 @@ def best_assignment(weights: dict[tuple[int, int], float]) -> float:
     return -sum(cost[match[j] - 1][j - 1] for j in range(1, m + 1) if match[j])
 
 
-def ndcg(hits: DataFrame, sections: DataFrame, k: int = 10, out: str = "ndcg") -> DataFrame:
-    """query_id and the assignment NDCG at k: each rank serves one section at most and each section one rank."""
-    good = usable_sections(sections).withColumn("section_no", F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "document_id", "section_id", "g_start", "g_end")) - 1)
-    sized = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sort_array(F.collect_list("grade"), asc=False).alias("grades"))
-    ideal = F.aggregate(F.transform(F.slice("grades", 1, k), lambda g, i: gain(g) / discount(i + 1)), F.lit(0.0), lambda a, x: a + x)
-    pairs = matches(hits.where(F.col("rank") <= k), good.drop("section_no")).join(good.select("query_id", "document_id", "section_id", "g_start", "g_end", "section_no"), ["query_id", "document_id", "section_id", "g_start", "g_end"])
-    pairs = pairs.select("query_id", "rank", "section_no", (gain(F.col("grade")) / discount(F.col("rank"))).alias("w"))
-    rows = pairs.groupBy("query_id", "rank").agg(F.collect_list(F.struct(F.expr("shiftleft(1, section_no)").alias("bit"), "w", "section_no")).alias("options"))
-    rows = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "options"))).alias("rows"))
-    joined = sized.join(rows, "query_id", "left")
+def ndcg(hits: DataFrame, sections: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """query_id and the assignment NDCG at each k: each rank serves one section at most and each section one rank.
 
-    @F.udf(DoubleType())
-    def large(rows):  # null where the expression does it
-        return None if rows is None else best_assignment({(r["rank"], o["section_no"]): o["w"] for r in rows for o in r["options"]})
-
-    gain_ = F.when(F.col("rows").isNull(), 0.0).when(F.col("n_sections") <= EXPRESSION_SECTIONS, assignment_gain(F.col("rows"), EXPRESSION_SECTIONS)).otherwise(large(F.when(F.col("n_sections") > EXPRESSION_SECTIONS, F.col("rows"))))
-    return joined.select("query_id", safe_ratio(gain_, ideal).alias(out))
+    Of a query, matches within the deepest k and the best grades meet in one row; the assignments of all k are found there,
+    in Arrow batches.
+    """
+    good = usable_sections(sections)
+    ideal = good.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.col("grade").cast("int")), asc=False), 1, max(ks)).alias("grades"))
+    place = F.struct("document_id", "section_id", "g_start", "g_end")
+    pairs = matches(hits.where(F.col("rank") <= max(ks)), good).select("query_id", F.col("rank").cast("int").alias("rank"), place.alias("section"), F.col("grade").cast("int").alias("grade"))
+    pairs = pairs.groupBy("query_id").agg(F.collect_set(F.struct("rank", "section", "grade")).alias("pairs"))
+    names = [f"ndcg_at_{k}" for k in ks]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def scored(grades: pd.Series, pairs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for best, found in zip(grades, pairs):
+            number: dict[tuple, int] = {}
+            weights = {}
+            for p in found if found is not None else ():
+                column = number.setdefault(tuple(p["section"].values()), len(number))
+                weights[p["rank"], column] = (2.0 ** p["grade"] - 1) / math.log2(p["rank"] + 1)
+            row = []
+            for k in ks:
+                whole = sum((2.0 ** int(g) - 1) / math.log2(i + 2) for i, g in enumerate(best[:k]))
+                got = best_assignment({at: w for at, w in weights.items() if at[0] <= k})
+                row.append(got / whole if whole else 0.0)
+            rows.append(row)
+        return pd.DataFrame(rows, columns=names)
+
+    return ideal.join(pairs, "query_id", "left").select("query_id", scored("grades", "pairs").alias("s")).select("query_id", "s.*")
 
 
 def metrics(queries: DataFrame, hits: DataFrame, sections: DataFrame) -> DataFrame:
     """One row for each query: P, R and NDCG at KS, reciprocal rank, document mismatch in the first ten, and counts."""
     # Several branches use the ranking and the sections: a few rows for each query, kept once computed.
-    raw, sections = hits.where("rank >= 1").persist(), sections.persist()
+    raw, sections = held(hits.where("rank >= 1")), held(sections)
     hits = normalized_hits(raw)
     good = usable_sections(sections)
     found = matches(hits, good)
@@ -142,6 +163,5 @@ def metrics(queries: DataFrame, hits: DataFrame, sections: DataFrame) -> DataFra
     columns += [F.when(F.col("total_relevant") > 0, F.col(f"sec_{k}") / F.nullif("total_relevant", F.lit(0))).otherwise(empty).alias(f"recall_at_{k}") for k in KS]
     drm = F.when(F.col("n_hits") > 0, F.col("wrong") / 10).otherwise(0.0)
     out = out.select("query_id", *columns, "mrr", drm.alias("drm"), (drm > 0).alias("drm_hit"), "relevant_retrieved", "total_relevant")
-    for k in KS:
-        out = out.join(ndcg(hits, sections, k, f"ndcg_at_{k}"), "query_id", "left")
+    out = out.join(ndcg(hits, sections), "query_id", "left")
     return out.fillna(0.0, [f"ndcg_at_{k}" for k in KS])

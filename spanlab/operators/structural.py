@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.functions.numbers import safe_ratio, size_variation
+from spanlab.functions.numbers import overlap, safe_ratio, size_variation
+from spanlab.functions.text import sanitized
 from spanlab.operators.spans import overlap_join, point_in_span
 from spanlab.operators.terms import Phrases, is_whole
+from spanlab.session import held
 
 KEYS = ["strategy", "document_id"]
 
@@ -61,11 +63,59 @@ def sizes(chunks: DataFrame) -> DataFrame:
     )
 
 
-def structural_row(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
-    # Spans without texts, used by four branches; what memory can't hold goes to disk.
-    chunks, clauses = chunks.select(*KEYS, "chunk_index", "char_start", "char_end", "char_count").persist(), clauses.persist()
+def span_metrics(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Fragmentation, over-merging and grouping as above, from one overlap join: a top-level clause stands with its whole
+    subtree there, a leaf with its own span."""
+    known = clauses.where("is_leaf or is_top_level").withColumn("own_end", F.col("g_end"))
+    known = known.withColumn("g_end", F.when(F.col("is_top_level"), F.greatest("subtree_end", "g_end")).otherwise(F.col("g_end")))
+    known = known.select("document_id", "identifier", "parent", "g_start", "g_end", "own_end", "is_leaf", "is_top_level", "subtree_end")
+    pairs = overlap_join(located(chunks).select(*KEYS, "chunk_index", "char_start", "char_end"), known)
+    own = overlap(F.col("char_start"), F.col("char_end"), F.col("g_start"), F.col("own_end"))
+    below = overlap(F.col("char_start"), F.col("char_end"), F.col("g_start"), F.col("subtree_end"))
+    size = F.col("own_end") - F.col("g_start")
+    pairs = pairs.withColumns({"own": own, "size": size, "reaches": F.col("is_top_level") & (below >= 50)})
+    held_ = F.col("is_leaf") & F.col("parent").isNotNull() & (F.col("own") > 0) & (20 * F.col("own") >= 19 * F.col("size"))
+    families = pairs.groupBy(*KEYS, "chunk_index", "parent").agg(F.count_if("reaches").alias("tops"), F.count_if(held_).alias("held"))
+    each = families.groupBy(*KEYS, "chunk_index").agg(F.sum("tops").alias("tops"), F.max("held").alias("held"))
+    of_chunks = each.groupBy(*KEYS).agg(F.count_if(F.col("tops") > 1).alias("merged"), F.count_if(F.col("held") >= 2).alias("grouped"))
+    best = pairs.where(F.col("is_leaf") & (F.col("size") >= 20)).groupBy(*KEYS, "identifier", "size").agg(F.max("own").alias("own"))
+    whole = best.groupBy(*KEYS).agg(F.count_if(5 * F.col("own") >= 4 * F.col("size")).alias("whole"))
+    leaves = clauses.where((F.col("is_leaf")) & (F.col("g_end") - F.col("g_start") >= 20)).groupBy("document_id").agg(F.count(F.lit(1)).alias("leaves"))
+    out = chunks.groupBy(*KEYS).agg(F.count("char_start").alias("n")).join(leaves, "document_id", "left").join(of_chunks, KEYS, "left").join(whole, KEYS, "left")
+    out = out.fillna(0, ["leaves", "merged", "grouped", "whole"])
+    share = lambda part, of: safe_ratio(part, F.col(of))
+    return out.select(*KEYS, share(F.col("leaves") - F.col("whole"), "leaves").alias("clause_fragmentation"), share(F.col("merged"), "n").alias("top_level_over_merge"), share(F.col("grouped"), "n").alias("sub_clause_grouping"))
+
+
+class StaleError(ValueError):
+    """A document is no longer the one that was annotated."""
+
+
+def unchanged(docs: DataFrame, annotations: DataFrame) -> DataFrame:
+    """docs whose sanitised text has the length and SHA-256 (n_chars, text_sha256) of its annotation; others raise while
+    they are read."""
+    clean = sanitized(F.col("text"))
+    told = docs.join(annotations.select("document_id", "n_chars", "text_sha256"), "document_id")
+    same = (F.length(clean) == F.col("n_chars")) & (F.sha2(clean, 256) == F.col("text_sha256"))
+    problem = F.concat(F.lit("StaleError: document "), F.col("document_id").cast("string"), F.lit(" has changed since it was annotated"))
+    return told.withColumn("text", F.when(same, F.col("text")).otherwise(F.raise_error(problem))).select(*docs.columns)
+
+
+def structural_row(chunks: DataFrame, clauses: DataFrame, docs: DataFrame | None = None, terms: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
+    """All structural metrics of each strategy and document. Chunks that tell section_hierarchy and cross_references are held
+    against clauses and refs; with docs and terms, uses of terms against their definitions."""
+    # Spans without texts, used by several branches; what memory can't hold goes to disk.
+    told = [c for c in ("section_hierarchy", "cross_references", "definitions", "defined_terms_context") if c in chunks.columns]
+    chunks, clauses = held(chunks.select(*KEYS, "chunk_index", "char_start", "char_end", "char_count", *told)), held(clauses)
+    parts = [span_metrics(chunks, clauses)]
+    if "section_hierarchy" in told:
+        parts.append(headings(chunks, clauses))
+    if docs is not None and terms is not None:
+        parts.append(definition_attachment(chunks, docs, terms))
+    if "cross_references" in told and refs is not None:
+        parts.append(cross_references(chunks, refs))
     out = sizes(chunks)
-    for part in (fragmentation(chunks, clauses), over_merge(chunks, clauses), grouping(chunks, clauses)):
+    for part in parts:
         out = out.join(part, KEYS)
     return out
 

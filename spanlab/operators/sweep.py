@@ -148,9 +148,10 @@ def highest_below(node: np.ndarray, parent: np.ndarray, value: np.ndarray) -> tu
 
 
 def within_documents(
-    rows: DataFrame, keys: list[str], work: Callable[[pa.RecordBatch, np.ndarray], list[pa.Array]], added: str
+    rows: DataFrame, keys: list[str], work: Callable[[pa.RecordBatch, np.ndarray], list[pa.Array]], added: str, order: list[str] | None = None
 ) -> DataFrame:
-    """rows with the columns that `work` gives for whole documents (a batch and its ordinals); added: their schema."""
+    """rows with the columns that `work` gives for whole documents (a batch and its ordinals), whose rows are in order; added:
+    their schema."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     given = rows.columns
     names = [*given, *(part.split()[0] for part in added.split(", "))]
@@ -162,4 +163,4 @@ def within_documents(
             own = batch.columns[len(keys) :]
             yield pa.RecordBatch.from_arrays([*own, *work(pa.RecordBatch.from_arrays(own, given), ordinals(batch, len(keys)))], names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{fields}, {added}")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, f"{fields}, {added}")

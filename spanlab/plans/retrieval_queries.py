@@ -32,26 +32,18 @@ def rm1(spark, sf):
     return found.groupBy("query_id", F.col("rank").cast("bigint").alias("rank")).agg(F.max("grade").cast("bigint").alias("grade"))
 
 
-METRICS_SQL = HITS_SQL + """,
+METRICS_SQL = HITS_SQL + f""",
  q AS (SELECT item_id AS query_id FROM benchmark),
  total AS (SELECT query_id, count(*) AS total FROM sections GROUP BY 1),
  rel AS (SELECT query_id, count(DISTINCT rank) AS retrieved, min(rank) AS first FROM matched GROUP BY 1),
  per AS (SELECT q.query_id, k, (SELECT count(DISTINCT rank) FROM matched m WHERE m.query_id = q.query_id AND rank <= k) AS rel,
                 (SELECT count(DISTINCT no) FROM matched m WHERE m.query_id = q.query_id AND rank <= k) AS sec,
                 (SELECT max(rank) FROM hits h WHERE h.query_id = q.query_id AND rank <= k) AS deep FROM q, (VALUES (1), (3), (5), (10)) t(k)),
- wide AS (SELECT query_id, max(CASE WHEN deep > 0 THEN rel / least(k, deep) ELSE 0 END) FILTER (WHERE k = 1) AS p1, max(CASE WHEN deep > 0 THEN rel / least(k, deep) ELSE 0 END) FILTER (WHERE k = 10) AS p10,
-                 max(sec) FILTER (WHERE k = 5) AS s5, max(sec) FILTER (WHERE k = 10) AS s10 FROM per GROUP BY 1),
+ wide AS (SELECT query_id, {", ".join(f"max(CASE WHEN deep > 0 THEN rel / least(k, deep) ELSE 0 END) FILTER (WHERE k = {k}) AS p{k}, max(sec) FILTER (WHERE k = {k}) AS s{k}" for k in R.KS)} FROM per GROUP BY 1),
  wrong AS (SELECT query_id, count(*) AS n FROM hits h WHERE NOT EXISTS (FROM sections s WHERE s.query_id = h.query_id AND s.document_id = h.document_id) GROUP BY 1)"""
 
 
-@query("rm2_rm8_metrics", f"WITH {METRICS_SQL} SELECT query_id, round(p1, 6) AS precision_at_1, round(p10, 6) AS precision_at_10, round(CASE WHEN total > 0 THEN s5 / total ELSE 1 END, 6) AS recall_at_5, round(CASE WHEN total > 0 THEN s10 / total ELSE 1 END, 6) AS recall_at_10, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(n, 0) / 10, 6) AS drm, coalesce(n, 0) > 0 AS drm_hit, coalesce(retrieved, 0) AS relevant_retrieved, coalesce(total, 0) AS total_relevant FROM wide LEFT JOIN total USING (query_id) LEFT JOIN rel USING (query_id) LEFT JOIN wrong USING (query_id)")
-def rm28(spark, sf):
-    rows = R.metrics(benchmark_queries(spark, sf), hits(spark, sf), sections(spark, sf))
-    numbers = ["precision_at_1", "precision_at_10", "recall_at_5", "recall_at_10", "mrr", "drm"]
-    return rows.select("query_id", *[number(c).alias(c) for c in numbers], "drm_hit", "relevant_retrieved", "total_relevant")
-
-
-@query("rm5_assignment_ndcg", f"""WITH RECURSIVE {HITS_SQL},
+ASSIGNMENT_SQL = """
  weights AS MATERIALIZED (SELECT DISTINCT query_id, rank, no, (2.0 ** grade - 1) / log2(rank + 1) AS w FROM matched WHERE rank <= 10),
  states AS (SELECT item_id AS query_id, 0::BIGINT AS rank, 0::BIGINT AS mask, 0.0::DOUBLE AS total FROM benchmark
             UNION ALL
@@ -59,11 +51,28 @@ def rm28(spark, sf):
               SELECT s.query_id, s.rank, s.mask, s.total FROM states s WHERE s.rank < 10
               UNION ALL SELECT s.query_id, s.rank, s.mask + (1::BIGINT << w.no::INT), s.total + w.w FROM states s JOIN weights w ON w.query_id = s.query_id AND w.rank = s.rank + 1 WHERE s.rank < 10 AND (s.mask >> w.no::INT) % 2 = 0)
             GROUP BY 1, 2, 3),
- best AS (SELECT query_id, max(total) AS gain FROM states WHERE rank = 10 GROUP BY 1),
- ideal AS (SELECT query_id, sum((2.0 ** grade - 1) / log2(place + 1)) AS total FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS place FROM sections) WHERE place <= 10 GROUP BY 1)
- SELECT query_id, round(gain / total, 6) AS ndcg FROM best JOIN ideal USING (query_id)""")
+ best AS (SELECT query_id, rank AS k, max(total) AS gain FROM states WHERE rank IN (1, 3, 5, 10) GROUP BY ALL),
+ ideal AS (SELECT query_id, k, sum((2.0 ** grade - 1) / log2(place + 1)) AS total FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS place FROM sections), (VALUES (1), (3), (5), (10)) t(k) WHERE place <= k GROUP BY ALL),
+ ndcg AS (SELECT query_id, k, gain / total AS ndcg FROM best JOIN ideal USING (query_id, k))"""
+
+
+def at_each(name, sql):
+    return ", ".join(f"round({sql.format(k=k)}, 6) AS {name}_at_{k}" for k in R.KS)
+
+
+NDCG_AT = "coalesce((SELECT ndcg FROM ndcg x WHERE x.query_id = wide.query_id AND k = {k}), 0)"
+
+
+@query("rm2_rm8_metrics", f"WITH RECURSIVE {METRICS_SQL}, {ASSIGNMENT_SQL} SELECT query_id, {at_each('precision', 'p{k}')}, {at_each('recall', 'CASE WHEN total > 0 THEN s{k} / total ELSE 1 END')}, {at_each('ndcg', NDCG_AT)}, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(n, 0) / 10, 6) AS drm, coalesce(n, 0) > 0 AS drm_hit, coalesce(retrieved, 0) AS relevant_retrieved, coalesce(total, 0) AS total_relevant FROM wide LEFT JOIN total USING (query_id) LEFT JOIN rel USING (query_id) LEFT JOIN wrong USING (query_id)")
+def rm28(spark, sf):
+    rows = R.metrics(benchmark_queries(spark, sf), hits(spark, sf), sections(spark, sf))
+    numbers = [f"{name}_at_{k}" for name in ("precision", "recall", "ndcg") for k in R.KS] + ["mrr", "drm"]
+    return rows.select("query_id", *[number(c).alias(c) for c in numbers], "drm_hit", "relevant_retrieved", "total_relevant")
+
+
+@query("rm5_assignment_ndcg", f"WITH RECURSIVE {HITS_SQL}, {ASSIGNMENT_SQL} SELECT query_id, round(ndcg, 6) AS ndcg FROM ndcg WHERE k = 10")
 def rm5(spark, sf):
-    return R.ndcg(hits(spark, sf), sections(spark, sf), 10).withColumn("ndcg", number("ndcg"))
+    return R.ndcg(hits(spark, sf), sections(spark, sf), (10,)).select("query_id", number("ndcg_at_10").alias("ndcg"))
 
 
 @query("agg9_retrieval_means", f"WITH {METRICS_SQL} SELECT query_id % 2 AS half, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(p10), 6) AS precision_at_10, round(avg(coalesce(n, 0) / 10), 6) AS drm FROM wide LEFT JOIN rel USING (query_id) LEFT JOIN wrong USING (query_id) GROUP BY 1")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlab.functions import text as T
-from spanlab.operators import chunkers, locate, report, spans, validate
+from spanlab.operators import chunkers, lexical, locate, report, spans, validate
 from spanlab.plans.retrieval_queries import HITS_SQL, hits, sections
 from spanlab.plans.span_queries import BOTH_SQL, both
-from spanlab.plans.tables import CLAUSES_SQL, CLIPPED_SQL, TOKENS_SQL, clauses, documents, full_clauses, query, ranking, windows
+from spanlab.plans.tables import CLAUSES_SQL, CLIPPED_SQL, TOKENS_SQL, clauses, documents, benchmark_queries, full_clauses, query, ranking, windows
 
 
 @query("flt1_located_chunks", f"WITH {TOKENS_SQL} SELECT document_id, count(*) AS n FROM windows WHERE chunk_index % 2 = 0 GROUP BY 1")
@@ -32,7 +32,7 @@ def flt6(spark, sf):
 
 @query("flt9_positive_overlap", f"WITH {HITS_SQL} SELECT query_id, count(*) AS candidates FROM scored GROUP BY 1")
 def flt9(spark, sf):
-    return ranking(spark, sf, 1 << 30).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return lexical.scored(benchmark_queries(spark, sf), windows(spark, sf), ["document_id", "char_start", "char_end"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 @query("flt11_documents_with_evidence", "SELECT doc_id AS document_id FROM documents d WHERE EXISTS (FROM benchmark b WHERE contains(d.text, b.text))")

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of an Arrow batch.
@@ -49,3 +49,18 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(archive))
     context._spanlab_shipped = True
     return spark
+
+
+_held: list[DataFrame] = []
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """Kept in memory and on disk once computed, since several branches of a result use it, until `release`."""
+    _held.append(rows.persist())
+    return rows
+
+
+def release() -> None:
+    """Frees what `held` keeps. Results that haven't been computed yet compute it again."""
+    while _held:
+        _held.pop().unpersist()

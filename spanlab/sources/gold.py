@@ -3,75 +3,74 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlab.operators import validate
+from spanlab.session import held
+from spanlab.sources import records
+from spanlab.sources.records import GoldError
 
-ANNOTATION = """document_id string, source_file string, text_sha256 string, n_chars int, numbering_style string,
- clauses array<struct<identifier:string,level:int,parent:string,char_start:int,char_end:int,is_top_level:boolean,heading:string>>,
- defined_terms array<struct<term:string,definition_span:array<int>>>,
- cross_references array<struct<raw_text:string,char_start:int,target_identifier:string,kind:string>>, _corrupt_record string"""
-# Kinds of references, and categories and aliases of queries.
+# Kinds of references.
 KINDS = ("internal_clause", "internal_schedule", "internal_definition", "external_statute", "external_document")
-ALIASES = {"relevant_sections": "relevant_clauses", "failure_mode": "category"}
 
 
-class GoldError(ValueError):
-    """An annotation breaks a rule."""
+def _parsed(spark: SparkSession, paths: str | list[str], rows: Callable[[str, bytes], Iterator[tuple]], schema: str, pattern: str) -> DataFrame:
+    """Rows of all files of a pattern, as Spark reads them from any store; files that break a rule are a GoldError."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: list[tuple] = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    found += [(*row, None) for row in rows(path, bytes(content))]
+                except GoldError as problem:
+                    found.append((*[None] * len(names), str(problem)))
+            yield pd.DataFrame(found, columns=[*names, "problem"]).astype(object)
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each annotation file; a file that isn't such JSON is an error."""
-    rows = spark.read.schema(ANNOTATION).option("multiLine", True).json(path).cache()
-    broken = rows.where("_corrupt_record is not null or document_id is null").count()
-    if broken:
-        raise GoldError(f"{broken} annotation files can't be read")
-    return rows.drop("_corrupt_record")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths).select("path", "content")
+    parsed = held(files.mapInPandas(run, f"{schema}, problem string"))
+    problems = [r.problem for r in parsed.where("problem is not null").orderBy("problem").limit(validate.SHOWN).collect()]
+    if problems:
+        raise GoldError("; ".join(problems))
+    return parsed.drop("problem")
 
 
-def clause_rows(gold: DataFrame) -> DataFrame:
-    rows = gold.select("document_id", "n_chars", F.inline("clauses"))
-    return rows.withColumnRenamed("char_start", "g_start").withColumnRenamed("char_end", "g_end")
+def _parts(spark: SparkSession, paths: str | list[str], rows: Callable[[str, bytes], Iterator[tuple[str, tuple]]], kinds: dict[str, str]) -> dict[str, DataFrame]:
+    """A frame for each kind of record: files are parsed once, to JSON of their records."""
+    names = {part: [c.split()[0] for c in schema.split(", ")] for part, schema in kinds.items()}
 
+    def told(path: str, content: bytes) -> Iterator[tuple]:
+        for part, row in rows(path, content):
+            yield part, json.dumps(dict(zip(names[part], row)))
 
-def term_rows(gold: DataFrame) -> DataFrame:
-    rows = gold.select("document_id", "n_chars", F.inline("defined_terms"))
-    return rows.select("document_id", "n_chars", "term", F.col("definition_span")[0].alias("definition_start"), F.col("definition_span")[1].alias("definition_end"))
+    parsed = _parsed(spark, paths, told, "part string, record string", "*.json")
+    return {part: parsed.where(F.col("part") == part).select(F.from_json("record", schema).alias("r")).select("r.*") for part, schema in kinds.items()}
 
 
-def reference_rows(gold: DataFrame) -> DataFrame:
-    rows = gold.select("document_id", "n_chars", F.inline("cross_references"))
-    return rows.select("document_id", "n_chars", "raw_text", F.col("char_start").alias("ref_start"), (F.col("char_start") + F.length("raw_text")).alias("ref_end"), F.col("target_identifier").alias("target"), "kind")
+def annotations(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
+    """documents, clauses, terms and references of annotation files, or of all in a folder."""
+    return _parts(spark, paths, records.annotation_rows, records.ANNOTATION)
 
 
-def checked(gold: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """gold, after all rules held; raises with at most 20 violations."""
-    clauses, terms, refs = clause_rows(gold), term_rows(gold), reference_rows(gold)
-    found = validate.clause_violations(clauses).unionByName(validate.term_violations(terms)).unionByName(validate.reference_violations(refs, clauses, KINDS))
+def checked(gold: dict[str, DataFrame], docs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """gold, after all rules held; raises with at most 20 violations. docs: document_id, text, sanitised."""
+    found = validate.clause_violations(gold["clauses"]).unionByName(validate.term_violations(gold["terms"]))
+    found = found.unionByName(validate.reference_violations(gold["references"], gold["clauses"], KINDS))
     if docs is not None:
-        found = found.unionByName(validate.document_violations(gold, docs))
+        found = found.unionByName(validate.document_violations(gold["documents"], docs))
     validate.raise_if_any(found, GoldError)
     return gold
 
 
-def queries(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """YAML query files: query_id, document_id, text, category, identifier, grade, description. Legacy names are read too."""
-    import yaml
-
-    rows = []
-    for path in paths:
-        content = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-        for q in content["queries"]:
-            q = {ALIASES.get(k, k): v for k, v in q.items()}
-            for c in q.get("relevant_clauses") or []:
-                grade = c.get("relevance", c.get("grade"))
-                if isinstance(grade, bool) or grade not in (0, 1, 2, 3):
-                    raise GoldError(f"{q['id']}: relevance is 0 to 3")
-                rows.append((q["id"], content["document_id"], q["text"], q.get("category"), c.get("identifier", c.get("section_id")), grade, c.get("description")))
-    return spark.createDataFrame(rows, "query_id string, document_id string, text string, category string, identifier string, grade int, description string")
+def queries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """YAML query files, or all in a folder: a row for each section that a query points to."""
+    return _parsed(spark, paths, records.query_rows, records.QUERY, "*.yaml")
 
 
 def resolved_queries(asked: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -84,26 +83,17 @@ def resolved_queries(asked: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 def evidence_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """An anchored-evidence file and the texts beside it: documents, evidence, queries, answer_spans, all checked."""
-    root = Path(path).resolve().parent
-    content = json.loads(Path(path).read_text(encoding="utf-8"))
-    unknown = set(content) - {"schema_version", "corpus", "documents", "evidence", "queries"}
-    if unknown:
-        raise GoldError(f"unknown keys: {sorted(unknown)}")
-    files = []
-    for d in content["documents"]:
-        file = (root / d["path"]).resolve()
-        if root not in file.parents:
-            raise GoldError(f"{d['id']}: its path leaves the dataset's folder")
-        files.append((d["id"], str(file), d["sha256"], d.get("jurisdiction")))
-    meta = spark.createDataFrame(files, "document_id string, file string, sha256 string, jurisdiction string")
-    raw = spark.read.format("binaryFile").load([f for _, f, _, _ in files]).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), F.sha2("content", 256).alias("found"), F.decode("content", "UTF-8").alias("text"))
-    docs = meta.join(raw, "file").drop("file")
-    wrong = [r.document_id for r in docs.where("sha256 <> found").limit(20).collect()]
-    if wrong:
-        raise GoldError(f"texts have another SHA-256: {wrong}")
-    evidence = spark.createDataFrame([(e["id"], e["document_id"], e["start"], e["end"], e["text"], e["grade"]) for e in content["evidence"]], "evidence_id string, document_id string, g_start int, g_end int, text string, grade int")
-    asked = spark.createDataFrame([(q["id"], q["text"], q["answerable"], q.get("evidence_ids") or []) for q in content["queries"]], "query_id string, text string, answerable boolean, evidence_ids array<string>")
-    spans_ = spark.createDataFrame([(q["id"], a["document_id"], a["start"], a["end"], a["text"]) for q in content["queries"] for a in q.get("answer_spans") or []], "query_id string, document_id string, char_start int, char_end int, text string")
-    validate.raise_if_any(validate.evidence_violations(docs, evidence, asked, spans_), GoldError)
-    return {"documents": docs.drop("found"), "evidence": evidence, "queries": asked, "answer_spans": spans_}
+    """An anchored-evidence file and the texts in its folder: corpus, documents (with text), evidence, queries, answer_spans,
+    all checked."""
+    parts = _parts(spark, path, records.evidence_rows, records.EVIDENCE)
+    folder = path.rpartition("/")[0]
+    bare = re.sub(r"^[a-z]+:/*", "/", folder).rstrip("/") + "/"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    place = F.expr(f"substring(path, locate('{bare}', path) + {len(bare)})")
+    raw = raw.select(place.alias("path"), F.sha2("content", 256).alias("found"), F.col("content").cast("string").alias("text"))
+    docs = held(parts["documents"].join(raw, "path", "left"))
+    problem = F.when(F.col("found").isNull(), "file is missing").when(F.col("sha256") != F.col("found"), "has another SHA-256").when(~F.is_valid_utf8("text"), "must be UTF-8")
+    validate.raise_if_any(docs.select("document_id", problem.alias("what")).where("what is not null"), GoldError)
+    docs = docs.drop("found")
+    validate.raise_if_any(validate.evidence_violations(docs, parts["evidence"], parts["queries"], parts["answer_spans"]), GoldError)
+    return parts | {"documents": docs}
