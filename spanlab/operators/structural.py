@@ -81,10 +81,12 @@ def span_metrics(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
     best = pairs.where(F.col("is_leaf") & (F.col("size") >= 20)).groupBy(*KEYS, "identifier", "size").agg(F.max("own").alias("own"))
     whole = best.groupBy(*KEYS).agg(F.count_if(5 * F.col("own") >= 4 * F.col("size")).alias("whole"))
     leaves = clauses.where((F.col("is_leaf")) & (F.col("g_end") - F.col("g_start") >= 20)).groupBy("document_id").agg(F.count(F.lit(1)).alias("leaves"))
+    known = clauses.groupBy("document_id").agg(F.count_if("is_leaf").alias("n_leaf_clauses"), F.count_if("is_top_level").alias("n_top_level_clauses"))
+    leaves = known.join(leaves, "document_id", "left")
     out = chunks.groupBy(*KEYS).agg(F.count("char_start").alias("n")).join(leaves, "document_id", "left").join(of_chunks, KEYS, "left").join(whole, KEYS, "left")
-    out = out.fillna(0, ["leaves", "merged", "grouped", "whole"])
+    out = out.fillna(0, ["leaves", "merged", "grouped", "whole", "n_leaf_clauses", "n_top_level_clauses"])
     share = lambda part, of: safe_ratio(part, F.col(of))
-    return out.select(*KEYS, share(F.col("leaves") - F.col("whole"), "leaves").alias("clause_fragmentation"), share(F.col("merged"), "n").alias("top_level_over_merge"), share(F.col("grouped"), "n").alias("sub_clause_grouping"))
+    return out.select(*KEYS, share(F.col("leaves") - F.col("whole"), "leaves").alias("clause_fragmentation"), share(F.col("merged"), "n").alias("top_level_over_merge"), share(F.col("grouped"), "n").alias("sub_clause_grouping"), F.col("n").alias("located_chunks"), "n_leaf_clauses", "n_top_level_clauses")
 
 
 class StaleError(ValueError):
