@@ -96,6 +96,30 @@ def token_window(docs: DataFrame, window: int = 64, overlap: int = 8) -> DataFra
     return _cut_in_batches(docs, lambda text: token_spans(text, window, overlap))
 
 
+def fixed_spans(text: str, size: int) -> list[tuple[int, int]]:
+    """As `fixed_size` cuts: pieces of white space alone are no chunks."""
+    pieces = [(a, min(a + size, len(text))) for a in range(0, len(text), size)]
+    return [(a, b) for a, b in pieces if text[a:b].strip(_SPACE)]
+
+
+_SENTENCE_OR_BLANK = re.compile(SENTENCE_OR_BLANK, re.ASCII)
+
+
+def sentence_texts(text: str, min_chars: int) -> list[str]:
+    """As `sentence_split` gathers."""
+    done, held = [], ""
+    for part in _SENTENCE_OR_BLANK.split(text):
+        part = part.strip(_SPACE)
+        if not part:
+            continue
+        if held and len(held) >= min_chars:
+            done.append(held)
+            held = part
+        else:
+            held = f"{held} {part}" if held else part
+    return [*done, held] if held else done
+
+
 def sentence_split(docs: DataFrame, min_chars: int = 100) -> DataFrame:
     """Sentences gathered until they have min_chars; without offsets."""
     parts = F.filter(F.transform(F.split("text", SENTENCE_OR_BLANK, -1), strip), lambda s: s != "")

@@ -7,7 +7,7 @@ clauses: document_id, identifier, parent, g_start, g_end, is_top_level, is_leaf,
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,6 +103,23 @@ def unchanged(docs: DataFrame, annotations: DataFrame) -> DataFrame:
     return told.withColumn("text", F.when(same, F.col("text")).otherwise(F.raise_error(problem))).select(*docs.columns)
 
 
+#: Metrics of users: name -> function of (chunks, clauses) that gives KEYS and a column of that name.
+METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+# Names of the evaluation's own metrics, which others must not take.
+TAKEN = frozenset(
+    """size_cv localization_rate localization_coverage n_chunks avg_chunk_size clause_fragmentation top_level_over_merge sub_clause_grouping
+    located_chunks n_leaf_clauses n_top_level_clauses heading_recall heading_precision n_gold_headings definition_attachment n_definition_uses
+    xref_recall xref_precision n_gold_cross_refs""".split()
+)
+
+
+def register_metric(name: str, metric: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """A structural metric of one's own, from then on a column of every `structural_row`."""
+    if name in TAKEN | set(KEYS) or not name.isidentifier():
+        raise ValueError(f"{name} can't be a metric's name")
+    METRICS[name] = metric
+
+
 def structural_row(chunks: DataFrame, clauses: DataFrame, docs: DataFrame | None = None, terms: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """All structural metrics of each strategy and document. Chunks that tell section_hierarchy and cross_references are held
     against clauses and refs; with docs and terms, uses of terms against their definitions."""
@@ -119,6 +136,8 @@ def structural_row(chunks: DataFrame, clauses: DataFrame, docs: DataFrame | None
     out = sizes(chunks)
     for part in parts:
         out = out.join(part, KEYS)
+    for name, metric in METRICS.items():
+        out = out.join(metric(chunks, clauses).select(*KEYS, name), KEYS, "left")
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanlab.functions import text as T
 from spanlab.functions.numbers import size_variation
 from spanlab.operators import chunkers, locate, spans
+from spanlab.sources import table_functions
 from spanlab.plans.tables import CLAUSES_SQL, FIXED_SQL, TOKENS_SQL, clauses, documents, fixed, full_clauses, lines, number, query, table, windows
 
 SPAN_COLUMNS = ["document_id", "chunk_index", "char_start", "char_end"]
@@ -96,6 +97,14 @@ def chk11(spark, sf):
     return chunkers.strategy_parameters(spark).join(made, "strategy").select("strategy", "parameters", "n_chunks", "chars")
 
 
+@query("chk10_sql_functions", f"WITH {FIXED_SQL}, {TOKENS_SQL}, {SENTENCES_SQL} SELECT 'fixed_size' AS strategy, document_id, chunk_index, char_start, char_end FROM fixed UNION ALL SELECT 'token_window', * FROM windows UNION ALL SELECT 'sentence_window', * FROM sentence_windows")
+def chk10_sql(spark, sf):
+    """Three chunkers as table functions of SQL."""
+    table_functions.register(spark)
+    cut = "SELECT '{0}' AS strategy, document_id, c.chunk_index, c.char_start, c.char_end FROM {{docs}}, LATERAL chunk_{0}(text) c"
+    return spark.sql(" UNION ALL ".join(cut.format(name) for name in ("fixed_size", "token_window", "sentence_window")), docs=documents(spark, sf).select("document_id", "text"))
+
+
 @query("txt1_sanitize", r"SELECT doc_id AS document_id, md5(nfc_normalize(replace(replace(replace(text, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS digest FROM documents")
 def txt1(spark, sf):
     return documents(spark, sf).select("document_id", F.md5(T.sanitized(F.col("text"))).alias("digest"))
