@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanlab.functions.text import SENTENCE_OR_BLANK, context_header, strip
+from spanlab.functions.text import SENTENCE_OR_BLANK, context_header
 from spanlab.operators.clause_aware import clause_aware
 
 
@@ -122,16 +122,24 @@ def sentence_texts(text: str, min_chars: int) -> list[str]:
 
 def sentence_split(docs: DataFrame, min_chars: int = 100) -> DataFrame:
     """Sentences gathered until they have min_chars; without offsets."""
-    parts = F.filter(F.transform(F.split("text", SENTENCE_OR_BLANK, -1), strip), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+    kind = docs.schema["document_id"].dataType.simpleString()
+    names = ["document_id", "chunk_index", "char_start", "char_end", "text"]
 
-    def step(a: Column, s: Column) -> Column:
-        full = (a["held"] != "") & (F.length(a["held"]) >= min_chars)
-        return F.struct(F.when(full, F.array_append(a["done"], a["held"])).otherwise(a["done"]).alias("done"), F.when(full | (a["held"] == ""), s).otherwise(F.concat(a["held"], F.lit(" "), s)).alias("held"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, index, texts, held = [], [], [], 0
+            for k, text in enumerate(batch.column(1)):
+                found = sentence_texts(text.as_py() or "", min_chars)
+                own += [k] * len(found)
+                index += range(len(found))
+                texts += found
+                held += sum(map(len, found))
+                if held >= _PASSED or k + 1 == batch.num_rows:
+                    none = pa.nulls(len(texts), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int32())), pa.array(index, pa.int64()), none, none, pa.array(texts, pa.string())], names)
+                    own, index, texts, held = [], [], [], 0
 
-    chunks = F.aggregate(parts, start, step, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.array_append(a["done"], a["held"])))
-    rows = docs.select("document_id", F.posexplode(chunks).alias("chunk_index", "text"))
-    return rows.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.lit(None).cast("bigint").alias("char_start"), F.lit(None).cast("bigint").alias("char_end"), "text")
+    return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, chunk_index bigint, char_start bigint, char_end bigint, text string")
 
 
 def sentence_spans(text: str, window: int, stride: int) -> list[tuple[int, int]]:
