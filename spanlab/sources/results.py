@@ -12,15 +12,21 @@ from string import Template
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlab import __version__
+from spanlab.session import held
+
 # The current and the superseded shape of a structural row.
 CURRENT, LEGACY = "clause_fragmentation", "legacy_fragmentation"
 
 
-def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """The primary form: one Parquet table for each name; chunk tables are partitioned by strategy."""
+def save_tables(tables: dict[str, DataFrame], folder: str, made: DataFrame | None = None) -> None:
+    """The primary form: one Parquet table for each name; chunk tables are partitioned by strategy. made, a `manifest`, says
+    beside them how they were made; it is written last, so a folder without one isn't complete."""
     for name, rows in tables.items():
         writer = rows.write.mode("overwrite")
         (writer.partitionBy("strategy") if name == "chunk" else writer).parquet(f"{folder}/{name}")
+    if made is not None:
+        made.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def append_cache(rows: DataFrame, folder: str) -> None:
@@ -66,7 +72,7 @@ def read_structural(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     for c in (CURRENT, LEGACY, "_corrupt_record"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string" if c == "_corrupt_record" else "double"))
-    rows = rows.cache().where("_corrupt_record is null").drop("_corrupt_record")
+    rows = held(rows).where("_corrupt_record is null").drop("_corrupt_record")
     return rows.where(F.col(CURRENT).isNotNull()).drop(LEGACY), rows.where(F.col(LEGACY).isNotNull() & F.col(CURRENT).isNull()).drop(CURRENT)
 
 
@@ -115,7 +121,24 @@ def tree_sha256(folder: str) -> str:
     return digest.hexdigest()
 
 
+def commit(folder: str) -> str | None:
+    """The commit that a repository's folder stands at, as its files tell it."""
+    git = Path(folder) / ".git"
+    if not (git / "HEAD").is_file():
+        return None
+    head = (git / "HEAD").read_text().strip()
+    if not head.startswith("ref: "):
+        return head
+    name = head.removeprefix("ref: ")
+    if (git / name).is_file():
+        return (git / name).read_text().strip()
+    packed = (git / "packed-refs").read_text().splitlines() if (git / "packed-refs").is_file() else []
+    return next((line.split()[0] for line in packed if line.endswith(f" {name}")), None)
+
+
 def manifest(spark: SparkSession, config: dict, seed: int, corpus: dict | None = None) -> DataFrame:
     """One row that says how a run was made."""
-    row = [(canonical(config), int(seed), canonical(corpus or {}), tree_sha256(str(Path(__file__).resolve().parents[1])), spark.version)]
-    return spark.createDataFrame(row, "config string, seed long, corpus string, package_sha256 string, spark_version string").withColumn("created", F.current_timestamp())
+    package = Path(__file__).resolve().parents[1]
+    row = [(canonical(config), int(seed), canonical(corpus or {}), __version__, commit(str(package.parent)), tree_sha256(str(package)), spark.version)]
+    kinds = "config string, seed long, corpus string, version string, commit string, package_sha256 string, spark_version string"
+    return spark.createDataFrame(row, kinds).withColumn("created", F.current_timestamp())
