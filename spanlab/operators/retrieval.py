@@ -7,10 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlab.functions.numbers import overlap, safe_ratio
+from spanlab.functions.text import WORD, let
 from spanlab.operators import sweep
 from spanlab.operators.spans import section_match
 from spanlab.session import held
@@ -165,3 +166,26 @@ def metrics(queries: DataFrame, hits: DataFrame, sections: DataFrame) -> DataFra
     out = out.select("query_id", *columns, "mrr", drm.alias("drm"), (drm > 0).alias("drm_hit"), "relevant_retrieved", "total_relevant")
     out = out.join(ndcg(hits, sections), "query_id", "left")
     return out.fillna(0.0, [f"ndcg_at_{k}" for k in KS])
+
+
+def describes(text: Column, description: Column, longer_than: int = 4, share: float = 0.5) -> Column:
+    """Does a text hold, as substrings and in any case, that share of a description's different words of more than so many
+    characters? A description without such words describes nothing."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(description), F.lit(WORD), F.lit(0))), lambda w: F.length(w) > longer_than)
+    low = F.lower(text)
+    return let(words, lambda w: (F.size(w) > 0) & (F.size(F.filter(w, lambda x: F.contains(low, x))) >= share * F.size(w)))
+
+
+def relevance_metrics(hits: DataFrame, by: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
+    """hits: by, rank, relevant. Of hits that are relevant or not: precision at each k (of k, not of what there is), the
+    reciprocal rank of the first relevant one, and NDCG at each k, whose ideal has all relevant hits first."""
+    gained = F.col("relevant").cast("int")
+    totals = hits.groupBy(*by).agg(
+        *[F.sum(F.when(F.col("rank") <= k, gained).otherwise(0)).alias(f"_hits_{k}") for k in ks],
+        *[F.sum(F.when(F.col("rank") <= k, gained / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"_gain_{k}") for k in ks],
+        F.min(F.when(F.col("relevant"), F.col("rank"))).alias("_first"), F.sum(gained).alias("_all"),
+    )
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("_all", F.lit(k)), F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    out = [(F.col(f"_hits_{k}") / k).alias(f"precision_at_{k}") for k in ks]
+    out += [F.when(F.col("_all") > 0, F.col(f"_gain_{k}") / ideal(k)).otherwise(0.0).alias(f"ndcg_at_{k}") for k in ks]
+    return totals.select(*by, *out, F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias("mrr"))

@@ -119,6 +119,23 @@ def rm9(spark, sf):
     return held.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
 
 
+TEXT_SQL = HITS_SQL + r""",
+ words AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: length(x) > 4) AS l FROM benchmark),
+ told AS (SELECT h.query_id, h.rank, len(l) > 0 AND 2 * len(list_filter(l, lambda x: contains(lower(w.text), x))) >= len(l) AS relevant
+          FROM hits h JOIN window_texts w USING (document_id, char_start, char_end) JOIN words USING (query_id)),
+ of_all AS (SELECT query_id, count(*) FILTER (WHERE relevant) AS n, min(rank) FILTER (WHERE relevant) AS first FROM told GROUP BY 1)"""
+GAIN_SQL = "coalesce((SELECT sum(1 / log2(rank + 1)) FROM told t WHERE t.query_id = o.query_id AND relevant AND rank <= {k}), 0)"
+
+
+@query("rm9_text_metrics", f"WITH {TEXT_SQL} SELECT query_id, " + ", ".join(f"round((SELECT count(*) FROM told t WHERE t.query_id = o.query_id AND relevant AND rank <= {k}) / {k}, 6) AS precision_at_{k}, round(CASE WHEN n > 0 THEN {GAIN_SQL.format(k=k)} / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, {k}) + 1) x(i)) ELSE 0 END, 6) AS ndcg_at_{k}" for k in R.KS) + ", round(coalesce(1 / first, 0), 6) AS mrr FROM of_all o")
+def rm9_metrics(spark, sf):
+    """Of the best windows for each query those are relevant that hold half of its long words."""
+    best = ranking(spark, sf, DEPTH).select("query_id", "rank", "text")
+    told = best.join(benchmark_queries(spark, sf).withColumnRenamed("text", "asked"), "query_id")
+    rows = R.relevance_metrics(told.select("query_id", "rank", R.describes(F.col("text"), F.col("asked")).alias("relevant")), ["query_id"])
+    return rows.select("query_id", *[number(c).alias(c) for c in rows.columns[1:]])
+
+
 DOTS_SQL = """
  q AS (SELECT vec_id AS query_id, label AS q_label, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
  pairs AS (SELECT query_id, q_label, vec_id, label, list_sum(list_transform(list_zip(q, embedding::DOUBLE[]), lambda z: z[1] * z[2])) AS score FROM q, embeddings WHERE vec_id <> query_id),
