@@ -3,14 +3,17 @@
 A store is a folder: immutable Parquet shards, manifests (tables with a row for each shard) and versions. `append` writes
 arrivals as small shards, one task writing a few of them without any shuffle. `compact` puts the shards below half the
 target size into tiers by the logarithm of their size, cuts each tier's shards in size order into groups of like size,
-about the target, and merges each group into one file. A version is a small file that names its manifest and schema; it is
-created without overwriting, after the manifest and all shards are written, which one writer alone can do for a version.
-So readers see a whole version or the one before, and a failed job leaves only files that no version names. Older versions
-stay readable until `vacuum` deletes them and the shards that only they name.
+about the target, and merges each group into one file. A version is a small file that names its manifest and schema. After
+the manifest and all shards it is written under a name of its own, closed, and then renamed to the version's without
+overwriting, which one writer alone can do for a version and which is atomic on HDFS (a local disk checks first). So readers
+see a whole version or the one before, and a writer that dies leaves only files that no version names; a version's file that
+can't be read, as from a disk that lost it, is passed over by readers and deleted by `recover`. Older versions stay readable
+until `vacuum` deletes them and the shards that only they name.
 
 Plan at scale: a round of `compact` takes `round_files` shards at most, so the file names that come to the driver (Spark
 wants them there to read) are bounded, and rounds repeat until no tier is due. Each group goes to a task of its own.
-Readers name folders, not files, where all shards of a folder are live.
+Readers name folders; only where some of a folder's shards are dead are the live ones named, up to `round_files`. Beyond,
+the folder is read whole and its dead shards' rows are dropped by the join with the manifest.
 
 Defined cases: rows are kept as they are, nulls, repeated rows and all columns included, whatever their names; where a
 column has the name of one that `read` adds, the added one gets underscores in front. An empty table appends no shard, and
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from functools import reduce
 
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spanlab.llm._common import fresh_name, fresh_path
+from spanlab.operators import ranges
 
 MANIFEST = "shard string, path string, folder string, siblings bigint, bytes bigint, rows bigint, tier int, born int"
 #: A broadcast of the file-to-group map is used below this many files, a shuffled join beyond.
@@ -58,22 +63,27 @@ class ShardStore:
     def _version_file(self, version: int):
         return self._path("versions", f"v{version:08d}")
 
-    def _listed_versions(self) -> list[tuple[int, int]]:
-        """Version numbers and the sizes of their files."""
+    def _listed_versions(self) -> list[int]:
+        """Numbers of all versions' files, the newest first."""
         if not self.fs.exists(self._path("versions")):
             return []
-        return [(int(x.getPath().getName()[1:]), x.getLen()) for x in self.fs.listStatus(self._path("versions"))]
+        names = [x.getPath().getName() for x in self.fs.listStatus(self._path("versions"))]
+        return sorted((int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)), reverse=True)
 
     def version(self) -> int:
         """The newest committed version; 0 where there is none."""
-        return max((v for v, size in self._listed_versions() if size), default=0)
+        return next((v for v in self._listed_versions() if self._told(v)), 0)
 
-    def _told(self, version: int) -> dict:
+    def _told(self, version: int) -> dict | None:
+        """What a version's file says; null if that isn't all of a version."""
         stream = self.fs.open(self._version_file(version))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            return None
         finally:
             stream.close()
+        return told if isinstance(told, dict) and {"manifest", "schema"} <= set(told) else None
 
     def schema(self, version: int | None = None) -> StructType | None:
         """Of the rows; None before the first version."""
@@ -92,23 +102,34 @@ class ShardStore:
         name = uuid.uuid4().hex
         shards.select(*[f.name for f in self.manifest(0).schema]).write.parquet(f"{self.root}/manifests/{name}")
         self.fs.mkdirs(self._path("versions"))
-        try:
-            out = self.fs.create(self._version_file(after + 1), False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self.fs.exists(self._version_file(after + 1)):
-                raise ConflictError(f"version {after + 1} exists") from e
-            raise
+        draft = self._path("versions", f"draft-{name}")
+        out = self.fs.create(draft, False)
         try:
             out.write(bytearray(json.dumps({"manifest": name, "schema": schema.jsonValue()}).encode()))
         finally:
             out.close()
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # no overwriting
+        target = self._version_file(after + 1)
+        try:
+            files.rename(self.fs.makeQualified(draft), self.fs.makeQualified(target), plain)
+        except Py4JJavaError as e:
+            self.fs.delete(draft, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self.fs.exists(target):
+                raise ConflictError(f"version {after + 1} exists") from e
+            raise
         return after + 1
 
     def recover(self) -> None:
-        """Deletes version files that a writer created and died before it wrote them. For when no writer is at work."""
-        for v, size in self._listed_versions():
-            if not size:
+        """Deletes what writers that died left among the versions: drafts, and files that don't hold a version. For when no
+        writer is at work."""
+        for v in self._listed_versions():
+            if not self._told(v):
                 self.fs.delete(self._version_file(v), False)
+        for x in self.fs.listStatus(self._path("versions")) if self.fs.exists(self._path("versions")) else []:
+            if x.getPath().getName().startswith("draft-"):
+                self.fs.delete(x.getPath(), False)
 
     def _rows(self, paths: list[str], schema: StructType) -> tuple[DataFrame, Column, Column]:
         """The rows of files or folders, and the path and size of the file that each is in."""
@@ -122,7 +143,8 @@ class ShardStore:
         rows, path, size = self._rows([folder], schema)
         files = rows.select(path.alias("path"), size.cast("long").alias("bytes")).groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("rows"))
         steps = F.floor(F.log(F.col("bytes") / F.lit(self.target_bytes / self.fanout**8)) / F.lit(math.log(self.fanout)))
-        files = files.withColumn("folder", F.lit(folder)).withColumn("siblings", F.count(F.lit(1)).over(Window.partitionBy("folder")))
+        siblings = files.agg(F.count(F.lit(1)).alias("siblings"))  # one row
+        files = files.withColumn("folder", F.lit(folder)).crossJoin(F.broadcast(siblings))
         shard = F.substring(F.sha2("path", 256), 1, 16)
         return files.select(shard.alias("shard"), "path", "folder", "siblings", "bytes", "rows", F.greatest(F.lit(0), steps).cast("int").alias("tier"), F.lit(version).alias("born"))
 
@@ -176,8 +198,10 @@ class ShardStore:
         names = small.select("tier", "lane", "group").distinct()
         # Whole groups, as many as a round may take files.
         sizes = small.groupBy("tier", "lane", "group").agg(F.count(F.lit(1)).alias("n"))
-        first = Window.orderBy("tier", "lane", "group")
-        taken = sizes.withColumns({"files": F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0)), "merge_group": F.row_number().over(first) - 1})
+        # Groups in the order of tier, lane and group as one number, summed by ranges.
+        place = F.col("tier") * F.lit(float(1 << 44)) + F.col("lane") * F.lit(float(1 << 24)) + F.col("group")
+        placed = ranges.before(ranges.dealt(sizes.withColumn("place", place), [], "place"), [], "place", before=("sum", "n"), merge_group=("sum", F.lit(1)))
+        taken = placed.withColumns({"files": F.col("before") + F.col("n"), "merge_group": F.col("merge_group").cast("int")})
         taken = taken.where((F.col("files") <= self.round_files) | (F.col("merge_group") == 0))
         return small.join(taken.select(*names.columns, "merge_group"), names.columns).select("path", "merge_group")
 
@@ -209,7 +233,7 @@ class ShardStore:
 
     def vacuum(self, keep: int = 1) -> None:
         """Deletes all versions but the newest `keep`, and the files that only those name."""
-        versions = sorted(v for v, size in self._listed_versions() if size)
+        versions = sorted(v for v in self._listed_versions() if self._told(v))
         old, kept = versions[:-keep], versions[-keep:]
         if not old:
             return
@@ -230,8 +254,12 @@ class ShardStore:
         manifest = self.manifest(now)
         added = {n: fresh_name(n, columns) for n in ("shard", "shard_bytes", "shard_rows", "tier", "version")}
         folders = manifest.groupBy("folder").agg(F.count(F.lit(1)).alias("live"), F.max("siblings").alias("all")).collect()  # a row for each commit
-        whole = [r.folder for r in folders if r.live == r.all]
-        partly = [r.folder for r in folders if r.live < r.all]
+        partly, named = [], 0
+        for r in sorted((r for r in folders if r.live < r.all), key=lambda r: r.live):
+            if named + r.live <= self.round_files:
+                partly.append(r.folder)
+                named += r.live
+        whole = [r.folder for r in folders if r.folder not in partly]
         files = [r.path for r in manifest.where(F.col("folder").isin(partly)).select("path").toLocalIterator()] if partly else []
         side = manifest.select("path", "shard", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "tier", F.lit(now).alias("version"))
         if not folders:
@@ -239,7 +267,7 @@ class ShardStore:
             return empty.select(*columns, *[F.lit(None).cast(side.schema[n].dataType).alias(a) for n, a in added.items()])
         file = fresh_name("file", [*columns, *added.values()])
         side = side.select(F.col("path").alias(file), *[F.col(n).alias(a) for n, a in added.items()])
-        # Files are read where a folder holds dead ones too.
+        # The join drops the rows of dead files in folders that are read whole.
         out = None
         for paths in [x for x in (whole, files) if x]:
             rows, path, _ = self._rows(paths, schema)
