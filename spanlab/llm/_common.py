@@ -57,6 +57,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+#: Of a table's partitions; a key with more than so small a part of one is frequent.
+FREQUENT = 8
+
+
+def joined_by_frequency(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with side, which has each value of keys once and tells in count how often it stands among all `total` rows.
+
+    Frequent values of side are broadcast, fewer than FREQUENT for each shuffle partition whatever the table, so their rows stay
+    where they are; only the others are shuffled, and none of those is a large part of a task. rows is read twice.
+    """
+    limit = total // (FREQUENT * shuffle_partitions(rows.sparkSession))
+    frequent, others = side.where(F.col(count) > limit), side.where(F.col(count) <= limit)
+    here = rows.join(F.broadcast(frequent), keys)
+    return here.unionByName(rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(others, keys))
+
+
 def splitters(keys: DataFrame, key: str, rows: int, buckets: int, per_bucket: int = 20) -> list[str]:
     """At most buckets - 1 ascending splitters of a string key of bounded width, from a sample of about per_bucket keys a bucket.
 

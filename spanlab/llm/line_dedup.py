@@ -4,7 +4,8 @@ A document is the sequence of its lines that hold more than white space; a line'
 suffixes of all sequences are sorted by prefix doubling: ranks by the first line, then by the first two, four and so on
 lines, each round ranking pairs of the last round's ranks, until every suffix is settled: one whose prefix is unique, or
 that has fewer lines than the prefix, leaves. Ranks are sums over distinct pairs, taken in range buckets that follow from
-the last ranks, so a line that is a third of all rows is one row of that sum.
+the last ranks, so a line that is a third of all rows is one row of that sum; its rank comes to its rows by a broadcast of
+the frequent ones (`joined_by_frequency`).
 
 Suffixes of equal rank at a depth are an interval of the suffix array whose common prefix is that deep or deeper. The first
 of an interval in document order is its original, the others are copies; a window that overlaps its original isn't one. A
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm._common import shuffle_partitions, word_count, written
+from spanlab.llm._common import joined_by_frequency, shuffle_partitions, word_count, written
 
 #: Documents that differ in identifier or text.
 DOC = ["doc", "text_key"]
@@ -70,8 +71,9 @@ def suffix_levels(lines: DataFrame, min_lines: int, doubled: bool = True) -> lis
     # Digests are spread evenly, so their leading bits are range buckets.
     leading = F.conv(F.substring(F.hex("line"), 1, 8), 16, 10).cast("double") / (1 << 32) * buckets
     ranks = _ranked(first, ["line"], F.floor(leading), buckets)
-    state = written(lines.join(ranks, "line").select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
     total, depth, out = max(1, lines.count()), 1, []
+    ranks = written(ranks, "line-ranks")
+    state = written(joined_by_frequency(lines, ranks, ["line"], "n", total).select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
     while not state.isEmpty():
         out.append((depth, state))
         if depth >= min_lines and not doubled:
@@ -85,7 +87,8 @@ def suffix_levels(lines: DataFrame, min_lines: int, doubled: bool = True) -> lis
         # A rank's rows fill the next `span` ranks; the second rank tells where among them a pair stands.
         at = (F.col("rank") + F.col("span") * F.col("next") / F.lit(float(total))) / F.lit(float(total)) * buckets
         found = _ranked(keys, ["rank", "next"], F.least(F.floor(at), F.lit(buckets - 1)), buckets)
-        state = written(pairs.drop("n").join(found, ["rank", "next"]).select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
+        found = written(found.drop("span"), "pair-ranks")
+        state = written(joined_by_frequency(pairs.drop("n"), found, ["rank", "next"], "n", total).select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
         depth += step
     return out
 
@@ -94,8 +97,8 @@ def copies(suffixes: DataFrame, depth: int) -> DataFrame:
     """Windows of `depth` lines that copy an earlier one: doc, text_key, pos, original (doc, text_key, pos)."""
     place = F.struct(*DOC, "pos")
     # Written first: else the join would stand on the sum's own partitions, and a frequent rank couldn't be split.
-    least = written(suffixes.groupBy("rank").agg(F.min(place).alias("original")), "originals")
-    joined = suffixes.join(least, "rank")
+    least = written(suffixes.groupBy("rank").agg(F.min(place).alias("original"), F.count(F.lit(1)).alias("members")), "originals")
+    joined = joined_by_frequency(suffixes, least, ["rank"], "members", suffixes.count())
     own = F.col("original.doc").eqNullSafe(F.col("doc")) & (F.col("original.text_key") == F.col("text_key"))
     return joined.where(~(own & (F.col("pos") < F.col("original.pos") + depth))).select(*DOC, "pos", "original")
 
