@@ -12,8 +12,15 @@ OUT_OF_SCOPE = "__out_of_scope__"
 
 
 def mapped(items: DataFrame, label_map: DataFrame, label: str = "source_label") -> DataFrame:
-    """Source labels to targets by a small dimension; the out-of-scope ones stay marked."""
-    return items.join(F.broadcast(label_map), label)
+    """Source labels to targets by a small dimension; the out-of-scope ones stay marked. Labels that it lacks have no row:
+    `unmapped` counts those."""
+    return items.join(label_map, label)  # as small as it is it is broadcast by its size
+
+
+def unmapped(items: DataFrame, label_map: DataFrame, label: str = "source_label") -> DataFrame:
+    """Labels, null included, that the dimension lacks, with the number of their items (n)."""
+    lost = items.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return lost.join(label_map.select(label), label, "left_anti")
 
 
 def in_scope(rows: DataFrame) -> DataFrame:

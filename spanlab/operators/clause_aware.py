@@ -41,6 +41,8 @@ _CUES = Phrases([cue for own in CUES.values() for cue in own])
 _KIND_OF = [next(kind for kind, own in CUES.items() if cue in own) for cue in _CUES.phrases]
 _DEFINITION = re.compile(extract.DEFINITION)
 STYLES = {"uk": "uk_decimal", "eu": "eu_regulation"}
+#: A line that names an article, in a US text.
+US_ARTICLE = r"(?m)^ARTICLE[ \t]+[IVXLCDM]+[ \t]*$"
 COLUMNS = {
     "section_hierarchy": "string", "clause_type": "string", "confidence": "double", "defined_terms": "array<string>",
     "cross_references": "array<struct<raw_text:string,target:string>>",
@@ -52,7 +54,7 @@ _PASSED = 8 << 20
 def style_of(text: str, jurisdiction: str) -> str:
     """US texts number by articles and sections where a line names an article, else by decimal sections."""
     if jurisdiction == "us":
-        return "us_article_section" if re.search(r"(?m)^ARTICLE[ \t]+[IVXLCDM]+[ \t]*$", text) else "us_section_decimal"
+        return "us_article_section" if re.search(US_ARTICLE, text) else "us_section_decimal"
     return STYLES[jurisdiction]
 
 

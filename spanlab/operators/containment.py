@@ -21,10 +21,30 @@ def lift(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def structure_recall(clauses: DataFrame, least: int) -> DataFrame:
     """How many documents show `least` top-level nodes, or nodes of any level; with single-node ones, mean and median."""
-    counts = clauses.groupBy("document_id").agg(F.count_if("is_top_level").alias("tops"), F.count(F.lit(1)).alias("nodes"))
+    return _recall(clauses.groupBy("document_id").agg(F.count_if("is_top_level").alias("tops"), F.count(F.lit(1)).alias("nodes")), least)
+
+
+def _recall(counts: DataFrame, least: int) -> DataFrame:
     return counts.agg(F.count_if(F.col("tops") >= least).alias("enough_top"), F.count_if(F.col("nodes") >= least).alias("enough_any"), F.count_if(F.col("nodes") == 1).alias("single"), F.avg("nodes").alias("mean_nodes"), F.median("nodes").alias("median_nodes"))
 
 
+def compare_profiles(docs: DataFrame, least: int, profiles: tuple[str, ...] = ("uk", "us", "eu")) -> DataFrame:
+    """Structure recall of the same documents under the numbering of each jurisdiction: a large gap tells of numbering that one
+    profile knows and another doesn't, none of texts without structure. Documents without a clause count with 0 nodes."""
+    from spanlab.operators.clause_aware import STYLES, US_ARTICLE
+    from spanlab.operators.extract import clause_table, extracted
+
+    us = F.when(F.col("text").rlike(US_ARTICLE), "us_article_section").otherwise("us_section_decimal")
+    out = None
+    for profile in profiles:
+        found = extracted(docs.withColumn("numbering_style", us if profile == "us" else F.lit(STYLES[profile])))
+        nodes = clause_table(found).groupBy("document_id").agg(F.count_if("is_top_level").alias("tops"), F.count(F.lit(1)).alias("nodes"))
+        counts = docs.select("document_id").join(nodes, "document_id", "left").fillna(0, ["tops", "nodes"])
+        row = _recall(counts, least).withColumn("profile", F.lit(profile))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def failures(rows: DataFrame) -> DataFrame:
     """Rows whose chunker reported an error instead of raising, by strategy and kind."""
     return rows.where("error is not null").groupBy("strategy", F.col("error").alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlab.functions.numbers import safe_ratio, size_variation
+from spanlab.operators.terms import Phrases
 
 KEYS = ["strategy", "document_id"]
 # Words that define, and phrases that lead to a reference.
@@ -40,12 +46,46 @@ def fragmentation(chunks: DataFrame, clause_texts: DataFrame) -> DataFrame:
     return chunks.select(*KEYS).distinct().join(out, KEYS, "left").fillna(0.0, ["legacy_fragmentation"])
 
 
+_DEFINING = re.compile(f"(?={DEFINING})")
+_AFTER_TERM = re.compile(r"[\"']?[ \t\n\x0b\f\r]*")
+
+
+def defined_in(text: str, terms: Phrases) -> set[str]:
+    """The terms that a defining word follows in a text: after a quote, white space and 80 characters at most."""
+    low = text.lower()
+    defining = [m.start() for m in _DEFINING.finditer(low)]
+    out = set()
+    for at, n in terms.finds(low) if defining else ():
+        end = at + len(terms.phrases[n])
+        k = bisect_left(defining, end)
+        if k < len(defining) and defining[k] <= _AFTER_TERM.match(low, end).end() + 80:
+            out.add(terms.phrases[n])
+    return out
+
+
 def definition_preservation(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms with a chunk in which a defining word follows within 80 characters."""
-    low = F.lower(F.trim("term"))
-    rule = F.concat(F.lit(r"(?s)\Q"), low, F.lit(r"\E[\"']?\s*.{0,80}?" + DEFINING))
-    held = chunks.join(terms, "document_id").withColumn("_rule", rule).withColumn("_has", F.expr("lower(text) rlike _rule"))
-    out = held.groupBy(*KEYS, "term").agg(F.bool_or("_has").alias("kept")).groupBy(*KEYS).agg(F.avg(F.col("kept").cast("double")).alias("legacy_definition_preservation"))
+    """Terms with a chunk in which a defining word follows within 80 characters. A document's terms are sought together, once in
+    each chunk."""
+    known = terms.groupBy("document_id").agg(F.collect_set(F.lower(F.trim("term"))).alias("low"))
+    rows = chunks.select(*KEYS, "text").join(known, "document_id").select("strategy", "document_id", "text", "low")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in KEYS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines: dict[object, Phrases] = {}
+        for batch in batches:
+            found = []
+            for document, text, low in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if document not in machines:
+                    if len(machines) >= 256:
+                        machines.clear()
+                    machines[document] = Phrases(low.as_py())
+                found.append(sorted(defined_in(text.as_py() or "", machines[document])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], [*KEYS, "kept"])
+
+    kept = rows.mapInArrow(run, f"{kinds}, kept array<string>").select(*KEYS, F.explode("kept").alias("low")).distinct()
+    asked = chunks.select(*KEYS).distinct().join(terms.withColumn("low", F.lower(F.trim("term"))), "document_id")
+    told = asked.join(kept.withColumn("has", F.lit(1.0)), [*KEYS, "low"], "left").fillna(0.0, ["has"])
+    out = told.groupBy(*KEYS).agg(F.avg("has").alias("legacy_definition_preservation"))
     return chunks.select(*KEYS).distinct().join(out, KEYS, "left").fillna(1.0, ["legacy_definition_preservation"])
 
 

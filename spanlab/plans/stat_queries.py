@@ -193,6 +193,14 @@ def flt7(spark, sf):
     return rows.groupBy((F.col("target") != C.OUT_OF_SCOPE).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("flt7_unmapped", "SELECT source AS source_label, count(*) AS n FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' GROUP BY 1 HAVING count(*) > 5) GROUP BY 1")
+def flt7_unmapped(spark, sf):
+    """Sources without a target, where those with more than five Spanish documents have one."""
+    docs = documents(spark, sf)
+    known = docs.where("lang = 'es'").groupBy("source").agg(F.count(F.lit(1)).alias("k")).where("k > 5").select(F.col("source").alias("source_label"), F.lit("a").alias("target"))
+    return C.unmapped(docs.withColumnRenamed("source", "source_label"), known)
+
+
 KEYWORDS = [("the", "en", 1.0), ("and", "en", 1.0), ("der", "de", 1.0), ("und", "de", 1.5), ("les", "fr", 1.25), ("dans", "fr", 1.0), ("los", "es", 1.0), ("por", "es", 1.0)]
 
 

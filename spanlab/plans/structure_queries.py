@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlab.functions import identifiers as I, text as T
 from spanlab.operators import chunkers, clause_aware, extract, legacy, structural as S
+from spanlab.operators.containment import compare_profiles
 from spanlab.plans.tables import documents, number, query
 
 
@@ -296,6 +297,15 @@ def gld12(spark, sf):
     return extract.drift(fresh, committed).select("document_id", "identifier", "side")
 
 
+@query("agg21_profile_comparison", f"""WITH {LINES_SQL}, n AS (SELECT doc_id, (SELECT count(*) FROM gold g WHERE g.document_id = doc_id AND i % 3 = 0) AS tops, (SELECT count(*) FROM gold g WHERE g.document_id = doc_id) AS nodes FROM documents),
+ each AS (SELECT 'uk' AS profile, * FROM n UNION ALL SELECT 'us', doc_id, 0, 0 FROM n)
+SELECT profile, count(*) FILTER (WHERE tops >= 3) AS enough_top, count(*) FILTER (WHERE nodes >= 3) AS enough_any, count(*) FILTER (WHERE nodes = 1) AS single, round(avg(nodes), 6) AS mean_nodes, median(nodes)::DOUBLE AS median_nodes FROM each GROUP BY 1""")
+def agg21_profiles(spark, sf):
+    """Documents numbered in one style, read in two."""
+    rows = compare_profiles(numbered(spark, sf), 3, ("uk", "us"))
+    return rows.withColumn("mean_nodes", number("mean_nodes"))
+
+
 @query("lg_legacy_row")
 def lg(spark, sf):
     docs = numbered(spark, sf)
