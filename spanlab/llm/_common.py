@@ -68,9 +68,12 @@ def joined_by_frequency(rows: DataFrame, side: DataFrame, keys: list[str], count
     where they are; only the others are shuffled, and none of those is a large part of a task. rows is read twice.
     """
     limit = total // (FREQUENT * shuffle_partitions(rows.sparkSession))
-    frequent, others = side.where(F.col(count) > limit), side.where(F.col(count) <= limit)
-    here = rows.join(F.broadcast(frequent), keys)
-    return here.unionByName(rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(others, keys))
+    own, told = [c for c in rows.columns if c not in keys], [c for c in side.columns if c not in keys]
+    mark = fresh_name("frequent", rows.columns)
+    frequent = side.where(F.col(count) > limit).select(*keys, F.struct(*told).alias(mark))
+    marked = rows.join(F.broadcast(frequent), keys, "left")
+    here = marked.where(F.col(mark).isNotNull()).select(*keys, *own, f"{mark}.*")
+    return here.unionByName(marked.where(F.col(mark).isNull()).drop(mark).join(side.where(F.col(count) <= limit), keys))
 
 
 def splitters(keys: DataFrame, key: str, rows: int, buckets: int, per_bucket: int = 20) -> list[str]:

@@ -72,7 +72,6 @@ def suffix_levels(lines: DataFrame, min_lines: int, doubled: bool = True) -> lis
     leading = F.conv(F.substring(F.hex("line"), 1, 8), 16, 10).cast("double") / (1 << 32) * buckets
     ranks = _ranked(first, ["line"], F.floor(leading), buckets)
     total, depth, out = max(1, lines.count()), 1, []
-    ranks = written(ranks, "line-ranks")
     state = written(joined_by_frequency(lines, ranks, ["line"], "n", total).select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
     while not state.isEmpty():
         out.append((depth, state))
@@ -87,8 +86,7 @@ def suffix_levels(lines: DataFrame, min_lines: int, doubled: bool = True) -> lis
         # A rank's rows fill the next `span` ranks; the second rank tells where among them a pair stands.
         at = (F.col("rank") + F.col("span") * F.col("next") / F.lit(float(total))) / F.lit(float(total)) * buckets
         found = _ranked(keys, ["rank", "next"], F.least(F.floor(at), F.lit(buckets - 1)), buckets)
-        found = written(found.drop("span"), "pair-ranks")
-        state = written(joined_by_frequency(pairs.drop("n"), found, ["rank", "next"], "n", total).select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
+        state = written(joined_by_frequency(pairs.drop("n"), found.drop("span"), ["rank", "next"], "n", total).select(*DOC, "pos", F.col("place").alias("rank"), "n"), "suffix-ranks")
         depth += step
     return out
 
@@ -97,8 +95,8 @@ def copies(suffixes: DataFrame, depth: int) -> DataFrame:
     """Windows of `depth` lines that copy an earlier one: doc, text_key, pos, original (doc, text_key, pos)."""
     place = F.struct(*DOC, "pos")
     # Written first: else the join would stand on the sum's own partitions, and a frequent rank couldn't be split.
-    least = written(suffixes.groupBy("rank").agg(F.min(place).alias("original"), F.count(F.lit(1)).alias("members")), "originals")
-    joined = joined_by_frequency(suffixes, least, ["rank"], "members", suffixes.count())
+    least = written(suffixes.groupBy("rank").agg(F.min(place).alias("original")), "originals")
+    joined = suffixes.join(least, "rank")
     own = F.col("original.doc").eqNullSafe(F.col("doc")) & (F.col("original.text_key") == F.col("text_key"))
     return joined.where(~(own & (F.col("pos") < F.col("original.pos") + depth))).select(*DOC, "pos", "original")
 
