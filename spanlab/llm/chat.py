@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,10 +181,10 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     owner, sums, digests = None, [0, 0, 0], []
     for batch in batches:
-        done = pa.compute.is_valid(batch.column("turns_sha256"))
-        if pa.compute.any(done).as_py():
+        done = pc.is_valid(batch.column("turns_sha256"))
+        if pc.any(done).as_py():
             yield batch.filter(done).select(names)
-        rest = batch.filter(pa.compute.invert(done))
+        rest = batch.filter(pc.invert(done))
         for k, key in enumerate(rest.column("id").to_pylist()):
             if owner is None or owner[0].as_py() != key:
                 if owner is not None:

@@ -406,3 +406,14 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
             docs = spark.createDataFrame(kept.collect(), docs.schema)
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
         assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_digests_need_no_other_modules_imports():
+    """A fresh worker has loaded only what the operator itself imports."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys, spanlab.llm.chat; assert 'pyarrow.compute' in sys.modules"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
