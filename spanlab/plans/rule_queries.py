@@ -32,7 +32,7 @@ def flt6(spark, sf):
 
 @query("flt9_positive_overlap", f"WITH {HITS_SQL} SELECT query_id, count(*) AS candidates FROM scored GROUP BY 1")
 def flt9(spark, sf):
-    return lexical.scored(benchmark_queries(spark, sf), windows(spark, sf), ["document_id", "char_start", "char_end"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return lexical.sharing(benchmark_queries(spark, sf), windows(spark, sf), ["document_id", "char_start", "char_end"])
 
 
 @query("flt11_documents_with_evidence", "SELECT doc_id AS document_id FROM documents d WHERE EXISTS (FROM benchmark b WHERE contains(d.text, b.text))")

@@ -55,8 +55,8 @@ def jn5(spark, sf):
 @query("jn6_token_dot", f"WITH {RANKING_SQL} SELECT query_id, document_id, char_start, round(score, 6) AS score FROM scored WHERE score > 0.35")
 def jn6(spark, sf):
     key = ["document_id", "char_start", "char_end"]
-    rows = lexical.scored(benchmark_queries(spark, sf), windows(spark, sf), key)
-    return rows.where("score > 0.35").select("query_id", "document_id", "char_start", number("score").alias("score"))
+    rows = lexical.scored(benchmark_queries(spark, sf), windows(spark, sf), key, 0.35)
+    return rows.select("query_id", "document_id", "char_start", number("score").alias("score"))
 
 
 @query("jn8_clause_lookup", f"WITH {CLAUSES_SQL} SELECT c.document_id, c.identifier, p.g_start, p.subtree_end FROM clauses c JOIN full_clauses p ON p.document_id = c.document_id AND p.identifier = c.parent")
