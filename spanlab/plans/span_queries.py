@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanlab.functions.numbers import poisoned_mean, safe_ratio
 from spanlab.operators import chunkers, evidence as E, lexical, spans, structural as S
 from spanlab.plans.tables import CLAUSES_SQL, CLIPPED_SQL, FIXED_SQL, RANKING_SQL, TOKENS_SQL, benchmark_queries, clauses, documents, evidence, fixed, full_clauses, number, query, ranking, table, windows
+from spanlab.session import held
 
 BOTH_SQL = f"{FIXED_SQL}, {TOKENS_SQL}, {CLAUSES_SQL}, chunks AS (SELECT 'fixed_size' AS strategy, document_id, chunk_index, char_start, char_end FROM fixed UNION ALL SELECT 'token_window', document_id, chunk_index, char_start, char_end FROM windows)"
 OVERLAP = "greatest(0, least(char_end, g_end) - greatest(char_start, g_start))"
@@ -106,10 +107,15 @@ EVIDENCE_SQL = CLIPPED_SQL + f""",
                    CASE WHEN gold_chars > 0 THEN CASE WHEN selected_chars > 0 THEN covered_chars / selected_chars ELSE 0 END END AS precision FROM per_query)"""
 
 
-def scored(spark, sf, budget=128, depth=5):
-    gold = evidence(spark, sf)
+def scored_by(spark, sf, budgets, depth=5):
+    """The scores under each budget, of one ranking and one search for evidence: both are a few rows for each query."""
+    gold, best = held(evidence(spark, sf)), held(ranking(spark, sf, depth))
     asked = benchmark_queries(spark, sf).select("query_id").join(gold.select("query_id", F.lit(True).alias("answerable")).distinct(), "query_id", "left").fillna(False, ["answerable"])
-    return E.scores(asked, lexical.clipped(ranking(spark, sf, depth), budget), gold)
+    return {budget: E.scores(asked, lexical.clipped(best, budget), gold) for budget in budgets}
+
+
+def scored(spark, sf, budget=128, depth=5):
+    return scored_by(spark, sf, [budget], depth)[budget]
 
 
 @query("agg3_evidence_score", f"WITH {EVIDENCE_SQL} SELECT query_id, answerable, gold_chars::BIGINT AS gold_chars, selected_chars::BIGINT AS selected_chars, covered_chars, round(recall, 6) AS recall, round(precision, 6) AS precision FROM scores")
@@ -134,7 +140,7 @@ MEANS_SQL = f"WITH {EVIDENCE_SQL} SELECT avg(recall) AS r, avg(precision) AS p F
  SELECT strategy, round(dr, 6) AS recall_delta, round(dp, 6) AS precision_delta, CASE WHEN dr = 0 AND dp = 0 THEN 'tie' WHEN dr >= 0 AND dp >= 0 THEN 'win' WHEN dr <= 0 AND dp <= 0 THEN 'loss' ELSE 'mixed' END AS outcome FROM d""")
 def agg5(spark, sf):
     """Smaller and larger token budgets against the usual one."""
-    rows = [E.summary(scored(spark, sf, budget).withColumn("strategy", F.lit(f"budget_{budget}")), ["strategy"]) for budget in (128, 24, 400)]
+    rows = [E.summary(rows.withColumn("strategy", F.lit(f"budget_{budget}")), ["strategy"]) for budget, rows in scored_by(spark, sf, (128, 24, 400)).items()]
     out = E.deltas(rows[0].unionByName(rows[1]).unionByName(rows[2]), "budget_128")
     return out.withColumn("recall_delta", number("recall_delta")).withColumn("precision_delta", number("precision_delta"))
 

@@ -67,3 +67,14 @@ def test_pairs_stay_in_their_tasks(spark, sides):
     q, c = frames(spark, sides)
     plan = lexical.ranked(q, c, 3, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_budgets_share_one_ranking(spark, monkeypatch):
+    from spanlab.plans import span_queries as P
+
+    calls = []
+    for name in ("ranking", "evidence"):
+        plain = getattr(P, name)
+        monkeypatch.setattr(P, name, lambda *a, _plain=plain, _name=name, **k: calls.append(_name) or _plain(*a, **k))
+    P.agg5(spark, "/root/testdata/sf0.001")
+    assert sorted(calls) == ["evidence", "ranking"]
