@@ -7,7 +7,8 @@ import pytest
 from spanlab.plans import catalog
 from tests.test_oracles import SF
 
-NAMES = """rm1_relevance rm2_rm8_metrics jn4_selected_evidence agg4_evidence_means agg3_evidence_score rm5_assignment_ndcg""".split()
+NAMES = """rm1_relevance rm2_rm8_metrics jn4_selected_evidence agg4_evidence_means agg3_evidence_score rm5_assignment_ndcg
+ val6_candidate_ids""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
