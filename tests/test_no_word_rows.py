@@ -9,7 +9,7 @@ from tests.test_oracles import SF
 
 NAMES = """rm1_relevance rm2_rm8_metrics jn4_selected_evidence agg4_evidence_means agg3_evidence_score rm5_assignment_ndcg
  val6_candidate_ids val7_selected_spans agg24_budget_totals win3_budget_clip flt6_valid_ranks win1_lexical_top_k
- win4_rank_normalisation flt9_positive_overlap jn6_token_dot""".split()
+ win4_rank_normalisation flt9_positive_overlap jn6_token_dot rm9_text_metrics""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
