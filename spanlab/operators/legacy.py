@@ -1,49 +1,117 @@
-"""The superseded text-overlap metrics, against the structure that the clause-aware chunker itself reports."""
+"""The superseded text-overlap metrics, against the structure that the clause-aware chunker itself reports.
+
+A document's metrics need its own clauses, terms, references and chunks and nothing of other documents, so they are one pass
+over each row, in Arrow batches. What a chunk holds is found in one pass over it, and clauses meet only chunks that may have
+enough of their words: pairs of chunks with clauses, terms or references are never rows.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.functions.numbers import safe_ratio, size_variation
-from spanlab.operators.terms import Phrases
+from spanlab.operators import extract
+from spanlab.operators.terms import Passages, Phrases
 
 KEYS = ["strategy", "document_id"]
+METRICS = ["legacy_size_cv", "legacy_fragmentation", "legacy_definition_preservation", "legacy_xref_resolution", "legacy_depth_retained"]
 # Words that define, and phrases that lead to a reference.
 DEFINING = r"(?:means|shall\s+mean|defined\s+as|refers\s+to)"
 LEADS = (r"as\s+(?:defined|set\s+(?:out|forth))\s+in\s+", r"subject\s+to\s+", r"pursuant\s+to\s+", r"in\s+accordance\s+with\s+", r"referred\s+to\s+in\s+", r"under\s+")
 TARGET = r"(?:Section|Clause|Article)\s+[\d.()]+"
-# Quoted terms, numbering at the start of a line, and a heading's target, from which (kind) and (number) are taken.
+# Quoted terms, numbering at the start of a line, and what is around the (kind and) number of a heading. Line
+# ends are those of Spark's patterns.
 QUOTED = (r'"([A-Z][A-Za-z\s]{2,30})"', r"'([A-Z][A-Za-z\s]{2,30})'")
 NUMBERING = r"(?m)^(\d+(?:\.\d+)*)\."
-HEADING_BEFORE, HEADING_AFTER = r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?(?:", r"\E(?=$|[ \t:—-]|\.(?!\d)|\)(?!\d))"
-
-
-def truth(docs: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Clause texts, quoted terms, references (ref_text, target) and numbering depth of each document."""
-    texts = clauses.join(docs.select("document_id", "text"), "document_id").select("document_id", "identifier", F.expr("substring(text, g_start + 1, g_end - g_start)").alias("clause"))
-    quoted = F.array_union(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in QUOTED])
-    terms = docs.select("document_id", F.explode(quoted).alias("term")).where("length(trim(term)) >= 2").distinct()
-    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?i){lead}{TARGET}"), F.lit(0)) for lead in LEADS]))
-    refs = docs.select("document_id", F.explode(found).alias("ref_text")).withColumn("target", F.lower(F.regexp_extract("ref_text", f"(?i){TARGET}$", 0)))
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(NUMBERING), F.lit(1)), lambda x: F.size(F.split(x, r"\.")))
-    return texts, terms, refs, docs.select("document_id", F.greatest(F.coalesce(F.array_max(numbers), F.lit(0)), F.lit(1)).alias("depth"))
-
-
-def fragmentation(chunks: DataFrame, clause_texts: DataFrame) -> DataFrame:
-    """Clauses of 20 characters or more of which no chunk has four fifths of the words."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    asked = clause_texts.where("length(trim(clause)) >= 20").withColumn("words", words(F.col("clause")))
-    held = chunks.select(*KEYS, "text", words(F.col("text")).alias("own")).join(asked, "document_id")
-    share = F.when(F.contains("text", F.col("clause")), 1.0).otherwise(safe_ratio(F.size(F.array_intersect("words", "own")), F.size("words")))
-    best = held.groupBy(*KEYS, "identifier").agg(F.max(share).alias("best"))
-    out = best.groupBy(*KEYS).agg(F.avg((F.col("best") < 0.8).cast("double")).alias("legacy_fragmentation"))
-    return chunks.select(*KEYS).distinct().join(out, KEYS, "left").fillna(0.0, ["legacy_fragmentation"])
+LINE_ENDS = "\n\r\x85\u2028\u2029"
+HEADING_BEFORE, HEADING_AFTER = rf"(?:\A|(?<=[{LINE_ENDS}]))[ \t]*(?:#{{1,6}}[ \t]*)?", rf"(?=\Z|[{LINE_ENDS} \t:—-]|\.(?!\d)|\)(?!\d))"
+# Clauses this short aren't asked for.
+LEAST = 20
+
+
+def told(text: str = "text") -> list[Column]:
+    """Quoted terms, references and numbering depth of a text."""
+    quoted = F.array_union(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in QUOTED])
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?i){lead}{TARGET}"), F.lit(0)) for lead in LEADS]))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(NUMBERING), F.lit(1)), lambda x: F.size(F.split(x, r"\.")))
+    depth = F.greatest(F.coalesce(F.array_max(numbers), F.lit(0)), F.lit(1))
+    return [F.filter(quoted, lambda t: F.length(F.trim(t)) >= 2).alias("terms"), found.alias("refs"), depth.alias("depth")]
+
+
+#: Up to so many chunks each clause that is left is compared with all of them.
+FEW = 64
+_NUMBER = re.compile(r"\d+(?:\.\d+)*\.?", re.ASCII)
+_TARGET = re.compile(r"(section|clause|article)\s+([\d.()]+)$", re.ASCII)
+
+
+def words(text: str) -> list[bytes]:
+    """In lower case, as UTF-8: only ASCII white space parts bytes, as in Spark's patterns."""
+    return text.lower().encode().split()
+
+
+class Truth:
+    """What a document's chunks are measured against. clauses: (identifier, text)."""
+
+    def __init__(self, clauses: list[tuple[str, str]], terms: list[str], refs: list[str], depth: int):
+        self.clauses = [(name, text) for name, text in clauses if len(text.strip(" ")) >= LEAST]
+        self.terms = [t.strip(" ").lower() for t in terms]
+        self.refs = [*Counter(r.lower() for r in refs).items()]
+        self.depth = depth
+
+    @cached_property
+    def words(self) -> list[set[bytes]]:
+        return [set(words(text)) for _, text in self.clauses]
+
+    @cached_property
+    def in_full(self) -> Passages:
+        return Passages([text for _, text in self.clauses])
+
+    @cached_property
+    def phrases(self) -> Phrases:
+        return Phrases(self.terms)
+
+    @cached_property
+    def written(self) -> Passages:
+        return Passages([text for text, _ in self.refs])
+
+
+def size_cv(chunks: list[str]) -> float:
+    sizes = [len(c) for c in chunks]
+    total = sum(sizes)
+    return math.sqrt(len(sizes) * sum(n * n for n in sizes) - total * total) / total if len(sizes) > 1 and total else 0.0
+
+
+def fragmentation(chunks: list[str], truth: Truth) -> float:
+    """Clauses of 20 characters or more of which no chunk has four fifths of the words. Those of one identifier are one."""
+    names = {name for name, _ in truth.clauses}
+    if not names:
+        return 0.0
+    whole = {truth.clauses[n][0] for c in chunks for n, _ in truth.in_full.first(c)}
+    if len(whole) < len(names):
+        rest = [(name, asked, (4 * len(asked) + 4) // 5) for (name, _), asked in zip(truth.clauses, truth.words) if name not in whole and asked]
+        owns = [set(words(c)) for c in chunks]
+        places: dict[bytes, list[int]] = {}
+        if len(chunks) > FEW:
+            places = {word: [] for _, asked, _ in rest for word in asked}
+            for i, own in enumerate(owns):
+                for word in own & places.keys():
+                    places[word].append(i)
+        for name, asked, least in rest:
+            near = range(len(owns))
+            if len(chunks) > FEW:  # a chunk without any of the rarest has too few of the others
+                rarest = sorted(asked, key=lambda w: len(places[w]))[: len(asked) - least + 1]
+                near = set().union(*(places[w] for w in rarest))
+            if name not in whole and any(len(owns[i]) >= least and len(asked & owns[i]) >= least for i in near):
+                whole.add(name)
+    return (len(names) - len(whole)) / len(names)
 
 
 _DEFINING = re.compile(f"(?={DEFINING})")
@@ -63,56 +131,88 @@ def defined_in(text: str, terms: Phrases) -> set[str]:
     return out
 
 
-def definition_preservation(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms with a chunk in which a defining word follows within 80 characters. A document's terms are sought together, once in
-    each chunk."""
-    known = terms.groupBy("document_id").agg(F.collect_set(F.lower(F.trim("term"))).alias("low"))
-    rows = chunks.select(*KEYS, "text").join(known, "document_id").select("strategy", "document_id", "text", "low")
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in KEYS)
+def definition_preservation(chunks: list[str], truth: Truth) -> float:
+    """Terms with a chunk in which a defining word follows within 80 characters. They are sought together, once in each chunk."""
+    if not truth.terms:
+        return 1.0
+    kept: set[str] = set()
+    for c in chunks:
+        kept |= defined_in(c, truth.phrases)
+        if len(kept) == len(truth.phrases.phrases):
+            break
+    return sum(t in kept for t in truth.terms) / len(truth.terms)
+
+
+@lru_cache(4096)
+def heading_rule(kind: str, number: str) -> re.Pattern:
+    return re.compile(rf"{HEADING_BEFORE}(?:{kind}[ \t]+)?{re.escape(number)}{HEADING_AFTER}", re.ASCII | re.IGNORECASE)
+
+
+def reference_resolution(chunks: list[str], truth: Truth) -> float:
+    """References whose chunk, or a chunk beside it, has the target as a heading."""
+    if not truth.refs:
+        return 1.0
+    kept: set[int] = set()
+    for i, c in enumerate(chunks):
+        for n, _ in truth.written.first(c.lower()):
+            if n not in kept and heading_rule(*_TARGET.search(truth.refs[n][0]).groups()).search("\n".join(chunks[max(i - 1, 0) : i + 2])):
+                kept.add(n)
+    return sum(truth.refs[n][1] for n in kept) / sum(many for _, many in truth.refs)
+
+
+def depth_retained(chunks: list[str], truth: Truth) -> float:
+    """Of the numbering's depth: a number with a stop after it is as deep as it has stops."""
+    if truth.depth <= 1:
+        return 1.0
+    return min(max((number.count(".") for c in chunks for number in _NUMBER.findall(c)), default=0) / truth.depth, 1.0)
+
+
+def measured(chunks: list[str], truth: Truth) -> tuple[float, ...]:
+    """The METRICS of a document's chunks, which are in order."""
+    return size_cv(chunks), fragmentation(chunks, truth), definition_preservation(chunks, truth), reference_resolution(chunks, truth), depth_retained(chunks, truth)
+
+
+def _rows(docs: DataFrame, cases: Callable[..., tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]]) -> DataFrame:
+    """docs: document_id, terms, refs, depth and more, of which `cases` makes the document's clauses and its chunks by strategy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines: dict[object, Phrases] = {}
         for batch in batches:
-            found = []
-            for document, text, low in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if document not in machines:
-                    if len(machines) >= 256:
-                        machines.clear()
-                    machines[document] = Phrases(low.as_py())
-                found.append(sorted(defined_in(text.as_py() or "", machines[document])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], [*KEYS, "kept"])
-
-    kept = rows.mapInArrow(run, f"{kinds}, kept array<string>").select(*KEYS, F.explode("kept").alias("low")).distinct()
-    asked = chunks.select(*KEYS).distinct().join(terms.withColumn("low", F.lower(F.trim("term"))), "document_id")
-    told = asked.join(kept.withColumn("has", F.lit(1.0)), [*KEYS, "low"], "left").fillna(0.0, ["has"])
-    out = told.groupBy(*KEYS).agg(F.avg("has").alias("legacy_definition_preservation"))
-    return chunks.select(*KEYS).distinct().join(out, KEYS, "left").fillna(1.0, ["legacy_definition_preservation"])
-
-
-def reference_resolution(chunks: DataFrame, refs: DataFrame) -> DataFrame:
-    """References whose chunk, or a chunk beside it, has the target as a heading."""
-    order = Window.partitionBy(*KEYS).orderBy("chunk_index")
-    near = chunks.select(*KEYS, "text", F.concat_ws("\n", F.lag("text").over(order), "text", F.lead("text").over(order)).alias("around"))
-    number = F.regexp_extract("target", r"([\d.()]+)$", 1)
-    kind = F.regexp_extract("target", r"^(clause|section|article|schedule)", 1)
-    rule = F.concat(F.lit(HEADING_BEFORE), kind, F.lit(r"[ \t]+)?\Q"), number, F.lit(HEADING_AFTER))
-    held = near.join(refs, "document_id").where(F.contains(F.lower("text"), F.lower("ref_text"))).withColumn("_rule", rule).withColumn("_has", F.expr("around rlike _rule"))
-    best = held.groupBy(*KEYS, "ref_text", "target").agg(F.bool_or("_has").alias("kept"))
-    asked = chunks.select(*KEYS).distinct().join(refs, "document_id")
-    out = asked.join(best, [*KEYS, "ref_text", "target"], "left").groupBy(*KEYS).agg(F.avg(F.coalesce("kept", F.lit(False)).cast("double")).alias("legacy_xref_resolution"))
-    return chunks.select(*KEYS).distinct().join(out, KEYS, "left").fillna(1.0, ["legacy_xref_resolution"])
+            own, names, found = [], [], []
+            for k, (_, *row) in enumerate(zip(*batch.columns)):
+                terms, refs, depth, *more = (x.as_py() for x in row)
+                clauses, by_strategy = cases(*more)
+                truth = Truth(clauses, terms or [], refs or [], depth)
+                for strategy, chunks in by_strategy:
+                    if chunks:
+                        own.append(k)
+                        names.append(strategy)
+                        found.append(measured(chunks, truth))
+            columns = [pa.array(x, pa.float64()) for x in (zip(*found) if found else [()] * len(METRICS))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(0).take(pa.array(own, pa.int32())), *columns], [*KEYS, *METRICS])
+
+    kind = docs.schema["document_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"strategy string, document_id {kind}, " + ", ".join(f"{m} double" for m in METRICS))
 
 
-def hierarchy_depth(chunks: DataFrame, depth: DataFrame) -> DataFrame:
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+(?:\.\d+)*)\."), F.lit(1)), lambda x: F.size(F.split(x, r"\.")))
-    best = chunks.groupBy(*KEYS).agg(F.coalesce(F.max(F.array_max(numbers)), F.lit(0)).alias("best"))
-    return best.join(depth, "document_id").select(*KEYS, F.when(F.col("depth") <= 1, 1.0).otherwise(F.least(F.col("best") / F.col("depth"), F.lit(1.0))).alias("legacy_depth_retained"))
+def legacy_row_in_place(docs: DataFrame, cuts: dict[str, Callable[[str], list[str]]]) -> DataFrame:
+    """docs: document_id, text, numbering_style. cuts: by strategy, the chunks of a text. Nothing is shuffled."""
+
+    def cases(text: str | None, style: str) -> tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]:
+        text = text or ""
+        found = extract.clauses(text, style)
+        ends = [*(c["g_start"] for c in found[1:]), len(text)]
+        return [(c["identifier"], text[c["g_start"] : end]) for c, end in zip(found, ends)], [(name, cut(text)) for name, cut in cuts.items()]
+
+    return _rows(docs.select("document_id", *told(), "text", "numbering_style"), cases)
 
 
 def legacy_row(chunks: DataFrame, docs: DataFrame, clauses: DataFrame) -> DataFrame:
-    """chunks: strategy, document_id, chunk_index, text."""
-    texts, terms, refs, depth = truth(docs, clauses)
-    out = chunks.groupBy(*KEYS).agg(size_variation(F.length("text")).alias("legacy_size_cv"))
-    for part in (fragmentation(chunks, texts), definition_preservation(chunks, terms), reference_resolution(chunks, refs), hierarchy_depth(chunks, depth)):
-        out = out.join(part, KEYS)
-    return out
+    """chunks: strategy, document_id, chunk_index, text. For chunks and clauses of any origin: texts go through one shuffle."""
+
+    def cases(text: str | None, own: list[dict] | None, strategy: str, cut: list[dict]) -> tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]:
+        return [(c["identifier"], (text or "")[c["g_start"] : c["g_end"]]) for c in own or ()], [(strategy, [c["text"] or "" for c in cut])]
+
+    own = clauses.groupBy("document_id").agg(F.collect_list(F.struct("identifier", "g_start", "g_end")).alias("own"))
+    cut = chunks.groupBy("document_id", "strategy").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("cut"))
+    rows = docs.select("document_id", *told(), "text").join(own, "document_id", "left").join(cut, "document_id")
+    return _rows(rows.select("document_id", "terms", "refs", "depth", "text", "own", "strategy", "cut"), cases)

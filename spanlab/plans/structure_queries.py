@@ -308,6 +308,4 @@ def agg21_profiles(spark, sf):
 
 @query("lg_legacy_row")
 def lg(spark, sf):
-    docs = numbered(spark, sf)
-    chunks = chunkers.chunk(docs, ["fixed_size", "sentence_split"])
-    return legacy.legacy_row(chunks, docs, extract.clause_table(extract.extracted(docs)))
+    return legacy.legacy_row_in_place(numbered(spark, sf), {name: chunkers.texts_of(name) for name in ("fixed_size", "sentence_split")})
