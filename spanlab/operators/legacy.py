@@ -12,7 +12,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,12 +27,13 @@ METRICS = ["legacy_size_cv", "legacy_fragmentation", "legacy_definition_preserva
 DEFINING = r"(?:means|shall\s+mean|defined\s+as|refers\s+to)"
 LEADS = (r"as\s+(?:defined|set\s+(?:out|forth))\s+in\s+", r"subject\s+to\s+", r"pursuant\s+to\s+", r"in\s+accordance\s+with\s+", r"referred\s+to\s+in\s+", r"under\s+")
 TARGET = r"(?:Section|Clause|Article)\s+[\d.()]+"
-# Quoted terms, numbering at the start of a line, and what is around the (kind and) number of a heading. Line
-# ends are those of Spark's patterns.
+# Quoted terms, numbering at the start of a line, a heading with its (kind) and (number), and what may follow the
+# number. Line ends are those of Spark's patterns.
 QUOTED = (r'"([A-Z][A-Za-z\s]{2,30})"', r"'([A-Z][A-Za-z\s]{2,30})'")
 NUMBERING = r"(?m)^(\d+(?:\.\d+)*)\."
 LINE_ENDS = "\n\r\x85\u2028\u2029"
-HEADING_BEFORE, HEADING_AFTER = rf"(?:\A|(?<=[{LINE_ENDS}]))[ \t]*(?:#{{1,6}}[ \t]*)?", rf"(?=\Z|[{LINE_ENDS} \t:—-]|\.(?!\d)|\)(?!\d))"
+HEADING = rf"(?:\A|(?<=[{LINE_ENDS}]))[ \t]*(?:#{{1,6}}[ \t]*)?(?:(clause|section|article)[ \t]+)?([\d.()][^{LINE_ENDS}]*)"
+AFTER_NUMBER = r"\Z|[ \t:—-]|\.(?!\d)|\)(?!\d)"
 # Clauses this short aren't asked for.
 LEAST = 20
 
@@ -49,6 +50,7 @@ def told(text: str = "text") -> list[Column]:
 #: Up to so many chunks each clause that is left is compared with all of them.
 FEW = 64
 _NUMBER = re.compile(r"\d+(?:\.\d+)*\.?", re.ASCII)
+_HEADING, _AFTER_NUMBER = re.compile(HEADING, re.ASCII | re.IGNORECASE), re.compile(AFTER_NUMBER, re.ASCII)
 _TARGET = re.compile(r"(section|clause|article)\s+([\d.()]+)$", re.ASCII)
 
 
@@ -78,6 +80,11 @@ class Truth:
     def phrases(self) -> Phrases:
         return Phrases(self.terms)
 
+    @cached_property
+    def targets(self) -> list[tuple[str, str]]:
+        """(kind, number) of each reference."""
+        return [_TARGET.search(text).groups() for text, _ in self.refs]
+
     @cached_property
     def written(self) -> Passages:
         return Passages([text for text, _ in self.refs])
@@ -106,9 +113,9 @@ def fragmentation(chunks: list[str], truth: Truth) -> float:
                     places[word].append(i)
         for name, asked, least in rest:
             near = range(len(owns))
-            if len(chunks) > FEW:  # a chunk without any of the rarest has too few of the others
+            if len(chunks) > FEW:  # a chunk without any of the rarest has too few of the others; those of the rarest come first
                 rarest = sorted(asked, key=lambda w: len(places[w]))[: len(asked) - least + 1]
-                near = set().union(*(places[w] for w in rarest))
+                near = (i for w in rarest for i in places[w])
             if name not in whole and any(len(owns[i]) >= least and len(asked & owns[i]) >= least for i in near):
                 whole.add(name)
     return (len(names) - len(whole)) / len(names)
@@ -143,9 +150,13 @@ def definition_preservation(chunks: list[str], truth: Truth) -> float:
     return sum(t in kept for t in truth.terms) / len(truth.terms)
 
 
-@lru_cache(4096)
-def heading_rule(kind: str, number: str) -> re.Pattern:
-    return re.compile(rf"{HEADING_BEFORE}(?:{kind}[ \t]+)?{re.escape(number)}{HEADING_AFTER}", re.ASCII | re.IGNORECASE)
+def headings(text: str) -> list[tuple[str, str]]:
+    """(kind, number and what follows it) of each line that may be a target's heading; the kind may be missing."""
+    return [((m[1] or "").lower(), m[2]) for m in _HEADING.finditer(text)]
+
+
+def is_target(kind: str, number: str, heading: tuple[str, str]) -> bool:
+    return heading[0] in ("", kind) and heading[1].startswith(number) and _AFTER_NUMBER.match(heading[1], len(number)) is not None
 
 
 def reference_resolution(chunks: list[str], truth: Truth) -> float:
@@ -153,9 +164,10 @@ def reference_resolution(chunks: list[str], truth: Truth) -> float:
     if not truth.refs:
         return 1.0
     kept: set[int] = set()
+    own = [headings(c) for c in chunks]
     for i, c in enumerate(chunks):
         for n, _ in truth.written.first(c.lower()):
-            if n not in kept and heading_rule(*_TARGET.search(truth.refs[n][0]).groups()).search("\n".join(chunks[max(i - 1, 0) : i + 2])):
+            if n not in kept and any(is_target(*truth.targets[n], h) for near in own[max(i - 1, 0) : i + 2] for h in near):
                 kept.add(n)
     return sum(truth.refs[n][1] for n in kept) / sum(many for _, many in truth.refs)
 
